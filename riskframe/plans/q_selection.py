@@ -1,3 +1,105 @@
-"""Demo queries."""
+"""Demo queries: selection, gates and registries (SEL1-SEL5, ML10).
 
-from .registry import register  # noqa: F401
+Metric rows come from EV12 over the three stand-in score models; registry
+and history rows are derived from orders (key = priority or customer,
+score = price, sequence = order key / date).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import selection as SEL
+from ..session import table
+from .q_metrics import _QUALITY_SQL, _models_sql, evaluated_models
+from .registry import register
+
+_EVAL_SQL = _QUALITY_SQL.format(P=_models_sql(), G="model, seq, split")
+_VIEW_SQL = f"""WITH m AS ({_EVAL_SQL}),
+v AS (SELECT model, seq, max(CASE WHEN split = 'train' THEN {{p}} END) AS train_score,
+  max(CASE WHEN split = 'test' THEN {{p}} END) AS test_score, max(CASE WHEN split = 'test' THEN accuracy END) AS test_accuracy
+  FROM m GROUP BY 1, 2)"""
+
+
+def _view(spark, sf, param):
+    return evaluated_models(spark, sf).withColumns({c: F.round(c, 6) for c in ("accuracy", "roc_auc", "f1")})
+
+
+@register("sel1_best_model", _VIEW_SQL.format(p="roc_auc") + """
+SELECT model, seq, train_score, test_score, test_accuracy, round(train_score - test_score, 6) AS gap FROM v
+WHERE train_score - test_score <= 0.6 AND test_accuracy >= 0.48 ORDER BY gap, seq DESC LIMIT 1""")
+def sel1_best_model(spark, sf):
+    """Trainer-style pick on roc_auc with gap <= 0.6 and an accuracy floor of 0.48."""
+    b = SEL.best_model(_view(spark, sf, "roc_auc"), "roc_auc", 0.6, 0.48)
+    return b.withColumn("gap", F.round("gap", 6))
+
+
+@register("sel1_best_model_none", _VIEW_SQL.format(p="accuracy") + """
+SELECT model, seq, train_score, test_score, test_accuracy, round(train_score - test_score, 6) AS gap FROM v
+WHERE train_score - test_score <= 0.05 AND test_accuracy >= 0.805 ORDER BY gap, seq DESC LIMIT 1""")
+def sel1_best_model_none(spark, sf):
+    """Evaluation thresholds (accuracy, 0.05, 0.805): no stand-in model reaches the floor -> empty."""
+    b = SEL.best_model(_view(spark, sf, "accuracy"), "accuracy", 0.05, 0.805)
+    return b.withColumn("gap", F.round("gap", 6))
+
+
+@register("sel2_overfit_flag", _VIEW_SQL.format(p="f1") + """
+SELECT model, seq, train_score, test_score, test_accuracy, round(train_score - test_score, 6) AS gap,
+  train_score - test_score > 0.05 AS overfit_warning FROM v""")
+def sel2_overfit_flag(spark, sf):
+    v = SEL.flag_overfit(SEL.train_test_view(_view(spark, sf, "f1"), "f1"))
+    return v.withColumn("gap", F.round("gap", 6))
+
+
+@register("sel3_gate_history", """
+SELECT o_custkey, o_orderkey, o_totalprice, threshold_before,
+  threshold_before IS NULL OR o_totalprice > threshold_before AS accepted
+FROM (SELECT *, greatest(coalesce(max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100000.0), 100000.0) AS threshold_before FROM orders)""")
+def sel3_gate_history(spark, sf):
+    """Per customer, each order is a candidate; accepted iff it beats the stored threshold
+    (initial 100000) and all earlier candidates."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return SEL.gate_history(o, "o_custkey", "o_orderkey", "o_totalprice", initial=100000.0)
+
+
+@register("sel4_challenger_gate", _VIEW_SQL.format(p="accuracy") + """,
+b AS (SELECT * FROM v WHERE train_score - test_score <= 0.02 AND test_accuracy >= 0.48 ORDER BY train_score - test_score, seq DESC LIMIT 1)
+SELECT model, test_score, test_score > (SELECT test_score FROM v WHERE model = 'disc') AS accepted,
+  CASE WHEN test_score > (SELECT test_score FROM v WHERE model = 'disc') THEN test_score
+       ELSE (SELECT test_score FROM v WHERE model = 'disc') END AS new_threshold FROM b""")
+def sel4_challenger_gate(spark, sf):
+    """Production ('disc') vs candidates: SEL1 on accuracy (gap 0.02), then gate on accuracy
+    against the production model's test accuracy."""
+    return SEL.challenger_gate(_view(spark, sf, "accuracy"), "disc", "accuracy", 0.02, 0.48)
+
+
+@register("sel5_history_upsert", """
+SELECT o_orderdate_key, o_orderkey, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderdate_key ORDER BY seq, o_orderkey) AS rn FROM (
+    SELECT strftime(o_orderdate, '%Y-%m') AS o_orderdate_key, o_orderkey, 0 AS seq FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT strftime(o_orderdate, '%Y-%m'), o_orderkey, 1 FROM orders WHERE o_orderstatus <> 'F'))
+WHERE rn = 1""")
+def sel5_history_upsert(spark, sf):
+    """Run history keyed by month: existing (status F) entries win over new ones on equal keys;
+    within one side the lowest order key stands for the run."""
+    o = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("o_orderdate_key"),
+                                          "o_orderkey", "o_orderstatus")
+    old = o.where(F.col("o_orderstatus") == "F").select("o_orderdate_key", "o_orderkey", F.lit(0).alias("seq"))
+    new = o.where(F.col("o_orderstatus") != "F").select("o_orderdate_key", "o_orderkey", F.lit(1).alias("seq"))
+    return SEL.upsert_first_wins(old, new, "o_orderdate_key", ("seq", "o_orderkey"))
+
+
+@register("ml10_keep_best_registry", """
+SELECT o_orderpriority, o_orderkey, score, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY score DESC, seq) AS rn FROM (
+    SELECT o_orderpriority, o_orderkey, round(o_totalprice / 1000) AS score, o_orderkey AS seq FROM orders))
+WHERE rn = 1""")
+def ml10_keep_best_registry(spark, sf):
+    """Registry upsert: per key keep the strictly best score; on a tie the earlier entry stays."""
+    o = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_orderstatus",
+                                          F.round(F.col("o_totalprice") / 1000).alias("score"),
+                                          F.col("o_orderkey").alias("seq"))
+    old = o.where(F.col("o_orderstatus") == "F").drop("o_orderstatus")
+    new = o.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
+    return SEL.keep_best(old, new, "o_orderpriority", "score")
