@@ -114,6 +114,16 @@ def percent_text(c, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f%%", F.round(col(c) * 100, digits))
 
 
+def stable_round(c, digits: int = 6) -> Column:
+    """Round half-up in decimal after fixing the value to 12 decimals.
+
+    Summation order changes the last bits of a double; going through
+    DECIMAL(38, 12) first makes the rounding of exact decimal ties
+    (e.g. a mean of 0.0499185) independent of those bits.
+    """
+    return F.round(col(c).cast("decimal(38,12)"), digits).cast("double")
+
+
 def rule_violations(rules: Mapping[str, Column]) -> Column:
     """FLT2: array of names of the rules a row breaks (empty when valid).
 
