@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..config import DriftConfig
 from .prefix import running_sums
@@ -71,20 +72,14 @@ def numeric_drift(reference: DataFrame, current: DataFrame, columns: Sequence[st
                     F.try_divide(F.col("wasserstein"), F.col("_ref_std")).alias("wasserstein_norm"))
 
 
-@F.pandas_udf("double")
-def chi2_sf(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    """Chi-square upper tail Q(dof/2, stat/2) (series / continued fraction); one row per column."""
-    return pd.Series([_gammaincc(k / 2.0, x / 2.0) if k and k > 0 and x == x else float("nan")
-                      for x, k in zip(stat, dof)])
-
-
 def _gammaincc(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma Q(a, x): series below a+1, continued fraction above."""
     if x <= 0:
         return 1.0
     if math.isinf(x):
         return 0.0
     gln = math.lgamma(a)
-    if x < a + 1:  # series for P, return 1 - P
+    if x < a + 1:
         ap, s, d = a, 1.0 / a, 1.0 / a
         for _ in range(1000):
             ap += 1
@@ -93,15 +88,16 @@ def _gammaincc(a: float, x: float) -> float:
             if abs(d) < abs(s) * 1e-15:
                 break
         return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - gln))
-    b, c, d = x + 1 - a, 1.0 / 1e-300, 1.0 / (x + 1 - a)
+    tiny = 1e-300
+    b, c, d = x + 1 - a, 1.0 / tiny, 1.0 / (x + 1 - a)
     h = d
     for i in range(1, 1000):
         an = -i * (i - a)
         b += 2
         d = an * d + b
-        d = 1e-300 if abs(d) < 1e-300 else d
+        d = tiny if abs(d) < tiny else d
         c = b + an / c
-        c = 1e-300 if abs(c) < 1e-300 else c
+        c = tiny if abs(c) < tiny else c
         d = 1.0 / d
         de = d * c
         h *= de
@@ -110,6 +106,16 @@ def _gammaincc(a: float, x: float) -> float:
     return math.exp(-x + a * math.log(x) - gln) * h
 
 
+def chi2_sf_udf():
+    """Pandas UDF: chi-square upper tail Q(dof/2, stat/2); applied to one row per column."""
+    tail = _gammaincc
+
+    def sf(stat: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([tail(k / 2.0, x / 2.0) if k and k > 0 and x == x else float("nan")
+                          for x, k in zip(stat, dof)])
+    return F.pandas_udf(sf, DoubleType())
+
+
 def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """DR3 + DR4 per column: Jensen-Shannon distance (natural log, 0 ln 0 = 0) and the
     chi-square statistic of current counts against reference shares (+ dof, p-value)."""
@@ -133,7 +139,7 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequenc
 
 
 def with_chi2_pvalue(cat: DataFrame) -> DataFrame:
-    return cat.withColumn("chi2_pvalue", chi2_sf(F.col("chi2_statistic"), F.col("chi2_dof").cast("double")))
+    return cat.withColumn("chi2_pvalue", chi2_sf_udf()(F.col("chi2_statistic"), F.col("chi2_dof").cast("double")))
 
 
 def drift_table(reference: DataFrame, current: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
