@@ -68,10 +68,9 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Output: (column, value (string), value_num, local_index, feature_index, feature_name).
     """
     dtypes = dict(df.dtypes)
-    numeric = all(dtypes[c] not in ("string",) for c in columns)
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("_pos"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
-                 (F.col(c).cast("double") if numeric else F.lit(None).cast("double")).alias("value_num"))
+                 (F.col(c).cast("double") if dtypes[c] != "string" else F.lit(None).cast("double")).alias("value_num"))
         for i, c in enumerate(columns)])).alias("s")).select("s.*")
     d = stacked.where(F.col("value").isNotNull()).distinct()
     w = Window.partitionBy("column").orderBy("value_num", "value")
