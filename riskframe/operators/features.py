@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,16 +228,46 @@ def nearest_center(vec, centers: Sequence[Sequence[float]]) -> Column:
     return best["i"]
 
 
-def feature_pipeline(groups: Sequence[FeatureGroup], onehot: OneHotModel, k: int | None = None) -> Pipeline:
-    """FE10: prepare (SQL) + one-hot + optional k-means cluster as one unit."""
-    cols = prepare_columns(groups)
-    sel = ", ".join(["*"] + [f"{expr_sql(v)} AS {c}__p" for c, v in cols.items()])
-    stages = [SQLTransformer(statement=f"SELECT {sel} FROM __THIS__")]
-    return Pipeline(stages=stages)
+def _num(v) -> str:
+    fv = float(v)
+    return str(int(fv)) if fv.is_integer() else repr(fv)
 
 
-def expr_sql(c: Column) -> str:
-    return c._jc.expr().sql()
+def prepare_sql(groups: Sequence[FeatureGroup], suffix: str = "_p") -> str:
+    """FE1 as SQL text for an ``SQLTransformer`` stage: clip, then right-closed cut (bin index)."""
+    exprs = []
+    for g in groups:
+        for c in g.columns:
+            x = f"`{c}`"
+            if g.lower_bound is not None:
+                x = f"greatest({x}, {_num(g.lower_bound)})"
+            if g.upper_bound is not None:
+                x = f"least({x}, {_num(g.upper_bound)})"
+            x = f"CASE WHEN `{c}` IS NOT NULL THEN {x} END"
+            if g.bins:
+                e = g.bins
+                whens = " ".join(f"WHEN {x} <= {_num(e[i])} THEN {i - 1}" for i in range(1, len(e)))
+                x = f"CASE WHEN {x} > {_num(e[0])} AND {x} <= {_num(e[-1])} THEN CASE {whens} END END"
+            exprs.append(f"{x} AS `{c}{suffix}`")
+    return "SELECT *, " + ", ".join(exprs) + " FROM __THIS__"
+
+
+def feature_unit(groups: Sequence[FeatureGroup], categorical: Sequence[str] = (), extra: Sequence[str] = (),
+                 output: str = "features") -> Pipeline:
+    """FE10: prepare (SQL) + one-hot of every prepared and categorical column (unseen / missing
+    -> all zeros) + assembly, as one saveable ``Pipeline``."""
+    prepared = [f"{c}_p" for g in groups for c in g.columns]
+    as_text = [f"{c}_s" for c in prepared] + [f"{c}_s" for c in categorical]
+    cast = ", ".join(f"CAST(`{c}` AS STRING) AS `{c}_s`" for c in [*prepared, *categorical])
+    stages = [SQLTransformer(statement=prepare_sql(groups)),
+              SQLTransformer(statement=f"SELECT *, {cast} FROM __THIS__"),
+              StringIndexer(inputCols=as_text, outputCols=[f"{c}_i" for c in as_text],
+                            handleInvalid="keep", stringOrderType="alphabetAsc"),
+              OneHotEncoder(inputCols=[f"{c}_i" for c in as_text], outputCols=[f"{c}_v" for c in as_text],
+                            dropLast=True),
+              VectorAssembler(inputCols=[f"{c}_v" for c in as_text] + list(extra), outputCol=output,
+                              handleInvalid="keep")]
+    return Pipeline(stages=stages)
 
 
 def load_pipeline(path: str) -> PipelineModel:

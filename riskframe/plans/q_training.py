@@ -1,3 +1,306 @@
-"""Demo queries."""
+"""Demo queries: feature unit, training, tuning, scoring (FE10, ML1-ML14, SNK5, SNK6, SCO1-SCO4).
 
-from .registry import register  # noqa: F401
+Training data: every lineitem row, label ``l_returnflag = 'R'``, features
+from the lineitem feature config (prepared + one-hot) plus raw discount and
+tax; folds from the stratified md5 fold id (SPL3), hold-out from SPL1.
+Search budgets here are small (a couple of trials, few trees) so the demo
+runs in seconds; the full ranges are the defaults in ``training.SPACES``.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import GBTClassifier
+from pyspark.sql import functions as F
+
+from ..operators import metrics as EV
+from ..operators import scoring as SCO
+from ..operators import selection as SEL
+from ..operators import training as ML
+from ..operators.features import feature_unit
+from ..operators.split import stratified_folds, stratified_split
+from ..session import scratch_path, table
+from ..sources.files import read_csv, write_csv
+from .q_features import LINE_GROUPS
+from .registry import register
+
+QUICK = {
+    "GBT": ML.scaled(ML.GBT_SPACE, maxIter=ML.Param("int", 3, 6), maxDepth=ML.Param("int", 2, 3),
+                     minWeightFractionPerNode=ML.Param("float", 0.0, 0.1)),
+    "RF": ML.scaled(ML.RF_SPACE, numTrees=ML.Param("int", 3, 6), maxDepth=ML.Param("int", 2, 4)),
+    "LGBM": ML.scaled(ML.LGBM_SPACE, maxIter=ML.Param("int", 3, 6), maxDepth=ML.Param("int", 2, 3),
+                      minInfoGain=ML.Param("float", 0.0, 0.01)),
+    "XGB": ML.scaled(ML.GBT_SPACE, maxIter=ML.Param("int", 3, 6), maxDepth=ML.Param("int", 2, 3),
+                     minWeightFractionPerNode=ML.Param("float", 0.0, 0.1)),
+    "CATBOOST": ML.scaled(ML.CATBOOST_SPACE, maxIter=ML.Param("int", 3, 6), maxDepth=ML.Param("int", 2, 3)),
+}
+FAMILIES = ("GBT", "RF", "LGBM", "CATBOOST")
+
+
+def labelled(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"),
+                     (F.col("l_returnflag") == "R").cast("double").alias("label"),
+                     "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linestatus")
+
+
+def unit():
+    return feature_unit(LINE_GROUPS, categorical=["l_linestatus"], extra=["l_discount", "l_tax"])
+
+
+def prepared(spark, sf):
+    """(k, label, split, fold, is_val, features): unit fitted on the train part, applied to all rows.
+
+    ``is_val`` marks a seeded 1/16 of the rows (first md5 hex digit 0) as the early-stopping
+    set of the boosting variant, so every CV training fold has validation rows."""
+    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    d = stratified_folds(d, "label", "k", k=5, seed=1)
+    d = d.withColumn("is_val", F.substring(F.md5(F.col("k").cast("string")), 1, 1) == "0")
+    model = unit().fit(d.where(F.col("split") == "train"))
+    return model.transform(d).select("k", "label", "split", "fold", "is_val", "features"), model
+
+
+@register("fe10_feature_unit")
+def fe10_feature_unit(spark, sf):
+    """Prepare + one-hot + assemble fitted once as a Pipeline, saved and re-loaded as one unit (SNK6)."""
+    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    model = unit().fit(d.where(F.col("split") == "train"))
+    path = scratch_path(spark, "feature-unit")
+    ML.save_unit(model, path)
+    return ML.load_unit(path).transform(d).select("k", "split", "features")
+
+
+@register("snk6_model_unit")
+def snk6_model_unit(spark, sf):
+    """Feature unit + classifier saved as one PipelineModel, loaded back and scored."""
+    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
+    model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
+    path = scratch_path(spark, "model-unit")
+    ML.save_unit(model, path)
+    return SCO.score(ML.load_unit(path), d, ["k", "split", "label"])
+
+
+def _cv_family(spark, sf, family, n=2):
+    data, _ = prepared(spark, sf)
+    data = data.where(F.col("split") == "train").persist()
+    try:
+        params = ML.sample_params(QUICK[family], n, 1961)
+        est = ML.make_estimator(family, validation_col="is_val")
+        cvm = ML.cross_validate(est, params, data)
+        return ML.trial_log(family, params, cvm)
+    finally:
+        data.unpersist()
+
+
+@register("ml1_gbt_search")
+def ml1_gbt_search(spark, sf):
+    """Gradient-boosted trees, sampled space, 5-fold stratified CV AUC per trial."""
+    return _cv_family(spark, sf, "GBT")
+
+
+@register("ml2_rf_search")
+def ml2_rf_search(spark, sf):
+    return _cv_family(spark, sf, "RF")
+
+
+@register("ml4_lgbm_style_search")
+def ml4_lgbm_style_search(spark, sf):
+    """LightGBM-style space re-aimed on GBTClassifier."""
+    return _cv_family(spark, sf, "LGBM")
+
+
+@register("ml5_xgb_style_search")
+def ml5_xgb_style_search(spark, sf):
+    """XGBoost-style space re-aimed on GBTClassifier."""
+    return _cv_family(spark, sf, "XGB")
+
+
+@register("ml6_catboost_style_search")
+def ml6_catboost_style_search(spark, sf):
+    """CatBoost-style boosting with early stopping on a validation indicator column."""
+    return _cv_family(spark, sf, "CATBOOST")
+
+
+@register("ml7_cross_validation")
+def ml7_cross_validation(spark, sf):
+    """One GBT parameter set: the per-fold AUCs behind the CV mean (folds = SPL3 ids)."""
+    data, _ = prepared(spark, sf)
+    data = data.where(F.col("split") == "train")
+    cvm = ML.cross_validate(ML.make_estimator("GBT"), ML.sample_params(QUICK["GBT"], 1, 7), data)
+    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(cvm.avgMetrics)], "trial int, mean_auc double")
+
+
+def _search(spark, sf):
+    data, _ = prepared(spark, sf)
+    train = data.where(F.col("split") == "train").persist()
+    reg, log = ML.search(train, FAMILIES, 1, QUICK)
+    return train, reg, log
+
+
+@register("ml9_family_search")
+def ml9_family_search(spark, sf):
+    """Search the configured families in fixed order; best parameters + CV score per family."""
+    train, reg, _ = _search(spark, sf)
+    train.unpersist()
+    return reg
+
+
+@register("ml8_search_registry")
+def ml8_search_registry(spark, sf):
+    """Search result merged into a stored keep-best registry (ML10 upsert): re-running the
+    same search with equal scores keeps the stored entries."""
+    train, reg, _ = _search(spark, sf)
+    path = scratch_path(spark, "param-registry")
+    reg.write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    merged = SEL.keep_best(stored, reg.withColumn("seq", F.col("seq") + 100), "family", "score")
+    train.unpersist()
+    return merged
+
+
+@register("snk5_trial_log")
+def snk5_trial_log(spark, sf):
+    """Trial log (one row per trial) written as CSV and read back."""
+    log = _cv_family(spark, sf, "GBT")
+    path = scratch_path(spark, "trial-log")
+    write_csv(log.select("family", "trial", F.to_json("params").alias("params"), "score"), path)
+    return read_csv(spark, path, "family string, trial int, params string, score double")
+
+
+@register("ml11_refit_evaluate")
+def ml11_refit_evaluate(spark, sf):
+    """Refit every family with its best parameters; evaluate all on train + test in one job (EV12)."""
+    data, _ = prepared(spark, sf)
+    data = data.persist()
+    train = data.where(F.col("split") == "train")
+    reg, _ = ML.search(train, FAMILIES, 1, QUICK)
+    scored = {}
+    for r in reg.collect():
+        m = ML.refit(r["family"], r["params"], train)
+        scored[r["family"]] = SCO.score(m, data, ["split", "label"]).withColumn("target", F.col("label").cast("int"))
+    out = EV.evaluate_models(scored)
+    res = out.select("model", "split", "accuracy", "roc_auc", "f1", "log_loss")
+    return res
+
+
+@register("ml13_feature_importance")
+def ml13_feature_importance(spark, sf):
+    """Importances of a random forest on the assembled features, named by slot."""
+    data, model = prepared(spark, sf)
+    rf = ML.make_estimator("RF").setNumTrees(10).setMaxDepth(4).fit(data.where(F.col("split") == "train"))
+    n = rf.numFeatures
+    return ML.feature_importance(rf, [f"f{i}" for i in range(n)])
+
+
+@register("ml14_train_job")
+def ml14_train_job(spark, sf):
+    """Train job: prepare -> search -> refit -> evaluate -> pick (trainer gate: roc_auc gap <= 0.6,
+    accuracy >= 0.5) -> save the chosen unit."""
+    data, unit_model = prepared(spark, sf)
+    data = data.persist()
+    train = data.where(F.col("split") == "train")
+    reg, _ = ML.search(train, FAMILIES, 1, QUICK)
+    scored, models = {}, {}
+    for r in reg.collect():
+        models[r["family"]] = ML.refit(r["family"], r["params"], train)
+        scored[r["family"]] = SCO.score(models[r["family"]], data, ["split", "label"]).withColumn(
+            "target", F.col("label").cast("int"))
+    metrics = EV.evaluate_models(scored)
+    best = SEL.best_model(metrics, "roc_auc", 0.6, 0.5)
+    return best
+
+
+@register("ml12_segment_least_squares", """
+SELECT l_returnflag, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+  round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, count(*) AS rows FROM lineitem GROUP BY 1""")
+def ml12_segment_least_squares(spark, sf):
+    """One closed-form model per segment (price ~ quantity per return flag), one aggregation."""
+    m = ML.segment_least_squares(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
+    return m.select("l_returnflag", F.round("intercept", 4).alias("intercept"), F.round("slope", 6).alias("slope"), "rows")
+
+
+@register("ml12_segment_models")
+def ml12_segment_models(spark, sf):
+    """A Spark classifier per segment (line status), each on its segment's rows."""
+    data, _ = prepared(spark, sf)
+    li = labelled(spark, sf).select("k", "l_linestatus")
+    data = data.join(li, "k").persist()
+    models = ML.fit_per_segment(data.where(F.col("split") == "train"), "l_linestatus", ["F", "O"],
+                                lambda: GBTClassifier(labelCol="label", maxIter=5, maxDepth=3, seed=1961))
+    return SCO.route_models(data.where(F.col("split") == "test"), "l_linestatus", models, ["k", "label"])
+
+
+_LDA_FEATURES = ("l_quantity", "l_discount", "l_tax")
+
+
+@register("ml3_lda_statistics", f"""
+SELECT (l_returnflag = 'R')::INT AS label, count(*) AS n,
+  {", ".join(f"round(avg({f}), 6) AS mean_{f}" for f in _LDA_FEATURES)},
+  {", ".join(f"round(sum({a} * {b}), 4) AS sxx_{i}_{j}" for i, a in enumerate(_LDA_FEATURES)
+             for j, b in enumerate(_LDA_FEATURES) if j >= i)}
+FROM lineitem GROUP BY 1""")
+def ml3_lda_statistics(spark, sf):
+    """Linear discriminant statistics: class means and cross-product sums (one aggregation)."""
+    li = table(spark, sf, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+    s = ML.lda_statistics(li, _LDA_FEATURES, "label")
+    return s.select("label", "n", *[F.round(f"mean_{f}", 6).alias(f"mean_{f}") for f in _LDA_FEATURES],
+                    *[F.round(c, 4).alias(c) for c in s.columns if c.startswith("sxx_")])
+
+
+@register("ml3_lda_score")
+def ml3_lda_score(spark, sf):
+    """Fit the discriminant (p x p solve on the driver) and score every row by a dot product."""
+    li = table(spark, sf, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+    fit = ML.lda_fit(ML.lda_statistics(li, _LDA_FEATURES, "label").collect(), _LDA_FEATURES)
+    return ML.lda_score(li.select("l_orderkey", "l_linenumber", "label", *_LDA_FEATURES), _LDA_FEATURES, fit)
+
+
+@register("sco1_score_batch")
+def sco1_score_batch(spark, sf):
+    """Score raw rows with a fitted unit: predicted class and P(class 1)."""
+    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
+    model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
+    return SCO.score(model, d.where(F.col("split") == "test"), ["k"])
+
+
+@register("sco2_probability_metrics")
+def sco2_probability_metrics(spark, sf):
+    """P(class 1) of a fitted unit measured with EV1 per split."""
+    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
+    model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
+    s = SCO.score(model, d, ["split", "label"]).withColumn("target", F.col("label").cast("int"))
+    return EV.quality(s, ["split"])
+
+
+def request_rules():
+    return {"quantity_range": (F.col("l_quantity") > 1) & (F.col("l_quantity") < 50),
+            "discount_below_0.1": F.col("l_discount") < 0.1}
+
+
+@register("sco3_request_scoring")
+def sco3_request_scoring(spark, sf):
+    """Requests = lineitem rows: rule check, valid rows scored, invalid rows quarantined with reasons."""
+    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
+    model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
+    scored, quarantine = SCO.score_requests(model, d, request_rules(), ["k"])
+    return scored.select("k", "predicted", "prediction", F.lit(None).cast("string").alias("violations")).unionByName(
+        quarantine.select("k", F.lit(None).cast("int").alias("predicted"), F.lit(None).cast("double").alias("prediction"),
+                          "violations"))
+
+
+@register("sco4_segment_routing", """
+WITH w AS (SELECT l_returnflag, regr_intercept(l_extendedprice, l_quantity) AS intercept,
+  regr_slope(l_extendedprice, l_quantity) AS w_l_quantity FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_returnflag, round(intercept + l_quantity * w_l_quantity, 4) AS prediction
+FROM lineitem JOIN w USING (l_returnflag)""")
+def sco4_segment_routing(spark, sf):
+    """Each row scored by its segment's linear model (weights: one row per segment)."""
+    li = table(spark, sf, "lineitem")
+    w = ML.segment_least_squares(li, "l_returnflag", "l_quantity", "l_extendedprice").select(
+        "l_returnflag", "intercept", F.col("slope").alias("w_l_quantity"))
+    out = SCO.route_linear(li.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), "l_returnflag",
+                           w, ["l_quantity"])
+    return out.select("l_orderkey", "l_linenumber", "l_returnflag", F.round("prediction", 4).alias("prediction"))
