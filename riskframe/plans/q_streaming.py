@@ -1,3 +1,86 @@
-"""Demo queries."""
+"""Demo queries: streaming validate + score (STR1) and streaming insert-if-new (STR2).
 
-from .registry import register  # noqa: F401
+The stream source is the events table: its Parquet file is read as a file
+stream; for the de-duplication demos Spark first writes the events twice
+into a landing folder (two files = two micro-batches with repeated keys).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path, table
+from ..streaming import jobs as ST
+from .registry import register
+
+
+def event_rules():
+    return {"value_positive": F.col("value") > 0, "value_below_50": F.col("value") < 50,
+            "known_type": F.col("event_type").isin("view", "click", "purchase", "signup")}
+
+
+def linear_scorer(df):
+    """Fixed logistic scorer on the event value (P(1) = sigmoid((value - 10) / 5))."""
+    return df.select("event_id", "user_id", "event_type",
+                     F.round(1 / (1 + F.exp(-(F.col("value") - 10) / 5)), 6).alias("prediction"))
+
+
+_RULES_SQL = """list_filter([CASE WHEN NOT coalesce(value > 0, false) THEN 'value_positive' END,
+  CASE WHEN NOT coalesce(value < 50, false) THEN 'value_below_50' END,
+  CASE WHEN NOT coalesce(event_type IN ('view', 'click', 'purchase', 'signup'), false) THEN 'known_type' END],
+  lambda x: x IS NOT NULL)"""
+
+
+@register("str1_stream_validate_score", f"""
+WITH v AS (SELECT *, {_RULES_SQL} AS viol FROM events)
+SELECT event_id, user_id, event_type, round(1 / (1 + exp(-(value - 10) / 5)), 6) AS prediction,
+  NULL::VARCHAR AS violations FROM v WHERE len(viol) = 0
+UNION ALL SELECT event_id, user_id, event_type, NULL::DOUBLE, array_to_string(viol, ',') FROM v WHERE len(viol) > 0""")
+def str1_stream_validate_score(spark, sf):
+    """Events stream -> rule check -> valid rows scored, invalid rows quarantined (two sinks)."""
+    src = f"{sf}/events*.parquet"
+    schema = table(spark, sf, "events").schema
+    out, ckpt = scratch_path(spark, "str1-out"), scratch_path(spark, "str1-ckpt")
+    q = ST.validate_and_score(ST.file_stream(spark, src, schema), event_rules(), linear_scorer, out, ckpt)
+    q.awaitTermination()
+    scored = spark.read.parquet(f"{out}/scored").select("event_id", "user_id", "event_type", "prediction",
+                                                        F.lit(None).cast("string").alias("violations"))
+    bad = spark.read.parquet(f"{out}/quarantine").select("event_id", "user_id", "event_type",
+                                                         F.lit(None).cast("double").alias("prediction"), "violations")
+    return scored.unionByName(bad)
+
+
+def _landing(spark, sf):
+    """Landing folder with the events written twice (repeated keys across two files)."""
+    path = scratch_path(spark, "events-landing")
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev.coalesce(1).write.mode("append").parquet(path)
+    ev.coalesce(1).write.mode("append").parquet(path)
+    return path, ev.schema
+
+
+@register("str2_stream_insert_watermark", """
+SELECT event_id, user_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-10'""")
+def str2_stream_insert_watermark(spark, sf):
+    """Stream of events (each twice) -> de-duplicate by key within a 1-day watermark -> drop keys
+    already in the reference (events before 2024-01-10) -> append sink."""
+    path, schema = _landing(spark, sf)
+    ref = table(spark, sf, "events").where(F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz"))
+    out, ckpt = scratch_path(spark, "str2-out"), scratch_path(spark, "str2-ckpt")
+    stream = ST.file_stream(spark, path, schema, max_files=2)
+    q = ST.insert_new_within_watermark(stream, ref, "event_id", "ts", "1 day", out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")
+
+
+@register("str2_stream_insert_table", """
+SELECT event_id, user_id, event_type, value FROM events""")
+def str2_stream_insert_table(spark, sf):
+    """Stream of events (each twice, one file per micro-batch) inserted into a table only when
+    the key is new: the second batch finds every key already present."""
+    path, schema = _landing(spark, sf)
+    target, ckpt = scratch_path(spark, "str2-table"), scratch_path(spark, "str2t-ckpt")
+    stream = ST.file_stream(spark, path, schema, max_files=1)
+    q = ST.insert_new_into_table(stream, target, "event_id", ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(target).select("event_id", "user_id", "event_type", "value")
