@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_labels, col
+from .keys import join_on
 
 
 def group_count(df: DataFrame, keys: Sequence[str], name: str = "count") -> DataFrame:
@@ -28,9 +29,16 @@ def value_counts(df: DataFrame, c: str, name: str = "count") -> DataFrame:
 
 
 def value_shares(df: DataFrame, c: str, name: str = "share") -> DataFrame:
-    """AGG3: share of each non-null value; the total window runs on aggregated rows."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.select(c, (F.col("_n") / F.sum("_n").over(Window.partitionBy())).alias(name))
+    """AGG3: share of each non-null value.
+
+    The total is one scalar (a separate count job), so the per-value rows are
+    never funnelled through a single un-partitioned window, however many
+    distinct values there are.
+    """
+    nn = df.where(F.col(c).isNotNull())
+    total = nn.count()
+    counts = nn.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.select(c, (F.col("_n") / F.lit(total)).alias(name))
 
 
 def group_shares(df: DataFrame, keys: Sequence[str], value: str,
@@ -81,11 +89,21 @@ def table_info(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return long.select("column", F.element_at(type_map, F.col("column")).alias("dtype"), "non_null")
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def quantile(x: Column, p: float, exact: bool, accuracy: int = 10000) -> Column:
+    """Exact (``percentile``: linear interpolation, keeps a value->count map per group, so its
+    memory grows with the distinct values of a group) or sketch (``percentile_approx``,
+    bounded memory, relative rank error 1/accuracy)."""
+    if exact:
+        return F.percentile(x, F.lit(p))
+    return F.percentile_approx(x, p, accuracy).cast("double")
+
+
+def describe(df: DataFrame, columns: Sequence[str], exact: bool = False) -> DataFrame:
     """AGG11: transposed describe: count, mean, std, min, 25/50/75 %, max per column.
 
-    One aggregation over all columns; quartiles are exact (``percentile``,
-    linear interpolation).  Use ``approx=True`` variants at very large scale.
+    One aggregation over all columns.  Quartiles are sketches by default
+    (bounded memory on any table); ``exact=True`` gives interpolated exact
+    quartiles for tables whose distinct values fit one task.
     """
     aggs = []
     for c in columns:
@@ -93,8 +111,8 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         aggs.append(F.struct(
             F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
             F.min(x).alias("min"),
-            F.percentile(x, F.lit(0.25)).alias("p25"), F.percentile(x, F.lit(0.5)).alias("p50"),
-            F.percentile(x, F.lit(0.75)).alias("p75"), F.max(x).alias("max")).alias(c))
+            quantile(x, 0.25, exact).alias("p25"), quantile(x, 0.5, exact).alias("p50"),
+            quantile(x, 0.75, exact).alias("p75"), F.max(x).alias("max")).alias(c))
     wide = df.agg(*aggs)
     stacked = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns])).alias("r"))
@@ -132,7 +150,7 @@ def zero_fill_bins(counts: DataFrame, edges: Sequence[float], keys_dim: DataFram
         keys = list(keys_dim.columns)
         dim = keys_dim.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias(index_name))
         dim = dim.select("*", F.get(labels, F.col(index_name)).alias("bin_label"))
-    out = dim.join(counts, [*keys, index_name], "left")
+    out = join_on(dim, counts, [*keys, index_name], "left")
     return out.fillna(0, subset=list(fill_cols))
 
 
@@ -157,13 +175,17 @@ def histogram(df: DataFrame, c: str, nbins: int = 20) -> DataFrame:
 
 
 def density_curve(df: DataFrame, c: str, grid: Sequence[float], bandwidth: float,
-                  group: str | None = None, prebin_width: float | None = None) -> DataFrame:
+                  group: str | None = None, prebin_width: float | str | None = "auto") -> DataFrame:
     """AGG13: Gaussian kernel density on a fixed grid, optionally per group.
 
     The sample is first collapsed to (value-bin, n) rows; each aggregated row
     is expanded over the grid (a fixed-size literal from the caller), so cost
-    is bins x grid, never rows x grid.  ``prebin_width=None`` keeps exact values.
+    is bins x grid, never rows x grid.  ``"auto"`` bins values to bandwidth/20
+    (kernel error far below the bandwidth's own smoothing); ``None`` keeps the
+    exact values, for columns with few distinct values.
     """
+    if prebin_width == "auto":
+        prebin_width = bandwidth / 20
     x = F.col(c).cast("double")
     v = x if prebin_width is None else (F.floor(x / prebin_width) + 0.5) * prebin_width
     keys = [group] if group else []
@@ -177,21 +199,23 @@ def density_curve(df: DataFrame, c: str, grid: Sequence[float], bandwidth: float
                       (F.col("_k") / (F.col("_N") * bandwidth * math.sqrt(2 * math.pi))).alias("density"))
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def box_stats(df: DataFrame, keys: Sequence[str], value: str, exact: bool = False) -> DataFrame:
     """AGG14: quartiles, mean, whiskers (extreme points inside 1.5 IQR) and outlier count.
 
     Pass 1 aggregates quartiles per group; pass 2 joins those per-group fences
     back (one row per group) and aggregates again.
     """
+    if not keys:  # one implicit group keeps the fence join keyed
+        return box_stats(df.withColumn("_g", F.lit(0)), ["_g"], value, exact).drop("_g")
     x = F.col(value).cast("double")
     q = df.groupBy(*keys).agg(
-        F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.5)).alias("median"),
-        F.percentile(x, F.lit(0.75)).alias("q3"), F.avg(x).alias("mean"), F.count(x).alias("n"))
+        quantile(x, 0.25, exact).alias("q1"), quantile(x, 0.5, exact).alias("median"),
+        quantile(x, 0.75, exact).alias("q3"), F.avg(x).alias("mean"), F.count(x).alias("n"))
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(*keys, "q1", "median", "q3", "mean", "n",
                       (F.col("q1") - 1.5 * iqr).alias("_lo"), (F.col("q3") + 1.5 * iqr).alias("_hi"))
     # one fence row per group; AQE broadcasts it when the group count is small
-    joined = df.select(*keys, x.alias("_x")).join(fences, list(keys))
+    joined = join_on(df.select(*keys, x.alias("_x")), fences, list(keys))
     inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
     return joined.groupBy(*keys, "q1", "median", "q3", "mean", "n").agg(
         F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import MetricConfig
 from .prefix import running_sums
+from .keys import join_on
 
 METRIC_NAMES = ("accuracy", "precision", "recall", "f1", "roc_auc", "log_loss", "tpr", "tnr", "fpr", "fnr")
 
@@ -58,7 +59,7 @@ def quality(pred: DataFrame, groups: Sequence[str] = (), cfg: MetricConfig = Met
     out = _rates(c)
     if with_auc:
         auc = roc_auc(pred, groups, target, score)
-        out = out.join(auc, groups)
+        out = join_on(out, auc, groups)
     return out
 
 
@@ -119,12 +120,14 @@ def quality_by_class(pred: DataFrame, groups: Sequence[str] = (), cfg: MetricCon
 
 
 def class_separation(pred: DataFrame, groups: Sequence[str] = (), target: str = "target",
-                     score: str = "prediction", probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """EV5: score quantiles per class (summaries, never all points)."""
+                     score: str = "prediction", probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95),
+                     exact: bool = False) -> DataFrame:
+    """EV5: score quantiles per class (summaries, never all points); sketches unless ``exact``."""
+    from .aggregates import quantile
     p = F.col(score)
     return pred.groupBy(*groups, target).agg(
         F.count(F.lit(1)).alias("n"), F.min(p).alias("min"), F.max(p).alias("max"),
-        *[F.percentile(p, F.lit(q)).alias(f"p{int(round(q * 100)):02d}") for q in probs])
+        *[quantile(p, q, exact).alias(f"p{int(round(q * 100)):02d}") for q in probs])
 
 
 def score_distribution(pred: DataFrame, groups: Sequence[str] = (), target: str = "target",
@@ -146,7 +149,7 @@ def curve_points(pred: DataFrame, groups: Sequence[str] = (), target: str = "tar
     c = score_counts(pred, groups, target, score)
     r = running_sums(c, groups, "score", ["pos", "neg"], descending=True, buckets=buckets)
     tot = c.groupBy(*groups).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    r = r.join(tot, groups)
+    r = join_on(r, tot, groups)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return r.select(*groups, F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
                     F.try_divide(fp, F.col("_N")).alias("fpr"), F.try_divide(tp, F.col("_P")).alias("tpr"),
@@ -176,7 +179,7 @@ def pr_table(pred: DataFrame, groups: Sequence[str] = (), step: int = 5, target:
     c = score_counts(pred, groups, target, score).withColumn("n_s", F.col("pos") + F.col("neg"))
     r = running_sums(c, groups, "score", ["pos", "neg", "n_s"], descending=True, buckets=buckets)
     tot = c.groupBy(*groups).agg(F.sum("n_s").alias("_n"), F.sum("pos").alias("_P"))
-    r = r.join(tot, groups)
+    r = join_on(r, tot, groups)
     tops = F.array(*[F.lit(x) for x in range(step, 101, step)])
     # each distinct score row covers positions (cum_n_s - n_s, cum_n_s]; keep it for the cuts inside
     x = r.select("*", F.explode(tops).alias("top_percent"))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from .keys import join_on
 
 
 def running_sums(df: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str],
@@ -34,7 +35,7 @@ def running_sums(df: DataFrame, groups: Sequence[str], order: str, sums: Sequenc
     probs = [i / buckets for i in range(1, buckets)]
     # per-group split points: one partial/final aggregate, groups x (buckets-1) doubles
     splits = d.groupBy(*groups).agg(F.percentile_approx("_o", probs, accuracy).alias("_splits"))
-    d = d.join(splits, groups)
+    d = join_on(d, splits, groups)
     d = d.withColumn("_bk", F.size(F.filter("_splits", lambda s: s < F.col("_o")))).drop("_splits")
 
     totals = d.groupBy(*groups, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums],
@@ -44,7 +45,7 @@ def running_sums(df: DataFrame, groups: Sequence[str], order: str, sums: Sequenc
     offs = totals.select(*groups, "_bk",
                          *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
                          F.lead("_bmin").over(wb).alias("_next_bmin"))
-    d = d.join(offs, [*groups, "_bk"])
+    d = join_on(d, offs, [*groups, "_bk"])
 
     w = Window.partitionBy(*groups, "_bk").orderBy("_o")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -119,27 +119,42 @@ def column_types_diff(reference: DataFrame, current: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "column string, reference_type string, current_type string, same boolean")
 
 
+def most_common(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, most_common): the most frequent non-null value as text, lowest text on ties.
+
+    Counted per (column, value) with partial aggregation and reduced with ``min_by``, so the
+    work is spread over values instead of one per-group value map."""
+    st = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                       for c in columns])).alias("s")).select("s.*").where("value IS NOT NULL")
+    counts = st.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("most_common"))
+
+
 def column_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
-                   exact: bool = True) -> DataFrame:
+                   exact: bool = False) -> DataFrame:
     """DQ10: per column count, missing, distinct, most common value; numeric: mean, std, min, quartiles, max.
 
-    ``exact=False`` switches distinct counts and quartiles to sketches
-    (``approx_count_distinct``, ``percentile_approx``) for very large tables.
+    One aggregation for the per-column statistics plus one grouped count for the most common
+    values.  Distinct counts and quartiles are sketches (``approx_count_distinct``,
+    ``percentile_approx``: bounded memory) unless ``exact=True``.
     """
+    from .aggregates import quantile
     out = []
-    for c in [*numeric, *categorical]:
+    cols = [*numeric, *categorical]
+    for c in cols:
         x = F.col(c)
-        is_num = c in numeric
-        xd = x.cast("double") if is_num else F.lit(None).cast("double")
-        q = (lambda p: F.percentile(xd, F.lit(p))) if exact else (lambda p: F.percentile_approx(xd, p, 10000).cast("double"))
+        xd = x.cast("double") if c in numeric else F.lit(None).cast("double")
         out.append(F.struct(
             F.lit(c).alias("column"), F.count(F.lit(1)).alias("count"), F.count_if(x.isNull()).alias("missing"),
             (F.count_distinct(x) if exact else F.approx_count_distinct(x)).alias("distinct"),
-            F.mode(x.cast("string"), deterministic=True).alias("most_common"),
             F.avg(xd).alias("mean"), F.stddev_samp(xd).alias("std"), F.min(xd).alias("min"),
-            q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max(xd).alias("max")))
+            quantile(xd, 0.25, exact).alias("p25"), quantile(xd, 0.5, exact).alias("p50"),
+            quantile(xd, 0.75, exact).alias("p75"), F.max(xd).alias("max")))
     wide = df.agg(*[s.alias(f"_c{i}") for i, s in enumerate(out)])
-    return wide.select(F.explode(F.array(*[F.col(f"_c{i}") for i in range(len(out))])).alias("p")).select("p.*")
+    stats = wide.select(F.explode(F.array(*[F.col(f"_c{i}") for i in range(len(out))])).alias("p")).select("p.*")
+    prof = stats.join(most_common(df, cols), "column", "left")
+    return prof.select("column", "count", "missing", "distinct", "most_common", "mean", "std", "min",
+                       "p25", "p50", "p75", "max")
 
 
 def correlations(df: DataFrame, numeric: Sequence[str]) -> DataFrame:

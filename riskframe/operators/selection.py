@@ -6,7 +6,7 @@ registry key; nothing here touches row-level data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,15 +70,20 @@ def gate(stored_threshold: float | None, test_score: DataFrame, score: str = "te
                                    "new_threshold": F.when(acc, F.col(score)).otherwise(thr)})
 
 
+def _pick_per_key(allrows: DataFrame, key: str, rank: Column) -> DataFrame:
+    """One row per key: the row with the greatest ``rank`` struct.  ``max_by`` aggregates
+    partially before the shuffle, so a key holding a third of all rows is reduced map-side
+    instead of being sorted in one task by a window."""
+    others = [c for c in allrows.columns if c != key]
+    best = allrows.groupBy(key).agg(F.max_by(F.struct(*others), rank).alias("_b"))
+    return best.select(key, *[F.col(f"_b.{c}").alias(c) for c in others]).select(*allrows.columns)
+
+
 def keep_best(registry: DataFrame, new: DataFrame, key: str, score: str, seq: str = "seq") -> DataFrame:
     """ML10: upsert keeping, per key, the strictly best score (earlier entry wins a tie)."""
-    allrows = registry.unionByName(new)
-    w = Window.partitionBy(key).orderBy(F.desc(score), F.asc(seq))
-    return allrows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return _pick_per_key(registry.unionByName(new), key, F.struct(F.col(score), -F.col(seq)))
 
 
 def upsert_first_wins(history: DataFrame, new: DataFrame, key: str, order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """SEL5: append run records; on an equal key the older entry (lowest ``order``) is kept."""
-    allrows = history.unionByName(new)
-    w = Window.partitionBy(key).orderBy(*[F.asc(c) for c in order])
-    return allrows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return _pick_per_key(history.unionByName(new), key, F.struct(*[-F.col(c) for c in order]))

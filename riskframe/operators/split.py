@@ -7,6 +7,10 @@ class (half the data for a binary label) into one task.  Instead rows are
 bucketed by the leading hex digits of the hash (the leading sort key), bucket
 sizes are aggregated per label, and a small window over those counts gives
 each bucket its offset; the row window then runs inside (label, bucket).
+
+``prefix`` hex digits give 16**prefix buckets per label (default 4: 65,536,
+so a 10^12-row binary label still sorts only ~8M rows per window task).  The
+key must be unique per row for the order to be deterministic.
 """
 
 from __future__ import annotations
@@ -28,14 +32,16 @@ def _ranked(df: DataFrame, label: str, key: str, seed: int, prefix: int) -> Data
     offs = counts.select(label, "_b",
                          (F.sum("_nb").over(wl.orderBy("_b")) - F.col("_nb")).alias("_off"),
                          F.sum("_nb").over(wl).alias("_nl"))
-    # offsets: one row per (label, bucket); AQE broadcasts them when small
-    joined = d.join(offs, [label, "_b"])
+    # offsets: one row per (label, bucket); AQE broadcasts them when small.  Null-safe on the
+    # label so rows with a missing label form their own stratum instead of being dropped.
+    offs = offs.withColumnRenamed(label, "_lbl").withColumnRenamed("_b", "_ob")
+    joined = d.join(offs, d[label].eqNullSafe(offs["_lbl"]) & (d["_b"] == offs["_ob"])).drop("_lbl", "_ob")
     rn = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
     return joined.withColumn("_rank", F.col("_off") + rn)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 1961,
-                     prefix: int = 3, split_col: str = "split") -> DataFrame:
+                     prefix: int = 4, split_col: str = "split") -> DataFrame:
     """SPL1: exactly round(test_share * n) rows of each label value go to 'test'."""
     r = _ranked(df, label, key, seed, prefix)
     is_test = F.col("_rank") <= F.round(F.lit(test_share) * F.col("_nl"))
@@ -51,7 +57,7 @@ def random_split(df: DataFrame, key: str, test_share: float, seed: int = 1961,
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 1,
-                     prefix: int = 3, fold_col: str = "fold") -> DataFrame:
+                     prefix: int = 4, fold_col: str = "fold") -> DataFrame:
     """SPL3: stratified k-fold id = (hash rank inside the label - 1) mod k."""
     r = _ranked(df, label, key, seed, prefix)
     return r.withColumn(fold_col, ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_b", "_off", "_nl", "_rank")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import FeatureGroup
+from ..functions.scalars import cut_index
 from ..operators import aggregates as A
 from ..operators.features import prepare
 from ..session import table
@@ -171,7 +172,7 @@ SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round
   min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
   round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS max FROM lineitem""" for c in _DESC_COLS))
 def agg11_describe(spark, sf):
-    out = A.describe(table(spark, sf, "lineitem"), _DESC_COLS)
+    out = A.describe(table(spark, sf, "lineitem"), _DESC_COLS, exact=True)
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
@@ -195,7 +196,9 @@ SELECT l_returnflag, grid, round(sum(n * exp(-((grid - v) / 0.01) * ((grid - v)
        / (sum(n) * 0.01 * sqrt(2 * pi())), 6) AS density
 FROM s, g GROUP BY 1, 2""")
 def agg13_density(spark, sf):
-    out = A.density_curve(table(spark, sf, "lineitem"), "l_discount", _GRID, 0.01, group="l_returnflag")
+    # l_discount has 11 distinct values: exact values (no pre-binning) cost only 11 x grid rows
+    out = A.density_curve(table(spark, sf, "lineitem"), "l_discount", _GRID, 0.01, group="l_returnflag",
+                          prebin_width=None)
     return out.withColumn("density", F.round("density", 6))
 
 
@@ -207,7 +210,7 @@ SELECT grid, round(sum(n * exp(-((grid - v) / 0.01) * ((grid - v) / 0.01) / 2))
 FROM s, g WHERE grid BETWEEN 0.02 AND 0.08 GROUP BY 1""")
 def flt3_density_window(spark, sf):
     """FLT3: the x-range window applies to the density grid, not to the sample."""
-    out = A.density_curve(table(spark, sf, "lineitem"), "l_discount", _GRID, 0.01)
+    out = A.density_curve(table(spark, sf, "lineitem"), "l_discount", _GRID, 0.01, prebin_width=None)
     return out.where(F.col("grid").between(0.02, 0.08)).withColumn("density", F.round("density", 6))
 
 
@@ -222,7 +225,7 @@ SELECT f.l_returnflag, round(q1, 6) AS q1, round(median, 6) AS median, round(q3,
 FROM f JOIN (SELECT l_returnflag, l_extendedprice AS x FROM lineitem) l USING (l_returnflag)
 GROUP BY ALL""")
 def agg14_box_stats(spark, sf):
-    out = A.box_stats(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    out = A.box_stats(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", exact=True)
     return out.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3", "mean")})
 
 
@@ -249,3 +252,21 @@ def srt2_custom_order(spark, sf):
     return (o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("count"))
             .select("o_orderpriority", A.order_position("o_orderpriority", _PRIORITY_ORDER).alias("position"), "count")
             .orderBy("position"))
+
+
+_WIDE_SIZE_EDGES = (1, 5, 10, 20, 30, 40, 50, 75, 100)
+
+
+@register("join3_bin_zero_fill", """
+WITH b AS (SELECT CASE WHEN p_size > 1 AND p_size <= 100 THEN CASE WHEN p_size <= 5 THEN 0 WHEN p_size <= 10 THEN 1
+  WHEN p_size <= 20 THEN 2 WHEN p_size <= 30 THEN 3 WHEN p_size <= 40 THEN 4 WHEN p_size <= 50 THEN 5
+  WHEN p_size <= 75 THEN 6 ELSE 7 END END AS bin FROM part),
+c AS (SELECT bin, count(*) AS count FROM b WHERE bin IS NOT NULL GROUP BY 1)
+SELECT d.bin, d.bin_label, coalesce(c.count, 0)::BIGINT AS count FROM (VALUES (0, '(1, 5]'), (1, '(5, 10]'),
+  (2, '(10, 20]'), (3, '(20, 30]'), (4, '(30, 40]'), (5, '(40, 50]'), (6, '(50, 75]'), (7, '(75, 100]')) d(bin, bin_label)
+LEFT JOIN c USING (bin)""")
+def join3_bin_zero_fill(spark, sf):
+    """Counts per size bin with every configured bin listed; bins above the data range count 0."""
+    p = table(spark, sf, "part").select(cut_index("p_size", _WIDE_SIZE_EDGES).alias("bin"))
+    counts = p.where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    return A.zero_fill_bins(counts, _WIDE_SIZE_EDGES).select("bin", "bin_label", "count")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import FeatureGroup
 from ..functions.scalars import stable_round
 from ..operators import features as FE
-from ..session import table
+from ..session import cut_lineage, table
 from .registry import register
 
 # lineitem stand-in for the account-table config: a clip-only ordinal group,
@@ -135,11 +135,8 @@ def fe6_kmeans_segments(spark, sf):
 @register("fe7_elbow")
 def fe7_elbow(spark, sf):
     """Training cost for k = 2..14 on the cached embeddings and the knee-chosen k."""
-    e = _embeddings(spark, sf).persist()
-    try:
-        costs = FE.kmeans_costs(e, "features", range(2, 15), max_iter=10)
-    finally:
-        e.unpersist()
+    e = cut_lineage(_embeddings(spark, sf))
+    costs = FE.kmeans_costs(e, "features", range(2, 15), max_iter=10)
     k = FE.knee(costs)
     return spark.createDataFrame([(kk, c, kk == k) for kk, c in costs], "k int, cost double, chosen boolean")
 

@@ -108,7 +108,7 @@ SELECT split, target, count(*) AS n, min(prediction) AS min, max(prediction) AS
   round(quantile_cont(prediction, 0.5), 6) AS p50, round(quantile_cont(prediction, 0.75), 6) AS p75,
   round(quantile_cont(prediction, 0.95), 6) AS p95 FROM {P} GROUP BY 1, 2""")
 def ev5_class_separation(spark, sf):
-    return _round(EV.class_separation(predictions(spark, sf), ["split"]), ["p05", "p25", "p50", "p75", "p95"])
+    return _round(EV.class_separation(predictions(spark, sf), ["split"], exact=True), ["p05", "p25", "p50", "p75", "p95"])
 
 
 @register("ev6_score_distribution", f"""

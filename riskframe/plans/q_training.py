@@ -18,7 +18,7 @@ from ..operators import selection as SEL
 from ..operators import training as ML
 from ..operators.features import feature_unit
 from ..operators.split import stratified_folds, stratified_split
-from ..session import scratch_path, table
+from ..session import cut_lineage, scratch_path, table
 from ..sources.files import read_csv, write_csv
 from .q_features import LINE_GROUPS
 from .registry import register
@@ -82,14 +82,12 @@ def snk6_model_unit(spark, sf):
 
 def _cv_family(spark, sf, family, n=2):
     data, _ = prepared(spark, sf)
-    data = data.where(F.col("split") == "train").persist()
-    try:
-        params = ML.sample_params(QUICK[family], n, 1961)
-        est = ML.make_estimator(family, validation_col="is_val")
-        cvm = ML.cross_validate(est, params, data)
-        return ML.trial_log(family, params, cvm)
-    finally:
-        data.unpersist()
+    # iterative fits read the training part many times: cut lineage into the shared folder once
+    data = cut_lineage(data.where(F.col("split") == "train"))
+    params = ML.sample_params(QUICK[family], n, 1961)
+    est = ML.make_estimator(family, validation_col="is_val")
+    cvm = ML.cross_validate(est, params, data)
+    return ML.trial_log(family, params, cvm)
 
 
 @register("ml1_gbt_search")
@@ -132,7 +130,7 @@ def ml7_cross_validation(spark, sf):
 
 def _search(spark, sf):
     data, _ = prepared(spark, sf)
-    train = data.where(F.col("split") == "train").persist()
+    train = cut_lineage(data.where(F.col("split") == "train"))
     reg, log = ML.search(train, FAMILIES, 1, QUICK)
     return train, reg, log
 
@@ -140,8 +138,7 @@ def _search(spark, sf):
 @register("ml9_family_search")
 def ml9_family_search(spark, sf):
     """Search the configured families in fixed order; best parameters + CV score per family."""
-    train, reg, _ = _search(spark, sf)
-    train.unpersist()
+    _, reg, _ = _search(spark, sf)
     return reg
 
 
@@ -149,13 +146,11 @@ def ml9_family_search(spark, sf):
 def ml8_search_registry(spark, sf):
     """Search result merged into a stored keep-best registry (ML10 upsert): re-running the
     same search with equal scores keeps the stored entries."""
-    train, reg, _ = _search(spark, sf)
+    _, reg, _ = _search(spark, sf)
     path = scratch_path(spark, "param-registry")
     reg.write.mode("overwrite").parquet(path)
     stored = spark.read.parquet(path)
-    merged = SEL.keep_best(stored, reg.withColumn("seq", F.col("seq") + 100), "family", "score")
-    train.unpersist()
-    return merged
+    return SEL.keep_best(stored, reg.withColumn("seq", F.col("seq") + 100), "family", "score")
 
 
 @register("snk5_trial_log")
@@ -171,7 +166,7 @@ def snk5_trial_log(spark, sf):
 def ml11_refit_evaluate(spark, sf):
     """Refit every family with its best parameters; evaluate all on train + test in one job (EV12)."""
     data, _ = prepared(spark, sf)
-    data = data.persist()
+    data = cut_lineage(data)
     train = data.where(F.col("split") == "train")
     reg, _ = ML.search(train, FAMILIES, 1, QUICK)
     scored = {}
@@ -197,7 +192,7 @@ def ml14_train_job(spark, sf):
     """Train job: prepare -> search -> refit -> evaluate -> pick (trainer gate: roc_auc gap <= 0.6,
     accuracy >= 0.5) -> save the chosen unit."""
     data, unit_model = prepared(spark, sf)
-    data = data.persist()
+    data = cut_lineage(data)
     train = data.where(F.col("split") == "train")
     reg, _ = ML.search(train, FAMILIES, 1, QUICK)
     scored, models = {}, {}
@@ -224,7 +219,7 @@ def ml12_segment_models(spark, sf):
     """A Spark classifier per segment (line status), each on its segment's rows."""
     data, _ = prepared(spark, sf)
     li = labelled(spark, sf).select("k", "l_linestatus")
-    data = data.join(li, "k").persist()
+    data = cut_lineage(data.join(li, "k"))
     models = ML.fit_per_segment(data.where(F.col("split") == "train"), "l_linestatus", ["F", "O"],
                                 lambda: GBTClassifier(labelCol="label", maxIter=5, maxDepth=3, seed=1961))
     return SCO.route_models(data.where(F.col("split") == "test"), "l_linestatus", models, ["k", "label"])
