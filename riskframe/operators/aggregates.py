@@ -98,25 +98,68 @@ def quantile(x: Column, p: float, exact: bool, accuracy: int = 10000) -> Column:
     return F.percentile_approx(x, p, accuracy).cast("double")
 
 
+def _stack_values(df: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    return df.select(*groups, F.explode(arr).alias("_s")).select(*groups, "_s.column", "_s.value")
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], groups: Sequence[str] = (),
+              exact: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Quantiles of several columns (per group) as long rows (groups, column, p, value).
+
+    ``exact=True``: linear interpolation between the order statistics at (n-1)p, computed
+    without any per-group value buffer: counts per distinct (group, column, value), the
+    two-phase running count (``prefix``), then the rows holding ranks floor and ceil of (n-1)p.
+    ``exact=False``: ``percentile_approx`` sketches, one aggregation.
+    """
+    groups = list(groups)
+    st = _stack_values(df, columns, groups).where(F.col("value").isNotNull())
+    keys = [*groups, "column"]
+    if not exact:
+        a = st.groupBy(*keys).agg(F.percentile_approx("value", list(probs), accuracy).alias("_q"))
+        return a.select(*keys, F.posexplode("_q").alias("_i", "value")).select(
+            *keys, F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i")).alias("p"),
+            F.col("value").cast("double").alias("value"))
+    from .prefix import running_sums
+    counts = st.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    r = running_sums(counts, keys, "value", ["n"], with_next=True)
+    tot = counts.groupBy(*keys).agg(F.sum("n").alias("_N"))
+    r = join_on(r, tot, keys)
+    x = r.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    h = (F.col("_N") - 1) * F.col("p")
+    lo = F.floor(h)
+    x = x.where((F.col("cum_n") - F.col("n") <= lo) & (lo < F.col("cum_n")))
+    frac = h - lo
+    upper = F.when(lo + 1 < F.col("cum_n"), F.col("value")).otherwise(F.col("next_value"))
+    val = F.when(frac > 0, F.col("value") + frac * (upper - F.col("value"))).otherwise(F.col("value"))
+    return x.select(*keys, "p", val.alias("value"))
+
+
+def quantile_columns(q: DataFrame, keys: Sequence[str], names: dict) -> DataFrame:
+    """Long quantile rows -> one row per key with a column per probability (``names``: p -> name)."""
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("value"))).alias(n)
+                                  for p, n in names.items()])
+
+
 def describe(df: DataFrame, columns: Sequence[str], exact: bool = False) -> DataFrame:
     """AGG11: transposed describe: count, mean, std, min, 25/50/75 %, max per column.
 
-    One aggregation over all columns.  Quartiles are sketches by default
-    (bounded memory on any table); ``exact=True`` gives interpolated exact
-    quartiles for tables whose distinct values fit one task.
+    One aggregation for the moments over all columns plus one quantile job
+    (sketches by default; ``exact=True`` uses the distributed exact quantiles).
     """
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
-        aggs.append(F.struct(
-            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"),
-            quantile(x, 0.25, exact).alias("p25"), quantile(x, 0.5, exact).alias("p50"),
-            quantile(x, 0.75, exact).alias("p75"), F.max(x).alias("max")).alias(c))
+        aggs.append(F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                             F.min(x).alias("min"), F.max(x).alias("max")).alias(c))
     wide = df.agg(*aggs)
     stacked = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns])).alias("r"))
-    return stacked.select("r.column", "r.s.*")
+    base = stacked.select("r.column", "r.s.*")
+    q = quantile_columns(quantiles(df, columns, (0.25, 0.5, 0.75), exact=exact), ["column"],
+                         {0.25: "p25", 0.5: "p50", 0.75: "p75"})
+    out = join_on(base, q, ["column"], "left")
+    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def _long(wide: DataFrame, columns: Sequence[str], value_name: str) -> DataFrame:
@@ -208,9 +251,10 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, exact: bool = Fals
     if not keys:  # one implicit group keeps the fence join keyed
         return box_stats(df.withColumn("_g", F.lit(0)), ["_g"], value, exact).drop("_g")
     x = F.col(value).cast("double")
-    q = df.groupBy(*keys).agg(
-        quantile(x, 0.25, exact).alias("q1"), quantile(x, 0.5, exact).alias("median"),
-        quantile(x, 0.75, exact).alias("q3"), F.avg(x).alias("mean"), F.count(x).alias("n"))
+    qs = quantile_columns(quantiles(df, [value], (0.25, 0.5, 0.75), groups=keys, exact=exact), keys,
+                          {0.25: "q1", 0.5: "median", 0.75: "q3"})
+    m = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.count(x).alias("n"))
+    q = join_on(m, qs, keys, "left")
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(*keys, "q1", "median", "q3", "mean", "n",
                       (F.col("q1") - 1.5 * iqr).alias("_lo"), (F.col("q3") + 1.5 * iqr).alias("_hi"))

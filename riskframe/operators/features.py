@@ -179,13 +179,18 @@ def long_to_wide(df: DataFrame, ids: Sequence[str], var: str, value: str, values
 
 # ---------------------------------------------------------------- clustering
 def kmeans_costs(df: DataFrame, features: str, ks: Sequence[int], seed: int = 42,
-                 max_iter: int = 20) -> list[tuple[int, float]]:
-    """FE7: training cost for each k (the input should be persisted by the caller)."""
-    out = []
-    for k in ks:
+                 max_iter: int = 20, parallelism: int = 4) -> list[tuple[int, float]]:
+    """FE7: training cost for each k.  The fits are independent Spark jobs, submitted from
+    ``parallelism`` driver threads so small fits share the cluster instead of queueing
+    (the input should be persisted or checkpointed by the caller)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def cost(k: int) -> tuple[int, float]:
         m = KMeans(k=k, seed=seed, featuresCol=features, maxIter=max_iter, initMode="k-means||").fit(df)
-        out.append((k, float(m.summary.trainingCost)))
-    return out
+        return k, float(m.summary.trainingCost)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(cost, list(ks)))
 
 
 def knee(points: Sequence[tuple[int, float]]) -> int:

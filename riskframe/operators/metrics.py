@@ -123,11 +123,13 @@ def class_separation(pred: DataFrame, groups: Sequence[str] = (), target: str =
                      score: str = "prediction", probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95),
                      exact: bool = False) -> DataFrame:
     """EV5: score quantiles per class (summaries, never all points); sketches unless ``exact``."""
-    from .aggregates import quantile
+    from .aggregates import quantile_columns, quantiles
+    keys = [*groups, target]
     p = F.col(score)
-    return pred.groupBy(*groups, target).agg(
-        F.count(F.lit(1)).alias("n"), F.min(p).alias("min"), F.max(p).alias("max"),
-        *[quantile(p, q, exact).alias(f"p{int(round(q * 100)):02d}") for q in probs])
+    base = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("min"), F.max(p).alias("max"))
+    q = quantile_columns(quantiles(pred, [score], probs, groups=keys, exact=exact), keys,
+                         {q: f"p{int(round(q * 100)):02d}" for q in probs})
+    return join_on(base, q, keys, "left")
 
 
 def score_distribution(pred: DataFrame, groups: Sequence[str] = (), target: str = "target",

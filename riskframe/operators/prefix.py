@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 from .keys import join_on
 
 
+def _count_below(x, splits, lo: int, hi: int):
+    """Number of sorted ``splits[lo:hi]`` below ``x``: a binary search unrolled into nested CASE
+    expressions (log2(buckets) comparisons per row, fully code-generated)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(F.get(splits, mid) < x, _count_below(x, splits, mid + 1, hi)).otherwise(
+        _count_below(x, splits, lo, mid))
+
+
 def running_sums(df: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str],
                  descending: bool = False, buckets: int = 64, accuracy: int = 10000,
                  with_next: bool = False) -> DataFrame:
@@ -36,7 +46,7 @@ def running_sums(df: DataFrame, groups: Sequence[str], order: str, sums: Sequenc
     # per-group split points: one partial/final aggregate, groups x (buckets-1) doubles
     splits = d.groupBy(*groups).agg(F.percentile_approx("_o", probs, accuracy).alias("_splits"))
     d = join_on(d, splits, groups)
-    d = d.withColumn("_bk", F.size(F.filter("_splits", lambda s: s < F.col("_o")))).drop("_splits")
+    d = d.withColumn("_bk", _count_below(F.col("_o"), F.col("_splits"), 0, buckets - 1)).drop("_splits")
 
     totals = d.groupBy(*groups, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums],
                                            F.min("_o").alias("_bmin"))

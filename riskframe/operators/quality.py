@@ -138,7 +138,8 @@ def column_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
     values.  Distinct counts and quartiles are sketches (``approx_count_distinct``,
     ``percentile_approx``: bounded memory) unless ``exact=True``.
     """
-    from .aggregates import quantile
+    from .aggregates import quantile_columns, quantiles
+    from .keys import join_on
     out = []
     cols = [*numeric, *categorical]
     for c in cols:
@@ -147,12 +148,16 @@ def column_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
         out.append(F.struct(
             F.lit(c).alias("column"), F.count(F.lit(1)).alias("count"), F.count_if(x.isNull()).alias("missing"),
             (F.count_distinct(x) if exact else F.approx_count_distinct(x)).alias("distinct"),
-            F.avg(xd).alias("mean"), F.stddev_samp(xd).alias("std"), F.min(xd).alias("min"),
-            quantile(xd, 0.25, exact).alias("p25"), quantile(xd, 0.5, exact).alias("p50"),
-            quantile(xd, 0.75, exact).alias("p75"), F.max(xd).alias("max")))
+            F.avg(xd).alias("mean"), F.stddev_samp(xd).alias("std"), F.min(xd).alias("min"), F.max(xd).alias("max")))
     wide = df.agg(*[s.alias(f"_c{i}") for i, s in enumerate(out)])
     stats = wide.select(F.explode(F.array(*[F.col(f"_c{i}") for i in range(len(out))])).alias("p")).select("p.*")
     prof = stats.join(most_common(df, cols), "column", "left")
+    if numeric:
+        q = quantile_columns(quantiles(df, list(numeric), (0.25, 0.5, 0.75), exact=exact), ["column"],
+                             {0.25: "p25", 0.5: "p50", 0.75: "p75"})
+        prof = join_on(prof, q, ["column"], "left")
+    else:
+        prof = prof.withColumns({n: F.lit(None).cast("double") for n in ("p25", "p50", "p75")})
     return prof.select("column", "count", "missing", "distinct", "most_common", "mean", "std", "min",
                        "p25", "p50", "p75", "max")
 
