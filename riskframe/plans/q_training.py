@@ -43,6 +43,12 @@ def labelled(spark, sf):
                      "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linestatus")
 
 
+def split_labelled(spark, sf):
+    """Labelled rows with the stratified hold-out, cut from their lineage once: the fits and
+    the scoring below read it several times, and the split windows should not be recomputed."""
+    return cut_lineage(stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961))
+
+
 def unit():
     return feature_unit(LINE_GROUPS, categorical=["l_linestatus"], extra=["l_discount", "l_tax"])
 
@@ -54,7 +60,7 @@ def prepared(spark, sf):
     set of the boosting variant, so every CV training fold has validation rows."""
     d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
     d = stratified_folds(d, "label", "k", k=5, seed=1)
-    d = d.withColumn("is_val", F.substring(F.md5(F.col("k").cast("string")), 1, 1) == "0")
+    d = cut_lineage(d.withColumn("is_val", F.substring(F.md5(F.col("k").cast("string")), 1, 1) == "0"))
     model = unit().fit(d.where(F.col("split") == "train"))
     return model.transform(d).select("k", "label", "split", "fold", "is_val", "features"), model
 
@@ -62,7 +68,7 @@ def prepared(spark, sf):
 @register("fe10_feature_unit")
 def fe10_feature_unit(spark, sf):
     """Prepare + one-hot + assemble fitted once as a Pipeline, saved and re-loaded as one unit (SNK6)."""
-    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    d = split_labelled(spark, sf)
     model = unit().fit(d.where(F.col("split") == "train"))
     path = scratch_path(spark, "feature-unit")
     ML.save_unit(model, path)
@@ -72,7 +78,7 @@ def fe10_feature_unit(spark, sf):
 @register("snk6_model_unit")
 def snk6_model_unit(spark, sf):
     """Feature unit + classifier saved as one PipelineModel, loaded back and scored."""
-    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    d = split_labelled(spark, sf)
     stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
     model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
     path = scratch_path(spark, "model-unit")
@@ -253,7 +259,7 @@ def ml3_lda_score(spark, sf):
 @register("sco1_score_batch")
 def sco1_score_batch(spark, sf):
     """Score raw rows with a fitted unit: predicted class and P(class 1)."""
-    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    d = split_labelled(spark, sf)
     stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
     model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
     return SCO.score(model, d.where(F.col("split") == "test"), ["k"])
@@ -262,7 +268,7 @@ def sco1_score_batch(spark, sf):
 @register("sco2_probability_metrics")
 def sco2_probability_metrics(spark, sf):
     """P(class 1) of a fitted unit measured with EV1 per split."""
-    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    d = split_labelled(spark, sf)
     stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
     model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
     s = SCO.score(model, d, ["split", "label"]).withColumn("target", F.col("label").cast("int"))
@@ -277,7 +283,7 @@ def request_rules():
 @register("sco3_request_scoring")
 def sco3_request_scoring(spark, sf):
     """Requests = lineitem rows: rule check, valid rows scored, invalid rows quarantined with reasons."""
-    d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
+    d = split_labelled(spark, sf)
     stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
     model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
     scored, quarantine = SCO.score_requests(model, d, request_rules(), ["k"])

@@ -60,9 +60,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    The frame is persisted while the checkpoint is written, otherwise Spark
+    computes it once for the job and once more for the checkpoint files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
