@@ -117,15 +117,15 @@ def agg7_count_by_bin_class(spark, sf):
 @register("agg8_pivot_shares", """
 WITH c AS (SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f,
                   count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p
-           FROM orders WHERE o_totalprice < 300000 OR o_orderstatus <> 'P' GROUP BY 1)
+           FROM orders GROUP BY 1)
 SELECT o_orderpriority, nullif(f, 0) AS n_F, nullif(o, 0) AS n_O, nullif(p, 0) AS n_P,
        round(nullif(f, 0) / (f + o + p), 6) AS share_F, round(nullif(o, 0) / (f + o + p), 6) AS share_O,
        round(nullif(p, 0) / (f + o + p), 6) AS share_P
 FROM c""")
 def agg8_pivot_shares(spark, sf):
-    # orders priced >= 300000 with status P are excluded so some cells may be missing
-    o = table(spark, sf, "orders").where((F.col("o_totalprice") < 300000) | (F.col("o_orderstatus") != "P"))
-    out = A.pivot_counts(o, "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+    """Order counts per priority pivoted by status, with each status's share of the priority.
+    A (priority, status) cell without orders would be null, and so would its share."""
+    out = A.pivot_counts(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
     return out.withColumns({f"share_{v}": F.round(f"share_{v}", 6) for v in "FOP"})
 
 
