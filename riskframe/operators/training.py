@@ -192,6 +192,47 @@ def segment_least_squares(df: DataFrame, segment: str, x: str, y: str) -> DataFr
                                    F.count(F.lit(1)).alias("rows"))
 
 
+def segment_linear_models(df: DataFrame, segment: str, features: Sequence[str], label: str,
+                          ridge: float = 0.0) -> DataFrame:
+    """ML12 (many segments, several features): least squares per segment from sufficient
+    statistics.  One aggregation of the cross products X'X and X'y per segment (partial
+    aggregation, so a segment holding a third of the rows is summed map-side), then each
+    segment's (p+1) x (p+1) system is solved in an Arrow batch over those statistic rows only -
+    no group of raw rows is ever gathered into one task.  Output: segment, intercept, w_<f>, rows.
+    """
+    cols = ["_one", *features]
+    xs = {"_one": F.lit(1.0), **{f: F.col(f).cast("double") for f in features}}
+    ok = F.col(label).isNotNull()
+    for f in features:
+        ok = ok & F.col(f).isNotNull()
+    d = df.where(ok)
+    aggs = [F.sum(xs[a] * xs[b]).alias(f"xx_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+    aggs += [F.sum(xs[a] * F.col(label).cast("double")).alias(f"xy_{i}") for i, a in enumerate(cols)]
+    aggs.append(F.count(F.lit(1)).alias("rows"))
+    stats = d.groupBy(segment).agg(*aggs)
+    p = len(cols)
+    seg_type = dict(df.dtypes)[segment]
+    out_schema = f"`{segment}` {seg_type}, intercept double, " + ", ".join(f"`w_{f}` double" for f in features) + \
+        ", rows bigint"
+
+    def solve(pdf):
+        import numpy as np
+        import pandas as pd
+        res = []
+        for _, r in pdf.iterrows():
+            A = np.zeros((p, p))
+            for i in range(p):
+                for j in range(i, p):
+                    A[i, j] = A[j, i] = r[f"xx_{i}_{j}"]
+            b = np.array([r[f"xy_{i}"] for i in range(p)])
+            A[1:, 1:] += ridge * np.eye(p - 1)
+            w, *_ = np.linalg.lstsq(A, b, rcond=None)
+            res.append([r[segment], *[float(v) for v in w], int(r["rows"])])
+        return pd.DataFrame(res, columns=[segment, "intercept", *[f"w_{f}" for f in features], "rows"])
+
+    return stats.groupBy(segment).applyInPandas(solve, out_schema)
+
+
 def fit_per_segment(df: DataFrame, segment: str, segments: Sequence, make) -> dict:
     """ML12 (few segments): filter + fit one Spark model per segment on the cached frame."""
     return {s: make().fit(df.where(F.col(segment) == F.lit(s))) for s in segments}

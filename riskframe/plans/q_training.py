@@ -305,3 +305,21 @@ def sco4_segment_routing(spark, sf):
     out = SCO.route_linear(li.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), "l_returnflag",
                            w, ["l_quantity"])
     return out.select("l_orderkey", "l_linenumber", "l_returnflag", F.round("prediction", 4).alias("prediction"))
+
+
+@register("ml12_segment_linear_models")
+def ml12_segment_linear_models(spark, sf):
+    """Per-segment (return flag) least squares of price on quantity, discount and tax from
+    aggregated cross products; each segment's small system is solved on its statistic row."""
+    li = table(spark, sf, "lineitem")
+    return ML.segment_linear_models(li, "l_returnflag", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+
+
+@register("sco4_segment_routing_multi")
+def sco4_segment_routing_multi(spark, sf):
+    """Route each line to its segment's multi-feature linear model (weights: one row per segment)."""
+    li = table(spark, sf, "lineitem")
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    w = ML.segment_linear_models(li, "l_returnflag", feats, "l_extendedprice").drop("rows")
+    out = SCO.route_linear(li.select("l_orderkey", "l_linenumber", "l_returnflag", *feats), "l_returnflag", w, feats)
+    return out.select("l_orderkey", "l_linenumber", "l_returnflag", F.round("prediction", 4).alias("prediction"))

@@ -116,3 +116,19 @@ def test_scan_prunes_columns(spark):
     plan = _plan(o)
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan
     assert "o_totalprice" not in plan
+
+
+def test_segment_linear_models_match_numpy(spark):
+    """Brute force on the small fixture: per-segment lstsq on the raw rows."""
+    import numpy as np
+    from riskframe.operators.training import segment_linear_models
+    li = table(spark, SF, "lineitem")
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    got = {r["l_returnflag"]: r for r in segment_linear_models(li, "l_returnflag", feats, "l_extendedprice").collect()}
+    pdf = li.select("l_returnflag", *feats, "l_extendedprice").toPandas()
+    for seg, g in pdf.groupby("l_returnflag"):
+        X = np.column_stack([np.ones(len(g)), g[feats].to_numpy()])
+        w, *_ = np.linalg.lstsq(X, g["l_extendedprice"].to_numpy(), rcond=None)
+        r = got[seg]
+        assert r["rows"] == len(g)
+        assert [r["intercept"], *[r[f"w_{f}"] for f in feats]] == pytest.approx(list(w), rel=1e-6, abs=1e-6)
