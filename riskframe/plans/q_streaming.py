@@ -84,3 +84,30 @@ def str2_stream_insert_table(spark, sf):
     q = ST.insert_new_into_table(stream, target, "event_id", ckpt)
     q.awaitTermination()
     return spark.read.parquet(target).select("event_id", "user_id", "event_type", "value")
+
+
+@register("str1_stream_model_scoring")
+def str1_stream_model_scoring(spark, sf):
+    """Lineitem rows arriving as a file stream are checked against the request rules; valid
+    rows are scored by a fitted feature-unit + GBT PipelineModel (trained on the batch table's
+    train split), invalid rows are quarantined with their reasons."""
+    from pyspark.ml.classification import GBTClassifier
+    from ..operators import scoring as SCO
+    from ..operators import training as ML
+    from .q_training import request_rules, split_labelled, unit
+    d = split_labelled(spark, sf)
+    stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
+    model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
+    schema = table(spark, sf, "lineitem").schema
+    raw = ST.file_stream(spark, f"{sf}/lineitem*.parquet", schema)
+    # the same derived request columns as the batch table (native expressions on the stream)
+    stream = raw.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"),
+                        "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linestatus")
+    out, ckpt = scratch_path(spark, "str1m-out"), scratch_path(spark, "str1m-ckpt")
+    q = ST.validate_and_score(stream, request_rules(), lambda b: SCO.score(model, b, ["k"]), out, ckpt)
+    q.awaitTermination()
+    scored = spark.read.parquet(f"{out}/scored").select("k", "predicted", "prediction",
+                                                        F.lit(None).cast("string").alias("violations"))
+    bad = spark.read.parquet(f"{out}/quarantine").select(
+        "k", F.lit(None).cast("int").alias("predicted"), F.lit(None).cast("double").alias("prediction"), "violations")
+    return scored.unionByName(bad)
