@@ -98,8 +98,15 @@ class OneHotModel:
         self.numeric = numeric
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str]) -> "OneHotModel":
-        d = category_dictionary(df, columns).orderBy("_pos", "local_index").collect()
+    def fit(cls, df: DataFrame, columns: Sequence[str], max_categories: int = 100_000) -> "OneHotModel":
+        """Collect the dictionary after checking its size: it becomes a literal map shipped with
+        every task, so it must stay bounded (raise rather than broadcast an unbounded one)."""
+        dd = category_dictionary(df, columns)
+        n = dd.count()
+        if n > max_categories:
+            raise ValueError(f"{n} categories exceed max_categories={max_categories}; "
+                             "bin or hash the column before one-hot encoding")
+        d = dd.orderBy("_pos", "local_index").collect()
         dictionary: dict[str, list[str]] = {c: [] for c in columns}
         for r in d:
             dictionary[r["column"]].append(r["value"])

@@ -27,6 +27,42 @@ def _count_below(x, splits, lo: int, hi: int):
         _count_below(x, splits, lo, mid))
 
 
+def _bucketed(d: DataFrame, groups: list, buckets: int, accuracy: int):
+    """Add ``_bk``: the value-range bucket of ``_o`` inside its group (approximate quantile
+    split points per group - one partial/final aggregate, groups x (buckets-1) doubles)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    splits = d.groupBy(*groups).agg(F.percentile_approx("_o", probs, accuracy).alias("_splits"))
+    d = join_on(d, splits, groups)
+    return d.withColumn("_bk", _count_below(F.col("_o"), F.col("_splits"), 0, buckets - 1)).drop("_splits"), groups
+
+
+def running_max_before(df: DataFrame, groups: Sequence[str], order: str, value: str,
+                       buckets: int = 64, accuracy: int = 10000, name: str | None = None) -> DataFrame:
+    """Add the maximum of ``value`` over the earlier rows of the group (null for the first row).
+
+    Same two phases as ``running_sums``: per (group, bucket) maxima, a tiny window over the
+    buckets for the maximum of all earlier buckets, then a window inside (group, bucket) - so
+    a group holding a third of the rows is spread over ``buckets`` tasks.  At most one row per
+    (groups, order) value.
+    """
+    name = name or f"max_before_{value}"
+    groups = list(groups)
+    const = not groups
+    if const:
+        df, groups = df.withColumn("_g", F.lit(0)), ["_g"]
+    d = df.withColumn("_o", F.col(order).cast("double"))
+    d, groups = _bucketed(d, groups, buckets, accuracy)
+    tops = d.groupBy(*groups, "_bk").agg(F.max(value).alias("_top"))
+    before_b = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tops.select(*groups, "_bk", F.max("_top").over(before_b).alias("_prev"))
+    d = join_on(d, offs, [*groups, "_bk"])
+    inside = Window.partitionBy(*groups, "_bk").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.max(value).over(inside)
+    # greatest() skips nulls: the first row of the first bucket stays null
+    out = d.withColumn(name, F.greatest(F.col("_prev"), here)).drop("_o", "_bk", "_prev")
+    return out.drop("_g") if const else out
+
+
 def running_sums(df: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str],
                  descending: bool = False, buckets: int = 64, accuracy: int = 10000,
                  with_next: bool = False) -> DataFrame:
@@ -42,12 +78,7 @@ def running_sums(df: DataFrame, groups: Sequence[str], order: str, sums: Sequenc
         df, groups = df.withColumn("_g", F.lit(0)), ["_g"]
     o = F.col(order) * (-1 if descending else 1)
     d = df.withColumn("_o", o.cast("double"))
-    probs = [i / buckets for i in range(1, buckets)]
-    # per-group split points: one partial/final aggregate, groups x (buckets-1) doubles
-    splits = d.groupBy(*groups).agg(F.percentile_approx("_o", probs, accuracy).alias("_splits"))
-    d = join_on(d, splits, groups)
-    d = d.withColumn("_bk", _count_below(F.col("_o"), F.col("_splits"), 0, buckets - 1)).drop("_splits")
-
+    d, groups = _bucketed(d, groups, buckets, accuracy)
     totals = d.groupBy(*groups, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums],
                                            F.min("_o").alias("_bmin"))
     wb = Window.partitionBy(*groups).orderBy("_bk")

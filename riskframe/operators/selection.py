@@ -53,21 +53,18 @@ def challenger_gate(metrics: DataFrame, production: str, eval_param: str, eval_d
 
 def gate_history(candidates: DataFrame, key: str, seq: str, score: str, initial: float | None = None) -> DataFrame:
     """SEL3 as a history: a candidate is accepted iff its score beats every earlier score
-    of the key (and the stored ``initial`` threshold); the threshold then becomes its score."""
-    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max(score).over(w)
+    of the key (and the stored ``initial`` threshold); the threshold then becomes its score.
+
+    The maximum over earlier candidates uses the two-phase running maximum, so one key with
+    a third of all candidates is still split over many tasks.
+    """
+    from .prefix import running_max_before
+    r = running_max_before(candidates, [key], seq, score, name="_prev_max")
+    prev = F.col("_prev_max")
     if initial is not None:
         prev = F.greatest(F.coalesce(prev, F.lit(initial)), F.lit(initial))
     acc = F.when(prev.isNull(), F.lit(True)).otherwise(F.col(score) > prev)
-    return candidates.withColumns({"threshold_before": prev, "accepted": acc})
-
-
-def gate(stored_threshold: float | None, test_score: DataFrame, score: str = "test_score") -> DataFrame:
-    """SEL3 single decision: accept iff the new test score is strictly above the stored one."""
-    thr = F.lit(stored_threshold).cast("double")
-    acc = thr.isNull() | (F.col(score) > thr)
-    return test_score.withColumns({"accepted": acc,
-                                   "new_threshold": F.when(acc, F.col(score)).otherwise(thr)})
+    return r.withColumns({"threshold_before": prev, "accepted": acc}).drop("_prev_max")
 
 
 def _pick_per_key(allrows: DataFrame, key: str, rank: Column) -> DataFrame:

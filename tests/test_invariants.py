@@ -132,3 +132,19 @@ def test_segment_linear_models_match_numpy(spark):
         r = got[seg]
         assert r["rows"] == len(g)
         assert [r["intercept"], *[r[f"w_{f}"] for f in feats]] == pytest.approx(list(w), rel=1e-6, abs=1e-6)
+
+
+def test_running_max_before_matches_window(spark):
+    """Two-phase running maximum equals the plain per-key window (brute force, small fixture),
+    including a key that holds most of the rows."""
+    from pyspark.sql import Window
+    from riskframe.operators.prefix import running_max_before
+    o = table(spark, SF, "orders").select(
+        F.when(F.col("o_orderstatus") == "F", F.lit(0)).otherwise(F.col("o_custkey")).alias("key"),
+        "o_orderkey", "o_totalprice")
+    got = running_max_before(o, ["key"], "o_orderkey", "o_totalprice", buckets=8, name="m")
+    w = Window.partitionBy("key").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    want = o.withColumn("m", F.max("o_totalprice").over(w))
+    a = sorted(tuple(r) for r in got.select("key", "o_orderkey", "m").collect())
+    b = sorted(tuple(r) for r in want.select("key", "o_orderkey", "m").collect())
+    assert a == b
