@@ -67,6 +67,15 @@ def gate_history(candidates: DataFrame, key: str, seq: str, score: str, initial:
     return r.withColumns({"threshold_before": prev, "accepted": acc}).drop("_prev_max")
 
 
+def gate(stored_threshold: float | None, test_score: DataFrame, score: str = "test_score") -> DataFrame:
+    """SEL3 single decision: accept iff the new test score is strictly above the stored one;
+    the threshold then becomes the accepted score."""
+    thr = F.lit(stored_threshold).cast("double")
+    acc = thr.isNull() | (F.col(score) > thr)
+    return test_score.withColumns({"accepted": acc,
+                                   "new_threshold": F.when(acc, F.col(score)).otherwise(thr)})
+
+
 def _pick_per_key(allrows: DataFrame, key: str, rank: Column) -> DataFrame:
     """One row per key: the row with the greatest ``rank`` struct.  ``max_by`` aggregates
     partially before the shuffle, so a key holding a third of all rows is reduced map-side
