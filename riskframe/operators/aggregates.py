@@ -104,12 +104,13 @@ def _stack_values(df: DataFrame, columns: Sequence[str], groups: Sequence[str])
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], groups: Sequence[str] = (),
-              exact: bool = False, accuracy: int = 10000) -> DataFrame:
+              exact: bool = False, accuracy: int = 10000, buckets: int = 64) -> DataFrame:
     """Quantiles of several columns (per group) as long rows (groups, column, p, value).
 
     ``exact=True``: linear interpolation between the order statistics at (n-1)p, computed
-    without any per-group value buffer: counts per distinct (group, column, value), the
-    two-phase running count (``prefix``), then the rows holding ranks floor and ceil of (n-1)p.
+    without any per-group value buffer: counts per distinct (group, column, value) are cut
+    into value-range buckets (``prefix.bucket_by_value``); bucket totals locate the bucket of
+    each wanted rank (floor and ceil of (n-1)p), and only those buckets are sorted.
     ``exact=False``: ``percentile_approx`` sketches, one aggregation.
     """
     groups = list(groups)
@@ -120,19 +121,35 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], gro
         return a.select(*keys, F.posexplode("_q").alias("_i", "value")).select(
             *keys, F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i")).alias("p"),
             F.col("value").cast("double").alias("value"))
-    from .prefix import running_sums
+    from .prefix import bucket_by_value
     counts = st.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    r = running_sums(counts, keys, "value", ["n"], with_next=True)
-    tot = counts.groupBy(*keys).agg(F.sum("n").alias("_N"))
-    r = join_on(r, tot, keys)
-    x = r.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    # value-range buckets per key; only the buckets holding a wanted rank are ever sorted
+    d, _ = bucket_by_value(counts.withColumn("_o", F.col("value")), keys, buckets, accuracy)
+    tot = d.groupBy(*keys, "_bk").agg(F.sum("n").alias("_t"))
+    wb = Window.partitionBy(*keys).orderBy("_bk")
+    offs = tot.select(*keys, "_bk", "_t",
+                      F.coalesce(F.sum("_t").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+                      F.sum("_t").over(Window.partitionBy(*keys)).alias("_N"))
+    t = offs.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     h = (F.col("_N") - 1) * F.col("p")
     lo = F.floor(h)
-    x = x.where((F.col("cum_n") - F.col("n") <= lo) & (lo < F.col("cum_n")))
-    frac = h - lo
-    upper = F.when(lo + 1 < F.col("cum_n"), F.col("value")).otherwise(F.col("next_value"))
-    val = F.when(frac > 0, F.col("value") + frac * (upper - F.col("value"))).otherwise(F.col("value"))
-    return x.select(*keys, "p", val.alias("value"))
+    hi = F.when(h > lo, lo + 1).otherwise(lo)
+    t = t.select(*keys, "_bk", "_t", "_off", "_N", "p", F.explode(F.array(
+        F.struct(F.lit("lo").alias("which"), lo.alias("r")),
+        F.struct(F.lit("hi").alias("which"), hi.alias("r")))).alias("tg")).select(
+        *keys, "_bk", "_off", "_N", "p", "tg.which", "tg.r",
+        ((F.col("_off") <= F.col("tg.r")) & (F.col("tg.r") < F.col("_off") + F.col("_t"))).alias("_in"))
+    t = t.where("_in").drop("_in")
+    sel = join_on(d, t, [*keys, "_bk"])
+    w = Window.partitionBy(*keys, "_bk", "p", "which").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    sel = sel.withColumn("_cum", F.col("_off") + F.sum("n").over(w))
+    hit = sel.where((F.col("_cum") - F.col("n") <= F.col("r")) & (F.col("r") < F.col("_cum")))
+    v = hit.groupBy(*keys, "p", "_N").agg(F.max(F.when(F.col("which") == "lo", F.col("value"))).alias("_vlo"),
+                                          F.max(F.when(F.col("which") == "hi", F.col("value"))).alias("_vhi"))
+    hh = (F.col("_N") - 1) * F.col("p")
+    frac = hh - F.floor(hh)
+    val = F.when(frac > 0, F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).otherwise(F.col("_vlo"))
+    return v.select(*keys, "p", val.alias("value"))
 
 
 def quantile_columns(q: DataFrame, keys: Sequence[str], names: dict) -> DataFrame:

@@ -27,7 +27,7 @@ def _count_below(x, splits, lo: int, hi: int):
         _count_below(x, splits, lo, mid))
 
 
-def _bucketed(d: DataFrame, groups: list, buckets: int, accuracy: int):
+def bucket_by_value(d: DataFrame, groups: list, buckets: int, accuracy: int):
     """Add ``_bk``: the value-range bucket of ``_o`` inside its group (approximate quantile
     split points per group - one partial/final aggregate, groups x (buckets-1) doubles)."""
     probs = [i / buckets for i in range(1, buckets)]
@@ -51,7 +51,7 @@ def running_max_before(df: DataFrame, groups: Sequence[str], order: str, value:
     if const:
         df, groups = df.withColumn("_g", F.lit(0)), ["_g"]
     d = df.withColumn("_o", F.col(order).cast("double"))
-    d, groups = _bucketed(d, groups, buckets, accuracy)
+    d, groups = bucket_by_value(d, groups, buckets, accuracy)
     tops = d.groupBy(*groups, "_bk").agg(F.max(value).alias("_top"))
     before_b = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = tops.select(*groups, "_bk", F.max("_top").over(before_b).alias("_prev"))
@@ -78,7 +78,7 @@ def running_sums(df: DataFrame, groups: Sequence[str], order: str, sums: Sequenc
         df, groups = df.withColumn("_g", F.lit(0)), ["_g"]
     o = F.col(order) * (-1 if descending else 1)
     d = df.withColumn("_o", o.cast("double"))
-    d, groups = _bucketed(d, groups, buckets, accuracy)
+    d, groups = bucket_by_value(d, groups, buckets, accuracy)
     totals = d.groupBy(*groups, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums],
                                            F.min("_o").alias("_bmin"))
     wb = Window.partitionBy(*groups).orderBy("_bk")

@@ -148,3 +148,18 @@ def test_running_max_before_matches_window(spark):
     a = sorted(tuple(r) for r in got.select("key", "o_orderkey", "m").collect())
     b = sorted(tuple(r) for r in want.select("key", "o_orderkey", "m").collect())
     assert a == b
+
+
+def test_exact_quantiles_match_percentile(spark):
+    """Distributed exact quantiles equal Spark's interpolated percentile (brute force per group),
+    with ties, nulls, a one-row group and a group holding most rows."""
+    from riskframe.operators.aggregates import quantiles
+    rows = [("big", float(i % 37)) for i in range(700)] + [("one", 5.0), ("nul", None), ("nul", 2.0), ("nul", 2.0)]
+    rows += [("mid", float(v)) for v in (3, 1, 4, 1, 5, 9, 2, 6)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+    got = {(r["g"], r["p"]): r["value"] for r in quantiles(df, ["x"], probs, groups=["g"], exact=True, buckets=8).collect()}
+    want = df.groupBy("g").agg(F.percentile("x", F.lit(list(probs))).alias("q")).collect()
+    for r in want:
+        for p, v in zip(probs, r["q"]):
+            assert got[(r["g"], p)] == pytest.approx(v, abs=1e-12)
