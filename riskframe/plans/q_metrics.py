@@ -200,5 +200,9 @@ WITH m AS ({_QUALITY_SQL.format(P=P, G="split")})
 SELECT split || '_' || metric AS key, value FROM (UNPIVOT (SELECT split, {", ".join(_M)} FROM m)
   ON {", ".join(_M)} INTO NAME metric VALUE value)""")
 def snk4_metric_report(spark, sf):
-    """Metric report records keyed test_<metric> / train_<metric> (written as JSON by the job)."""
-    return EV.flatten_report(_round(EV.quality(predictions(spark, sf), ["split"]), _M))
+    """Metric report keyed test_<metric> / train_<metric>, written as one JSON object and read back."""
+    from ..session import scratch_path
+    from ..sources.files import read_json_report, write_json_report
+    path = scratch_path(spark, "metric-report")
+    write_json_report(EV.flatten_report(_round(EV.quality(predictions(spark, sf), ["split"]), _M)), path)
+    return read_json_report(spark, path)

@@ -80,3 +80,20 @@ def append_table(df: DataFrame, path: str) -> None:
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.exists(p))
+
+
+def write_json_report(records, path: str, key: str = "key", value: str = "value") -> None:
+    """SNK4: (key, value) metric records written as one JSON object ``{key: value, ...}``.
+
+    The records are a metric report (tens of rows, already aggregated), so a single output
+    file is written."""
+    from pyspark.sql import functions as F
+    obj = records.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias("report"))
+    obj.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_json_report(spark: SparkSession, path: str):
+    """Read a report written by ``write_json_report`` back as (key, value) rows."""
+    from pyspark.sql import functions as F
+    r = spark.read.schema("report map<string,double>").json(path)
+    return r.select(F.explode("report").alias("key", "value"))
