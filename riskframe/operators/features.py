@@ -160,15 +160,28 @@ def _active():
     return SparkSession.getActiveSession()
 
 
-def label_encode(df: DataFrame, c: str, name: str | None = None) -> DataFrame:
+def label_encode(df: DataFrame, c: str, name: str | None = None, prefix: int = 2) -> DataFrame:
     """FE9: sorted distinct categories -> 0..n-1, joined back.
 
-    The dictionary is an aggregate (distinct values); the window that numbers
-    it runs over distinct values only, and AQE broadcasts it when small.
+    The numbering is two-phase like the running sums: distinct values are grouped into
+    ordered buckets (the first ``prefix`` characters of the text, or value-range buckets for
+    numbers), bucket sizes give each bucket its offset through a window over the buckets
+    only, and values are numbered inside their bucket - no global window over all values.
     """
+    from .keys import join_on
+    from .prefix import bucket_by_value
     name = name or f"{c}_code"
     d = df.select(c).where(F.col(c).isNotNull()).distinct()
-    d = d.withColumn(name, F.dense_rank().over(Window.orderBy(c)) - 1)
+    if dict(df.dtypes)[c] == "string":
+        d = d.withColumn("_bk", F.substring(F.col(c), 1, prefix))
+    else:
+        d = d.withColumn("_g", F.lit(0)).withColumn("_o", F.col(c).cast("double"))
+        d = bucket_by_value(d, ["_g"], 64, 10000)[0].drop("_g", "_o")
+    sizes = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
+    offs = sizes.select("_bk", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    d = join_on(d, offs, ["_bk"])
+    d = d.select(c, (F.col("_off") + F.row_number().over(Window.partitionBy("_bk").orderBy(c)) - 1).alias(name))
     return df.join(d, c, "left")
 
 

@@ -156,3 +156,16 @@ def test_golden_confusion_counts_reproduce_report(spark):
     assert q["fnr"] == pytest.approx(0.8040693293142427, abs=1e-15)
     assert q["tpr"] + q["fnr"] == pytest.approx(1.0)
     assert not math.isnan(q["log_loss"])
+
+
+def test_label_encode_matches_dense_rank(spark):
+    from pyspark.sql import Window
+    words = ["b", "a", "ab", "", "zz", "b", "Ä", "a"]
+    df = spark.createDataFrame([(i, w, (i * 7) % 5) for i, w in enumerate(words)] + [(99, None, None)],
+                               "i int, w string, n int")
+    for c in ("w", "n"):
+        got = {r["i"]: r[f"{c}_code"] for r in FE.label_encode(df, c).collect()}
+        d = df.select(c).where(F.col(c).isNotNull()).distinct().withColumn(
+            "want", F.dense_rank().over(Window.orderBy(c)) - 1)
+        want = {r["i"]: r["want"] for r in df.join(d, c, "left").collect()}
+        assert got == want
