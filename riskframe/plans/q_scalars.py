@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -101,9 +100,9 @@ def scl8_ratio(spark, sf):
 @register("scl9_percent_text", """
 SELECT o_orderpriority, printf('%.2f%%', round(count(*) * 100.0 / sum(count(*)) OVER (), 2)) AS pct FROM orders GROUP BY 1""")
 def scl9_percent_text(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy())
-    return o.select("o_orderpriority", S.percent_text(share).alias("pct"))
+    from ..operators.aggregates import value_shares
+    shares = value_shares(table(spark, sf, "orders"), "o_orderpriority")
+    return shares.select("o_orderpriority", S.percent_text("share").alias("pct"))
 
 
 @register("prj1_rename", """SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice FROM orders""")
