@@ -18,6 +18,7 @@ import threading
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
 
 
 def _text_bytes(column: pa.Array) -> int:
-    return int(pa.compute.sum(pa.compute.binary_length(column)).as_py() or 0)
+    return int(pc.sum(pc.binary_length(column)).as_py() or 0)
 
 
 def crc_of_id(id_col: str):
