@@ -28,3 +28,38 @@ def op5_simhash(spark, sf_dir):
     out = simhash_groups(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       "component_id")
+
+
+@register("op6_substring")
+def op6_substring(spark, sf_dir):
+    """Repeated 35-word windows removed from all documents."""
+    from .substring import remove_repeats
+    out = remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", window=35)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def held_out(remainder: int, modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
+
+
+@register("op7_language")
+def op7_language(spark, sf_dir):
+    """Language of all documents; learns from rows outside the held-out quarter."""
+    from . import langid
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out(2, 4)), "text", "lang")
+    out = langid.identify(docs, "doc_id", "text", model)
+    return out.withColumnRenamed("id", "doc_id").select(
+        "doc_id", held_out(2, 4).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    """Toxicity of all documents; learns from labels outside the held-out fifth."""
+    from . import toxicity
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out(0, 5))
+    model = toxicity.train(docs, "doc_id", "text", labels, "doc_id", "toxic")
+    return (toxicity.score(docs, "doc_id", "text", model).withColumnRenamed("id", "doc_id")
+            .select("doc_id", held_out(0, 5).alias("held_out"), "score",
+                    (F.col("score") >= 0.5).cast("int").alias("predicted")))
