@@ -14,20 +14,16 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, table  # noqa: F401  (re-exported)
 
-#: the separators of the word pattern [^\x20\x09-\x0D]+ (bytes.split() uses the same six)
-WORD_SEPARATORS = " \t\n\x0b\x0c\r"
-
-
 class Scratch:
     """Tables in the shared folder; ``drop`` removes one that is no longer read."""
 
@@ -81,13 +77,8 @@ def _text_bytes(column: pa.Array) -> int:
     return int(pc.sum(pc.binary_length(column)).as_py() or 0)
 
 
-def crc_of_id(id_col: str):
-    """CRC-32 of the decimal text of an id (the split rule of the learned operators)."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary"))
-
-
-class LocalCache(threading.local):
-    """Per-worker store for objects built once from a broadcast value."""
-
-    def __init__(self):
-        self.value = None
+def share(spark: SparkSession, value):
+    """Broadcast a small fitted object; call the result in a task to get it.  (Pickled
+    with its class, which the executors need not have installed.)"""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)

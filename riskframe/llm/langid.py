@@ -34,10 +34,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, share, slices
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -46,18 +46,17 @@ REJECT_FACTOR = 8.0
 #: characters handled at once
 AT_ONCE = 1 << 21
 
-_letters: np.ndarray | None = None
+_table = [np.zeros(0, np.int64)]
 
 
-def _symbols() -> np.ndarray:
-    """Symbol of every code point: 0 for non-letters."""
-    global _letters
-    if _letters is None:
-        code = np.arange(0x110000, dtype=np.int64)
-        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+def _symbols(limit: int) -> np.ndarray:
+    """Symbol of every code point below ``limit`` at least: 0 for non-letters."""
+    if len(_table[0]) < limit:
+        code = np.arange(min(0x110000, max(2 * limit, 1 << 13)), dtype=np.int64)
+        letter = np.fromiter((chr(c).isalpha() for c in code.tolist()), bool, len(code))
         size = 1 << SYMBOL_BITS
-        _letters = np.where(letter, np.where(code < size, code, 1 + code * 2654435761 % (size - 1)), 0)
-    return _letters
+        _table[0] = np.where(letter, np.where(code < size, code, 1 + code * 2654435761 % (size - 1)), 0)
+    return _table[0]
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +65,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     joined = [(" " * (ORDER - 1) + t.lower() + " ") if t else "" for t in texts]
     sizes = np.array([len(j) for j in joined], np.int64)
     code = np.frombuffer("".join(joined).encode("utf-32-le"), np.uint32)
-    sym = _symbols()[code]
+    sym = _symbols(int(code.max(initial=0)) + 1)[code]
     start = np.cumsum(sizes) - sizes
     lead = np.zeros(len(sym), bool)
     for i in range(ORDER - 1):  # the leading blanks stay, further runs of blanks become one
@@ -123,9 +122,8 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list, list, list, list]:
         """Per text: language, score, cross-entropy of that language, rejected."""
         key, counts = grams(texts)
-        letters = np.zeros(len(texts), np.int64)
         owner = np.repeat(np.arange(len(texts)), counts)
-        np.add.at(letters, owner[(key & ((1 << SYMBOL_BITS) - 1)) != 0], 1)
+        letters = np.bincount(owner[(key & ((1 << SYMBOL_BITS) - 1)) != 0], minlength=len(texts))
         some = (letters > 0) & bool(self.langs)
         lang = np.full(len(texts), "und", object)
         score, entropy = np.zeros(len(texts)), np.full(len(texts), np.nan)
@@ -145,11 +143,11 @@ class LanguageModel:
 
     def column(self, text: Column) -> Column:
         """struct(lang, score, entropy, rejected) of a text column."""
-        shared = self._shared()
+        shared = share(SparkSession.active(), self)
 
         @F.arrow_udf("struct<lang:string,score:double,entropy:double,rejected:boolean>")
         def identify(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = shared.value
+            model = shared()
             for column in columns:
                 parts = [model.predict(p.column("text").to_pylist()) for p in
                          slices([pa.RecordBatch.from_arrays([column], ["text"])], "text", AT_ONCE)]
@@ -161,10 +159,6 @@ class LanguageModel:
 
         return identify(text)
 
-    def _shared(self):
-        from pyspark.sql import SparkSession
-        return SparkSession.active().sparkContext.broadcast(self)
-
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)

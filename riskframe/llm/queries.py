@@ -21,6 +21,42 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_kd_shards")
+def op1_kd_shards(spark, sf_dir):
+    """All documents in 40 shards of near-equal bytes, split along language, source and length."""
+    from .sharding import kd_shards
+    out = kd_shards(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang", "source", "n_chars"], shards=40)
+    return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+                      "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op2_embedding_dedup")
+def op2_embedding_dedup(spark, sf_dir):
+    """Links of cosine 0.95 and more between all embeddings."""
+    from .embed_dedup import near_duplicates
+    out = near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", least=0.95)
+    return out.withColumnRenamed("id", "vec_id")
+
+
+@register("op3_bpe")
+def op3_bpe(spark, sf_dir):
+    """All documents encoded with the public word BPE and decoded again."""
+    from . import bpe
+    import public_tokenizers
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path).select(
+        F.struct(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                 F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256")).alias("row"), "ids")
+    return bpe.decode(coded, "row", "ids", path).select("id.*", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@register("op4_packing")
+def op4_packing(spark, sf_dir):
+    """All documents packed into sequences of 512 to 8192 tokens."""
+    from .packing import pack
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 @register("op5_simhash")
 def op5_simhash(spark, sf_dir):
     """SimHash groups of all documents: 3-word shingles, 3 bits."""
@@ -63,3 +99,22 @@ def op8_toxicity(spark, sf_dir):
     return (toxicity.score(docs, "doc_id", "text", model).withColumnRenamed("id", "doc_id")
             .select("doc_id", held_out(0, 5).alias("held_out"), "score",
                     (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+@register("op9_warc")
+def op9_warc(spark, sf_dir):
+    """All pages written as sharded WARC files and read back."""
+    from .common import scratch_path
+    from .warc import read_warc, write_warc
+    folder = scratch_path(spark, "warc-archive")
+    write_warc(table(spark, sf_dir, "pages"), "page_id", "url", "html", folder, least_bytes=0)
+    return read_warc(spark, folder).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest",
+                                           "record_type", "refers_to")
+
+
+@register("op10_neighbours")
+def op10_neighbours(spark, sf_dir):
+    """The ten nearest embeddings of every hundredth one."""
+    from .ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 10).select(
+        "query_id", "rank", "vec_id", "score")

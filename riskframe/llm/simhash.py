@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, as_bytes, slices
 from .components import connected_components
@@ -60,17 +61,16 @@ def text_fingerprint(text: bytes | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of each row's whole text as a signed long."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, fp long"
+def fingerprints(df: DataFrame, text_col: str, shingle: int = 3, **keep) -> DataFrame:
+    """The columns ``keep`` of each row and ``fp``, the fingerprint of its whole text as a signed long."""
+    rows = df.select(F.struct(*[c.alias(n) for n, c in keep.items()]).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             fp = np.array([text_fingerprint(t, shingle) for t in as_bytes(b.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(fp.view(np.int64))], ["row", "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())])).select("row.*", "fp")
 
 
 def blocks_for(n: int, max_bits: int) -> int:
@@ -168,16 +168,34 @@ def close_pairs(classes: DataFrame, n_classes: int, max_bits: int = 3, chunk: in
             .mapInArrow(bucket_links(max_bits), "a long, b long"))
 
 
-def simhash_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """(id, fp, component_id) per input row: fingerprint (signed long) and the
-    smallest id reachable over links of at most ``max_bits`` differing bits."""
-    scratch = Scratch(df.sparkSession, "simhash")
-    rows = scratch.keep(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+def _groups(rows: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
+    """(fp, least, label, component_id) of each distinct fingerprint of ``rows`` (id, fp): its smallest
+    id, the fingerprint that names its component, the component's smallest id."""
     classes = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     links = close_pairs(classes, classes.count(), max_bits)
     member = connected_components(links, "a", "b", scratch)
     labelled = (classes.join(member, classes.fp == member.node, "left")
                 .select("fp", "least", F.coalesce("component", "fp").alias("label")))
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    groups = labelled.join(ids, "label").select("fp", "component_id")
-    return rows.join(groups, "fp").select("id", "fp", "component_id")
+    return labelled.join(ids, "label")
+
+
+def simhash_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """(id, fp, component_id) per input row: fingerprint (signed long) and the
+    smallest id reachable over links of at most ``max_bits`` differing bits."""
+    scratch = Scratch(df.sparkSession, "simhash")
+    rows = scratch.keep(fingerprints(df, text_col, shingle, id=F.col(id_col)), "fingerprints")
+    groups = _groups(rows, max_bits, scratch)
+    return rows.join(groups.select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """The rows of ``df`` (all its columns) without near-duplicates: of each group the row with
+    the smallest id, one of its repeated rows; a group without any id keeps one row."""
+    scratch = Scratch(df.sparkSession, "simhash")
+    rows = scratch.keep(fingerprints(df, text_col, shingle, doc=F.struct("*"), id=F.col(id_col)), "tagged")
+    groups = _groups(rows.select("id", "fp"), max_bits, scratch)
+    keeper = F.col("least").eqNullSafe(F.col("component_id")) & (F.col("least").isNotNull() | (F.col("fp") == F.col("label")))
+    first = groups.where(keeper).select("fp", "component_id")
+    kept = rows.join(first, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    return kept.dropDuplicates(["fp", "id"]).select("doc.*")

@@ -36,8 +36,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, as_bytes, slices
 
@@ -186,7 +187,7 @@ def _spans(cover: np.ndarray) -> list[dict]:
     return [{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _cut_rows(window: int):
+def _cut_rows(window: int, respace: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             n_words, n_removed, kept, spans = [], [], [], []
@@ -196,7 +197,7 @@ def _cut_rows(window: int):
                 n_words.append(len(words))
                 n_removed.append(int(cover.sum()))
                 kept.append(b" ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c)
-                            if n_removed[-1] else b" ".join(words))
+                            if n_removed[-1] else b" ".join(words) if respace else text)
                 spans.append(_spans(cover) if n_removed[-1] else [])
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
@@ -238,16 +239,17 @@ def duplicate_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFra
             .groupBy("key", "size").agg(F.collect_list(F.struct("pos", "mask")).alias("found")))
 
 
-def remove_repeats(df: DataFrame, id_col: str, text_col: str, window: int = 35) -> DataFrame:
-    """(id, n_words, n_removed, kept, spans) per input row: the words left, joined
-    by one space, and the removed spans (start word, length)."""
+def remove_repeats(df: DataFrame, id_col: str | Column, text_col: str, window: int = 35,
+                   respace: bool = True) -> DataFrame:
+    """(id, n_words, n_removed, kept, spans) per input row: the words left, joined by
+    one space (without ``respace`` a text that loses nothing stays as it is), and the
+    removed spans (start word, length)."""
     if window <= GRAM:
         raise ValueError(f"window must exceed {GRAM} words")
     scratch = Scratch(df.sparkSession, "substring")
-    docs = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = (df.select(F.col(id_col).alias("id") if isinstance(id_col, str) else id_col.alias("id"), F.col(text_col).alias("text"))
             .withColumn("key", F.xxhash64("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))))
     found = duplicate_windows(docs, window, scratch)
-    id_type = docs.schema["id"].dataType.simpleString()
+    more = T.StructType.fromDDL("n_words long, n_removed long, kept string, spans array<struct<start:int,length:int>>")
     return (docs.join(found, ["key", "size"], "left").select("id", "text", "found")
-            .mapInArrow(_cut_rows(window), f"id {id_type}, n_words long, n_removed long, kept string, "
-                                           "spans array<struct<start:int,length:int>>"))
+            .mapInArrow(_cut_rows(window, respace), T.StructType([docs.schema["id"], *more.fields])))

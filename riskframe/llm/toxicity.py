@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, share, slices
 
 SLOTS = 1 << 20
 FEATURES = 2048
@@ -87,11 +87,11 @@ class ToxicityModel:
 
     def column(self, text: Column) -> Column:
         """Score between 0 and 1 of a text column."""
-        shared = SparkSession.active().sparkContext.broadcast(self)
+        shared = share(SparkSession.active(), self)
 
         @F.arrow_udf("double")
         def toxicity(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = shared.value
+            model = shared()
             terms = Terms({s: i for i, s in enumerate(model.slots)})
             for column in columns:
                 out = []
@@ -123,8 +123,8 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_machine(rows: list[list[int]], label: np.ndarray, n_features: int, seed: int = 11) -> tuple:
     """Adam on the logistic loss of a factorization machine over present features."""
     rng = np.random.default_rng(seed)
-    share = label.mean()
-    bias = float(np.log(share / (1 - share)))
+    base = label.mean()
+    bias = float(np.log(base / (1 - base)))
     w, v = np.zeros(n_features), rng.normal(0, 0.01, (n_features, FACTORS))
     flat, owner = _flat(rows)
     starts = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(rows)))]
