@@ -28,7 +28,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,7 +63,7 @@ def _places(df: DataFrame, dims: list[str]) -> tuple[list[Column], list]:
 
 def _rows(df: DataFrame, id_col: str, text_col: str, dims: list[str], shards: int | None, target_bytes: int,
           scratch: Scratch) -> tuple[DataFrame, int]:
-    """(id, size, crc, tie, p0..): what the tree needs of each row, and the shard count."""
+    """(node, id, size, crc, salt, tie, p0..): what the tree needs of each row, and the shard count."""
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                       *[F.col(d).alias(f"m{i}") for i, d in enumerate(dims)])
     places, _ = _places(named, [f"m{i}" for i in range(len(dims))])
@@ -84,7 +84,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str, dims: list[str], shards: in
     joined = rows.alias("r").join(shared.alias("g"), ["same", "size", "crc"], "left")
     chunk = F.pmod("salt", F.coalesce("chunks", F.lit(1)))
     return scratch.keep(joined.select(
-        "id", "size", "crc", "salt", F.xxhash64("same", chunk).bitwiseAND(F.lit(PLACES)).alias("tie"),
+        F.lit(0).cast("long").alias("node"), "id", "size", "crc", "salt", F.xxhash64("same", chunk).bitwiseAND(F.lit(PLACES)).alias("tie"),
         *[F.coalesce(f"g.p{i}", f"r.p{i}").alias(f"p{i}") for i in range(len(dims))]), "placed"), int(n)
 
 
@@ -94,14 +94,24 @@ def _key(n_dims: int) -> Column:
     return F.shiftleft(place, 31).bitwiseOR(F.col("tie"))
 
 
+def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small table of numbers from the driver, as SQL values; columns: "name type, ..."."""
+    names = [c.split() for c in columns.split(", ")]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in names])
+    data = ", ".join("(" + ", ".join(f"{v:f}D" if isinstance(v, float) else f"{v}L" for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in names)} "
+                     f"FROM VALUES {data} AS t({', '.join(n for n, _ in names)})")
+
+
 def _split(rows: DataFrame, nodes: list[dict], n_dims: int, light: float) -> list[dict]:
     """Cuts of all nodes (dicts with node, dim, want and the range low..high); key < cut goes left."""
     spark = rows.sparkSession
     open_nodes, done = [n | {"below": 0} for n in nodes], []
     while open_nodes:
-        level = spark.createDataFrame([(n["node"], n["dim"], n["low"], -(-(n["high"] - n["low"] + 1) // BUCKETS),
-                                        n["high"], n["want"] - n["below"]) for n in open_nodes],
-                                      "node long, dim int, low long, width long, high long, want double")
+        level = _values(spark, [(n["node"], n["dim"], n["low"], -(-(n["high"] - n["low"] + 1) // BUCKETS),
+                                 n["high"], float(n["want"] - n["below"])) for n in open_nodes],
+                        "node bigint, dim int, low bigint, width bigint, high bigint, want double")
         keyed = rows.join(F.broadcast(level), "node").withColumn("key", _key(n_dims)).where("key between low and high")
         sums = (keyed.groupBy("node", F.expr("(key - low) div width").alias("bucket"))
                 .agg(F.sum("size").alias("bytes"), F.min("key").alias("first"), F.max("key").alias("last"),
@@ -131,7 +141,7 @@ def kd_shards(df: DataFrame, id_col: str, text_col: str, dims: list[str], shards
     placed, n_shards = _rows(df, id_col, text_col, dims, shards, target_bytes, scratch)
     n_dims = len(dims)
     extremes = [f(f"p{i}").alias(f"{f.__name__}{i}") for i in range(n_dims) for f in (F.min, F.max)]
-    rows = placed.withColumn("node", F.lit(0).cast("long"))
+    rows = placed
     parts = {0: (0, n_shards)}  # node -> first shard, number of shards
     span = None
     light, depth = None, 0
@@ -151,8 +161,8 @@ def kd_shards(df: DataFrame, id_col: str, text_col: str, dims: list[str], shards
             todo.append({"node": node, "dim": dim, "want": r["bytes"] * (k // 2) / k,
                          "low": r[f"min{dim}"] << 31, "high": (r[f"max{dim}"] << 31) | PLACES})
         cuts = _split(rows, todo, n_dims, light) if todo else []
-        level = df.sparkSession.createDataFrame([(c["node"], c["dim"], c["cut"]) for c in cuts],
-                                                "node long, dim int, cut long")
+        level = _values(df.sparkSession, [(c["node"], c["dim"], c["cut"]) for c in cuts],
+                        "node bigint, dim int, cut bigint")
         rows = (rows.join(F.broadcast(level), "node", "left")
                 .withColumn("node", F.when(F.col("cut").isNull(), F.col("node") * 2)
                             .otherwise(F.col("node") * 2 + (_key(n_dims) >= F.col("cut")).cast("long")))
@@ -163,7 +173,7 @@ def kd_shards(df: DataFrame, id_col: str, text_col: str, dims: list[str], shards
         depth += 1
         if depth % 8 == 0:
             rows = scratch.keep(rows, "level")
-    names = df.sparkSession.createDataFrame([(m, first) for m, (first, _) in parts.items()], "node long, shard int")
+    names = _values(df.sparkSession, [(m, first) for m, (first, _) in parts.items()], "node bigint, shard int")
     named = rows.join(F.broadcast(names), "node").select("id", "size", "crc", "salt", "shard")
     return _with_slots(named, scratch)
 

@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 
-from riskframe.llm import queries
+from riskframe.llm import queries, substring
 from riskframe.llm.substring import Parse, remove_repeats, word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -35,7 +36,9 @@ def test_query_matches_brute_force(spark):
     assert sum(w[2] for w in want) > 0
 
 
-def test_planted_passages(rows):
+@pytest.mark.parametrize("many", [1, 3, substring.MANY])
+def test_planted_passages(rows, many, monkeypatch):
+    monkeypatch.setattr(substring, "MANY", many)
     rng = np.random.default_rng(3)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
     passage, line = word(60), word(20)
