@@ -14,16 +14,17 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, table  # noqa: F401  (re-exported)
 
+
 class Scratch:
     """Tables in the shared folder; ``drop`` removes one that is no longer read."""
 
@@ -38,6 +39,12 @@ class Scratch:
         out._scratch = path
         return out
 
+    def release(self) -> None:
+        """Free the disk of finished steps: Spark's cleaner removes their shuffle files
+        once the driver has collected the frames as garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in frames:
@@ -53,7 +60,7 @@ def as_bytes(column: pa.Array) -> list:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``most`` bytes of text (one row at least)."""
+    """Cut Arrow batches so that each holds about ``most`` bytes of a column (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -66,17 +73,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
         while at < batch.num_rows:
             part = batch.slice(at, step)
             n = part.num_rows
-            while n > 1 and _text_bytes(part.column(text)) > 2 * most:
+            while n > 1 and part.column(text).nbytes > 2 * most:
                 n = max(1, n // 2)
                 part = batch.slice(at, n)
             yield part
             at += n
 
 
-def _text_bytes(column: pa.Array) -> int:
-    return int(pc.sum(pc.binary_length(column)).as_py() or 0)
-
-
 def share(spark: SparkSession, value):
     """Broadcast a small fitted object; call the result in a task to get it.  (Pickled
     with its class, which the executors need not have installed.)"""

@@ -44,6 +44,8 @@ from .common import Scratch, as_bytes, slices
 
 #: words in a gram that can be an anchor
 GRAM = 12
+#: phrases of an anchor that a task compares on its own
+MANY = 2048
 #: odd multiplier of the polynomial hashes (mod 2^64) and its inverse
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -140,32 +142,74 @@ def _anchor_rows(window: int, located: bool):
 
 
 def _boundary_rows(window: int):
-    """Of each phrase named in ``found``: one row per window that holds its anchor."""
+    """Of each phrase named in ``found``: the hashes of the windows that hold its anchor
+    (``hashes[b]`` of the one that starts b words before it, if bit b of ``have`` is set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # copies of a text stand together and name the same phrases: once is enough
         for b in slices(batches, "text"):
-            docs = [word_hashes(t) for t in as_bytes(b.column("text"))]
-            p = Parse(docs, window)
-            out: list[list[np.ndarray]] = []
-            for k, found in enumerate(b.column("found").to_pylist()):
-                if p.ends[k] - p.starts[k] < window:
-                    continue
-                at = np.array([f["pos"] for f in found], np.int64) + p.starts[k]
-                back = np.arange(p.spread + 1)
-                start = at[:, None] - back
-                ok = (start >= p.starts[k]) & (start + window <= p.ends[k])
-                row, col = np.nonzero(ok)
-                first = start[row, col]
-                pick = lambda name: np.array([f[name] for f in found], np.int64)[row]  # noqa: E731, B023
-                out.append([pick("anchor"), pick("phrase"), pick("n"), back[col],
-                            p.hash(first, first + window).view(np.int64)])
-            if out:
-                a, ph, n, back, h = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(ph), pa.array(n), pa.array(back, pa.int32()), pa.array(h)],
-                    ["anchor", "phrase", "n", "back", "hash"])
+            where = list(zip(b.column("key").to_pylist(), b.column("size").to_pylist(), strict=True))
+            new, before, seen = [], seen, set()
+            for i, w in enumerate(where):
+                if w not in seen and w not in before:
+                    new.append(i)
+                seen.add(w)
+            b = b.take(pa.array(new, pa.int64()))
+            p = Parse([word_hashes(t) for t in as_bytes(b.column("text"))], window)
+            found = b.column("found").to_pylist()
+            doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            flat = [f for one in found for f in one]
+            if not len(p.at) or not flat:
+                continue
+            pick = lambda name: np.array([f[name] for f in flat], np.int64)  # noqa: E731, B023
+            back = np.arange(p.spread + 1)
+            start = (pick("pos") + p.starts[doc])[:, None] - back
+            ok = (start >= p.starts[doc][:, None]) & (start + window <= p.ends[doc][:, None])
+            hashes = np.zeros(start.shape, np.int64)
+            hashes[ok] = p.hash(start[ok], start[ok] + window).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, hashes.size + 1, len(back), dtype=np.int32), hashes.reshape(-1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pick("anchor")), pa.array(pick("phrase")), pa.array(pick("n")),
+                 pa.array([f["many"] for f in flat]), pa.array((ok << back).sum(1)), lists],
+                ["anchor", "phrase", "n", "many", "have", "hashes"])
     return run
 
 
+def _match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor -> (anchor, phrase, mask) of single phrases: which of their
+    windows another phrase of the anchor holds as well."""
+
+    def match(anchor, phrase, n, have, hashes) -> pa.RecordBatch:
+        back = np.arange(hashes.shape[1])
+        number = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])
+        row, col = np.nonzero(have[:, None] >> back & 1)
+        place, h = number[row] * len(back) + col, hashes[row, col]
+        order = np.lexsort((h, place))
+        row, col, place, h = row[order], col[order], place[order], h[order]
+        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (h[1:] != h[:-1])][:len(row)])
+        times = np.add.reduceat(n[row], first) if len(row) else np.zeros(0, np.int64)
+        again = np.repeat(times > 1, np.diff(np.r_[first, len(row)]))
+        mask = np.zeros(len(n), np.int64)
+        np.bitwise_or.at(mask, row[again], np.int64(1) << col[again])
+        out = (n == 1) & (mask != 0)
+        return pa.RecordBatch.from_arrays([pa.array(anchor[out]), pa.array(phrase[out]), pa.array(mask[out])],
+                                          ["anchor", "phrase", "mask"])
+
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [np.asarray(b.column(c)) for c in ("anchor", "phrase", "n", "have")]
+        cols.append(np.asarray(b.column("hashes").flatten()).reshape(b.num_rows, -1))
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if (cols[0] != cols[0][-1]).any() else 0
+        rest = [c[last:] for c in cols]  # the last anchor may go on in the next batch
+        if last:
+            yield match(*[c[:last] for c in cols])
+    if rest is not None:
+        yield match(*rest)
+
+
 def covered(n_words: int, found: list, window: int) -> np.ndarray:
     """Which words lie in a duplicate window.  found: (pos, mask); bit b of the
     mask marks the window that starts b words before the anchor."""
@@ -207,6 +251,33 @@ def _cut_rows(window: int, respace: bool):
     return run
 
 
+def _masks(phrases: DataFrame, docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """(anchor, phrase, mask) of the phrases (anchor, phrase, n, place) of anchors with several
+    phrases: one that occurs again is matched whole, of the others each window is looked up
+    among all phrases of the anchor."""
+    per = phrases.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
+    open_ = per.where("least = 1").select("anchor", (F.col("k") > MANY).alias("many"))
+    named = (phrases.join(open_, "anchor")
+             .select("place.key", "place.size", F.struct("place.pos", "anchor", "phrase", "n", "many").alias("f"))
+             .groupBy("key", "size").agg(F.collect_list("f").alias("found")))
+    looked = scratch.keep(docs.select("key", "size", "text").join(named, ["key", "size"])
+                          .mapInArrow(_boundary_rows(window), "anchor long, phrase long, n long, many boolean, "
+                                                              "have long, hashes array<long>"), "boundaries")
+    scratch.release()
+    few = (looked.where("not many").drop("many").repartition("anchor").sortWithinPartitions("anchor")
+           .mapInArrow(_match_rows, "anchor long, phrase long, mask long"))
+    # an anchor with very many phrases is matched window by window, with partial aggregation
+    windows = (looked.where("many").select("anchor", "phrase", "n", "have", F.posexplode("hashes").alias("back", "hash"))
+               .where("shiftright(have, back) & 1 = 1"))
+    again = (windows.groupBy("anchor", "back", "hash")
+             .agg(F.max("n").alias("most"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
+             .where("most > 1 or low <> high").select("anchor", "back", "hash"))
+    many = (windows.where("n = 1").join(again, ["anchor", "back", "hash"])
+            .groupBy("anchor", "phrase").agg(F.bit_or(F.expr("shiftleft(1L, back)")).alias("mask")))
+    whole = phrases.where("n > 1").select("anchor", "phrase", F.lit(-1).cast("long").alias("mask"))
+    return few.unionByName(many).unionByName(whole)
+
+
 def duplicate_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """(key, size, found): per text with a duplicate window its anchors and masks."""
     index = (docs.select("text").mapInArrow(_anchor_rows(window, False), "anchor long, phrase long")
@@ -216,27 +287,18 @@ def duplicate_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFra
     places = docs.select("key", "size", "text").mapInArrow(
         _anchor_rows(window, True), "anchor long, phrase long, key long, size int, pos int")
     hits = scratch.keep(places.join(index, "anchor"), "hits")
-    # anchors with several phrases: a phrase that occurs again is matched whole, of the others
-    # each window is looked up among all phrases of the anchor
+    scratch.release()
     phrases = scratch.keep(hits.where("not whole").groupBy("anchor", "phrase").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "size", "pos")).alias("place")), "phrases")
-    named = (phrases.select("place.key", "place.size", F.struct("place.pos", "anchor", "phrase", "n").alias("f"))
-             .groupBy("key", "size").agg(F.collect_list("f").alias("found")))
-    windows = scratch.keep(docs.select("key", "size", "text").join(named, ["key", "size"])
-                           .select("text", "found")
-                           .mapInArrow(_boundary_rows(window),
-                                       "anchor long, phrase long, n long, back int, hash long"), "windows")
-    again = (windows.groupBy("anchor", "back", "hash")
-             .agg(F.max("n").alias("most"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
-             .where("most > 1 or low <> high").select("anchor", "back", "hash"))
-    partly = (windows.where("n = 1").join(again, ["anchor", "back", "hash"])
-              .groupBy("anchor", "phrase").agg(F.bit_or(F.expr("shiftleft(1L, back)")).alias("mask")))
-    masks = partly.unionByName(phrases.where("n > 1").select("anchor", "phrase", F.lit(-1).cast("long").alias("mask")))
+    masks = _masks(phrases, docs, window, scratch)
     marked = (hits.where("whole").select("key", "size", "pos", F.lit(-1).cast("long").alias("mask"))
               .unionByName(hits.where("not whole").join(masks, ["anchor", "phrase"])
                            .select("key", "size", "pos", "mask")))
-    return (marked.groupBy("key", "size", "pos").agg(F.bit_or("mask").alias("mask"))
-            .groupBy("key", "size").agg(F.collect_list(F.struct("pos", "mask")).alias("found")))
+    found = scratch.keep(marked.groupBy("key", "size", "pos").agg(F.bit_or("mask").alias("mask"))
+                         .groupBy("key", "size").agg(F.collect_list(F.struct("pos", "mask")).alias("found")), "found")
+    scratch.drop(hits, phrases)
+    scratch.release()
+    return found
 
 
 def remove_repeats(df: DataFrame, id_col: str | Column, text_col: str, window: int = 35,
