@@ -44,8 +44,8 @@ from .common import Scratch, as_bytes, slices
 
 #: words in a gram that can be an anchor
 GRAM = 12
-#: phrases of an anchor that a task compares on its own
-MANY = 2048
+#: phrases of an anchor that a task compares on its own (16 MB of hashes)
+MANY = 1 << 16
 #: odd multiplier of the polynomial hashes (mod 2^64) and its inverse
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
