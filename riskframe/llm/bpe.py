@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,22 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
+class Memory:
+    """Words that have been encoded: their ids end to end."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+
 class WordBpe:
     """Encoder and decoder of one tokenizer file."""
 
@@ -92,15 +109,14 @@ class WordBpe:
     def _key(a, b):
         return (a << 32) | b
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word, all words at once."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): token ids of all words end to end, and how many each word has."""
         raw = [w.encode() for w in words]
         sizes = np.array([len(r) for r in raw], np.int64)
         sym = self.inner[np.frombuffer(b"".join(raw), np.uint8)]
-        ends = np.cumsum(sizes) - 1
-        sym[ends] = self.final[np.frombuffer(b"".join(r[-1:] for r in raw), np.uint8)]
+        sym[np.cumsum(sizes) - 1] = self.final[np.frombuffer(b"".join(r[-1:] for r in raw), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
-        out: list[list[int]] = [[]] * len(words)
+        ids, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(sym):
             key = self._key(sym[:-1], sym[1:])
             at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
@@ -110,18 +126,16 @@ class WordBpe:
             least = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.r_[starts, len(sym)])
             done = np.repeat(least == NO_RANK, sizes)
-            if done.any():
-                ids, owner = sym[done], word[done]
-                cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
-                    out[owner[s]] = ids[s:e].tolist()
-            hit = (rank == np.repeat(least, sizes)) & ~done
-            hit = self._apart(hit)
+            ids.append(sym[done])
+            owner.append(word[done])
+            hit = self._apart((rank == np.repeat(least, sizes)) & ~done)
             sym[:-1][hit[:-1]] = self.pair_id[at[hit[:-1]]]
             stay = ~done
             stay[1:] &= ~hit[:-1]
             sym, word = sym[stay], word[stay]
-        return out
+        whose = np.concatenate(owner)
+        order = np.argsort(whose, kind="stable")
+        return np.concatenate(ids)[order], np.bincount(whose, minlength=len(words))
 
     @staticmethod
     def _apart(hit: np.ndarray) -> np.ndarray:
@@ -132,15 +146,19 @@ class WordBpe:
         begin = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], index, 0))
         return hit & ((index - begin) % 2 == 0)
 
-    def split(self, text: str) -> list:
-        """Words (str) and special tokens (int) of a text, in order."""
+    def split(self, text: str) -> list[str]:
+        """Words and special tokens of a text, in order.  (No word looks like a special token:
+        the pattern parts letters from other characters.)"""
+        found = self.special.search(text)
+        if not found:
+            return self._plain(text)
         out: list = []
         at = 0
         for m in self.special.finditer(text):
             out += self._plain(text[at:m.start()])
-            out.append(self.special_id[m.group()])
+            out.append(m.group())
             at = m.end()
-        return out + self._plain(text[at:] if at else text)
+        return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
@@ -148,20 +166,25 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.words.findall(text.lower())
 
-    def encode(self, texts: list[str | None], known: dict | None = None) -> list[np.ndarray]:
-        """Token ids of each text; ``known`` remembers encoded words."""
-        known = {} if known is None else known
+    def encode(self, texts: list[str | None], memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): token ids of all texts end to end, and how many each text has."""
+        memory = memory if memory is not None else Memory()
+        if not memory.number or len(memory.number) > REMEMBERED:
+            memory.clear()
+            memory.add(list(self.special_id), np.array(list(self.special_id.values()), np.int64),
+                       np.ones(len(self.special_id), np.int64))
         parts = [self.split(t) if t else [] for t in texts]
-        new = {w for p in parts for w in p if w not in known}
-        for w in [w for w in new if isinstance(w, int)]:
-            new.discard(w)
-            known[w] = [w]
-        words = sorted(new)
-        known.update(zip(words, self.merge(words), strict=True))
-        out = [np.fromiter((i for w in p for i in known[w]), np.int32) for p in parts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
+        words = list(chain.from_iterable(parts))
+        new = sorted(set(words) - memory.number.keys())
+        if new:
+            memory.add(new, *self.merge(new))
+        which = np.fromiter(map(memory.number.__getitem__, words), np.int64, len(words))
+        sizes = memory.sizes[which]
+        ends = np.cumsum(sizes)
+        ids = memory.ids[np.repeat(memory.starts[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        total = np.concatenate([[0], ends])
+        edges = np.cumsum([0, *map(len, parts)])
+        return ids, np.diff(total[edges])
 
     def decode(self, ids: list[list[int] | None]) -> list[str]:
         n, names = len(self.names), self.names
@@ -178,11 +201,11 @@ def encode(df: DataFrame, id_col, text_col, path: str) -> DataFrame:
     rows = df.select(_col(id_col).alias("id"), _col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = shared(), {}
+        bpe, memory = shared(), Memory()
         for b in slices(batches, "text"):
-            ids = bpe.encode(b.column("text").to_pylist(), known)
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            ids, counts = bpe.encode(b.column("text").to_pylist(), memory)
+            ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("id"), lists], ["id", "ids"])
 
     return rows.mapInArrow(run, _schema(rows, "ids array<int>"))

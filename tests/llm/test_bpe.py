@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -29,7 +30,8 @@ def own():
 
 def same(own, library, texts):
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    got = [x.tolist() for x in own.encode(texts)]
+    ids, counts = own.encode(texts)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
     assert got == want
     assert own.decode(got) == [library.decode(w, skip_special_tokens=False) for w in want]
 
