@@ -44,7 +44,7 @@ class DriftConfig:
     numeric_threshold: float = 0.1      # normed Wasserstein distance
     categorical_threshold: float = 0.1  # Jensen-Shannon distance
     dataset_share: float = 0.5          # dataset drifts when this share of columns drift
-    prefix_buckets: int = 256
+    prefix_buckets: int | None = None   # running-sum buckets; None: by the number of distinct values
 
 
 @dataclass(frozen=True)

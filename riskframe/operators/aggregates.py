@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_labels, col
+from ..session import keep
 from .keys import join_on
 
 
@@ -31,13 +32,12 @@ def value_counts(df: DataFrame, c: str, name: str = "count") -> DataFrame:
 def value_shares(df: DataFrame, c: str, name: str = "share") -> DataFrame:
     """AGG3: share of each non-null value.
 
-    The total is one scalar (a separate count job), so the per-value rows are
-    never funnelled through a single un-partitioned window, however many
-    distinct values there are.
+    The counts are written once and their total is one scalar read from them, so the source is
+    scanned a single time and the per-value rows are never funnelled through a single
+    un-partitioned window, however many distinct values there are.
     """
-    nn = df.where(F.col(c).isNotNull())
-    total = nn.count()
-    counts = nn.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+    counts = keep(df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 1
     return counts.select(c, (F.col("_n") / F.lit(total)).alias(name))
 
 
@@ -104,12 +104,12 @@ def _stack_values(df: DataFrame, columns: Sequence[str], groups: Sequence[str])
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], groups: Sequence[str] = (),
-              exact: bool = False, accuracy: int = 10000, buckets: int = 64) -> DataFrame:
+              exact: bool = False, accuracy: int = 10000, buckets: int | None = None) -> DataFrame:
     """Quantiles of several columns (per group) as long rows (groups, column, p, value).
 
     ``exact=True``: linear interpolation between the order statistics at (n-1)p, computed
-    without any per-group value buffer: counts per distinct (group, column, value) are cut
-    into value-range buckets (``prefix.bucket_by_value``); bucket totals locate the bucket of
+    without any per-group value buffer: counts per distinct (group, column, value), written
+    once, are cut into value-range buckets (``prefix.bucket_by_value``); bucket totals locate the bucket of
     each wanted rank (floor and ceil of (n-1)p), and only those buckets are sorted.
     ``exact=False``: ``percentile_approx`` sketches, one aggregation.
     """
@@ -121,10 +121,20 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], gro
         return a.select(*keys, F.posexplode("_q").alias("_i", "value")).select(
             *keys, F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i")).alias("p"),
             F.col("value").cast("double").alias("value"))
-    from .prefix import bucket_by_value
-    counts = st.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_of_counts(value_counts_of(st, keys), keys, probs, accuracy, buckets)
+
+
+def value_counts_of(stacked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, value, n) of the non-null values, written once: several statistics read it."""
+    return keep(stacked.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+
+
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int = 10000,
+                        buckets: int | None = None) -> DataFrame:
+    """Exact quantiles (keys, p, value) of a written table of (keys, value, n)."""
+    from .prefix import bucket_by_value, bucket_count
     # value-range buckets per key; only the buckets holding a wanted rank are ever sorted
-    d, _ = bucket_by_value(counts.withColumn("_o", F.col("value")), keys, buckets, accuracy)
+    d, _ = bucket_by_value(counts.withColumn("_o", F.col("value")), list(keys), bucket_count(counts.count(), buckets), accuracy)
     tot = d.groupBy(*keys, "_bk").agg(F.sum("n").alias("_t"))
     wb = Window.partitionBy(*keys).orderBy("_bk")
     offs = tot.select(*keys, "_bk", "_t",
@@ -161,22 +171,38 @@ def quantile_columns(q: DataFrame, keys: Sequence[str], names: dict) -> DataFram
 def describe(df: DataFrame, columns: Sequence[str], exact: bool = False) -> DataFrame:
     """AGG11: transposed describe: count, mean, std, min, 25/50/75 %, max per column.
 
-    One aggregation for the moments over all columns plus one quantile job
-    (sketches by default; ``exact=True`` uses the distributed exact quantiles).
+    The source is scanned once: with sketches (the default) everything is one aggregation;
+    ``exact=True`` counts the distinct values and takes all statistics from the counts.
     """
+    names = ("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    if exact:
+        st = _stack_values(df, columns, ()).where(F.col("value").isNotNull())
+        return _describe_counts(value_counts_of(st, ["column"]), columns).select(*names)
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
-        aggs.append(F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                             F.min(x).alias("min"), F.max(x).alias("max")).alias(c))
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+                             F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias("q")).alias(c))
     wide = df.agg(*aggs)
-    stacked = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns])).alias("r"))
-    base = stacked.select("r.column", "r.s.*")
-    q = quantile_columns(quantiles(df, columns, (0.25, 0.5, 0.75), exact=exact), ["column"],
+    s = wide.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("s")).select("s.*")
+    return s.select(*names[:5], *[F.get("q", i).cast("double").alias(n) for i, n in enumerate(names[5:8])], "max")
+
+
+def _describe_counts(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Moments and quartiles per column from (column, value, n); columns without values included."""
+    v, n = F.col("value"), F.col("n")
+    base = keep(counts.groupBy("column").agg(F.sum(n).alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"),
+                                             F.min(v).alias("min"), F.max(v).alias("max")), "moments")
+    # deviations from the mean: sums of squares of large values would cancel
+    around = counts.join(base.select("column", "mean", "count"), "column")
+    std = around.groupBy("column", "count").agg(F.sum(n * F.pow(v - F.col("mean"), 2)).alias("_ss")).select(
+        "column", F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / F.greatest(F.col("count") - 1, F.lit(1)))).alias("std"))
+    q = quantile_columns(quantiles_of_counts(counts, ["column"], (0.25, 0.5, 0.75)), ["column"],
                          {0.25: "p25", 0.5: "p50", 0.75: "p75"})
-    out = join_on(base, q, ["column"], "left")
-    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    named = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    out = named.join(base, "column", "left").join(std, "column", "left").join(q, "column", "left")
+    return out.withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def _long(wide: DataFrame, columns: Sequence[str], value_name: str) -> DataFrame:
@@ -262,11 +288,16 @@ def density_curve(df: DataFrame, c: str, grid: Sequence[float], bandwidth: float
 def box_stats(df: DataFrame, keys: Sequence[str], value: str, exact: bool = False) -> DataFrame:
     """AGG14: quartiles, mean, whiskers (extreme points inside 1.5 IQR) and outlier count.
 
-    Pass 1 aggregates quartiles per group; pass 2 joins those per-group fences
-    back (one row per group) and aggregates again.
+    The groups and values are written once; pass 1 aggregates quartiles per group, pass 2
+    joins those per-group fences back (one row per group) and aggregates again.
     """
-    if not keys:  # one implicit group keeps the fence join keyed
-        return box_stats(df.withColumn("_g", F.lit(0)), ["_g"], value, exact).drop("_g")
+    one = [] if keys else [F.lit(0).alias("_g")]  # written, so that the fence join stays keyed
+    named = keep(df.select(*keys, F.col(value).cast("double").alias(value), *one), "box-values")
+    out = _box_stats(named, list(keys) or ["_g"], value, exact)
+    return out if keys else out.drop("_g")
+
+
+def _box_stats(df: DataFrame, keys: Sequence[str], value: str, exact: bool) -> DataFrame:
     x = F.col(value).cast("double")
     qs = quantile_columns(quantiles(df, [value], (0.25, 0.5, 0.75), groups=keys, exact=exact), keys,
                           {0.25: "q1", 0.5: "median", 0.75: "q3"})

@@ -1,9 +1,13 @@
 """Two-sample drift statistics between a reference and a current table (DR1-DR5).
 
-Both sides are unpivoted once to (column, value) rows tagged by side, so all
-columns are measured with one shuffle: counts per (column, value) with the
-two sides as conditional sums, then per-column running sums (two-phase, see
-``prefix``) for the distribution-function statistics.
+Both sides are unpivoted once to (column, value) rows tagged by side and counted
+per (column, value); these counts are written once, so each side is scanned a
+single time for all columns and statistics.  Per-column running sums (two-phase,
+see ``prefix``) give the distribution-function statistics.
+
+Every column asked for gets a row.  A column without values on both sides has not
+drifted (statistic 0); one that has values on one side only has (numeric: infinite
+distance, categorical: the largest Jensen-Shannon distance).  NaN counts as no value.
 """
 
 from __future__ import annotations
@@ -17,22 +21,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..config import DriftConfig
+from ..session import keep
 from .prefix import running_sums
 
+#: least deviation by which a distance is normed, so that a constant reference has a verdict
+LEAST_DEVIATION = 1e-3
+#: Jensen-Shannon distance (natural logarithm) of distributions without a common value
+LARGEST_JS = math.sqrt(math.log(2.0))
 
-def _stack(df: DataFrame, columns: Sequence[str], side: int, numeric: bool) -> DataFrame:
-    cast = "double" if numeric else "string"
-    cols = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(cast).alias("value")) for c in columns])
-    return df.select(F.explode(cols).alias("s")).select("s.column", "s.value", F.lit(side).alias("side"))
 
+def _stack(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], side: int) -> DataFrame:
+    def cell(c, number, text):
+        return F.struct(F.lit(c).alias("column"), number.cast("double").alias("value"), text.cast("string").alias("text"))
 
-def value_counts_by_side(reference: DataFrame, current: DataFrame, columns: Sequence[str],
-                         numeric: bool) -> DataFrame:
-    """(column, value, ref_n, cur_n) for the non-null values of both sides, one shuffle."""
-    u = _stack(reference, columns, 0, numeric).unionByName(_stack(current, columns, 1, numeric))
-    u = u.where(F.col("value").isNotNull())
-    return u.groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("ref_n"),
-                                            F.count_if(F.col("side") == 1).alias("cur_n"))
+    cells = [cell(c, F.col(c), F.lit(None)) for c in numeric] + [cell(c, F.lit(None), F.col(c)) for c in categorical]
+    return df.select(F.explode(F.array(*cells)).alias("s")).select("s.*", F.lit(side).alias("side"))
+
+
+def counts_by_side(reference: DataFrame, current: DataFrame, numeric: Sequence[str] = (),
+                   categorical: Sequence[str] = ()) -> DataFrame:
+    """(column, value, text, ref_n, cur_n) for the values of both sides, written once: numeric
+    columns in ``value``, categorical ones in ``text``."""
+    u = _stack(reference, numeric, categorical, 0).unionByName(_stack(current, numeric, categorical, 1))
+    u = u.where((F.col("value").isNotNull() & ~F.isnan("value")) | F.col("text").isNotNull())
+    return keep(u.groupBy("column", "value", "text").agg(F.count_if(F.col("side") == 0).alias("ref_n"),
+                                                         F.count_if(F.col("side") == 1).alias("cur_n")), "drift-counts")
+
+
+def _all_columns(found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row for every column asked for; one without any value has counts of zero."""
+    named = found.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    return named.join(found, "column", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ref_rows", "cur_rows")})
 
 
 def ks_pvalue(d: Column, n: Column, m: Column) -> Column:
@@ -52,24 +71,33 @@ def ks_pvalue(d: Column, n: Column, m: Column) -> Column:
 
 
 def numeric_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str],
-                  buckets: int = 64) -> DataFrame:
-    """DR1 + DR2 per column: KS statistic and p-value, Wasserstein-1 distance, and
-    W1 divided by the reference's population standard deviation."""
-    c = value_counts_by_side(reference, current, columns, numeric=True)
-    r = running_sums(c, ["column"], "value", ["ref_n", "cur_n"], buckets=buckets, with_next=True)
-    tot = c.groupBy("column").agg(F.sum("ref_n").alias("_N"), F.sum("cur_n").alias("_M"),
-                                  (F.sqrt(F.greatest(F.sum(F.col("ref_n") * F.col("value") * F.col("value")) / F.sum("ref_n")
-                                                     - F.pow(F.sum(F.col("ref_n") * F.col("value")) / F.sum("ref_n"), 2),
-                                                     F.lit(0.0)))).alias("_ref_std"))
-    r = r.join(tot, "column")
-    diff = F.abs(F.col("cum_ref_n") / F.col("_N") - F.col("cum_cur_n") / F.col("_M"))
+                  buckets: int | None = None) -> DataFrame:
+    """DR1 + DR2 per column: KS statistic and p-value, Wasserstein-1 distance, and W1 divided by
+    the reference's population standard deviation (``LEAST_DEVIATION`` at least)."""
+    return _numeric(counts_by_side(reference, current, columns), columns, buckets)
+
+
+def _numeric(counts: DataFrame, columns: Sequence[str], buckets: int | None) -> DataFrame:
+    c = counts.where("value is not null").select("column", "value", "ref_n", "cur_n")
+    mean = F.try_divide(F.sum(F.col("ref_n") * F.col("value")), F.sum("ref_n"))
+    tot = keep(c.groupBy("column").agg(F.sum("ref_n").alias("_N"), F.sum("cur_n").alias("_M"), mean.alias("_mean")), "totals")
+    both = c.join(tot, "column")
+    # centred on the mean first: squares of large values would cancel
+    spread = F.try_divide(F.sum(F.col("ref_n") * F.pow(F.col("value") - F.col("_mean"), 2)), F.sum("ref_n"))
+    deviation = both.groupBy("column").agg(F.sqrt(spread).alias("_std"))
+    r = running_sums(c, ["column"], "value", ["ref_n", "cur_n"], buckets=buckets, with_next=True).join(tot, "column")
+    diff = F.abs(F.try_divide(F.col("cum_ref_n"), F.col("_N")) - F.try_divide(F.col("cum_cur_n"), F.col("_M")))
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
-    s = r.groupBy("column", "_N", "_M", "_ref_std").agg(F.max(diff).alias("ks_statistic"),
-                                                         F.sum(diff * step).alias("wasserstein"))
-    return s.select("column", F.col("_N").alias("ref_rows"), F.col("_M").alias("cur_rows"), "ks_statistic",
-                    ks_pvalue(F.col("ks_statistic"), F.col("_N").cast("double"), F.col("_M").cast("double")).alias("ks_pvalue"),
-                    "wasserstein",
-                    F.try_divide(F.col("wasserstein"), F.col("_ref_std")).alias("wasserstein_norm"))
+    s = (r.groupBy("column", "_N", "_M").agg(F.max(diff).alias("ks_statistic"), F.sum(diff * step).alias("wasserstein"))
+         .join(deviation, "column"))
+    found = s.select("column", F.col("_N").alias("ref_rows"), F.col("_M").alias("cur_rows"), "ks_statistic", "wasserstein", "_std")
+    n, m = F.col("ref_rows"), F.col("cur_rows")
+    p = F.when((n > 0) & (m > 0), ks_pvalue(F.col("ks_statistic"), F.greatest(n, F.lit(1)).cast("double"),
+                                            F.greatest(m, F.lit(1)).cast("double")))
+    normed = (F.when((n == 0) & (m == 0), F.lit(0.0)).when((n == 0) | (m == 0), F.lit(float("inf")))
+              .otherwise(F.col("wasserstein") / F.greatest(F.col("_std"), F.lit(LEAST_DEVIATION))))
+    return _all_columns(found, columns).select("column", "ref_rows", "cur_rows", "ks_statistic", p.alias("ks_pvalue"),
+                                               "wasserstein", normed.alias("wasserstein_norm"))
 
 
 def _gammaincc(a: float, x: float) -> float:
@@ -119,10 +147,14 @@ def chi2_sf_udf():
 def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """DR3 + DR4 per column: Jensen-Shannon distance (natural log, 0 ln 0 = 0) and the
     chi-square statistic of current counts against reference shares (+ dof, p-value)."""
-    c = value_counts_by_side(reference, current, columns, numeric=False)
-    tot = c.groupBy("column").agg(F.sum("ref_n").alias("_N"), F.sum("cur_n").alias("_M"))
+    return _categorical(counts_by_side(reference, current, (), columns), columns)
+
+
+def _categorical(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    c = counts.where("text is not null").select("column", "text", "ref_n", "cur_n")
+    tot = keep(c.groupBy("column").agg(F.sum("ref_n").alias("_N"), F.sum("cur_n").alias("_M")), "totals")
     r = c.join(tot, "column")
-    p, q = F.col("ref_n") / F.col("_N"), F.col("cur_n") / F.col("_M")
+    p, q = F.try_divide(F.col("ref_n"), F.col("_N")), F.try_divide(F.col("cur_n"), F.col("_M"))
     m = (p + q) / 2
 
     def kl(a):
@@ -132,10 +164,15 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequenc
     chi = F.when(expected > 0, F.pow(F.col("cur_n") - expected, 2) / expected).otherwise(
         F.when(F.col("cur_n") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)))
     s = r.groupBy("column", "_N", "_M").agg(
-        F.sqrt(F.greatest(F.sum(0.5 * kl(p) + 0.5 * kl(q)), F.lit(0.0))).alias("js_distance"),
-        F.sum(chi).alias("chi2_statistic"), (F.count(F.lit(1)) - 1).alias("chi2_dof"))
-    return s.select("column", F.col("_N").alias("ref_rows"), F.col("_M").alias("cur_rows"), "js_distance",
-                    "chi2_statistic", "chi2_dof")
+        F.sqrt(F.greatest(F.sum(0.5 * kl(p) + 0.5 * kl(q)), F.lit(0.0))).alias("js"),
+        F.sum(chi).alias("chi"), (F.count(F.lit(1)) - 1).alias("dof"))
+    found = s.select("column", F.col("_N").alias("ref_rows"), F.col("_M").alias("cur_rows"), "js", "chi", "dof")
+    n, k = F.col("ref_rows"), F.col("cur_rows")
+    both = (n > 0) & (k > 0)
+    js = F.when(both, F.col("js")).when((n == 0) & (k == 0), F.lit(0.0)).otherwise(F.lit(LARGEST_JS))
+    return _all_columns(found, columns).select("column", "ref_rows", "cur_rows", js.alias("js_distance"),
+                                               F.when(both, F.col("chi")).alias("chi2_statistic"),
+                                               F.when(both, F.col("dof")).alias("chi2_dof"))
 
 
 def with_chi2_pvalue(cat: DataFrame) -> DataFrame:
@@ -145,17 +182,16 @@ def with_chi2_pvalue(cat: DataFrame) -> DataFrame:
 def drift_table(reference: DataFrame, current: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                 cfg: DriftConfig = DriftConfig()) -> DataFrame:
     """DR5: one row per column: kind, test, statistic, threshold, drifted."""
+    counts = counts_by_side(reference, current, numeric, categorical)
     parts = []
     if numeric:
-        n = numeric_drift(reference, current, numeric, cfg.prefix_buckets)
-        parts.append(n.select("column", F.lit("num").alias("kind"), F.lit("wasserstein_norm").alias("stat_test"),
-                              F.col("wasserstein_norm").alias("statistic"),
-                              F.lit(cfg.numeric_threshold).alias("threshold")))
+        parts.append(_numeric(counts, numeric, cfg.prefix_buckets).select(
+            "column", F.lit("num").alias("kind"), F.lit("wasserstein_norm").alias("stat_test"),
+            F.col("wasserstein_norm").alias("statistic"), F.lit(cfg.numeric_threshold).alias("threshold")))
     if categorical:
-        c = categorical_drift(reference, current, categorical)
-        parts.append(c.select("column", F.lit("cat").alias("kind"), F.lit("jensenshannon").alias("stat_test"),
-                              F.col("js_distance").alias("statistic"),
-                              F.lit(cfg.categorical_threshold).alias("threshold")))
+        parts.append(_categorical(counts, categorical).select(
+            "column", F.lit("cat").alias("kind"), F.lit("jensenshannon").alias("stat_test"),
+            F.col("js_distance").alias("statistic"), F.lit(cfg.categorical_threshold).alias("threshold")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

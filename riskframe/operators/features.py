@@ -1,8 +1,8 @@
 """Feature pipeline (FE1-FE11): prepare, impute, one-hot dictionary + encode,
 label encode, k-means segments and the elbow choice, wide <-> long.
 
-Fitting only collects bounded artifacts to the driver (category dictionaries,
-bin edges, <= 14 clustering costs); transforms are native expressions or JVM
+Fitting only collects bounded artifacts to the driver (bin edges, category
+counts per column, <= 14 clustering costs); transforms are native expressions or JVM
 ML transformers.
 """
 
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from ..config import FeatureGroup
 from ..functions.scalars import cap, clip, cut_index, label_of_index
+from ..session import keep
+from .keys import join_on
+from .prefix import bucket_by_value, bucket_count, lay_out, position
 
 
 def prepare_columns(groups: Sequence[FeatureGroup], labels: bool = False,
@@ -73,86 +76,77 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                  (F.col(c).cast("double") if dtypes[c] != "string" else F.lit(None).cast("double")).alias("value_num"))
         for i, c in enumerate(columns)])).alias("s")).select("s.*")
     d = stacked.where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value_num", "value")
-    d = d.withColumn("local_index", F.row_number().over(w) - 1)
-    sizes = d.groupBy("_pos").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.withColumn("_off", F.sum("_n").over(Window.orderBy("_pos").rowsBetween(
-        Window.unboundedPreceding, -1))).fillna(0, ["_off"])
-    d = d.join(offs.select("_pos", "_off"), "_pos")
-    return d.select("_pos", "column", "value", "value_num", "local_index",
-                    (F.col("_off") + F.col("local_index")).alias("feature_index"),
+    # numbered in two phases: value-range buckets per column, then inside each bucket
+    place = F.coalesce("value_num", position(d, "value"))
+    groups = ["_pos", "column"]
+    d = keep(d.withColumn("_o", place), "categories")
+    d, _ = bucket_by_value(d, groups, bucket_count(d.count()), 10000)
+    before = Window.partitionBy("_pos").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keep(d.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_n")), "category-sizes")
+    inside = sizes.select("_pos", "_bk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # one row per column: how many values the columns before it have
+    per = {r["_pos"]: r["n"] for r in sizes.groupBy("_pos").agg(F.sum("_n").alias("n")).collect()}
+    start = F.array(*[F.lit(sum(per.get(j, 0) for j in range(i))) for i in range(len(columns))])
+    d = join_on(d, keep(inside, "category-offsets"), ["_pos", "_bk"])
+    w = Window.partitionBy("_pos", "_bk").orderBy("value_num", "value")
+    local = F.col("_before") + F.row_number().over(w) - 1
+    return d.select("_pos", "column", "value", "value_num", local.alias("local_index"),
+                    (F.get(start, F.col("_pos")) + local).alias("feature_index"),
                     F.concat_ws("_", "column", "value").alias("feature_name"))
 
 
 class OneHotModel:
     """FE4 fitted encoder: per column value -> local index, unseen/null -> all zeros.
 
-    The dictionary (bounded by the distinct values of the fitted columns) is
-    collected once; the transform is native map lookups plus the JVM
-    ``OneHotEncoder`` producing sparse vectors.
+    The dictionary is a written table in the shared folder with one row per (column, value).
+    Encoding joins it column by column (Spark broadcasts a column's part only if it is
+    small), so it may have any number of categories; the JVM ``OneHotEncoder`` then makes
+    sparse vectors.  Only the number of values per column is on the driver.
     """
 
-    def __init__(self, columns: Sequence[str], dictionary: dict[str, list[str]], numeric: dict[str, bool]):
+    def __init__(self, columns: Sequence[str], dictionary: DataFrame, sizes: dict[str, int]):
         self.columns = list(columns)
         self.dictionary = dictionary
-        self.numeric = numeric
+        self.sizes = sizes
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str], max_categories: int = 100_000) -> "OneHotModel":
-        """Collect the dictionary after checking its size: it becomes a literal map shipped with
-        every task, so it must stay bounded (raise rather than broadcast an unbounded one)."""
-        dd = category_dictionary(df, columns)
-        n = dd.count()
-        if n > max_categories:
-            raise ValueError(f"{n} categories exceed max_categories={max_categories}; "
-                             "bin or hash the column before one-hot encoding")
-        d = dd.orderBy("_pos", "local_index").collect()
-        dictionary: dict[str, list[str]] = {c: [] for c in columns}
-        for r in d:
-            dictionary[r["column"]].append(r["value"])
-        dtypes = dict(df.dtypes)
-        return cls(columns, dictionary, {c: dtypes[c] != "string" for c in columns})
+    def fit(cls, df: DataFrame, columns: Sequence[str]) -> "OneHotModel":
+        dd = keep(category_dictionary(df, columns), "one-hot")
+        found = {r["column"]: r["n"] for r in dd.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return cls(columns, dd, {c: found.get(c, 0) for c in columns})
 
     def feature_names(self) -> list[str]:
-        """FE5: ``COL_value`` names in feature order."""
-        return [f"{c}_{v}" for c in self.columns for v in self.dictionary[c]]
+        """FE5: ``COL_value`` names in feature order (on the driver: one per feature)."""
+        return [r[0] for r in self.dictionary.orderBy("feature_index").select("feature_name").collect()]
 
-    def index_columns(self) -> dict[str, Column]:
-        out = {}
+    def indexed(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``<column>__idx``: the local index, or the number of values if unseen or null."""
         for c in self.columns:
-            vals = self.dictionary[c]
-            m = F.create_map(*[x for i, v in enumerate(vals) for x in (F.lit(v), F.lit(float(i)))])
-            out[f"{c}__idx"] = F.coalesce(F.try_element_at(m, F.col(c).cast("string")), F.lit(float(len(vals))))
-        return out
+            known = self.dictionary.where(F.col("column") == c).select(
+                F.col("value").alias("__value"), F.col("local_index").cast("double").alias(f"{c}__idx"))
+            df = df.join(known, F.col(c).cast("string") == F.col("__value"), "left").drop("__value")
+        return df.withColumns({f"{c}__idx": F.coalesce(f"{c}__idx", F.lit(float(self.sizes[c]))) for c in self.columns})
 
     def encoder(self, output_suffix: str = "__vec") -> Transformer:
         """JVM one-hot over the local indices; the extra last slot (unseen) is dropped."""
         spark = _active()
-        sizes = [len(self.dictionary[c]) for c in self.columns]
-        n = max(sizes) + 1
-        rows = [tuple(float(min(i, s)) for s in sizes) for i in range(n)]
-        fit_df = spark.createDataFrame(rows, [f"{c}__idx" for c in self.columns])
+        fit_df = spark.range(1).select(*[F.lit(float(self.sizes[c])).alias(f"{c}__idx") for c in self.columns])
         enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in self.columns],
                             outputCols=[f"{c}{output_suffix}" for c in self.columns], dropLast=True)
         return enc.fit(fit_df)
 
     def transform(self, df: DataFrame, output_col: str = "features") -> DataFrame:
-        enc = self.encoder().transform(df.withColumns(self.index_columns()))
+        enc = self.encoder().transform(self.indexed(df))
         asm = VectorAssembler(inputCols=[f"{c}__vec" for c in self.columns], outputCol=output_col)
         out = asm.transform(enc)
         return out.drop(*[f"{c}__idx" for c in self.columns], *[f"{c}__vec" for c in self.columns])
 
     def active_features(self, df: DataFrame, key: str) -> DataFrame:
         """Long form of the encoding: (key, feature_index, feature_name) per set bit."""
-        names = F.array(*[F.lit(n) for n in self.feature_names()])
-        sizes = [len(self.dictionary[c]) for c in self.columns]
-        offsets = [sum(sizes[:i]) for i in range(len(sizes))]
-        idx = df.select(key, *[
-            F.when(v < s, v.cast("int") + F.lit(o)).alias(f"_f{i}")
-            for i, (v, s, o) in enumerate(zip(self.index_columns().values(), sizes, offsets))])
-        long = idx.select(key, F.explode(F.array_compact(F.array(*[F.col(f"_f{i}") for i in range(len(sizes))])))
-                          .alias("feature_index"))
-        return long.select(key, "feature_index", F.get(names, F.col("feature_index")).alias("feature_name"))
+        cells = df.select(key, F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in self.columns])).alias("s"))
+        names = self.dictionary.select("column", "value", "feature_index", "feature_name")
+        return cells.select(key, "s.*").join(names, ["column", "value"]).select(key, "feature_index", "feature_name")
 
 
 def _active():
@@ -160,26 +154,19 @@ def _active():
     return SparkSession.getActiveSession()
 
 
-def label_encode(df: DataFrame, c: str, name: str | None = None, prefix: int = 2) -> DataFrame:
+def label_encode(df: DataFrame, c: str, name: str | None = None, buckets: int | None = None) -> DataFrame:
     """FE9: sorted distinct categories -> 0..n-1, joined back.
 
-    The numbering is two-phase like the running sums: distinct values are grouped into
-    ordered buckets (the first ``prefix`` characters of the text, or value-range buckets for
-    numbers), bucket sizes give each bucket its offset through a window over the buckets
-    only, and values are numbered inside their bucket - no global window over all values.
+    The numbering is two-phase like the running sums: distinct values are cut into ordered
+    value-range buckets (quantiles of the values, for text of their first bytes), bucket sizes
+    give each bucket its offset through a window over the buckets only, and values are numbered
+    inside their bucket - no global window over all values.
     """
-    from .keys import join_on
-    from .prefix import bucket_by_value
     name = name or f"{c}_code"
-    d = df.select(c).where(F.col(c).isNotNull()).distinct()
-    if dict(df.dtypes)[c] == "string":
-        d = d.withColumn("_bk", F.substring(F.col(c), 1, prefix))
-    else:
-        d = d.withColumn("_g", F.lit(0)).withColumn("_o", F.col(c).cast("double"))
-        d = bucket_by_value(d, ["_g"], 64, 10000)[0].drop("_g", "_o")
-    sizes = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select("_bk", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    d, groups = lay_out(df.select(c).where(F.col(c).isNotNull()).distinct(), [], c, buckets, 10000)
+    sizes = d.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = keep(sizes.select("_bk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "offsets")
     d = join_on(d, offs, ["_bk"])
     d = d.select(c, (F.col("_off") + F.row_number().over(Window.partitionBy("_bk").orderBy(c)) - 1).alias(name))
     return df.join(d, c, "left")

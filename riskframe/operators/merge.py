@@ -1,4 +1,5 @@
-"""Key membership and merge (JOIN1, JOIN2, SET1)."""
+"""Key membership and merge (JOIN1, JOIN2, SET1).  A null key is a key like any other:
+once it is in the reference it is known, so a merge can be repeated without change."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import join_on
+
 
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -20,13 +23,13 @@ def rows_to_insert(new: DataFrame, reference: DataFrame, key: str | Sequence[str
     shrinks to one row per partition before it reaches the join.
     """
     k = _keys(key)
-    return new.join(reference.select(*k).distinct(), k, "left_anti")
+    return join_on(new, reference.select(*k).distinct(), k, "left_anti")
 
 
 def known_keys(new: DataFrame, reference: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """JOIN2: rows of ``new`` whose key already exists in ``reference``."""
     k = _keys(key)
-    return new.join(reference.select(*k).distinct(), k, "left_semi")
+    return join_on(new, reference.select(*k).distinct(), k, "left_semi")
 
 
 def known_key_count(new: DataFrame, reference: DataFrame, key: str | Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MetricConfig
+from ..session import keep
 from .prefix import running_sums
 from .keys import join_on
 
@@ -22,18 +23,22 @@ METRIC_NAMES = ("accuracy", "precision", "recall", "f1", "roc_auc", "log_loss",
 
 def score_counts(pred: DataFrame, groups: Sequence[str], target: str = "target",
                  score: str = "prediction") -> DataFrame:
-    """(groups, score) -> positives, negatives; partial aggregation shrinks hot scores map-side."""
+    """(groups, score) -> positives, negatives; partial aggregation shrinks hot scores map-side.
+    Rows without a score or a target are measured by nothing and left out."""
+    pred = pred.where(F.col(target).isNotNull() & F.col(score).isNotNull())
     return pred.groupBy(*groups, F.col(score).alias("score")).agg(
         F.sum(F.col(target)).cast("long").alias("pos"),
         F.sum(1 - F.col(target)).cast("long").alias("neg"))
 
 
 def roc_auc(pred: DataFrame, groups: Sequence[str] = (), target: str = "target",
-            score: str = "prediction", buckets: int = 64) -> DataFrame:
+            score: str = "prediction", buckets: int | None = None) -> DataFrame:
     """EV8: exact ROC AUC per group; tied scores count one half."""
-    groups = list(groups)
-    c = score_counts(pred, groups, target, score)
-    r = running_sums(c, groups, "score", ["neg"], buckets=buckets)
+    return _auc(score_counts(pred, list(groups), target, score), list(groups), buckets)
+
+
+def _auc(counts: DataFrame, groups: list, buckets: int | None = None) -> DataFrame:
+    r = running_sums(counts, groups, "score", ["neg"], buckets=buckets)
     # negatives strictly below this score = inclusive running count - this score's count
     part = r.groupBy(*groups).agg(
         F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)).alias("_num"),
@@ -43,23 +48,33 @@ def roc_auc(pred: DataFrame, groups: Sequence[str] = (), target: str = "target",
 
 def quality(pred: DataFrame, groups: Sequence[str] = (), cfg: MetricConfig = MetricConfig(),
             target: str = "target", score: str = "prediction", with_auc: bool = True) -> DataFrame:
-    """EV1: accuracy, precision, recall, f1, roc_auc, log_loss, tpr, tnr, fpr, fnr per group (one pass + AUC)."""
+    """EV1: accuracy, precision, recall, f1, roc_auc, log_loss, tpr, tnr, fpr, fnr per group.
+
+    All of them follow from the counts of positives and negatives per distinct score, which
+    are written once, so the rows are scanned (and models applied) a single time.  Rows
+    without a score or a target are measured by nothing and are not counted in ``n``.
+    """
     groups = list(groups)
-    if not groups:
-        return quality(pred.withColumn("_g", F.lit(0)), ["_g"], cfg, target, score, with_auc).drop("_g")
-    t = F.col(target)
-    p = F.col(score)
+    c = score_counts(pred, groups, target, score)
+    if with_auc:
+        c = keep(c, "score-counts")
+    p, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
     hit = p >= F.lit(cfg.threshold)
     pc = F.least(F.greatest(p, F.lit(cfg.log_loss_eps)), F.lit(1 - cfg.log_loss_eps))
-    c = pred.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((t == 1) & hit).alias("tp"), F.count_if((t == 0) & hit).alias("fp"),
-        F.count_if((t == 1) & ~hit).alias("fn"), F.count_if((t == 0) & ~hit).alias("tn"),
-        F.avg(-(t * F.log(pc) + (1 - t) * F.log(1 - pc))).alias("log_loss"))
-    out = _rates(c)
-    if with_auc:
-        auc = roc_auc(pred, groups, target, score)
-        out = join_on(out, auc, groups)
+
+    def total(x, when):
+        return F.coalesce(F.sum(F.when(when, x)), F.lit(0))
+
+    cells = c.groupBy(*groups).agg(
+        F.coalesce(F.sum(pos + neg), F.lit(0)).alias("n"),
+        total(pos, hit).alias("tp"), total(neg, hit).alias("fp"), total(pos, ~hit).alias("fn"), total(neg, ~hit).alias("tn"),
+        F.try_divide(F.sum(-(pos * F.log(pc) + neg * F.log(1 - pc))), F.sum(pos + neg)).alias("log_loss"))
+    out = _rates(cells)
+    if with_auc and groups:
+        return join_on(out, _auc(c, groups), groups)
+    if with_auc:  # one row on either side
+        return join_on(out.withColumn("_one", F.col("n") >= 0), _auc(c, []).withColumn(
+            "_one", F.coalesce(F.col("roc_auc") >= 0, F.lit(True))), ["_one"], "left").drop("_one")
     return out
 
 
@@ -140,22 +155,17 @@ def score_distribution(pred: DataFrame, groups: Sequence[str] = (), target: str
 
 
 def curve_points(pred: DataFrame, groups: Sequence[str] = (), target: str = "target",
-                 score: str = "prediction", buckets: int = 64) -> DataFrame:
+                 score: str = "prediction", buckets: int | None = None) -> DataFrame:
     """WIN1 / EV7 / EV9: cumulative counts at each distinct threshold, highest score first.
 
     Columns: threshold, tp, fp (rows scoring >= threshold), fpr, tpr, precision, recall.
     """
-    groups = list(groups)
-    if not groups:
-        return curve_points(pred.withColumn("_g", F.lit(0)), ["_g"], target, score, buckets).drop("_g")
-    c = score_counts(pred, groups, target, score)
-    r = running_sums(c, groups, "score", ["pos", "neg"], descending=True, buckets=buckets)
-    tot = c.groupBy(*groups).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    r = join_on(r, tot, groups)
+    c = score_counts(pred, list(groups), target, score)
+    r = running_sums(c, groups, "score", ["pos", "neg"], descending=True, buckets=buckets, totals=True)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return r.select(*groups, F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
-                    F.try_divide(fp, F.col("_N")).alias("fpr"), F.try_divide(tp, F.col("_P")).alias("tpr"),
-                    F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, F.col("_P")).alias("recall"))
+                    F.try_divide(fp, F.col("all_neg")).alias("fpr"), F.try_divide(tp, F.col("all_pos")).alias("tpr"),
+                    F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, F.col("all_pos")).alias("recall"))
 
 
 def roc_curve(pred: DataFrame, groups: Sequence[str] = (), **kw) -> DataFrame:
@@ -169,28 +179,27 @@ def pr_curve(pred: DataFrame, groups: Sequence[str] = (), **kw) -> DataFrame:
 
 
 def pr_table(pred: DataFrame, groups: Sequence[str] = (), step: int = 5, target: str = "target",
-             score: str = "prediction", buckets: int = 64) -> DataFrame:
+             score: str = "prediction", buckets: int | None = None) -> DataFrame:
     """EV10: for the top 5 %, 10 %, ... of rows by score: threshold, count, tp, fp, precision, recall.
 
     The cut at top x % is the score of the ceil(x % * n)-th row; all rows tied
     with it are included (so the table does not depend on tie order).
     """
-    groups = list(groups)
-    if not groups:
-        return pr_table(pred.withColumn("_g", F.lit(0)), ["_g"], step, target, score, buckets).drop("_g")
-    c = score_counts(pred, groups, target, score).withColumn("n_s", F.col("pos") + F.col("neg"))
-    r = running_sums(c, groups, "score", ["pos", "neg", "n_s"], descending=True, buckets=buckets)
-    tot = c.groupBy(*groups).agg(F.sum("n_s").alias("_n"), F.sum("pos").alias("_P"))
-    r = join_on(r, tot, groups)
-    tops = F.array(*[F.lit(x) for x in range(step, 101, step)])
-    # each distinct score row covers positions (cum_n_s - n_s, cum_n_s]; keep it for the cuts inside
-    x = r.select("*", F.explode(tops).alias("top_percent"))
-    k = F.ceil(F.col("top_percent") * F.col("_n") / 100.0)
-    x = x.where((k > F.col("cum_n_s") - F.col("n_s")) & (k <= F.col("cum_n_s")))
+    c = score_counts(pred, list(groups), target, score).withColumn("n_s", F.col("pos") + F.col("neg"))
+    r = running_sums(c, groups, "score", ["pos", "neg", "n_s"], descending=True, buckets=buckets, totals=True)
+    # a distinct score covers positions (cum_n_s - n_s, cum_n_s]; the cuts x with ceil(x n / 100) inside
+    # are the multiples of the step from `first` to `last`, for most scores none
+    n, end = F.col("all_n_s"), F.col("cum_n_s")
+    last = F.floor(end * 100 / n / step)
+    first = F.floor((end - F.col("n_s")) * 100 / n / step)
+    at = lambda i: F.ceil(i * step * n / 100.0)
+    cuts = F.filter(F.sequence(first, last + 1),
+                    lambda i: (i > 0) & (i * step <= 100) & (at(i) > end - F.col("n_s")) & (at(i) <= end))
+    x = r.withColumn("top_percent", F.explode(F.transform(cuts, lambda i: (i * step).cast("int"))))
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return x.select(*groups, "top_percent", F.col("score").alias("threshold"), F.col("cum_n_s").alias("count"),
                     tp.alias("tp"), fp.alias("fp"), F.try_divide(tp, tp + fp).alias("precision"),
-                    F.try_divide(tp, F.col("_P")).alias("recall"))
+                    F.try_divide(tp, F.col("all_pos")).alias("recall"))
 
 
 def quality_by_feature(pred: DataFrame, features: Sequence[str], groups: Sequence[str] = (),

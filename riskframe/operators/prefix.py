@@ -1,11 +1,13 @@
 """Two-phase running sums over an ordered value (WIN1; used by ROC/PR/AUC and KS/W1).
 
 A window ordered over the whole table runs in a single task.  Instead the
-(already aggregated, one row per distinct value) input is cut into value-range
-buckets per group using approximate quantiles, bucket totals are summed, a
-tiny window over the bucket totals gives each bucket its starting offset, and
-the real running sum runs inside (group, bucket) in parallel.  Results are
-exact: the buckets only decide where work is split, not the order.
+(already aggregated, one row per distinct value) input is written once to the
+shared folder, cut into value-range buckets per group using approximate
+quantiles, bucket totals are summed, a tiny window over the bucket totals gives
+each bucket its starting offset, and the real running sum runs inside (group,
+bucket) in parallel.  Every branch reads the written table, so the source is
+scanned once.  Results are exact: rows are ordered by the original column, the
+buckets only decide where work is split.
 """
 
 from __future__ import annotations
@@ -14,8 +16,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import keep
 from .keys import join_on
 
+#: rows that one bucket of a running sum should hold; the bucket count follows from it
+ROWS_PER_BUCKET = 200_000
+#: most split points a group gets (the accuracy of the quantile sketch bounds them)
+MAX_BUCKETS = 4096
+
+
+def bucket_count(rows: int, buckets: int | None = None) -> int:
+    """Buckets for ``rows`` rows: one per ROWS_PER_BUCKET unless given."""
+    return buckets or max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
+
+
+def position(df: DataFrame, column: str):
+    """A double that never falls while ``column`` rises: it picks a row's bucket, nothing else."""
+    kind = df.schema[column].dataType
+    c = F.col(column)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, T.StringType):  # the first seven bytes as one number
+        return F.conv(F.hex(F.substring(F.rpad(c.cast("binary"), 7, F.lit(b"\x00")), 1, 7)), 16, 10).cast("double")
+    return c.cast("double")
+
 
 def _count_below(x, splits, lo: int, hi: int):
     """Number of sorted ``splits[lo:hi]`` below ``x``: a binary search unrolled into nested CASE
@@ -29,71 +55,72 @@ def _count_below(x, splits, lo: int, hi: int):
 
 def bucket_by_value(d: DataFrame, groups: list, buckets: int, accuracy: int):
     """Add ``_bk``: the value-range bucket of ``_o`` inside its group (approximate quantile
-    split points per group - one partial/final aggregate, groups x (buckets-1) doubles)."""
+    split points per group - one partial/final aggregate, groups x (buckets-1) doubles).
+
+    The split points are written before they are joined, so that Spark knows their size and
+    broadcasts them only if it is small."""
+    if buckets <= 1:
+        # (not a literal: a join on a constant would be planned as a cross join)
+        return d.withColumn("_bk", F.when(F.col("_o").isNull(), F.lit(-1)).otherwise(F.lit(0))), groups
     probs = [i / buckets for i in range(1, buckets)]
-    splits = d.groupBy(*groups).agg(F.percentile_approx("_o", probs, accuracy).alias("_splits"))
+    splits = keep(d.groupBy(*groups).agg(F.percentile_approx("_o", probs, max(accuracy, 4 * buckets)).alias("_splits")),
+                  "splits")
     d = join_on(d, splits, groups)
     return d.withColumn("_bk", _count_below(F.col("_o"), F.col("_splits"), 0, buckets - 1)).drop("_splits"), groups
 
 
+def lay_out(df: DataFrame, groups: list, order: str, buckets: int | None, accuracy: int):
+    """``df`` written once, with ``_g`` where there is no group column, ``_o`` and ``_bk``."""
+    named = df if groups else df.withColumn("_g", F.lit(0))
+    d = keep(named.withColumn("_o", position(df, order)), "ordered")
+    groups = groups or ["_g"]
+    return bucket_by_value(d, groups, bucket_count(d.count(), buckets), accuracy)
+
+
 def running_max_before(df: DataFrame, groups: Sequence[str], order: str, value: str,
-                       buckets: int = 64, accuracy: int = 10000, name: str | None = None) -> DataFrame:
+                       buckets: int | None = None, accuracy: int = 10000, name: str | None = None) -> DataFrame:
     """Add the maximum of ``value`` over the earlier rows of the group (null for the first row).
 
     Same two phases as ``running_sums``: per (group, bucket) maxima, a tiny window over the
     buckets for the maximum of all earlier buckets, then a window inside (group, bucket) - so
     a group holding a third of the rows is spread over ``buckets`` tasks.  At most one row per
-    (groups, order) value.
+    (groups, order) value.  NaN is not a maximum: it is left out.
     """
     name = name or f"max_before_{value}"
-    groups = list(groups)
-    const = not groups
-    if const:
-        df, groups = df.withColumn("_g", F.lit(0)), ["_g"]
-    d = df.withColumn("_o", F.col(order).cast("double"))
-    d, groups = bucket_by_value(d, groups, buckets, accuracy)
-    tops = d.groupBy(*groups, "_bk").agg(F.max(value).alias("_top"))
+    d, groups = lay_out(df, list(groups), order, buckets, accuracy)
+    number = F.when(~F.isnan(value), F.col(value)) if dict(df.dtypes)[value] in ("double", "float") else F.col(value)
+    tops = d.groupBy(*groups, "_bk").agg(F.max(number).alias("_top"))
     before_b = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tops.select(*groups, "_bk", F.max("_top").over(before_b).alias("_prev"))
+    offs = keep(tops.select(*groups, "_bk", F.max("_top").over(before_b).alias("_prev")), "offsets")
     d = join_on(d, offs, [*groups, "_bk"])
-    inside = Window.partitionBy(*groups, "_bk").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    here = F.max(value).over(inside)
+    inside = Window.partitionBy(*groups, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    here = F.max(number).over(inside)
     # greatest() skips nulls: the first row of the first bucket stays null
-    out = d.withColumn(name, F.greatest(F.col("_prev"), here)).drop("_o", "_bk", "_prev")
-    return out.drop("_g") if const else out
+    return d.withColumn(name, F.greatest(F.col("_prev"), here)).select(*df.columns, name)
 
 
 def running_sums(df: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str],
-                 descending: bool = False, buckets: int = 64, accuracy: int = 10000,
-                 with_next: bool = False) -> DataFrame:
+                 descending: bool = False, buckets: int | None = None, accuracy: int = 10000,
+                 with_next: bool = False, totals: bool = False) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in ``order``) for each ``c`` in ``sums``.
 
-    ``df`` must hold at most one row per (groups, order) value.  With
-    ``with_next`` the next distinct order value of the group is added as
-    ``next_<order>`` (null on the last row).
+    ``df`` must hold at most one row per (groups, order) value.  With ``with_next`` the
+    next distinct order value of the group is added as ``next_<order>`` (null on the last
+    row), with ``totals`` each group's sum as ``all_<c>``.
     """
-    groups = list(groups)
-    const = not groups
-    if const:  # one implicit group, so every step below is a keyed join/window
-        df, groups = df.withColumn("_g", F.lit(0)), ["_g"]
-    o = F.col(order) * (-1 if descending else 1)
-    d = df.withColumn("_o", o.cast("double"))
-    d, groups = bucket_by_value(d, groups, buckets, accuracy)
-    totals = d.groupBy(*groups, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums],
-                                           F.min("_o").alias("_bmin"))
-    wb = Window.partitionBy(*groups).orderBy("_bk")
+    d, groups = lay_out(df, list(groups), order, buckets, accuracy)
+    by_bucket = d.groupBy(*groups, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums],
+                                              F.min(order).alias("_bmin"), F.max(order).alias("_bmax"))
+    wb = Window.partitionBy(*groups).orderBy(F.desc("_bk") if descending else F.asc("_bk"))
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*groups, "_bk",
-                         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
-                         F.lead("_bmin").over(wb).alias("_next_bmin"))
+    offs = keep(by_bucket.select(
+        *groups, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
+        *[F.sum(f"_t_{c}").over(Window.partitionBy(*groups)).alias(f"all_{c}") for c in sums if totals],
+        F.lead("_bmax" if descending else "_bmin").over(wb).alias("_next_b")), "offsets")
     d = join_on(d, offs, [*groups, "_bk"])
-
-    w = Window.partitionBy(*groups, "_bk").orderBy("_o")
+    w = Window.partitionBy(*groups, "_bk").orderBy(F.desc(order) if descending else F.asc(order))
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = {f"cum_{c}": F.col(f"_off_{c}") + F.sum(c).over(run) for c in sums}
     if with_next:
-        nxt = F.coalesce(F.lead("_o").over(w), F.col("_next_bmin"))
-        cols[f"next_{order}"] = nxt * (-1 if descending else 1)
-    out = d.withColumns(cols)
-    out = out.drop("_o", "_bk", "_next_bmin", *[f"_off_{c}" for c in sums])
-    return out.drop("_g") if const else out
+        cols[f"next_{order}"] = F.coalesce(F.lead(order).over(w), F.col("_next_b"))
+    return d.withColumns(cols).select(*df.columns, *cols, *[f"all_{c}" for c in sums if totals])

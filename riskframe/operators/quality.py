@@ -134,32 +134,43 @@ def column_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
                    exact: bool = False) -> DataFrame:
     """DQ10: per column count, missing, distinct, most common value; numeric: mean, std, min, quartiles, max.
 
-    One aggregation for the per-column statistics plus one grouped count for the most common
-    values.  Distinct counts and quartiles are sketches (``approx_count_distinct``,
-    ``percentile_approx``: bounded memory) unless ``exact=True``.
+    With ``exact=True`` the (column, value) counts are written once and every statistic follows
+    from them, in one scan of the source.  Otherwise distinct counts and quartiles are sketches
+    (``approx_count_distinct``, ``percentile_approx``: bounded memory).
     """
-    from .aggregates import quantile_columns, quantiles
-    from .keys import join_on
-    out = []
+    from . import aggregates as A
     cols = [*numeric, *categorical]
+    if exact:
+        return _exact_profile(df, list(numeric), cols, A)
+    out = []
     for c in cols:
         x = F.col(c)
         xd = x.cast("double") if c in numeric else F.lit(None).cast("double")
         out.append(F.struct(
             F.lit(c).alias("column"), F.count(F.lit(1)).alias("count"), F.count_if(x.isNull()).alias("missing"),
-            (F.count_distinct(x) if exact else F.approx_count_distinct(x)).alias("distinct"),
-            F.avg(xd).alias("mean"), F.stddev_samp(xd).alias("std"), F.min(xd).alias("min"), F.max(xd).alias("max")))
+            F.approx_count_distinct(x).alias("distinct"), F.avg(xd).alias("mean"), F.stddev_samp(xd).alias("std"),
+            F.min(xd).alias("min"), F.max(xd).alias("max"), F.percentile_approx(xd, [0.25, 0.5, 0.75], 10000).alias("q")))
     wide = df.agg(*[s.alias(f"_c{i}") for i, s in enumerate(out)])
     stats = wide.select(F.explode(F.array(*[F.col(f"_c{i}") for i in range(len(out))])).alias("p")).select("p.*")
     prof = stats.join(most_common(df, cols), "column", "left")
-    if numeric:
-        q = quantile_columns(quantiles(df, list(numeric), (0.25, 0.5, 0.75), exact=exact), ["column"],
-                             {0.25: "p25", 0.5: "p50", 0.75: "p75"})
-        prof = join_on(prof, q, ["column"], "left")
-    else:
-        prof = prof.withColumns({n: F.lit(None).cast("double") for n in ("p25", "p50", "p75")})
     return prof.select("column", "count", "missing", "distinct", "most_common", "mean", "std", "min",
-                       "p25", "p50", "p75", "max")
+                       *[F.get("q", i).cast("double").alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
+
+
+def _exact_profile(df: DataFrame, numeric: list, cols: list, A) -> DataFrame:
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"),
+                      (F.col(c) if c in numeric else F.lit(None)).cast("double").alias("value")) for c in cols]
+    counts = A.keep(df.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+                    .groupBy("column", "text", "value").agg(F.count(F.lit(1)).alias("n")), "profile-counts")
+    some = F.col("text").isNotNull()
+    stats = counts.groupBy("column").agg(
+        F.sum("n").alias("count"), F.coalesce(F.sum(F.when(~some, F.col("n"))), F.lit(0)).alias("missing"),
+        F.count_if(some).alias("distinct"),
+        F.min_by("text", F.when(some, F.struct(-F.col("n"), F.col("text")))).alias("most_common"))
+    numbers = counts.where("value is not null").select("column", "value", "n")
+    moments = A._describe_counts(numbers, cols).drop("count")
+    return stats.join(moments, "column", "left").select("column", "count", "missing", "distinct", "most_common", "mean",
+                                                        "std", "min", "p25", "p50", "p75", "max")
 
 
 def correlations(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
@@ -202,3 +213,9 @@ def test_suite(reference: DataFrame, current: DataFrame, columns: Sequence[str]
         lim = float(drift_limit if drift_limit is not None else len(columns) // 3)
         rows.append(("drifted_columns", float(drifted), None, lim, drifted <= lim))
     return spark.createDataFrame(rows, "test string, current double, reference double, limit double, passed boolean")
+
+
+def all_passed(suite: DataFrame) -> DataFrame:
+    """DQ9: one row: number of tests, number failed, whether all passed."""
+    return suite.agg(F.count(F.lit(1)).alias("n_tests"), F.count_if(~F.col("passed")).alias("n_failed")).select(
+        "n_tests", "n_failed", (F.col("n_failed") == 0).alias("all_passed"))

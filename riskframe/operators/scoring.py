@@ -45,9 +45,11 @@ def route_linear(df: DataFrame, segment: str, weights: DataFrame, features: Sequ
 
 
 def route_models(df: DataFrame, segment: str, models: Mapping, keep: Sequence[str]) -> DataFrame:
-    """SCO4 with a few Spark models: score each segment's rows with its model and union."""
-    out = None
+    """SCO4 with a few Spark models: score each segment's rows with its model and union.  Rows of
+    a segment without a model (or without a segment) stay, with null predictions."""
+    known = F.col(segment).isin(list(models))
+    out = df.where(~F.coalesce(known, F.lit(False))).select(
+        *keep, segment, F.lit(None).cast("int").alias("predicted"), F.lit(None).cast("double").alias("prediction"))
     for s, m in models.items():
-        part = score(m, df.where(F.col(segment) == F.lit(s)), [*keep, segment])
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(score(m, df.where(F.col(segment) == F.lit(s)), [*keep, segment]))
     return out

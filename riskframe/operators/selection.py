@@ -1,12 +1,12 @@
 """Model selection, promotion gates and keep-best registries (SEL1-SEL5, ML10).
 
-All work on small metric/registry tables with windows keyed by model or
-registry key; nothing here touches row-level data.
+All work on small metric/registry tables, reduced by partial aggregation;
+nothing here touches row-level data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,20 +35,15 @@ def best_model(metrics: DataFrame, eval_param: str, eval_difference: float, base
     return ok.orderBy(F.asc("gap"), F.desc("seq")).limit(1)
 
 
-def challenger_gate(metrics: DataFrame, production: str, eval_param: str, eval_difference: float,
+def challenger_gate(metrics: DataFrame, stored_threshold: float | None, eval_param: str, eval_difference: float,
                     base_accuracy: float, split: str = "split") -> DataFrame:
-    """SEL4: evaluate production + candidates together, pick with SEL1, then accept the pick
-    only if its test ``eval_param`` beats the production model's.
-
-    The view has one row per model, so the windows below run over a handful of rows.
+    """SEL4: evaluate production + candidates together, pick with SEL1 on ``eval_param``, then
+    accept the pick only if its test accuracy beats the stored threshold (no threshold stored:
+    accept); the threshold then becomes that accuracy.  No acceptable model: no row.
     """
-    v = train_test_view(metrics, eval_param, split)
-    v = v.withColumn("_prod", F.max(F.when(F.col("model") == production, F.col("test_score"))).over(Window.partitionBy()))
-    ok = v.where((F.col("gap") <= F.lit(eval_difference)) & (F.col("test_accuracy") >= F.lit(base_accuracy)))
-    best = ok.withColumn("_rn", F.row_number().over(Window.orderBy(F.asc("gap"), F.desc("seq")))).where("_rn = 1")
-    acc = F.col("test_score") > F.col("_prod")
-    return best.select("model", "test_score", acc.alias("accepted"),
-                       F.when(acc, F.col("test_score")).otherwise(F.col("_prod")).alias("new_threshold"))
+    best = best_model(metrics, eval_param, eval_difference, base_accuracy, split)
+    return gate(stored_threshold, best, "test_accuracy").select("model", "test_score", "test_accuracy", "accepted",
+                                                                "new_threshold")
 
 
 def gate_history(candidates: DataFrame, key: str, seq: str, score: str, initial: float | None = None) -> DataFrame:
@@ -56,14 +51,16 @@ def gate_history(candidates: DataFrame, key: str, seq: str, score: str, initial:
     of the key (and the stored ``initial`` threshold); the threshold then becomes its score.
 
     The maximum over earlier candidates uses the two-phase running maximum, so one key with
-    a third of all candidates is still split over many tasks.
+    a third of all candidates is still split over many tasks.  Candidates are ordered by ``seq``
+    as it is (numbers, dates or text); a NaN score is never accepted.
     """
     from .prefix import running_max_before
     r = running_max_before(candidates, [key], seq, score, name="_prev_max")
     prev = F.col("_prev_max")
+    beats = F.coalesce(~F.isnan(F.col(score).cast("double")), F.lit(False))
     if initial is not None:
         prev = F.greatest(F.coalesce(prev, F.lit(initial)), F.lit(initial))
-    acc = F.when(prev.isNull(), F.lit(True)).otherwise(F.col(score) > prev)
+    acc = beats & F.when(prev.isNull(), F.lit(True)).otherwise(F.col(score) > prev)
     return r.withColumns({"threshold_before": prev, "accepted": acc}).drop("_prev_max")
 
 
@@ -71,7 +68,7 @@ def gate(stored_threshold: float | None, test_score: DataFrame, score: str = "te
     """SEL3 single decision: accept iff the new test score is strictly above the stored one;
     the threshold then becomes the accepted score."""
     thr = F.lit(stored_threshold).cast("double")
-    acc = thr.isNull() | (F.col(score) > thr)
+    acc = ~F.isnan(F.col(score)) & (thr.isNull() | (F.col(score) > thr))
     return test_score.withColumns({"accepted": acc,
                                    "new_threshold": F.when(acc, F.col(score)).otherwise(thr)})
 
@@ -86,8 +83,11 @@ def _pick_per_key(allrows: DataFrame, key: str, rank: Column) -> DataFrame:
 
 
 def keep_best(registry: DataFrame, new: DataFrame, key: str, score: str, seq: str = "seq") -> DataFrame:
-    """ML10: upsert keeping, per key, the strictly best score (earlier entry wins a tie)."""
-    return _pick_per_key(registry.unionByName(new), key, F.struct(F.col(score), -F.col(seq)))
+    """ML10: upsert keeping, per key, the strictly best score (earlier entry wins a tie).  A NaN
+    or null score never beats a number."""
+    number = F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
+    rank = F.struct(number.isNotNull(), number, -F.col(seq))
+    return _pick_per_key(registry.unionByName(new), key, rank)
 
 
 def upsert_first_wins(history: DataFrame, new: DataFrame, key: str, order: tuple[str, ...] = ("seq",)) -> DataFrame:

@@ -26,40 +26,54 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Param:
-    kind: str          # "int", "float", "logfloat", "choice", "fixed"
+    kind: str          # "int", "float", "logfloat", "step", "choice"
     low: float | None = None
     high: float | None = None
     choices: tuple = ()
+    step: float | None = None
 
 
-# Search spaces (tuned ranges of the original families, mapped to Spark ML names).
+# The tuned ranges of the original families under their Spark ML names.  Options
+# without an equivalent (L1/L2 penalties, leaf-count caps, loss and tree-growth kinds) have no entry.
 GBT_SPACE = {
     "stepSize": Param("logfloat", 1e-4, 1e-1), "maxIter": Param("int", 100, 1000),
     "maxDepth": Param("int", 3, 10), "subsamplingRate": Param("float", 0.1, 1.0),
-    "minInstancesPerNode": Param("int", 1, 20), "minWeightFractionPerNode": Param("float", 0.0, 0.5),
-    "minInfoGain": Param("float", 0.0, 0.5),
+    "minInstancesPerNode": Param("int", 1, 10), "minWeightFractionPerNode": Param("float", 0.0, 0.4999),
+    "minInfoGain": Param("float", 0.0, 0.5), "featureSubsetStrategy": Param("choice", choices=("sqrt", "log2")),
 }
 RF_SPACE = {
     "impurity": Param("choice", choices=("gini", "entropy")), "maxDepth": Param("int", 3, 10),
     "numTrees": Param("int", 100, 1000), "bootstrap": Param("choice", choices=(True, False)),
     "featureSubsetStrategy": Param("choice", choices=("sqrt",)), "minInstancesPerNode": Param("int", 1, 10),
 }
-LGBM_SPACE = {  # re-aimed: min_data_in_leaf, min_gain_to_split, bagging/feature fraction
+LGBM_SPACE = {  # leaf minimum, gain to split, bagging and feature fractions
     "stepSize": Param("logfloat", 1e-4, 1e-1), "maxIter": Param("int", 100, 1000), "maxDepth": Param("int", 3, 10),
-    "minInstancesPerNode": Param("int", 1, 100), "minInfoGain": Param("float", 0.0, 15.0),
-    "subsamplingRate": Param("float", 0.2, 1.0), "featureSubsetStrategy": Param("choice", choices=("0.8", "all")),
+    "minInstancesPerNode": Param("int", 1, 10), "minInfoGain": Param("step", 0.0, 100.0, step=5.0),
+    "subsamplingRate": Param("step", 0.2, 0.95, step=0.1), "featureSubsetStrategy": Param("step", 0.2, 0.95, step=0.1),
 }
-CATBOOST_SPACE = {  # re-aimed: early stopping on a validation indicator
-    "stepSize": Param("logfloat", 1e-3, 1e-1), "maxIter": Param("int", 100, 1000), "maxDepth": Param("int", 3, 10),
-    "validationTol": Param("choice", choices=(0.01,)),
+XGB_SPACE = {  # child weight, gamma, row and column subsampling
+    "stepSize": Param("logfloat", 1e-4, 1e-1), "maxIter": Param("int", 100, 1000), "maxDepth": Param("int", 3, 10),
+    "minInstancesPerNode": Param("int", 1, 10), "minInfoGain": Param("logfloat", 1e-8, 1.0),
+    "subsamplingRate": Param("logfloat", 0.5, 1.0), "featureSubsetStrategy": Param("logfloat", 0.5, 1.0),
+}
+CATBOOST_SPACE = {  # column share per level, depth, Bernoulli subsample; 1000 rounds at the default rate
+    "maxDepth": Param("int", 3, 12), "featureSubsetStrategy": Param("logfloat", 0.01, 1.0),
+    "subsamplingRate": Param("logfloat", 0.01, 1.0), "stepSize": Param("choice", choices=(0.03,)),
+    "maxIter": Param("choice", choices=(1000,)),
 }
 
+#: bound on the labelled rows that a search or refit is fitted on (see ``fit_sample``)
+FIT_ROWS = 20_000
+#: boosting stops when the loss of the validation rows improves by less than this share
+VALIDATION_TOL = 0.01
 
-def scaled(space: Mapping[str, Param], **overrides: Param) -> dict:
-    """A copy of ``space`` with some ranges replaced (e.g. fewer trees for a quick run)."""
-    out = dict(space)
-    out.update(overrides)
-    return out
+
+def fit_sample(train: DataFrame, key: str, rows: int = FIT_ROWS) -> DataFrame:
+    """At most about ``rows`` labelled rows to fit a classifier on, picked by a hash of ``key``
+    (the same rows on every run); all of them if there are no more."""
+    n = train.count()
+    share = min(1.0, rows / max(n, 1))
+    return train if share == 1.0 else train.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
 
 
 def sample_params(space: Mapping[str, Param], n: int, seed: int) -> list[dict]:
@@ -74,29 +88,32 @@ def sample_params(space: Mapping[str, Param], n: int, seed: int) -> list[dict]:
             elif p.kind == "float":
                 d[k] = rng.uniform(p.low, p.high)
             elif p.kind == "logfloat":
-                d[k] = math.exp(rng.uniform(math.log(p.low), math.log(p.high)))
+                d[k] = min(p.high, max(p.low, math.exp(rng.uniform(math.log(p.low), math.log(p.high)))))
+            elif p.kind == "step":
+                d[k] = round(p.low + p.step * rng.randint(0, int((p.high - p.low) / p.step + 1e-9)), 10)
             else:
                 d[k] = rng.choice(p.choices)
+            if k == "featureSubsetStrategy":  # a share of the columns is text to Spark
+                d[k] = str(d[k])
         out.append(d)
     return out
 
 
 def make_estimator(family: str, features: str = "features", label: str = "label",
                    validation_col: str | None = None, seed: int = 1961) -> Estimator:
-    """Family -> Spark estimator (factory dict instead of reflection)."""
-    if family in ("GBT", "LGBM", "XGB"):
-        return GBTClassifier(featuresCol=features, labelCol=label, seed=seed)
-    if family == "CATBOOST":
-        if not validation_col:
+    """Family -> Spark estimator (factory dict instead of reflection).  Boosting families stop
+    early on the rows that ``validation_col`` marks, if it is given."""
+    if family in ("GBT", "LGBM", "XGB", "CATBOOST"):
+        if family == "CATBOOST" and not validation_col:
             raise ValueError("the early-stopping variant needs a validation indicator column")
-        return GBTClassifier(featuresCol=features, labelCol=label, seed=seed,
-                             validationIndicatorCol=validation_col)
+        est = GBTClassifier(featuresCol=features, labelCol=label, seed=seed, validationTol=VALIDATION_TOL)
+        return est.setValidationIndicatorCol(validation_col) if validation_col else est
     if family == "RF":
         return RandomForestClassifier(featuresCol=features, labelCol=label, seed=seed)
     raise ValueError(f"unknown model family {family}")
 
 
-SPACES = {"GBT": GBT_SPACE, "RF": RF_SPACE, "LGBM": LGBM_SPACE, "XGB": GBT_SPACE, "CATBOOST": CATBOOST_SPACE}
+SPACES = {"GBT": GBT_SPACE, "RF": RF_SPACE, "LGBM": LGBM_SPACE, "XGB": XGB_SPACE, "CATBOOST": CATBOOST_SPACE}
 
 
 def _param_maps(est: Estimator, params: Sequence[dict]):
@@ -112,6 +129,18 @@ def cross_validate(est: Estimator, params: Sequence[dict], train: DataFrame, fol
     return cv.fit(train)
 
 
+def fold_scores(est: Estimator, params: Mapping, train: DataFrame, fold_col: str = "fold", label: str = "label",
+                folds: int = 5) -> DataFrame:
+    """ML7: ROC AUC of each fold (fitted on the other folds) for one parameter dict."""
+    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    one = {est.getParam(k): v for k, v in params.items()}
+    rows = []
+    for i in range(folds):
+        model = est.copy(one).fit(train.where(F.col(fold_col) != i))
+        rows.append((i, float(ev.evaluate(model.transform(train.where(F.col(fold_col) == i))))))
+    return train.sparkSession.createDataFrame(rows, "fold int, roc_auc double")
+
+
 def trial_log(family: str, params: Sequence[dict], cv_model) -> DataFrame:
     """SNK5: one row per trial: family, trial number, parameters (map), mean CV AUC."""
     spark = SparkSession.getActiveSession()
@@ -133,7 +162,8 @@ def search(train: DataFrame, families: Sequence[str], n_trials: int, spaces: Map
         cvm = cross_validate(est, params, train, fold_col, label, parallelism)
         log = trial_log(fam, params, cvm)
         logs = log if logs is None else logs.unionByName(log)
-        j = int(np.argmax(cvm.avgMetrics))
+        scores = np.array(cvm.avgMetrics, float)
+        j = int(np.argmax(np.where(np.isnan(scores), -np.inf, scores)))  # a trial without a score never wins
         best_rows.append((fam, type(est).__name__, {k: str(v) for k, v in params[j].items()},
                           float(cvm.avgMetrics[j]), i))
     spark = train.sparkSession
@@ -195,10 +225,10 @@ def segment_least_squares(df: DataFrame, segment: str, x: str, y: str) -> DataFr
 def segment_linear_models(df: DataFrame, segment: str, features: Sequence[str], label: str,
                           ridge: float = 0.0) -> DataFrame:
     """ML12 (many segments, several features): least squares per segment from sufficient
-    statistics.  One aggregation of the cross products X'X and X'y per segment (partial
-    aggregation, so a segment holding a third of the rows is summed map-side), then each
-    segment's (p+1) x (p+1) system is solved in an Arrow batch over those statistic rows only -
-    no group of raw rows is ever gathered into one task.  Output: segment, intercept, w_<f>, rows.
+    statistics.  One aggregation of the centred cross products X'X and X'y per segment (partial
+    aggregation, so a segment holding a third of the rows is summed map-side), then the
+    (p+1) x (p+1) systems of a batch of segments are solved together over those statistic rows
+    only - no group of raw rows is ever gathered into one task.  Output: segment, intercept, w_<f>, rows.
     """
     cols = ["_one", *features]
     xs = {"_one": F.lit(1.0), **{f: F.col(f).cast("double") for f in features}}
@@ -206,31 +236,39 @@ def segment_linear_models(df: DataFrame, segment: str, features: Sequence[str],
     for f in features:
         ok = ok & F.col(f).isNotNull()
     d = df.where(ok)
-    aggs = [F.sum(xs[a] * xs[b]).alias(f"xx_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    aggs += [F.sum(xs[a] * F.col(label).cast("double")).alias(f"xy_{i}") for i, a in enumerate(cols)]
-    aggs.append(F.count(F.lit(1)).alias("rows"))
-    stats = d.groupBy(segment).agg(*aggs)
+    # centred products (covar_pop updates means as it goes): raw sums of squares would cancel
+    y, n = F.col(label).cast("double"), F.count(F.lit(1))
+    aggs = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols[i:], i):
+            aggs.append((n.cast("double") if j == 0 else F.lit(0.0) if i == 0 else n * F.covar_pop(xs[a], xs[b])).alias(f"xx_{i}_{j}"))
+        aggs.append((F.lit(0.0) if i == 0 else n * F.covar_pop(xs[a], y)).alias(f"xy_{i}"))
+        aggs.append(F.avg(xs[a]).alias(f"m_{i}"))
+    stats = d.groupBy(segment).agg(*aggs, F.avg(y).alias("my"), n.alias("rows"))
     p = len(cols)
     seg_type = dict(df.dtypes)[segment]
     out_schema = f"`{segment}` {seg_type}, intercept double, " + ", ".join(f"`w_{f}` double" for f in features) + \
         ", rows bigint"
 
-    def solve(pdf):
+    def solve(batches):
+        """All segments of a batch in one stacked solve."""
         import numpy as np
         import pandas as pd
-        res = []
-        for _, r in pdf.iterrows():
-            A = np.zeros((p, p))
+        for pdf in batches:
+            A = np.zeros((len(pdf), p, p))
             for i in range(p):
                 for j in range(i, p):
-                    A[i, j] = A[j, i] = r[f"xx_{i}_{j}"]
-            b = np.array([r[f"xy_{i}"] for i in range(p)])
-            A[1:, 1:] += ridge * np.eye(p - 1)
-            w, *_ = np.linalg.lstsq(A, b, rcond=None)
-            res.append([r[segment], *[float(v) for v in w], int(r["rows"])])
-        return pd.DataFrame(res, columns=[segment, "intercept", *[f"w_{f}" for f in features], "rows"])
+                    A[:, i, j] = A[:, j, i] = pdf[f"xx_{i}_{j}"]
+            b = np.stack([pdf[f"xy_{i}"] for i in range(p)], 1).astype(float)
+            A[:, 1:, 1:] += ridge * np.eye(p - 1)
+            w = (np.linalg.pinv(A, hermitian=True) @ b[:, :, None])[:, :, 0]
+            # the statistics are centred: shift the intercept back
+            means = np.stack([pdf[f"m_{i}"] for i in range(1, p)], 1) if p > 1 else np.zeros((len(pdf), 0))
+            first = w[:, 0] + pdf["my"].to_numpy() - (w[:, 1:] * means).sum(1)
+            yield pd.DataFrame({segment: pdf[segment], "intercept": first,
+                                **{f"w_{f}": w[:, i + 1] for i, f in enumerate(features)}, "rows": pdf["rows"]})
 
-    return stats.groupBy(segment).applyInPandas(solve, out_schema)
+    return stats.mapInPandas(solve, out_schema)
 
 
 def fit_per_segment(df: DataFrame, segment: str, segments: Sequence, make) -> dict:
@@ -240,11 +278,11 @@ def fit_per_segment(df: DataFrame, segment: str, segments: Sequence, make) -> di
 
 # ----------------------------------------------------------------- linear discriminant
 def lda_statistics(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
-    """ML3 statistics: per-class count and means, and the pooled within-class covariance
-    entries (one aggregation for the class sums and cross products)."""
+    """ML3 statistics: per-class count and means, and the within-class scatter entries (centred
+    products, one aggregation)."""
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(F.col(f).cast("double")).alias(f"mean_{f}") for f in features]
-    aggs += [F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"sxx_{i}_{j}")
+    aggs += [(F.count(F.lit(1)) * F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"sxx_{i}_{j}")
              for i, a in enumerate(features) for j, b in enumerate(features) if j >= i]
     return df.groupBy(label).agg(*aggs)
 
@@ -261,8 +299,7 @@ def lda_fit(stats_rows, features: Sequence[str], label: str = "label") -> dict:
         means[k] = m
         for i in range(p):
             for j in range(i, p):
-                v = r[f"sxx_{i}_{j}"] - r["n"] * m[i] * m[j]
-                S[i, j] += v
+                S[i, j] += r[f"sxx_{i}_{j}"]
                 S[j, i] = S[i, j]
     S /= max(n - len(rows), 1)
     w = np.linalg.solve(S + 1e-9 * np.eye(p), means[1] - means[0])

@@ -47,7 +47,7 @@ num AS (SELECT "column", n_ref::BIGINT AS ref_rows, n_cur::BIGINT AS cur_rows, k
     WHEN lam < 1.18 THEN 1 - sqrt(2 * pi()) / lam * list_sum(list_transform(range(1, 101),
       lambda j: exp(-(2 * j - 1) * (2 * j - 1) * pi() * pi() / (8 * lam * lam))))
     ELSE list_sum(list_transform(range(1, 101), lambda j: 2 * pow(-1.0, j - 1) * exp(-2 * j * j * lam * lam))) END, 0.0), 1.0)
-    AS ks_pvalue, w1 AS wasserstein, w1 / ref_std AS wasserstein_norm FROM k)"""
+    AS ks_pvalue, w1 AS wasserstein, w1 / greatest(ref_std, 0.001) AS wasserstein_norm FROM k)"""
 
 
 def categorical_sql(src_ref, src_cur, cols):
@@ -152,3 +152,27 @@ def dq8_drifted_columns(spark, sf):
     ref, cur = _sides(spark, sf)
     v = DR.dataset_drift(DR.drift_table(ref, cur, NUM, CAT))
     return v.select("n_columns", "n_drifted", (F.col("n_drifted") <= F.floor(F.col("n_columns") / 3)).alias("passed"))
+
+
+@register("dr5_planted_cases", """
+SELECT * FROM (VALUES ('large_offset', 'num', false), ('constant_shifted', 'num', true), ('null_both', 'num', false),
+  ('null_current', 'num', true), ('text_null_both', 'cat', false), ('text_null_current', 'cat', true),
+  ('text_same', 'cat', false), ('large_shifted', 'num', true)) AS t("column", kind, drifted)""")
+def dr5_planted_cases(spark, sf):
+    """Verdicts on planted columns of all orders: large numbers that stay and that shift by 20, a
+    constant that becomes another, columns without values on one or both sides."""
+    o = table(spark, sf, "orders")
+    none = F.when(F.col("o_orderkey") < 0, F.col("o_totalprice"))
+
+    def side(current):
+        big = F.lit(1.7e9) + F.col("o_orderkey") % 10
+        text = F.when(F.col("o_orderkey") < 0, F.col("o_orderstatus"))
+        return o.select(big.alias("large_offset"), (big + (20 if current else 0)).alias("large_shifted"),
+                        (F.col("o_orderkey") * 0 + (99.0 if current else 1.0)).alias("constant_shifted"),
+                        none.alias("null_both"), (none if current else F.col("o_totalprice")).alias("null_current"),
+                        text.alias("text_null_both"), (text if current else F.col("o_orderstatus")).alias("text_null_current"),
+                        F.col("o_orderpriority").alias("text_same"))
+
+    t = DR.drift_table(side(False), side(True), ["large_offset", "large_shifted", "constant_shifted", "null_both", "null_current"],
+                       ["text_null_both", "text_null_current", "text_same"])
+    return t.select("column", "kind", "drifted")

@@ -172,23 +172,23 @@ _WEEK_SQL = "(date_diff('day', DATE '2024-01-01', ts::DATE) // 7)::INT"
 
 
 def _weekly(spark, sf):
-    ev = table(spark, sf, "events").where(F.col("event_type") == "purchase")
+    ev = table(spark, sf, "events")
     week = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7).cast("int")
     return ev.select("user_id", week.alias("week"), "value")
 
 
 @register("fe11_long_to_wide", f"""
 SELECT user_id, {", ".join(f"round(sum(value) FILTER (WHERE w = {i}), 4) AS w{i}" for i in range(5))}
-FROM (SELECT user_id, {_WEEK_SQL} AS w, value FROM events WHERE event_type = 'purchase') GROUP BY 1""")
+FROM (SELECT user_id, {_WEEK_SQL} AS w, value FROM events) GROUP BY 1""")
 def fe11_long_to_wide(spark, sf):
-    """Purchase value per user x week as a wide five-week block (fixed column list, no distinct job)."""
+    """Event value per user x week as a wide five-week block (fixed column list, no distinct job)."""
     w = FE.long_to_wide(_weekly(spark, sf), ["user_id"], "week", "value", list(range(5)))
     return w.select("user_id", *[F.round(F.col(f"`{i}`"), 4).alias(f"w{i}") for i in range(5)])
 
 
 @register("fe11_wide_to_long", f"""
 WITH w AS (SELECT user_id, {", ".join(f"sum(value) FILTER (WHERE w = {i}) AS w{i}" for i in range(5))}
-  FROM (SELECT user_id, {_WEEK_SQL} AS w, value FROM events WHERE event_type = 'purchase') GROUP BY 1)
+  FROM (SELECT user_id, {_WEEK_SQL} AS w, value FROM events) GROUP BY 1)
 SELECT user_id, measure, round(value, 4) AS value FROM (UNPIVOT w ON {", ".join(f"w{i}" for i in range(5))}
   INTO NAME measure VALUE value)""")
 def fe11_wide_to_long(spark, sf):

@@ -8,6 +8,8 @@ from ..functions.scalars import stable_round
 from ..operators import quality as Q
 from ..operators.split import stratified_split
 from ..session import scratch_path, table
+from ..operators.drift import dataset_drift, drift_table
+from .q_drift import _DR5_SQL, CAT, NUM, _sides
 from .q_metrics import P as PRED_SQL
 from .q_metrics import predictions
 from .registry import register
@@ -160,6 +162,9 @@ def dq12_prediction_conflict(spark, sf):
 
 
 # ------------------------------------------------------------------ suite
+_DRIFTED_SQL = _DR5_SQL + " SELECT count_if(statistic >= threshold) FROM t"
+
+
 def _side(spark, sf, status):
     return quality_frame(spark, sf).where(F.col("l_linestatus") == status)
 
@@ -179,10 +184,30 @@ WITH cur AS {_suite_side_sql('O')}, ref AS {_suite_side_sql('F')},
 c AS (UNPIVOT cur ON COLUMNS(*) INTO NAME test VALUE current),
 r AS (UNPIVOT ref ON COLUMNS(*) INTO NAME test VALUE reference)
 SELECT test, current, reference, reference AS "limit", current <= reference AS passed FROM c JOIN r USING (test)
-UNION ALL SELECT 'columns_type', 0.0, 0.0, 0.0, true""")
+UNION ALL SELECT 'columns_type', 0.0, 0.0, 0.0, true
+UNION ALL SELECT 'drifted_columns', ({_DRIFTED_SQL})::DOUBLE, NULL, 2.0, ({_DRIFTED_SQL}) <= 2""")
 def dq9_test_suite(spark, sf):
-    """Suite over (reference = closed lines F, current = open lines O); limits default to the reference's values."""
-    return Q.test_suite(_side(spark, sf, "F"), _side(spark, sf, "O"))
+    """Suite over (reference = closed lines F, current = open lines O); limits default to the
+    reference's values, drift is measured on the six columns of the drift table."""
+    return _suite(spark, sf)
+
+
+def _suite(spark, sf):
+    ref, cur = _sides(spark, sf)
+    drifted = dataset_drift(drift_table(ref, cur, NUM, CAT)).first()["n_drifted"]
+    return Q.test_suite(_side(spark, sf, "F"), _side(spark, sf, "O"), drifted=drifted, drift_limit=(len(NUM) + len(CAT)) // 3)
+
+
+@register("dq9_all_passed", f"""
+WITH cur AS {_suite_side_sql('O')}, ref AS {_suite_side_sql('F')},
+c AS (UNPIVOT cur ON COLUMNS(*) INTO NAME test VALUE current),
+r AS (UNPIVOT ref ON COLUMNS(*) INTO NAME test VALUE reference),
+t AS (SELECT current <= reference AS passed FROM c JOIN r USING (test) UNION ALL SELECT true
+  UNION ALL SELECT ({_DRIFTED_SQL}) <= 2)
+SELECT count(*) AS n_tests, count_if(NOT passed) AS n_failed, count_if(NOT passed) = 0 AS all_passed FROM t""")
+def dq9_all_passed(spark, sf):
+    """Whether every test of the suite passed."""
+    return Q.all_passed(_suite(spark, sf))
 
 
 # ------------------------------------------------------------------ DQ13 job

@@ -63,15 +63,36 @@ def sel3_gate_history(spark, sf):
     return SEL.gate_history(o, "o_custkey", "o_orderkey", "o_totalprice", initial=100000.0)
 
 
-@register("sel4_challenger_gate", _VIEW_SQL.format(p="accuracy") + """,
+def _sel4_sql(stored):
+    return _VIEW_SQL.format(p="roc_auc") + f""",
 b AS (SELECT * FROM v WHERE train_score - test_score <= 0.02 AND test_accuracy >= 0.48 ORDER BY train_score - test_score, seq DESC LIMIT 1)
-SELECT model, test_score, test_score > (SELECT test_score FROM v WHERE model = 'disc') AS accepted,
-  CASE WHEN test_score > (SELECT test_score FROM v WHERE model = 'disc') THEN test_score
-       ELSE (SELECT test_score FROM v WHERE model = 'disc') END AS new_threshold FROM b""")
+SELECT model, test_score, test_accuracy, test_accuracy > {stored} AS accepted,
+  CASE WHEN test_accuracy > {stored} THEN test_accuracy ELSE {stored} END AS new_threshold FROM b"""
+
+
+@register("sel4_challenger_gate", _sel4_sql(0.45))
 def sel4_challenger_gate(spark, sf):
-    """Production ('disc') vs candidates: SEL1 on accuracy (gap 0.02), then gate on accuracy
-    against the production model's test accuracy."""
-    return SEL.challenger_gate(_view(spark, sf, "accuracy"), "disc", "accuracy", 0.02, 0.48)
+    """All models together: SEL1 on roc_auc (gap 0.02), then the pick's test accuracy against a
+    stored threshold that it beats."""
+    return SEL.challenger_gate(_view(spark, sf, "roc_auc"), 0.45, "roc_auc", 0.02, 0.48)
+
+
+@register("sel4_challenger_rejected", _sel4_sql(0.805))
+def sel4_challenger_rejected(spark, sf):
+    """The same pick against the pusher's stored threshold, which it does not reach."""
+    return SEL.challenger_gate(_view(spark, sf, "roc_auc"), 0.805, "roc_auc", 0.02, 0.48)
+
+
+@register("sel3_gate_large_keys", """
+SELECT o_custkey, seq, score, threshold_before, threshold_before IS NULL OR score > threshold_before AS accepted
+FROM (SELECT o_custkey, o_orderkey + 9007199254740992 AS seq, o_totalprice AS score,
+  max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  AS threshold_before FROM orders)""")
+def sel3_gate_large_keys(spark, sf):
+    """The history with sequence numbers beyond 2^53, where doubles no longer tell neighbours apart."""
+    o = table(spark, sf, "orders").select("o_custkey", (F.col("o_orderkey") + F.lit(2 ** 53)).alias("seq"),
+                                          F.col("o_totalprice").alias("score"))
+    return SEL.gate_history(o, "o_custkey", "seq", "score")
 
 
 @register("sel5_history_upsert", """
@@ -103,3 +124,16 @@ def ml10_keep_best_registry(spark, sf):
     old = o.where(F.col("o_orderstatus") == "F").drop("o_orderstatus")
     new = o.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
     return SEL.keep_best(old, new, "o_orderpriority", "score")
+
+
+@register("ml10_nan_score", """
+SELECT o_orderpriority, o_orderkey, score FROM (
+  SELECT o_orderpriority, o_orderkey, o_totalprice AS score,
+    row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn
+  FROM orders WHERE o_orderkey % 3 <> 0) WHERE rn = 1""")
+def ml10_nan_score(spark, sf):
+    """Every third entry has the score NaN: none of them may win."""
+    o = table(spark, sf, "orders").select(
+        "o_orderpriority", "o_orderkey", F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("score"))
+    return SEL.keep_best(o.where("seq % 2 = 0"), o.where("seq % 2 = 1"), "o_orderpriority", "score").drop("seq")

@@ -1,8 +1,8 @@
 """Demo queries: streaming validate + score (STR1) and streaming insert-if-new (STR2).
 
 The stream source is the events table: its Parquet file is read as a file
-stream; for the de-duplication demos Spark first writes the events twice
-into a landing folder (two files = two micro-batches with repeated keys).
+stream; for the de-duplication demos Spark writes the events into a landing
+folder in two arrivals with repeated and late rows.
 """
 
 from __future__ import annotations
@@ -50,39 +50,46 @@ def str1_stream_validate_score(spark, sf):
     return scored.unionByName(bad)
 
 
-def _landing(spark, sf):
-    """Landing folder with the events written twice (repeated keys across two files)."""
-    path = scratch_path(spark, "events-landing")
+_HELD = "event_id % 50 = 0"
+
+
+def _arrivals(spark, sf):
+    """Events in two arrivals: all but the held-back ones (every fiftieth), then all of them."""
     ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    ev.coalesce(1).write.mode("append").parquet(path)
-    ev.coalesce(1).write.mode("append").parquet(path)
-    return path, ev.schema
+    return ev.schema, [ev.where(f"NOT ({_HELD})"), ev]
 
 
-@register("str2_stream_insert_watermark", """
-SELECT event_id, user_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-10'""")
+@register("str2_stream_insert_watermark", f"""
+WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events WHERE NOT ({_HELD}))
+SELECT event_id, user_id, event_type, value, (({_HELD}) AND ts < mark) AS late FROM events, m
+WHERE ts >= TIMESTAMP '2024-01-10'""")
 def str2_stream_insert_watermark(spark, sf):
-    """Stream of events (each twice) -> de-duplicate by key within a 1-day watermark -> drop keys
-    already in the reference (events before 2024-01-10) -> append sink."""
-    path, schema = _landing(spark, sf)
+    """Two arrivals of events, each one or more micro-batches: repeated keys and keys of the reference
+    (events before 2024-01-10) are dropped; held-back events that come more than a day late are set
+    aside, the others accepted."""
+    schema, arrivals = _arrivals(spark, sf)
     ref = table(spark, sf, "events").where(F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz"))
-    out, ckpt = scratch_path(spark, "str2-out"), scratch_path(spark, "str2-ckpt")
-    stream = ST.file_stream(spark, path, schema, max_files=2)
-    q = ST.insert_new_within_watermark(stream, ref, "event_id", "ts", "1 day", out, ckpt)
-    q.awaitTermination()
-    return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")
+    path, out, ckpt = (scratch_path(spark, n) for n in ("events-landing", "str2-out", "str2-ckpt"))
+    for part in arrivals:
+        part.write.mode("append").parquet(path)
+        q = ST.insert_new_within_watermark(ST.file_stream(spark, path, schema), ref, "event_id", "ts", "1 day", out, ckpt)
+        q.awaitTermination()
+    cols = ["event_id", "user_id", "event_type", "value"]
+    return spark.read.parquet(f"{out}/accepted").select(*cols, F.lit(False).alias("late")).unionByName(
+        spark.read.parquet(f"{out}/late").select(*cols, F.lit(True).alias("late")))
 
 
 @register("str2_stream_insert_table", """
 SELECT event_id, user_id, event_type, value FROM events""")
 def str2_stream_insert_table(spark, sf):
-    """Stream of events (each twice, one file per micro-batch) inserted into a table only when
-    the key is new: the second batch finds every key already present."""
-    path, schema = _landing(spark, sf)
-    target, ckpt = scratch_path(spark, "str2-table"), scratch_path(spark, "str2t-ckpt")
-    stream = ST.file_stream(spark, path, schema, max_files=1)
-    q = ST.insert_new_into_table(stream, target, "event_id", ckpt)
-    q.awaitTermination()
+    """The same arrivals inserted into a table only when the key is new: the second arrival adds
+    the held-back events alone."""
+    schema, arrivals = _arrivals(spark, sf)
+    path, target, ckpt = (scratch_path(spark, n) for n in ("events-landing", "str2-table", "str2t-ckpt"))
+    for part in arrivals:
+        part.write.mode("append").parquet(path)
+        q = ST.insert_new_into_table(ST.file_stream(spark, path, schema), target, "event_id", ckpt)
+        q.awaitTermination()
     return spark.read.parquet(target).select("event_id", "user_id", "event_type", "value")
 
 
@@ -91,13 +98,12 @@ def str1_stream_model_scoring(spark, sf):
     """Lineitem rows arriving as a file stream are checked against the request rules; valid
     rows are scored by a fitted feature-unit + GBT PipelineModel (trained on the batch table's
     train split), invalid rows are quarantined with their reasons."""
-    from pyspark.ml.classification import GBTClassifier
     from ..operators import scoring as SCO
     from ..operators import training as ML
-    from .q_training import request_rules, split_labelled, unit
+    from .q_training import FIT_ROWS, request_rules, split_labelled, unit
     d = split_labelled(spark, sf)
-    stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
-    model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
+    stages = [*unit().getStages(), ML.make_estimator("GBT")]
+    model = ML.fit_unit(stages, ML.fit_sample(d.where(F.col("split") == "train"), "k", 5 * FIT_ROWS))
     schema = table(spark, sf, "lineitem").schema
     raw = ST.file_stream(spark, f"{sf}/lineitem*.parquet", schema)
     # the same derived request columns as the batch table (native expressions on the stream)

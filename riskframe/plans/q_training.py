@@ -3,37 +3,33 @@
 Training data: every lineitem row, label ``l_returnflag = 'R'``, features
 from the lineitem feature config (prepared + one-hot) plus raw discount and
 tax; folds from the stratified md5 fold id (SPL3), hold-out from SPL1.
-Search budgets here are small (a couple of trials, few trees) so the demo
-runs in seconds; the full ranges are the defaults in ``training.SPACES``.
+Searches draw from the full ranges in ``training.SPACES``, are fitted on a
+bounded sample of the labelled rows (``FIT_ROWS``) with early stopping for the
+boosting families, and take the number of trials as an argument.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from ..config import TRAINER_GATE
 from ..operators import metrics as EV
 from ..operators import scoring as SCO
 from ..operators import selection as SEL
 from ..operators import training as ML
 from ..operators.features import feature_unit
 from ..operators.split import stratified_folds, stratified_split
-from ..session import cut_lineage, scratch_path, table
+from ..session import keep, scratch_path, table
 from ..sources.files import read_csv, write_csv
 from .q_features import LINE_GROUPS
 from .registry import register
 
-QUICK = {
-    "GBT": ML.scaled(ML.GBT_SPACE, maxIter=ML.Param("int", 3, 6), maxDepth=ML.Param("int", 2, 3),
-                     minWeightFractionPerNode=ML.Param("float", 0.0, 0.1)),
-    "RF": ML.scaled(ML.RF_SPACE, numTrees=ML.Param("int", 3, 6), maxDepth=ML.Param("int", 2, 4)),
-    "LGBM": ML.scaled(ML.LGBM_SPACE, maxIter=ML.Param("int", 3, 6), maxDepth=ML.Param("int", 2, 3),
-                      minInfoGain=ML.Param("float", 0.0, 0.01)),
-    "XGB": ML.scaled(ML.GBT_SPACE, maxIter=ML.Param("int", 3, 6), maxDepth=ML.Param("int", 2, 3),
-                     minWeightFractionPerNode=ML.Param("float", 0.0, 0.1)),
-    "CATBOOST": ML.scaled(ML.CATBOOST_SPACE, maxIter=ML.Param("int", 3, 6), maxDepth=ML.Param("int", 2, 3)),
-}
-FAMILIES = ("GBT", "RF", "LGBM", "CATBOOST")
+FAMILIES = ("GBT", "RF", "LGBM", "XGB", "CATBOOST")
+#: trials per family (an argument of every search; the original's default is 1000)
+TRIALS = 1
+#: labelled rows that the searches and classifiers below are fitted on (see ``training.fit_sample``)
+FIT_ROWS = 4_000
 
 
 def labelled(spark, sf):
@@ -46,7 +42,7 @@ def labelled(spark, sf):
 def split_labelled(spark, sf):
     """Labelled rows with the stratified hold-out, cut from their lineage once: the fits and
     the scoring below read it several times, and the split windows should not be recomputed."""
-    return cut_lineage(stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961))
+    return keep(stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961), "split-rows")
 
 
 def unit():
@@ -60,9 +56,16 @@ def prepared(spark, sf):
     set of the boosting variant, so every CV training fold has validation rows."""
     d = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961)
     d = stratified_folds(d, "label", "k", k=5, seed=1)
-    d = cut_lineage(d.withColumn("is_val", F.substring(F.md5(F.col("k").cast("string")), 1, 1) == "0"))
+    d = keep(d.withColumn("is_val", F.substring(F.md5(F.col("k").cast("string")), 1, 1) == "0"), "prepared")
     model = unit().fit(d.where(F.col("split") == "train"))
-    return model.transform(d).select("k", "label", "split", "fold", "is_val", "features"), model
+    return model.transform(d), model
+
+
+def assembled_names(unit_model, data):
+    """Feature names in the order of the assembled vector, from the column's metadata."""
+    attrs = data.schema["features"].metadata["ml_attr"]["attrs"]
+    found = sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)
+    return [n for _, n in found]
 
 
 @register("fe10_feature_unit")
@@ -79,21 +82,24 @@ def fe10_feature_unit(spark, sf):
 def snk6_model_unit(spark, sf):
     """Feature unit + classifier saved as one PipelineModel, loaded back and scored."""
     d = split_labelled(spark, sf)
-    stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
-    model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
+    stages = [*unit().getStages(), ML.make_estimator("GBT")]
+    model = ML.fit_unit(stages, ML.fit_sample(d.where(F.col("split") == "train"), "k", 5 * FIT_ROWS))
     path = scratch_path(spark, "model-unit")
     ML.save_unit(model, path)
     return SCO.score(ML.load_unit(path), d, ["k", "split", "label"])
 
 
-def _cv_family(spark, sf, family, n=2):
+def _fit_rows(data):
+    """The bounded sample of the train part that classifiers are fitted on, written once."""
+    return keep(ML.fit_sample(data.where(F.col("split") == "train"), "k", FIT_ROWS).select("k", "label", "fold", "is_val", "features"),
+                "fit-rows")
+
+
+def _cv_family(spark, sf, family, n=TRIALS):
     data, _ = prepared(spark, sf)
-    # iterative fits read the training part many times: cut lineage into the shared folder once
-    data = cut_lineage(data.where(F.col("split") == "train"))
-    params = ML.sample_params(QUICK[family], n, 1961)
+    params = ML.sample_params(ML.SPACES[family], n, 1961)
     est = ML.make_estimator(family, validation_col="is_val")
-    cvm = ML.cross_validate(est, params, data)
-    return ML.trial_log(family, params, cvm)
+    return ML.trial_log(family, params, ML.cross_validate(est, params, _fit_rows(data)))
 
 
 @register("ml1_gbt_search")
@@ -127,88 +133,90 @@ def ml6_catboost_style_search(spark, sf):
 
 @register("ml7_cross_validation")
 def ml7_cross_validation(spark, sf):
-    """One GBT parameter set: the per-fold AUCs behind the CV mean (folds = SPL3 ids)."""
+    """One GBT parameter set: the AUC of each fold (folds = SPL3 ids)."""
     data, _ = prepared(spark, sf)
-    data = data.where(F.col("split") == "train")
-    cvm = ML.cross_validate(ML.make_estimator("GBT"), ML.sample_params(QUICK["GBT"], 1, 7), data)
-    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(cvm.avgMetrics)], "trial int, mean_auc double")
+    est = ML.make_estimator("GBT", validation_col="is_val")
+    return ML.fold_scores(est, ML.sample_params(ML.SPACES["GBT"], 1, 7)[0], _fit_rows(data))
 
 
-def _search(spark, sf):
-    data, _ = prepared(spark, sf)
-    train = cut_lineage(data.where(F.col("split") == "train"))
-    reg, log = ML.search(train, FAMILIES, 1, QUICK)
-    return train, reg, log
+def _search(spark, sf, families=FAMILIES, trials=TRIALS):
+    data, unit_model = prepared(spark, sf)
+    rows = _fit_rows(data)
+    reg, log = ML.search(rows, families, trials)
+    return data, rows, reg, log, unit_model
 
 
 @register("ml9_family_search")
 def ml9_family_search(spark, sf):
     """Search the configured families in fixed order; best parameters + CV score per family."""
-    _, reg, _ = _search(spark, sf)
-    return reg
+    return _search(spark, sf)[2]
 
 
 @register("ml8_search_registry")
 def ml8_search_registry(spark, sf):
-    """Search result merged into a stored keep-best registry (ML10 upsert): re-running the
-    same search with equal scores keeps the stored entries."""
-    _, reg, _ = _search(spark, sf)
-    path = scratch_path(spark, "param-registry")
-    reg.write.mode("overwrite").parquet(path)
-    stored = spark.read.parquet(path)
-    return SEL.keep_best(stored, reg.withColumn("seq", F.col("seq") + 100), "family", "score")
+    """A second search with other trials merged into the stored registry of the first (ML10
+    upsert): per family the strictly better score stays, an equal one keeps the stored entry."""
+    data, _ = prepared(spark, sf)
+    rows = _fit_rows(data)
+    stored = keep(ML.search(rows, ("GBT", "LGBM"), TRIALS)[0], "param-registry")
+    new = ML.search(rows, ("GBT", "LGBM"), TRIALS, seed=2024)[0]
+    return SEL.keep_best(stored, new.withColumn("seq", F.col("seq") + 100), "family", "score")
 
 
 @register("snk5_trial_log")
 def snk5_trial_log(spark, sf):
     """Trial log (one row per trial) written as CSV and read back."""
-    log = _cv_family(spark, sf, "GBT")
+    log = _cv_family(spark, sf, "LGBM", 2)
     path = scratch_path(spark, "trial-log")
     write_csv(log.select("family", "trial", F.to_json("params").alias("params"), "score"), path)
     return read_csv(spark, path, "family string, trial int, params string, score double")
 
 
+def _refit_all(data, rows, reg):
+    """Every family refitted with its registry parameters and applied to all rows."""
+    models = {r["family"]: ML.refit(r["family"], r["params"], rows) for r in reg.orderBy("seq").collect()}
+    scored = {f: SCO.score(m, data, ["split", "label"]).withColumn("target", F.col("label").cast("int"))
+              for f, m in models.items()}
+    return models, scored
+
+
 @register("ml11_refit_evaluate")
 def ml11_refit_evaluate(spark, sf):
-    """Refit every family with its best parameters; evaluate all on train + test in one job (EV12)."""
-    data, _ = prepared(spark, sf)
-    data = cut_lineage(data)
-    train = data.where(F.col("split") == "train")
-    reg, _ = ML.search(train, FAMILIES, 1, QUICK)
-    scored = {}
-    for r in reg.collect():
-        m = ML.refit(r["family"], r["params"], train)
-        scored[r["family"]] = SCO.score(m, data, ["split", "label"]).withColumn("target", F.col("label").cast("int"))
-    out = EV.evaluate_models(scored)
-    res = out.select("model", "split", "accuracy", "roc_auc", "f1", "log_loss")
-    return res
+    """Refit two families with their best parameters; evaluate them on train + test in one job (EV12)."""
+    data, rows, reg, _, _ = _search(spark, sf, ("GBT", "XGB"))
+    out = EV.evaluate_models(_refit_all(data, rows, reg)[1])
+    return out.select("model", "split", "accuracy", "roc_auc", "f1", "log_loss")
 
 
 @register("ml13_feature_importance")
 def ml13_feature_importance(spark, sf):
-    """Importances of a random forest on the assembled features, named by slot."""
+    """Importances of a fitted classifier on the assembled features, by feature name."""
     data, model = prepared(spark, sf)
-    rf = ML.make_estimator("RF").setNumTrees(10).setMaxDepth(4).fit(data.where(F.col("split") == "train"))
-    n = rf.numFeatures
-    return ML.feature_importance(rf, [f"f{i}" for i in range(n)])
+    gbt = ML.make_estimator("GBT", validation_col="is_val").fit(_fit_rows(data))
+    return ML.feature_importance(gbt, assembled_names(model, data))
 
 
 @register("ml14_train_job")
 def ml14_train_job(spark, sf):
-    """Train job: prepare -> search -> refit -> evaluate -> pick (trainer gate: roc_auc gap <= 0.6,
-    accuracy >= 0.5) -> save the chosen unit."""
-    data, unit_model = prepared(spark, sf)
-    data = cut_lineage(data)
-    train = data.where(F.col("split") == "train")
-    reg, _ = ML.search(train, FAMILIES, 1, QUICK)
-    scored, models = {}, {}
-    for r in reg.collect():
-        models[r["family"]] = ML.refit(r["family"], r["params"], train)
-        scored[r["family"]] = SCO.score(models[r["family"]], data, ["split", "label"]).withColumn(
-            "target", F.col("label").cast("int"))
-    metrics = EV.evaluate_models(scored)
-    best = SEL.best_model(metrics, "roc_auc", 0.6, 0.5)
-    return best
+    """Train job: prepare -> search -> refit -> evaluate -> pick (trainer gate) -> save the chosen
+    unit, preprocessing and model, load it again and score the hold-out with it.  One row: the
+    pick and how many rows the loaded unit scored like the fitted one (none acceptable: no row)."""
+    data, rows, reg, _, unit_model = _search(spark, sf, ("GBT", "LGBM"))
+    models, scored = _refit_all(data, rows, reg)
+    param, gap, floor = TRAINER_GATE
+    best = keep(SEL.best_model(EV.evaluate_models(scored), param, gap, floor), "pick")
+    found = best.first()
+    if found is None:
+        return best.withColumns({"scored_rows": F.lit(0).cast("long"), "equal_rows": F.lit(0).cast("long")})
+    path = scratch_path(spark, "model-unit")
+    ML.save_unit(PipelineModel([*unit_model.stages, models[found["model"]]]), path)
+    raw = stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961).where(F.col("split") == "test")
+    again = SCO.score(ML.load_unit(path), raw, ["k"])
+    first = SCO.score(models[found["model"]], data.where(F.col("split") == "test"), ["k"])
+    both = again.join(first.select("k", F.col("prediction").alias("p")), "k")
+    counts = both.agg(F.count(F.lit(1)).alias("scored_rows"),
+                      F.count_if(F.abs(F.col("prediction") - F.col("p")) < 1e-9).alias("equal_rows"))
+    return best.withColumn("_one", F.col("seq") >= 0).join(counts.withColumn("_one", F.col("scored_rows") >= 0), "_one").drop("_one")
 
 
 @register("ml12_segment_least_squares", """
@@ -224,11 +232,10 @@ def ml12_segment_least_squares(spark, sf):
 def ml12_segment_models(spark, sf):
     """A Spark classifier per segment (line status), each on its segment's rows."""
     data, _ = prepared(spark, sf)
-    li = labelled(spark, sf).select("k", "l_linestatus")
-    data = cut_lineage(data.join(li, "k"))
-    models = ML.fit_per_segment(data.where(F.col("split") == "train"), "l_linestatus", ["F", "O"],
-                                lambda: GBTClassifier(labelCol="label", maxIter=5, maxDepth=3, seed=1961))
-    return SCO.route_models(data.where(F.col("split") == "test"), "l_linestatus", models, ["k", "label"])
+    rows = keep(ML.fit_sample(data.where(F.col("split") == "train"), "k", 5 * FIT_ROWS), "fit-rows")
+    models = ML.fit_per_segment(rows, "l_linestatus", ["F", "O"],
+                                lambda: ML.make_estimator("GBT", validation_col="is_val"))
+    return SCO.route_models(data, "l_linestatus", models, ["k", "label"])
 
 
 _LDA_FEATURES = ("l_quantity", "l_discount", "l_tax")
@@ -237,7 +244,7 @@ _LDA_FEATURES = ("l_quantity", "l_discount", "l_tax")
 @register("ml3_lda_statistics", f"""
 SELECT (l_returnflag = 'R')::INT AS label, count(*) AS n,
   {", ".join(f"round(avg({f}), 6) AS mean_{f}" for f in _LDA_FEATURES)},
-  {", ".join(f"round(sum({a} * {b}), 4) AS sxx_{i}_{j}" for i, a in enumerate(_LDA_FEATURES)
+  {", ".join(f"round(count(*) * covar_pop({a}, {b}), 2) AS sxx_{i}_{j}" for i, a in enumerate(_LDA_FEATURES)
              for j, b in enumerate(_LDA_FEATURES) if j >= i)}
 FROM lineitem GROUP BY 1""")
 def ml3_lda_statistics(spark, sf):
@@ -245,7 +252,7 @@ def ml3_lda_statistics(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
     s = ML.lda_statistics(li, _LDA_FEATURES, "label")
     return s.select("label", "n", *[F.round(f"mean_{f}", 6).alias(f"mean_{f}") for f in _LDA_FEATURES],
-                    *[F.round(c, 4).alias(c) for c in s.columns if c.startswith("sxx_")])
+                    *[F.round(c, 2).alias(c) for c in s.columns if c.startswith("sxx_")])
 
 
 @register("ml3_lda_score")
@@ -260,17 +267,17 @@ def ml3_lda_score(spark, sf):
 def sco1_score_batch(spark, sf):
     """Score raw rows with a fitted unit: predicted class and P(class 1)."""
     d = split_labelled(spark, sf)
-    stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
-    model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
-    return SCO.score(model, d.where(F.col("split") == "test"), ["k"])
+    stages = [*unit().getStages(), ML.make_estimator("GBT")]
+    model = ML.fit_unit(stages, ML.fit_sample(d.where(F.col("split") == "train"), "k", 5 * FIT_ROWS))
+    return SCO.score(model, d, ["k"])
 
 
 @register("sco2_probability_metrics")
 def sco2_probability_metrics(spark, sf):
     """P(class 1) of a fitted unit measured with EV1 per split."""
     d = split_labelled(spark, sf)
-    stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
-    model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
+    stages = [*unit().getStages(), ML.make_estimator("GBT")]
+    model = ML.fit_unit(stages, ML.fit_sample(d.where(F.col("split") == "train"), "k", 5 * FIT_ROWS))
     s = SCO.score(model, d, ["split", "label"]).withColumn("target", F.col("label").cast("int"))
     return EV.quality(s, ["split"])
 
@@ -284,8 +291,8 @@ def request_rules():
 def sco3_request_scoring(spark, sf):
     """Requests = lineitem rows: rule check, valid rows scored, invalid rows quarantined with reasons."""
     d = split_labelled(spark, sf)
-    stages = [*unit().getStages(), GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=1961)]
-    model = ML.fit_unit(stages, d.where(F.col("split") == "train"))
+    stages = [*unit().getStages(), ML.make_estimator("GBT")]
+    model = ML.fit_unit(stages, ML.fit_sample(d.where(F.col("split") == "train"), "k", 5 * FIT_ROWS))
     scored, quarantine = SCO.score_requests(model, d, request_rules(), ["k"])
     return scored.select("k", "predicted", "prediction", F.lit(None).cast("string").alias("violations")).unionByName(
         quarantine.select("k", F.lit(None).cast("int").alias("predicted"), F.lit(None).cast("double").alias("prediction"),

@@ -1,5 +1,5 @@
 """Validate-then-merge job (DQ13): schema check -> first run stores; later runs
-measure drift, stop on drift, else insert the rows with new keys.
+measure drift, stop on drift, run the test suite and insert the rows with new keys.
 
 Tables live in the shared folder; each run writes new versions and swaps
 them in, so a lost executor only re-runs tasks of the current write.
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from ..config import DriftConfig
 from ..operators.drift import dataset_drift, drift_table
 from ..operators.merge import rows_to_insert
-from ..operators.quality import schema_conformance
+from ..operators.quality import all_passed, schema_conformance, test_suite
 from ..sources.files import path_exists, read_table, replace_table
 
 
@@ -28,33 +28,34 @@ class ValidationResult:
     schema_ok: bool
     first_run: bool
     drift: bool
-    inserted: dict
+    inserted: dict          # rows inserted per part; None on the first run
+    suite_passed: bool | None
 
 
 def validate_and_merge(parts: Mapping[str, DataFrame], store: str, declared: Mapping[str, str], key: str,
                        numeric: Sequence[str], categorical: Sequence[str],
                        cfg: DriftConfig = DriftConfig(), drift_part: str = "train") -> ValidationResult:
-    """Run DQ1 -> SRC3 -> DR5 -> JOIN1 -> SET1 -> SNK2 for each named part (train/test)."""
-    first = next(iter(parts.values()))
-    spark = first.sparkSession
-    checks = schema_conformance(first, declared)
-    schema_ok = checks.where("missing OR bad_rows > 0").isEmpty()
+    """Run DQ1 -> SRC3 -> DR5 -> DQ9 -> JOIN1 -> SET1 -> SNK2; the schema is checked on every
+    part (train and test), drift and the test suite on ``drift_part``.  Drift stops the job;
+    the suite's outcome is reported."""
+    spark = next(iter(parts.values())).sparkSession
+    schema_ok = all(schema_conformance(df, declared).where("missing OR bad_rows > 0").isEmpty() for df in parts.values())
     paths = {name: f"{store.rstrip('/')}/{name}" for name in parts}
-    if not all(path_exists(spark, p) for p in paths.values()):
+    if not all([path_exists(spark, p) for p in paths.values()]):
         if schema_ok:
             for name, df in parts.items():
                 replace_table(df, paths[name])
-        return ValidationResult(schema_ok, True, False, {n: None for n in parts})
+        return ValidationResult(schema_ok, True, False, {n: None for n in parts}, None)
     refs = {name: read_table(spark, p) for name, p in paths.items()}
-    table = drift_table(refs[drift_part], parts[drift_part], numeric, categorical, cfg)
-    drifted = dataset_drift(table, cfg).first()["dataset_drift"]
-    if drifted:
+    verdict = dataset_drift(drift_table(refs[drift_part], parts[drift_part], numeric, categorical, cfg), cfg).first()
+    if verdict["dataset_drift"]:
         raise DataDriftError("Data drift found")
+    suite = test_suite(refs[drift_part], parts[drift_part], [*numeric, *categorical], drifted=verdict["n_drifted"])
+    suite_passed = all_passed(suite).first()["all_passed"]
     inserted = {}
     if schema_ok:
         for name, df in parts.items():
-            new_rows = rows_to_insert(df, refs[name], key)
-            merged = refs[name].unionByName(new_rows)
-            replace_table(merged, paths[name])
-            inserted[name] = read_table(spark, paths[name]).count()
-    return ValidationResult(schema_ok, False, False, inserted)
+            before = refs[name].count()  # from the file footers
+            replace_table(refs[name].unionByName(rows_to_insert(df, refs[name], key)), paths[name])
+            inserted[name] = read_table(spark, paths[name]).count() - before
+    return ValidationResult(schema_ok, False, False, inserted, suite_passed)

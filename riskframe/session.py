@@ -73,5 +73,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         df.unpersist()
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: what several
+    branches of a plan need is computed once, and a lost executor costs one task."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -7,23 +7,33 @@ tables are Parquet so filters and projections reach the scan.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True,
              corrupt_col: str | None = None) -> DataFrame:
     """SRC1: CSV scan with header and a declared schema (PERMISSIVE mode).
 
-    With ``corrupt_col`` the raw text of lines that do not fit the schema is
-    kept in that column instead of failing the job.
+    With ``corrupt_col`` (named in the schema or not) lines that do not fit the schema are kept
+    in that column as text instead of failing the job.  Fields are read as text and cast here,
+    so whether a line is corrupt never depends on the columns a query selects.
     """
-    r = spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
-    if corrupt_col:
-        r = r.option("columnNameOfCorruptRecord", corrupt_col)
-    return r.csv(path)
+    r = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    if not corrupt_col:
+        return r.schema(schema).csv(path)
+    declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = [f for f in declared.fields if f.name != corrupt_col]
+    text = StructType([*[StructField(f.name, StringType()) for f in fields], StructField(corrupt_col, StringType())])
+    lines = r.schema(text).option("columnNameOfCorruptRecord", corrupt_col).csv(path)
+    cells = {f.name: F.col(f.name).try_cast(f.dataType) for f in fields}
+    bad = reduce(lambda a, b: a | b, [F.col(n).isNotNull() & c.isNull() for n, c in cells.items()])
+    line = F.coalesce(F.col(corrupt_col), F.when(bad, F.to_csv(F.struct(*cells))))
+    return lines.select(*[c.alias(n) for n, c in cells.items()], line.alias(corrupt_col))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -33,6 +43,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reference(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """SRC3: the stored reference table, or an empty frame with ``schema`` on the first run."""
+    recover_table(spark, path)
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
@@ -52,24 +63,52 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def _old_version(spark: SparkSession, path: str):
+    """The set-aside version of a table whose swap was cut short, if any."""
+    fs, p = _fs(spark, path)
+    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-*"))
+    return fs, p, ([f.getPath() for f in found] if found is not None else [])
+
+
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """Whether the table exists; one that a dying job had set aside is put back first."""
+    fs, p, old = _old_version(spark, path)
+    if not fs.exists(p) and old:
+        _rename(fs, old[0], p)
+    return bool(fs.exists(p))
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """SNK2: overwrite a table that ``df`` may itself read from.
 
-    Spark cannot overwrite a path it is reading, so the new version is written
-    next to it and swapped in by renames (atomic per rename on HDFS-like stores).
+    Spark cannot overwrite a path it is reading, so the new version is written next to it and
+    swapped in by renames.  Every rename is checked: if the new version cannot take the
+    place, the old one is put back and the call fails; the old version is deleted last.  A job
+    that dies between the renames leaves the old version aside, where ``recover_table`` (and
+    ``path_exists``, ``read_reference``) finds it.
     """
     spark = df.sparkSession
     tmp = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").parquet(tmp)
+    recover_table(spark, path)
     fs, p = _fs(spark, path)
     _, t = _fs(spark, tmp)
-    if fs.exists(p):
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
-        fs.rename(p, old)
-        fs.rename(t, p)
-        fs.delete(old, True)
-    else:
-        fs.rename(t, p)
+    if not fs.exists(p):
+        _rename(fs, t, p)
+        return
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
+    _rename(fs, p, old)
+    try:
+        _rename(fs, t, p)
+    except Exception:
+        _rename(fs, old, p)
+        raise
+    fs.delete(old, True)
 
 
 def append_table(df: DataFrame, path: str) -> None:
@@ -78,8 +117,11 @@ def append_table(df: DataFrame, path: str) -> None:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
+    return recover_table(spark, path)
+
+
+#: most records of a metric report; more would not fit one JSON object in one task
+REPORT_RECORDS = 100_000
 
 
 def write_json_report(records, path: str, key: str = "key", value: str = "value") -> None:
@@ -87,13 +129,14 @@ def write_json_report(records, path: str, key: str = "key", value: str = "value"
 
     The records are a metric report (tens of rows, already aggregated), so a single output
     file is written."""
-    from pyspark.sql import functions as F
+    n = records.limit(REPORT_RECORDS + 1).count()
+    if n > REPORT_RECORDS:
+        raise ValueError(f"a report holds at most {REPORT_RECORDS} records")
     obj = records.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias("report"))
     obj.coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_json_report(spark: SparkSession, path: str):
     """Read a report written by ``write_json_report`` back as (key, value) rows."""
-    from pyspark.sql import functions as F
     r = spark.read.schema("report map<string,double>").json(path)
     return r.select(F.explode("report").alias("key", "value"))

@@ -5,10 +5,9 @@ quarantine table - two sinks written per micro-batch with ``foreachBatch``;
 each batch writes its own ``batch=<id>`` folder in overwrite mode, so a
 replayed batch after a failure replaces its earlier output (idempotent).
 
-STR2: insert-if-new by key on a stream, either bounded by a watermark
-(``dropDuplicatesWithinWatermark`` + stream-static anti join against a
-reference table), or against the growing target table itself per batch
-(anti join + append; a replayed batch finds its rows already present).
+STR2: insert-if-new by key on a stream, either with a look-back bounded by a
+watermark (late rows with unseen keys are set aside, not lost), or against the
+growing target table itself, bucketed by key.
 """
 
 from __future__ import annotations
@@ -20,11 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import rule_violations
+from ..operators.merge import rows_to_insert
+from ..sources.files import path_exists
 
 
-def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    """Parquet files arriving under ``path`` (directory or glob) as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """Parquet files arriving under ``path`` (directory or glob) as a stream; ``max_files``
+    bounds the files of a micro-batch (none: all that have arrived)."""
+    r = spark.readStream.schema(schema)
+    return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(path)
 
 
 def validate_and_score(stream: DataFrame, rules: Mapping[str, Column], scorer: Callable[[DataFrame], DataFrame],
@@ -48,36 +51,67 @@ def validate_and_score(stream: DataFrame, rules: Mapping[str, Column], scorer: C
     return w.start()
 
 
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path) if path_exists(spark, path) else None
+
+
 def insert_new_within_watermark(stream: DataFrame, reference: DataFrame, key: str, event_time: str,
                                 delay: str, out_dir: str, checkpoint: str,
                                 available_now: bool = True) -> StreamingQuery:
-    """STR2 (bounded state): drop repeated keys within the watermark delay, drop keys already in
-    the static ``reference`` (de-duplicated key list), append the rest to a Parquet sink."""
-    if dict(stream.dtypes)[event_time] == "timestamp_ntz":  # watermarks need session-zone timestamps
+    """STR2 (bounded look-back): rows with keys not seen within the ``delay`` before the latest
+    event of earlier micro-batches and not in the static ``reference`` go to ``out_dir/accepted``.
+    Rows older than that (late) with a key never seen go to ``out_dir/late`` instead of being
+    lost.  Each micro-batch writes its own ``batch=<id>`` folders in overwrite mode, so a
+    replayed batch replaces its earlier output; the look-back reads only accepted rows from
+    the watermark on (the filter reaches the scan)."""
+    if dict(stream.dtypes)[event_time] == "timestamp_ntz":  # compared with session-zone timestamps
         stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    fresh = (stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
-             .join(reference.select(key).distinct(), key, "left_anti"))
-    w = fresh.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
-    w = w.outputMode("append")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = _read_or_none(spark, f"{out_dir}/progress")
+        top = seen.where(F.col("batch") < batch_id).agg(F.max("latest")).first()[0] if seen is not None else None
+        mark = F.lit(top) - F.expr(f"INTERVAL {delay}") if top is not None else F.lit(None).cast("timestamp")
+        late = F.coalesce(F.col(event_time) < mark, F.lit(False))
+        accepted = _read_or_none(spark, f"{out_dir}/accepted")
+        before = accepted.where(F.col("batch") < batch_id) if accepted is not None else None
+        new = rows_to_insert(batch.dropDuplicates([key]), reference, key).persist()
+        try:
+            fresh, old = new.where(~late), new.where(late)
+            if before is not None:
+                recent = before.where(F.col(event_time) >= mark) if top is not None else before
+                fresh, old = rows_to_insert(fresh, recent, key), rows_to_insert(old, before, key)
+            fresh.write.mode("overwrite").parquet(f"{out_dir}/accepted/batch={batch_id}")
+            old.write.mode("overwrite").parquet(f"{out_dir}/late/batch={batch_id}")
+            batch.agg(F.max(event_time).alias("latest")).write.mode("overwrite").parquet(f"{out_dir}/progress/batch={batch_id}")
+        finally:
+            new.unpersist()
+
+    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
 def insert_new_into_table(stream: DataFrame, table_path: str, key: str, checkpoint: str,
-                          available_now: bool = True) -> StreamingQuery:
+                          available_now: bool = True, buckets: int = 64) -> StreamingQuery:
     """STR2 (unbounded history): each micro-batch is de-duplicated by key and anti-joined with
-    the target table as it stands, then appended to it."""
+    the target table as it stands, then appended to it.  The target is partitioned by a hash
+    bucket of the key, so a micro-batch reads the keys of its own buckets only; a replayed
+    batch finds its rows already present."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        new = (batch.dropDuplicates([key]).withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+               .persist())
         try:
-            current = spark.read.parquet(table_path).select(key)
-            new = new.join(current.distinct(), key, "left_anti")
-        except Exception as e:  # noqa: BLE001 - first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-        new.write.mode("append").parquet(table_path)
+            fresh = new
+            if path_exists(spark, table_path):
+                own = [r[0] for r in new.select("key_bucket").distinct().collect()]  # at most ``buckets`` numbers
+                current = spark.read.parquet(table_path).where(F.col("key_bucket").isin(own)).select(key)
+                fresh = rows_to_insert(new, current, key)
+            fresh.write.mode("append").partitionBy("key_bucket").parquet(table_path)
+        finally:
+            new.unpersist()
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from riskframe.operators.merge import insert_if_new, known_key_count, rows_to_insert
 from riskframe.plans.validation import DataDriftError, validate_and_merge
 from riskframe.session import scratch_path, table
+from riskframe.sources import files
+from riskframe.sources.files import path_exists, read_table, replace_table
 
 SF = "/root/testdata/sf0.001"
 DECLARED = {"o_orderkey": "bigint", "o_totalprice": "double", "o_orderpriority": "string"}
@@ -22,11 +25,63 @@ def test_first_run_then_merge_then_drift(spark):
     assert first.first_run and first.schema_ok
     # same distribution, overlapping keys: only unseen keys are added, twice in a row
     res = validate_and_merge(_parts(o), store, DECLARED, "o_orderkey", ["o_totalprice"], ["o_orderpriority"])
-    assert res.inserted["train"] == o.count()
+    assert res.inserted == {"train": o.count() - early.count(), "test": 0} and res.suite_passed
     again = validate_and_merge(_parts(o), store, DECLARED, "o_orderkey", ["o_totalprice"], ["o_orderpriority"])
-    assert again.inserted["train"] == o.count()
+    assert again.inserted == {"train": 0, "test": 0}
     # a batch whose prices moved far away drifts: the job stops and the store is unchanged
     shifted = o.withColumn("o_totalprice", F.col("o_totalprice") * 10 + 1e6)
     with pytest.raises(DataDriftError):
         validate_and_merge(_parts(shifted), store, DECLARED, "o_orderkey", ["o_totalprice"], ["o_orderpriority"])
     assert spark.read.parquet(f"{store}/train").count() == o.count()
+
+
+def test_schema_of_every_part_counts(spark):
+    store = scratch_path(spark, "job-store")
+    o = table(spark, SF, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    bad = {"train": o, "test": o.limit(5).withColumn("o_totalprice", F.lit("n/a"))}
+    res = validate_and_merge(bad, store, DECLARED, "o_orderkey", ["o_totalprice"], ["o_orderpriority"])
+    assert not res.schema_ok and not path_exists(spark, f"{store}/train")
+
+
+def test_failed_swap_keeps_the_old_table(spark, monkeypatch):
+    path = scratch_path(spark, "swap")
+    replace_table(spark.range(3), path)
+    real, calls = files._rename, []
+
+    def second_fails(fs, source, target):
+        calls.append(str(source))
+        if len(calls) == 2:
+            raise OSError("no")
+        real(fs, source, target)
+
+    monkeypatch.setattr(files, "_rename", second_fails)
+    with pytest.raises(OSError):
+        replace_table(spark.range(99), path)
+    assert read_table(spark, path).count() == 3
+
+
+def test_interrupted_swap_is_recovered(spark):
+    path = scratch_path(spark, "swap")
+    replace_table(spark.range(3), path)
+    fs, p = files._fs(spark, path)
+    assert fs.rename(p, files._fs(spark, path + ".old-1")[1])  # a job died between the renames
+    assert path_exists(spark, path) and read_table(spark, path).count() == 3
+    replace_table(spark.range(7), path)
+    assert read_table(spark, path).count() == 7
+
+
+def test_null_keys_are_known_keys(spark):
+    ref = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    new = spark.createDataFrame([(None, "c"), (2, "d"), (1, "e")], "k int, v string")
+    assert [r.v for r in rows_to_insert(new, ref, "k").collect()] == ["d"]
+    assert known_key_count(new, ref, "k").first()["known"] == 2
+    once = insert_if_new(ref, new, "k")
+    assert insert_if_new(once, new, "k").count() == once.count() == 3
+
+
+def test_corrupt_lines_do_not_depend_on_the_projection(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\nx,3\n4,5,6\n7\n")
+    r = files.read_csv(spark, str(tmp_path), "a int, b int, bad string", corrupt_col="bad")
+    for cols in (["bad"], ["b", "bad"], ["a", "b", "bad"]):
+        assert r.select(*cols).where("bad is not null").count() == 3
+    assert [(x.a, x.b) for x in r.where("bad is null").collect()] == [(1, 2)]
