@@ -8,6 +8,7 @@ ML transformers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -186,7 +187,7 @@ def long_to_wide(df: DataFrame, ids: Sequence[str], var: str, value: str, values
 
 # ---------------------------------------------------------------- clustering
 def kmeans_costs(df: DataFrame, features: str, ks: Sequence[int], seed: int = 42,
-                 max_iter: int = 20, parallelism: int = 4) -> list[tuple[int, float]]:
+                 max_iter: int = 300, parallelism: int = 4) -> list[tuple[int, float]]:
     """FE7: training cost for each k.  The fits are independent Spark jobs, submitted from
     ``parallelism`` driver threads so small fits share the cluster instead of queueing
     (the input should be persisted or checkpointed by the caller)."""
@@ -220,7 +221,7 @@ def knee(points: Sequence[tuple[int, float]]) -> int:
 
 
 def fit_segments(df: DataFrame, features: str, k: int | None = None, ks: Sequence[int] = range(2, 15),
-                 seed: int = 42, max_iter: int = 20):
+                 seed: int = 42, max_iter: int = 300):
     """FE6/FE7: choose k by the elbow (when not given) and fit k-means."""
     costs = None
     if k is None:
@@ -264,13 +265,32 @@ def prepare_sql(groups: Sequence[FeatureGroup], suffix: str = "_p") -> str:
     return "SELECT *, " + ", ".join(exprs) + " FROM __THIS__"
 
 
+#: added to negative numbers, so that their texts sort like the numbers
+_SHIFT = 10 ** 9
+
+
+def _ordered_text(c: str) -> str:
+    """SQL text form of a whole number that sorts like the number ('-' sorts before digits)."""
+    return (f"CASE WHEN `{c}` < 0 THEN concat('-', lpad(CAST({_SHIFT} + `{c}` AS BIGINT), 10, '0')) "
+            f"ELSE lpad(CAST(`{c}` AS BIGINT), 11, '0') END")
+
+
+def plain_name(name: str) -> str:
+    """FE5 name (COL_value) of an assembled feature: the unit's own suffixes and padding removed."""
+    m = re.fullmatch(r"(.*)_p_s_v_(-?)(\d{10,11})", name)
+    if m:
+        return f"{m[1]}_{int(m[3]) - _SHIFT if m[2] else int(m[3])}"
+    return re.sub(r"_s_v_", "_", name)
+
+
 def feature_unit(groups: Sequence[FeatureGroup], categorical: Sequence[str] = (), extra: Sequence[str] = (),
                  output: str = "features") -> Pipeline:
     """FE10: prepare (SQL) + one-hot of every prepared and categorical column (unseen / missing
     -> all zeros) + assembly, as one saveable ``Pipeline``."""
     prepared = [f"{c}_p" for g in groups for c in g.columns]
     as_text = [f"{c}_s" for c in prepared] + [f"{c}_s" for c in categorical]
-    cast = ", ".join(f"CAST(`{c}` AS STRING) AS `{c}_s`" for c in [*prepared, *categorical])
+    cast = ", ".join([f"{_ordered_text(c)} AS `{c}_s`" for c in prepared]
+                     + [f"CAST(`{c}` AS STRING) AS `{c}_s`" for c in categorical])
     stages = [SQLTransformer(statement=prepare_sql(groups)),
               SQLTransformer(statement=f"SELECT *, {cast} FROM __THIS__"),
               StringIndexer(inputCols=as_text, outputCols=[f"{c}_i" for c in as_text],
@@ -282,5 +302,15 @@ def feature_unit(groups: Sequence[FeatureGroup], categorical: Sequence[str] = ()
     return Pipeline(stages=stages)
 
 
+def fit_feature_unit(unit: Pipeline, train: DataFrame, cluster_rows: DataFrame | None = None,
+                     ks: Sequence[int] = range(2, 15)) -> PipelineModel:
+    """FE10 with its clusters: the fitted unit followed by k-means with the k of the elbow (fitted on
+    ``cluster_rows``, a bounded sample of ``train``), as one saveable model that appends ``cluster``."""
+    model = unit.fit(train)
+    rows = keep(model.transform(train if cluster_rows is None else cluster_rows).select("features"), "cluster-rows")
+    clusters, _, _ = fit_segments(rows, "features", ks=ks)
+    return PipelineModel([*model.stages, clusters])
+
+
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)

@@ -114,11 +114,15 @@ def dr4_chi_square(spark, sf):
     return c.select("column", "ref_rows", "cur_rows", F.round("chi2_statistic", 6).alias("chi2_statistic"), "chi2_dof")
 
 
-@register("dr4_chi_square_pvalue")
+@register("dr4_chi_square_pvalue", f"""WITH {categorical_sql(_OREF, _OCUR, ("o_orderpriority", "o_orderstatus"))}
+SELECT "column", chi2_dof, round(exp(-chi2_statistic / 2) * list_sum(list_transform(range(0, chi2_dof // 2),
+  lambda i: pow(chi2_statistic / 2, i) / factorial(i::INT))), 6) AS chi2_pvalue FROM cat""")
 def dr4_chi_square_pvalue(spark, sf):
-    """Chi-square p-value per column (upper gamma tail, one small Arrow batch of per-column rows)."""
+    """Chi-square p-value per column (upper gamma tail, one small Arrow batch of per-column rows; the
+    SQL form is the finite series for an even number of degrees of freedom)."""
     ref, cur = _order_sides(spark, sf)
-    return DR.with_chi2_pvalue(DR.categorical_drift(ref, cur, ["o_orderpriority", "o_orderstatus"]))
+    p = DR.with_chi2_pvalue(DR.categorical_drift(ref, cur, ["o_orderpriority", "o_orderstatus"]))
+    return p.select("column", "chi2_dof", F.round("chi2_pvalue", 6).alias("chi2_pvalue"))
 
 
 _DR5_SQL = f"""WITH {numeric_sql(_REF, _CUR, NUM)}, {categorical_sql(_REF, _CUR, CAT)},

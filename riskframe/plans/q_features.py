@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..config import FeatureGroup
 from ..functions.scalars import stable_round
 from ..operators import features as FE
-from ..session import cut_lineage, table
+from ..session import keep, table
 from .registry import register
 
 # lineitem stand-in for the account-table config: a clip-only ordinal group,
@@ -102,11 +102,16 @@ def fe4_onehot(spark, sf):
     return model.active_features(table(spark, sf, "customer"), "c_custkey")
 
 
-@register("fe4_onehot_vectors")
+@register("fe4_onehot_vectors", _DICT_SQL + """
+SELECT c.c_custkey, dict.feature_index::INT AS feature_index, 1.0 AS value FROM customer c JOIN dict
+  ON (dict."column" = 'c_nationkey' AND dict.value = c.c_nationkey::VARCHAR)
+  OR (dict."column" = 'c_mktsegment' AND dict.value = c.c_mktsegment)""")
 def fe4_onehot_vectors(spark, sf):
-    """The same encoding as sparse ML vectors (JVM OneHotEncoder over fitted local indices)."""
+    """The same encoding as ML vectors (JVM OneHotEncoder over fitted local indices): its non-zero cells."""
     model = _fit_onehot(spark, sf)
-    return model.transform(table(spark, sf, "customer").select("c_custkey", *_OH_COLS), "features")
+    v = model.transform(table(spark, sf, "customer").select("c_custkey", *_OH_COLS), "features")
+    cells = v.select("c_custkey", F.posexplode(vector_to_array("features")).alias("feature_index", "value"))
+    return cells.where("value <> 0")
 
 
 @register("fe5_feature_names", _DICT_SQL + """
@@ -134,10 +139,9 @@ def fe6_kmeans_segments(spark, sf):
 
 @register("fe7_elbow")
 def fe7_elbow(spark, sf):
-    """Training cost for k = 2..14 on the cached embeddings and the knee-chosen k."""
-    e = cut_lineage(_embeddings(spark, sf))
-    costs = FE.kmeans_costs(e, "features", range(2, 15), max_iter=10)
-    k = FE.knee(costs)
+    """Training cost for k = 2..14 on the embeddings and the knee-chosen k, with the final fit."""
+    e = keep(_embeddings(spark, sf).select("features"), "vectors")
+    _, k, costs = FE.fit_segments(e, "features", ks=range(2, 15))
     return spark.createDataFrame([(kk, c, kk == k) for kk, c in costs], "k int, cost double, chosen boolean")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -131,12 +132,14 @@ def prj4_derive(spark, sf):
                           "is_final": F.col("o_orderstatus") == "F"}).drop("o_orderstatus")
 
 
-@register("prj5_assemble")
+@register("prj5_assemble", """
+SELECT l_orderkey, l_linenumber, l_quantity AS f0, l_discount AS f1, l_tax AS f2 FROM lineitem""")
 def prj5_assemble(spark, sf):
     """Horizontal feature block + extra column on the same rows (no zip of two frames)."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     asm = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features")
-    return asm.transform(li).select("l_orderkey", "l_linenumber", "features")
+    out = asm.transform(li).select("l_orderkey", "l_linenumber", vector_to_array("features").alias("f"))
+    return out.select("l_orderkey", "l_linenumber", *[F.col("f")[i].alias(f"f{i}") for i in range(3)])
 
 
 @register("flt1_equality_filter", """

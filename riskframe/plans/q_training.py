@@ -18,7 +18,7 @@ from ..operators import metrics as EV
 from ..operators import scoring as SCO
 from ..operators import selection as SEL
 from ..operators import training as ML
-from ..operators.features import feature_unit
+from ..operators.features import feature_unit, fit_feature_unit, fit_segments, plain_name
 from ..operators.split import stratified_folds, stratified_split
 from ..session import keep, scratch_path, table
 from ..sources.files import read_csv, write_csv
@@ -62,20 +62,22 @@ def prepared(spark, sf):
 
 
 def assembled_names(unit_model, data):
-    """Feature names in the order of the assembled vector, from the column's metadata."""
+    """Feature names (COL_value) in the order of the assembled vector, from the column's metadata."""
     attrs = data.schema["features"].metadata["ml_attr"]["attrs"]
     found = sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)
-    return [n for _, n in found]
+    return [plain_name(n) for _, n in found]
 
 
 @register("fe10_feature_unit")
 def fe10_feature_unit(spark, sf):
-    """Prepare + one-hot + assemble fitted once as a Pipeline, saved and re-loaded as one unit (SNK6)."""
+    """Prepare + one-hot + assemble + clusters (elbow over k = 2..14) fitted once, saved and re-loaded
+    as one unit (SNK6) that appends features and cluster to raw rows."""
     d = split_labelled(spark, sf)
-    model = unit().fit(d.where(F.col("split") == "train"))
+    train = d.where(F.col("split") == "train")
+    model = fit_feature_unit(unit(), train, ML.fit_sample(train, "k", 5 * FIT_ROWS))
     path = scratch_path(spark, "feature-unit")
     ML.save_unit(model, path)
-    return ML.load_unit(path).transform(d).select("k", "split", "features")
+    return ML.load_unit(path).transform(d).select("k", "split", "features", "cluster")
 
 
 @register("snk6_model_unit")
@@ -230,12 +232,14 @@ def ml12_segment_least_squares(spark, sf):
 
 @register("ml12_segment_models")
 def ml12_segment_models(spark, sf):
-    """A Spark classifier per segment (line status), each on its segment's rows."""
+    """Segments by k-means on the assembled features, a classifier per segment fitted on its rows,
+    every row scored by the model of its segment."""
     data, _ = prepared(spark, sf)
     rows = keep(ML.fit_sample(data.where(F.col("split") == "train"), "k", 5 * FIT_ROWS), "fit-rows")
-    models = ML.fit_per_segment(rows, "l_linestatus", ["F", "O"],
+    clusters, k, _ = fit_segments(rows, "features", k=3)
+    models = ML.fit_per_segment(keep(clusters.transform(rows), "clustered"), "cluster", list(range(k)),
                                 lambda: ML.make_estimator("GBT", validation_col="is_val"))
-    return SCO.route_models(data, "l_linestatus", models, ["k", "label"])
+    return SCO.route_models(clusters.transform(data), "cluster", models, ["k", "label"])
 
 
 _LDA_FEATURES = ("l_quantity", "l_discount", "l_tax")
