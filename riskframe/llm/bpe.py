@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import share, slices
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: characters that the word pattern calls white space
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_RANK = np.iinfo(np.int64).max
@@ -202,7 +202,7 @@ def encode(df: DataFrame, id_col, text_col, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memory = shared(), Memory()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             ids, counts = bpe.encode(b.column("text").to_pylist(), memory)
             ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
