@@ -44,7 +44,7 @@ SYMBOL_BITS = 12
 SHARPNESS = 8.0
 REJECT_FACTOR = 8.0
 #: characters handled at once
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 
 _table = [np.zeros(0, np.int64)]
 
