@@ -263,6 +263,13 @@ def ml3_lda_statistics(spark, sf):
                     *[F.round(c, 2).alias(c) for c in s.columns if c.startswith("sxx_")])
 
 
+@register("ml3_lda_search")
+def ml3_lda_search(spark, sf):
+    """The discriminant with and without shrinkage, 5-fold stratified CV AUC, on all rows."""
+    li = labelled(spark, sf, REVENUE).withColumn("label", F.col("label").cast("int"))
+    return ML.lda_search(keep(stratified_folds(li, "label", "k", k=5, seed=1), "folds"), _LDA_FEATURES)
+
+
 @register("ml3_lda_score")
 def ml3_lda_score(spark, sf):
     """Fit the discriminant (p x p solve on the driver) and score every row by a dot product."""

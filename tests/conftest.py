@@ -21,4 +21,6 @@ def spark():
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
+    from riskframe.session import clear_scratch
+    clear_scratch(spark)
     spark.stop()

@@ -75,3 +75,44 @@ def test_routed_rows_keep_their_number(spark):
 def test_request_scoring_splits_rows(spark):
     out = E.queries()["sco3_request_scoring"](spark, SF)
     assert out.where("(predicted IS NULL) = (violations IS NOT NULL)").count() == table(spark, SF, "lineitem").count()
+
+
+def test_discriminant_matches_numpy_with_and_without_shrinkage(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.4).astype(int)
+    x = rng.normal(0, [1, 5, 0.1], (400, 3)) + y[:, None] * [1.0, 2.0, 0.05] + [1e5, 0, 0]
+    df = spark.createDataFrame([(int(k), *map(float, r)) for k, r in zip(y, x)], "label int, a double, b double, c double")
+    f = ["a", "b", "c"]
+    stats = ML.lda_statistics(df, f).collect()
+    for fourth in (None, ML.lda_fourth_moments(df, f, stats)):
+        parts = [x[y == k] - x[y == k].mean(0) for k in (0, 1)]
+        if fourth is None:
+            S = sum(p.T @ p for p in parts) / (len(x) - 2)
+        else:
+            S = np.zeros((3, 3))
+            for p in parts:  # Ledoit-Wolf on the standardised class, scaled back
+                sd = p.std(0)
+                z = p / sd
+                C = z.T @ z / len(z)
+                mu = np.trace(C) / 3
+                spread = ((C - mu * np.eye(3)) ** 2).sum()
+                noise = sum(((np.outer(r, r) - C) ** 2).sum() for r in z) / len(z) ** 2
+                a = min(noise, spread) / spread
+                S += len(p) / len(x) * ((1 - a) * C + a * mu * np.eye(3)) * np.outer(sd, sd)
+        w = np.linalg.solve(S + 1e-9 * np.eye(3), x[y == 1].mean(0) - x[y == 0].mean(0))
+        assert ML.lda_fit(stats, f, fourth=fourth)["weights"] == pytest.approx(list(w), rel=1e-5)
+
+
+def test_discriminant_search_covers_its_choices(spark):
+    rows = {r["shrinkage"]: r["score"] for r in E.queries()["ml3_lda_search"](spark, SF).collect()}
+    assert set(rows) == {"none", "auto"} and all(0.4 < v <= 1 for v in rows.values())  # the features hardly tell
+
+
+def test_scratch_is_cleared(spark):
+    from riskframe.session import clear_scratch, scratch_path
+    path = scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert clear_scratch(spark) >= 1
+    from riskframe.sources.files import path_exists
+    assert not path_exists(spark, path)
