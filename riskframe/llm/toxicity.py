@@ -38,6 +38,11 @@ FEATURES = 2048
 LEAST_Z = 4.5
 FACTORS = 8
 EPOCHS = 24
+RATE = 0.1
+#: factors learn more slowly and decay more than weights, so that they explain only what weights cannot
+FACTOR_RATE, FACTOR_DECAY, WEIGHT_DECAY = 0.2, 3e-3, 1e-5
+#: toxic rows are few; each counts so many times
+TOXIC_WEIGHT = 3.0
 #: words whose features a worker remembers
 REMEMBERED = 200_000
 
@@ -133,7 +138,7 @@ def fit_machine(rows: list[list[int]], label: np.ndarray, n_features: int, seed:
     steps_least = 400  # small samples make more passes
     epochs = max(EPOCHS, -(-steps_least * size // max(len(rows), 1)))
     for epoch in range(epochs):
-        rate = 0.02 * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
+        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
         order = rng.permutation(len(rows))
         for at in range(0, len(order), size):
             pick = order[at:at + size]
@@ -144,17 +149,18 @@ def fit_machine(rows: list[list[int]], label: np.ndarray, n_features: int, seed:
             total = np.stack([np.bincount(own, vi[:, k], len(pick)) for k in range(FACTORS)], 1)
             square = np.bincount(own, (vi ** 2).sum(1), len(pick))
             logit = bias + np.bincount(own, w[idx], len(pick)) + 0.5 * ((total ** 2).sum(1) - square)
-            error = (_sigmoid(logit) - label[pick]) / len(pick)
-            gw = np.bincount(idx, error[own], n_features) + 1e-5 * w
+            error = (_sigmoid(logit) - label[pick]) * np.where(label[pick] == 1, TOXIC_WEIGHT, 1.0) / len(pick)
+            gw = np.bincount(idx, error[own], n_features) + WEIGHT_DECAY * w
             gi = error[own][:, None] * (total[own] - vi)
-            gv = np.stack([np.bincount(idx, gi[:, k], n_features) for k in range(FACTORS)], 1) + 1e-4 * v
+            gv = np.stack([np.bincount(idx, gi[:, k], n_features) for k in range(FACTORS)], 1) + FACTOR_DECAY * v
             step += 1
             new = []
-            for p, g, (m, s) in zip((np.array([bias]), w, v), (np.array([error.sum()]), gw, gv),
-                                    ((0, 1), (2, 3), (4, 5)), strict=True):
+            for p, g, (m, s), pace in zip((np.array([bias]), w, v), (np.array([error.sum()]), gw, gv),
+                                          ((0, 1), (2, 3), (4, 5)), (1, 1, FACTOR_RATE), strict=True):
                 moments[m] = 0.9 * moments[m] + 0.1 * g
                 moments[s] = 0.999 * moments[s] + 0.001 * g * g
-                new.append(p - rate * (moments[m] / (1 - 0.9 ** step)) / (np.sqrt(moments[s] / (1 - 0.999 ** step)) + 1e-8))
+                mean, square_mean = moments[m] / (1 - 0.9 ** step), moments[s] / (1 - 0.999 ** step)
+                new.append(p - pace * rate * mean / (np.sqrt(square_mean) + 1e-8))
             bias, w, v = float(new[0][0]), new[1], new[2]
     return bias, w, v
 
