@@ -30,7 +30,39 @@ def op1_kd_shards(spark, sf_dir):
                       "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@register("op2_embedding_dedup")
+_OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT r.a AS vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a"""
+
+_OP6_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM (SELECT doc_id,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)),
+s AS (SELECT doc_id, j, string_agg(word, ' ') OVER p AS run, count(*) OVER p AS n FROM w
+  WINDOW p AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+d AS (SELECT doc_id, j FROM s JOIN (SELECT run FROM s WHERE n = 35 GROUP BY run HAVING count(*) > 1) USING (run) WHERE n = 35),
+c AS (SELECT DISTINCT doc_id, unnest(range(j, j + 35)) AS j FROM d),
+k AS (SELECT w.doc_id, count(*) AS n_words, count(c.j) AS n_removed,
+  string_agg(word, ' ' ORDER BY w.j) FILTER (WHERE c.j IS NULL) AS kept
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.j = w.j GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)"""
+
+_OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::INT, 1)),
+  '') AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM m"""
+
+
+@register("op2_embedding_dedup", _OP2_SQL)
 def op2_embedding_dedup(spark, sf_dir):
     """Links of cosine 0.95 and more between all embeddings."""
     from .embed_dedup import near_duplicates
@@ -66,7 +98,7 @@ def op5_simhash(spark, sf_dir):
                       "component_id")
 
 
-@register("op6_substring")
+@register("op6_substring", _OP6_SQL)
 def op6_substring(spark, sf_dir):
     """Repeated 35-word windows removed from all documents."""
     from .substring import remove_repeats
@@ -101,7 +133,7 @@ def op8_toxicity(spark, sf_dir):
                     (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
-@register("op9_warc")
+@register("op9_warc", _OP9_SQL)
 def op9_warc(spark, sf_dir):
     """All pages written as sharded WARC files and read back."""
     from .common import scratch_path
