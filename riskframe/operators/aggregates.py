@@ -132,9 +132,9 @@ def value_counts_of(stacked: DataFrame, keys: Sequence[str]) -> DataFrame:
 def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int = 10000,
                         buckets: int | None = None) -> DataFrame:
     """Exact quantiles (keys, p, value) of a written table of (keys, value, n)."""
-    from .prefix import bucket_by_value, bucket_count
+    from .prefix import bucket_by_value
     # value-range buckets per key; only the buckets holding a wanted rank are ever sorted
-    d, _ = bucket_by_value(counts.withColumn("_o", F.col("value")), list(keys), bucket_count(counts.count(), buckets), accuracy)
+    d, _ = bucket_by_value(counts.withColumn("_o", F.col("value")), list(keys), buckets, accuracy)
     tot = d.groupBy(*keys, "_bk").agg(F.sum("n").alias("_t"))
     wb = Window.partitionBy(*keys).orderBy("_bk")
     offs = tot.select(*keys, "_bk", "_t",

@@ -21,7 +21,7 @@ from ..config import FeatureGroup
 from ..functions.scalars import cap, clip, cut_index, label_of_index
 from ..session import keep
 from .keys import join_on
-from .prefix import bucket_by_value, bucket_count, lay_out, position
+from .prefix import bucket_by_value, lay_out, position
 
 
 def prepare_columns(groups: Sequence[FeatureGroup], labels: bool = False,
@@ -81,7 +81,7 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     place = F.coalesce("value_num", position(d, "value"))
     groups = ["_pos", "column"]
     d = keep(d.withColumn("_o", place), "categories")
-    d, _ = bucket_by_value(d, groups, bucket_count(d.count()), 10000)
+    d, _ = bucket_by_value(d, groups)
     before = Window.partitionBy("_pos").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = keep(d.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_n")), "category-sizes")
     inside = sizes.select("_pos", "_bk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

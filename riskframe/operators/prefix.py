@@ -21,17 +21,12 @@ from pyspark.sql import types as T
 from ..session import keep
 from .keys import join_on
 
-#: rows that one bucket of a running sum should hold; the bucket count follows from it
+#: rows that one bucket of a group should hold; a group with no more is not split
 ROWS_PER_BUCKET = 200_000
 #: most split points a group gets (the accuracy of the quantile sketch bounds them)
 MAX_BUCKETS = 4096
 
 
-def bucket_count(rows: int, buckets: int | None = None) -> int:
-    """Buckets for ``rows`` rows: one per ROWS_PER_BUCKET unless given."""
-    return buckets or max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
-
-
 def position(df: DataFrame, column: str):
     """A double that never falls while ``column`` rises: it picks a row's bucket, nothing else."""
     kind = df.schema[column].dataType
@@ -43,38 +38,51 @@ def position(df: DataFrame, column: str):
     return c.cast("double")
 
 
-def _count_below(x, splits, lo: int, hi: int):
-    """Number of sorted ``splits[lo:hi]`` below ``x``: a binary search unrolled into nested CASE
-    expressions (log2(buckets) comparisons per row, fully code-generated)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.get(splits, mid) < x, _count_below(x, splits, mid + 1, hi)).otherwise(
-        _count_below(x, splits, lo, mid))
+def count_below(limits, n: int, x, equal: bool = False):
+    """How many of the ``n`` ascending ``limits`` (an array column) lie below ``x``, with ``equal``
+    also those equal to it: a binary search folded over its step sizes, so the expression stays
+    small whatever the number of limits.  Null ``x``: 0."""
+    steps = [1 << i for i in reversed(range(max(n, 1).bit_length()))]
+
+    def move(low, step):
+        at = F.get(limits, low + step - 1)  # null beyond the end
+        return F.when(at <= x if equal else at < x, low + step).otherwise(low)
+
+    return F.aggregate(F.array(*[F.lit(i) for i in steps]), F.lit(0), move)
 
 
-def bucket_by_value(d: DataFrame, groups: list, buckets: int, accuracy: int):
-    """Add ``_bk``: the value-range bucket of ``_o`` inside its group (approximate quantile
-    split points per group - one partial/final aggregate, groups x (buckets-1) doubles).
+def bucket_by_value(d: DataFrame, groups: list, buckets: int | None = None, accuracy: int = 10000):
+    """Add ``_bk``: the value-range bucket of ``_o`` inside its group (approximate quantile split
+    points per group - one partial/final aggregate).  ``d`` must be a written table.
 
-    The split points are written before they are joined, so that Spark knows their size and
+    Only groups of more than ROWS_PER_BUCKET rows are split (all groups if ``buckets`` is given);
+    there are at most rows / ROWS_PER_BUCKET of them, however many groups the table has.  The
+    split points are written before they are joined, so that Spark knows their size and
     broadcasts them only if it is small."""
+    # (not a literal: a join on a constant would be planned as a cross join)
+    whole = F.when(F.col("_o").isNull(), F.lit(-1)).otherwise(F.lit(0))
+    rows = d
+    if buckets is None:
+        big = keep(d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows")).where(f"_rows > {ROWS_PER_BUCKET}"), "large-groups")
+        most = big.agg(F.max("_rows")).first()[0]
+        if most is None:
+            return d.withColumn("_bk", whole), groups
+        buckets = min(MAX_BUCKETS, -(-most // ROWS_PER_BUCKET))
+        rows = join_on(d, big.drop("_rows"), groups, "left_semi")
     if buckets <= 1:
-        # (not a literal: a join on a constant would be planned as a cross join)
-        return d.withColumn("_bk", F.when(F.col("_o").isNull(), F.lit(-1)).otherwise(F.lit(0))), groups
+        return d.withColumn("_bk", whole), groups
     probs = [i / buckets for i in range(1, buckets)]
-    splits = keep(d.groupBy(*groups).agg(F.percentile_approx("_o", probs, max(accuracy, 4 * buckets)).alias("_splits")),
+    splits = keep(rows.groupBy(*groups).agg(F.percentile_approx("_o", probs, max(accuracy, 4 * buckets)).alias("_splits")),
                   "splits")
-    d = join_on(d, splits, groups)
-    return d.withColumn("_bk", _count_below(F.col("_o"), F.col("_splits"), 0, buckets - 1)).drop("_splits"), groups
+    d = join_on(d, splits, groups, "left")
+    inside = count_below(F.col("_splits"), buckets - 1, F.col("_o"))
+    return d.withColumn("_bk", F.when(F.col("_splits").isNull(), whole).otherwise(inside)).drop("_splits"), groups
 
 
 def lay_out(df: DataFrame, groups: list, order: str, buckets: int | None, accuracy: int):
     """``df`` written once, with ``_g`` where there is no group column, ``_o`` and ``_bk``."""
     named = df if groups else df.withColumn("_g", F.lit(0))
-    d = keep(named.withColumn("_o", position(df, order)), "ordered")
-    groups = groups or ["_g"]
-    return bucket_by_value(d, groups, bucket_count(d.count(), buckets), accuracy)
+    return bucket_by_value(keep(named.withColumn("_o", position(df, order)), "ordered"), groups or ["_g"], buckets, accuracy)
 
 
 def running_max_before(df: DataFrame, groups: Sequence[str], order: str, value: str,

@@ -74,20 +74,6 @@ def clear_scratch(spark: SparkSession) -> int:
     return n
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss).
-
-    The frame is persisted while the checkpoint is written, otherwise Spark
-    computes it once for the job and once more for the checkpoint files.
-    """
-    shared_dir(df.sparkSession)
-    df = df.persist()
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: what several
     branches of a plan need is computed once, and a lost executor costs one task."""

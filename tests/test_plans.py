@@ -137,3 +137,33 @@ def test_segment_models_match_numpy(spark):
         w = np.linalg.lstsq(centred, y[pick] - y[pick].mean(), rcond=None)[0]
         assert [r["w_a"], r["w_b"]] == pytest.approx(list(w), rel=1e-6) and r["rows"] == 100
         assert r["intercept"] == pytest.approx(y[pick].mean() - x[pick].mean(0) @ w, rel=1e-5)
+
+
+def test_only_large_groups_are_split_and_sums_stay_exact(spark, monkeypatch):
+    from pyspark.sql import Window
+    from riskframe.operators import prefix
+    monkeypatch.setattr(prefix, "ROWS_PER_BUCKET", 40)
+    o = table(spark, SF, "orders").select(F.when(F.col("o_orderkey") < 500, F.lit("large")).otherwise(
+        F.col("o_custkey").cast("string")).alias("g"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    laid, groups = prefix.lay_out(o, ["g"], "k", None, 10000)
+    buckets = {r["g"]: r["n"] for r in laid.groupBy("g").agg(F.count_distinct("_bk").alias("n")).collect()}
+    assert buckets["large"] > 5 and {n for g, n in buckets.items() if g != "large"} == {1}
+    for descending in (False, True):
+        got = prefix.running_sums(o, ["g"], "k", ["v"], descending=descending, with_next=True, totals=True)
+        order = F.desc("k") if descending else F.asc("k")
+        w = Window.partitionBy("g").orderBy(order)
+        want = o.select("g", "k", F.sum("v").over(w).alias("c"), F.lead("k").over(w).alias("nx"),
+                        F.sum("v").over(Window.partitionBy("g")).alias("t"))
+        bad = got.join(want, ["g", "k"]).where("abs(cum_v - c) > 1e-6 or not (next_k <=> nx) or abs(all_v - t) > 1e-6")
+        assert bad.count() == 0 and got.count() == o.count()
+
+
+def test_binary_search_counts_limits_below(spark):
+    from riskframe.operators.prefix import count_below
+    limits = [1, 3, 3, 7]
+    df = spark.createDataFrame([(v,) for v in (0, 1, 2, 3, 7, 8, None)], "x int")
+    t = F.array(*[F.lit(v) for v in limits])
+    got = df.select("x", count_below(t, 4, F.col("x")).alias("a"), count_below(t, 4, F.col("x"), True).alias("b")).collect()
+    for r in got:
+        x = r["x"]
+        assert (r["a"], r["b"]) == ((0, 0) if x is None else (sum(v < x for v in limits), sum(v <= x for v in limits)))
