@@ -44,6 +44,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prefix import count_below
 from .common import Scratch
 
 SAMPLE = 20_000
@@ -176,17 +177,6 @@ def _ranges(records: DataFrame) -> tuple[int, list]:
     return -(-(n["all"] - n["keys"]) // RECORDS_PER_RANGE), limits
 
 
-def _below(limits: list, key, equal: bool):
-    """How many limits are below the key (or equal to it), by binary search."""
-    table = F.array(*[F.lit(x) for x in limits])
-    low, step = F.lit(0), 1 << len(limits).bit_length()
-    while step:
-        at = F.get(table, low + (step - 1))  # null beyond the end
-        low = F.when(at <= key if equal else at < key, low + step).otherwise(low)
-        step >>= 1
-    return low
-
-
 def with_shards(records: DataFrame, keyed: DataFrame) -> DataFrame:
     """``records`` (key, url, sha, ...) with the number of the shard each falls in.  Shards
     follow key order; rows of one key (or of none) beyond a range are spread by content.
@@ -195,7 +185,8 @@ def with_shards(records: DataFrame, keyed: DataFrame) -> DataFrame:
     spread = F.xxhash64("sha", "url")
     shard = F.lit(0)
     if limits:
-        low, high = _below(limits, F.col("key"), False), _below(limits, F.col("key"), True)
+        table = F.array(*[F.lit(x) for x in limits])  # at most as many as the sample has rows
+        low, high = (count_below(table, len(limits), F.col("key"), equal) for equal in (False, True))
         shard = F.when(high - low > 1, low + 1 + F.pmod(spread, high - low).cast("int")).otherwise(high)
     return records.withColumn("shard", F.when(F.col("key").isNull(), F.pmod(spread, F.lit(max(for_null, 1))).cast("int"))
                               .otherwise(shard + for_null).cast("int"))
