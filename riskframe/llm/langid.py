@@ -34,6 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,7 +202,7 @@ def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int = 60_000,
     found = []
     for n in range(ORDER, 0, -1):
         top, discount = _order_rows(counts, max_grams)
-        found.append((n, top.select("lang", "gram", "n", "total", "types").toPandas(), discount))
+        found.append((n, top.select("lang", "gram", "n", "total", "types").toArrow(), discount))
         if n > 1:  # continuation counts of the next lower order
             lower = F.col("gram").bitwiseAND(F.lit((1 << SYMBOL_BITS * (n - 1)) - 1))
             new = scratch.keep(counts.groupBy("lang", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lower")
@@ -212,7 +213,7 @@ def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int = 60_000,
     for lang in model.langs:
         model.orders[lang] = []
         for n, all_rows, discount in reversed(found):
-            t = all_rows[all_rows.lang == lang].sort_values("gram")
+            t = all_rows.filter(pc.equal(all_rows["lang"], lang)).sort_by("gram")
             key, c, total, types = (t[x].to_numpy() for x in ("gram", "n", "total", "types"))
             d = discount.get(lang, 0.5)
             lower = np.exp(model.log_probs(lang, key & ((1 << SYMBOL_BITS * (n - 1)) - 1)))

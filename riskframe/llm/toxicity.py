@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
+    flat = np.concatenate([np.zeros(0, np.int64), *[np.asarray(r, np.int64) for r in rows]])
     return flat, np.repeat(np.arange(len(rows)), sizes)
 
 
@@ -189,10 +190,12 @@ def train(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_
     slots = sorted(r.slot for r in telling.select("slot").collect())
     kept = F.array(*[F.lit(s) for s in slots]) if slots else F.array().cast("array<int>")
     sample = (rows.select("id", "toxic", F.array_sort(F.array_intersect("slots", kept)).alias("slots"))
-              .orderBy("id", "toxic").toPandas())
+              .orderBy("id", "toxic").toArrow().combine_chunks())
     scratch.drop(rows)
-    number = {s: i for i, s in enumerate(slots)}
-    bias, w, v = fit_machine([[number[s] for s in r] for r in sample.slots], sample.toxic.to_numpy(float), len(slots))
+    lists = sample["slots"].combine_chunks()
+    numbers = np.searchsorted(slots, lists.flatten().to_numpy())
+    texts = np.split(numbers, np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+    bias, w, v = fit_machine(texts, sample["toxic"].to_numpy().astype(float), len(slots))
     return ToxicityModel(bias, slots, w, v)
 
 
