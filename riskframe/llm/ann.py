@@ -219,6 +219,7 @@ def build_index(df: DataFrame, id_col: str, vec_col: str, k: int, scratch: Scrat
     shards = max(1, -(-nodes.count() // SHARD))
     return scratch.keep(
         nodes.withColumn("dims", F.size("vec")).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+        .repartition(2 * shards, "dims", "shard")  # small in bytes, long to build: a task each, as far as hashes allow
         .groupBy("dims", "shard").applyInPandas(
             _build_rows, "dims int, shard int, start int, ids array<array<long>>, points binary, graph binary"), "index")
 
