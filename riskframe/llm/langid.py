@@ -8,10 +8,12 @@ counts (in how many contexts an n-gram ends), each derived from the order above.
 
 *Model.*  Per language and order a sorted array of n-gram keys with their
 interpolated probabilities, and one of contexts with their back-off weights.
-Symbols have 12 bits (code points below 4096 as they are, others hashed).  At
-most ``max_grams`` n-grams per language and order are kept (the most frequent;
-others back off), which bounds what is sent to the tasks; the cut is a count
-threshold found from the counts of counts.
+Symbols have 12 bits (code points below 4096 as they are, others hashed).  All
+n-grams are kept, so the model grows with the distinct n-grams of the input; the
+driver and every task hold it (about 16 bytes an n-gram and as many a context).
+A caller may ask for at most ``max_grams`` per language and order (the most
+frequent); contexts then give the mass of dropped n-grams to the back-off, so that
+they still sum to one.
 
 *Prediction.*  Binary search in the sorted arrays, once per distinct n-gram of a
 batch; the language with the lowest cross-entropy per symbol wins (ties: the
@@ -35,7 +37,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, share, slices
@@ -166,31 +168,23 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _order_rows(counts: DataFrame, max_grams: int) -> tuple[DataFrame, dict]:
-    """n-grams of one order that enter the model, with total and types of their
-    context; the discount of each language."""
-    levels = (counts.groupBy("lang", F.least("n", F.lit(10_000)).alias("n"))
-              .agg(F.count(F.lit(1)).alias("grams")).collect())  # at most 10,000 rows a language
-    floor, discount = {}, {}
-    for lang in sorted({r.lang for r in levels}):
-        by = {r.n: r.grams for r in levels if r.lang == lang}
-        n1, n2 = by.get(1, 0), by.get(2, 0)
-        discount[lang] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        kept, least = 0, max(by) + 1
-        for n in sorted(by, reverse=True):
-            if kept + by[n] > max_grams:
-                break
-            kept, least = kept + by[n], n
-        floor[lang] = least
+def _order_rows(counts: DataFrame, max_grams: int | None) -> tuple[DataFrame, dict]:
+    """n-grams of one order that enter the model, with the total of their context;
+    the discount of each language."""
+    ones = counts.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
+    discount = {r.lang: r.n1 / (r.n1 + 2 * r.n2) if r.n1 and r.n2 else 0.5 for r in ones.collect()}
     context = F.shiftright("gram", SYMBOL_BITS)
-    totals = (counts.groupBy("lang", context.alias("context"))
-              .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types")))
-    least = F.create_map(*[x for k, v in floor.items() for x in (F.lit(k), F.lit(v))]) if floor else None
-    big = counts.where(F.col("n") >= least[F.col("lang")]) if floor else counts
-    return big.withColumn("context", context).join(totals, ["lang", "context"]), discount
+    totals = counts.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"))
+    if max_grams is not None:
+        levels = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams"))
+        above = F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+        least = (levels.withColumn("above", above).where(F.col("above") <= max_grams)
+                 .groupBy("lang").agg(F.min("n").alias("least")))
+        counts = counts.join(least, "lang").where("n >= least")
+    return counts.withColumn("context", context).join(totals, ["lang", "context"]), discount
 
 
-def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int = 60_000,
+def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int | None = None,
           calibration_rows: int = 20_000) -> LanguageModel:
     """Fit on every row of ``df`` with a non-null language."""
     scratch = Scratch(df.sparkSession, "langid")
@@ -202,7 +196,7 @@ def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int = 60_000,
     found = []
     for n in range(ORDER, 0, -1):
         top, discount = _order_rows(counts, max_grams)
-        found.append((n, top.select("lang", "gram", "n", "total", "types").toArrow(), discount))
+        found.append((n, top.select("lang", "gram", "n", "total").toArrow(), discount))
         if n > 1:  # continuation counts of the next lower order
             lower = F.col("gram").bitwiseAND(F.lit((1 << SYMBOL_BITS * (n - 1)) - 1))
             new = scratch.keep(counts.groupBy("lang", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lower")
@@ -214,12 +208,13 @@ def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int = 60_000,
         model.orders[lang] = []
         for n, all_rows, discount in reversed(found):
             t = all_rows.filter(pc.equal(all_rows["lang"], lang)).sort_by("gram")
-            key, c, total, types = (t[x].to_numpy() for x in ("gram", "n", "total", "types"))
+            key, c, total = (t[x].to_numpy() for x in ("gram", "n", "total"))
             d = discount.get(lang, 0.5)
             lower = np.exp(model.log_probs(lang, key & ((1 << SYMBOL_BITS * (n - 1)) - 1)))
-            weight = d * types / total
-            contexts, first = np.unique(key >> SYMBOL_BITS, return_index=True)
-            model.orders[lang].append(Order(key, np.maximum(c - d, 0) / total + weight * lower, contexts, weight[first]))
+            contexts, first, back, types = np.unique(key >> SYMBOL_BITS, True, True, True)
+            kept = np.bincount(back, c, len(contexts))  # less than the total where n-grams were dropped
+            weight = (total[first] - kept + d * types) / total[first]
+            model.orders[lang].append(Order(key, np.maximum(c - d, 0) / total + weight[back] * lower, contexts, weight))
     _calibrate(model, rows, calibration_rows)
     return model
 

@@ -107,3 +107,29 @@ def test_pruned_model_still_sums_to_one(spark):
     symbols = np.arange(1 << langid.SYMBOL_BITS, dtype=np.int64)
     total = np.exp(model.log_probs("x", (key_of("abab") << langid.SYMBOL_BITS) | symbols)).sum()
     assert total == pytest.approx(1, abs=0.2)
+
+
+def test_model_keeps_every_gram_and_grows_with_the_input(spark):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrst "), 50_000)) for _ in range(4)]
+    sizes = []
+    for n in (2, 4):
+        df = spark.createDataFrame([(t, "x") for t in texts[:n]], "text string, lang string")
+        model = langid.train(df, "text", "lang")
+        want = np.unique(langid.grams(texts[:n])[0])
+        assert (model.orders["x"][-1].keys == want).all()
+        sizes.append(len(want))
+    assert 60_000 < sizes[0] < sizes[1]
+
+
+def test_dropped_mass_goes_to_the_back_off(spark):
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdef  "), 400)) for _ in range(20)]
+    df = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string")
+    symbols = np.arange(1 << langid.SYMBOL_BITS, dtype=np.int64)
+    for most in (6, 60, 300):
+        model = langid.train(df, "text", "lang", max_grams=most)
+        assert all(len(o.keys) <= most for o in model.orders["x"])
+        for c in ("abab", "    ", "fa b", "zzzz"):
+            total = np.exp(model.log_probs("x", (key_of(c) << langid.SYMBOL_BITS) | symbols)).sum()
+            assert total == pytest.approx(1, abs=1e-9)
