@@ -20,10 +20,11 @@ batch; the language with the lowest cross-entropy per symbol wins (ties: the
 first in alphabetical order).  ``score`` is the softmax of the negative
 cross-entropies at ``SHARPNESS``.
 
-*Rejection* is calibrated per language on a bounded sample of training rows
-(``calibration_rows``): a text is rejected if its cross-entropy exceeds the
-median by ``REJECT_FACTOR`` times the distance from the median to the 95th
-percentile, and is also worse than a uniform guess over the language's own symbols.
+*Rejection* is calibrated per language on all training rows that are recognised as
+it: a text is rejected if its cross-entropy exceeds the median by
+``REJECT_FACTOR`` times the distance from the median to the 95th percentile, and is
+also worse than a uniform guess over the language's own symbols (the only bound of
+a language of which no training row is recognised).
 
 Null text or text without a letter: ``und``, score 0, rejected.  No training rows
 at all: every text is ``und``.  Rows with null language train nothing.
@@ -184,8 +185,7 @@ def _order_rows(counts: DataFrame, max_grams: int | None) -> tuple[DataFrame, di
     return counts.withColumn("context", context).join(totals, ["lang", "context"]), discount
 
 
-def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int | None = None,
-          calibration_rows: int = 20_000) -> LanguageModel:
+def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int | None = None) -> LanguageModel:
     """Fit on every row of ``df`` with a non-null language."""
     scratch = Scratch(df.sparkSession, "langid")
     rows = (df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -215,20 +215,19 @@ def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int | None = N
             kept = np.bincount(back, c, len(contexts))  # less than the total where n-grams were dropped
             weight = (total[first] - kept + d * types) / total[first]
             model.orders[lang].append(Order(key, np.maximum(c - d, 0) / total + weight[back] * lower, contexts, weight))
-    _calibrate(model, rows, calibration_rows)
+    _calibrate(model, rows)
     return model
 
 
-def _calibrate(model: LanguageModel, rows: DataFrame, most: int) -> None:
+def _calibrate(model: LanguageModel, rows: DataFrame) -> None:
     if not model.langs:
         return
-    share = min(1.0, most / max(rows.count(), 1))
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
-    seen = (sample.withColumn("p", model.column(F.col("text"))).where("p.lang = lang")
+    uniform = {x: float(np.log(max(len(model.orders[x][0].keys), 2))) for x in model.langs}
+    model.limits = dict(uniform)
+    seen = (rows.withColumn("p", model.column(F.col("text"))).where("p.lang = lang")
             .groupBy("lang").agg(F.percentile_approx("p.entropy", F.array(F.lit(0.5), F.lit(0.95)), 1000).alias("q")))
     for r in seen.collect():
-        uniform = float(np.log(max(len(model.orders[r.lang][0].keys), 2)))
-        model.limits[r.lang] = max(uniform, r.q[0] + REJECT_FACTOR * (r.q[1] - r.q[0]))
+        model.limits[r.lang] = max(uniform[r.lang], r.q[0] + REJECT_FACTOR * (r.q[1] - r.q[0]))
 
 
 def identify(df: DataFrame, id_col: str, text_col: str, model: LanguageModel) -> DataFrame:

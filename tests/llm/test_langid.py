@@ -133,3 +133,19 @@ def test_dropped_mass_goes_to_the_back_off(spark):
         for c in ("abab", "    ", "fa b", "zzzz"):
             total = np.exp(model.log_probs("x", (key_of(c) << langid.SYMBOL_BITS) | symbols)).sum()
             assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_every_training_row_counts_for_the_rejection_limit(spark):
+    rng = np.random.default_rng(3)
+    words = lambda letters, n: [" ".join("".join(rng.choice(list(letters), 4)) for _ in range(8)) for _ in range(n)]
+    small = ["qxzj qxzj qxzj qxzj"] * 9 + words("qxzjvkwy", 3)
+    df = spark.createDataFrame([(t, "big") for t in words("abcdefgh", 3000)], "text string, lang string")
+    df = df.crossJoin(spark.range(100)).drop("id")  # 12 rows of the other language beside 300,000
+    model = langid.train(df.union(spark.createDataFrame([(t, "small") for t in small], df.schema)), "text", "lang")
+    lang, _, entropy, _ = model.predict(small)
+    own = sorted(e for e, x in zip(entropy, lang, strict=True) if x == "small")
+    mid, high = own[-(-len(own) // 2) - 1], own[-(-95 * len(own) // 100) - 1]
+    uniform = np.log(len(model.orders["small"][0].keys))
+    assert len(own) == 12 and mid + langid.REJECT_FACTOR * (high - mid) > uniform
+    assert model.limits["small"] == pytest.approx(max(uniform, mid + langid.REJECT_FACTOR * (high - mid)), rel=1e-9)
+    assert set(model.limits) == {"big", "small"}
