@@ -212,8 +212,8 @@ def build_index(df: DataFrame, id_col: str, vec_col: str, k: int, scratch: Scrat
     """(dims, shard, start, ids, points, graph): one row per shard, written to the shared folder."""
     rows = (df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
             .where(F.col("id").isNotNull() & valid(F.col("vec"))).withColumn("h", F.xxhash64("vec")))
-    # the smallest ids of each vector; the limit on the rank acts in every task before the shuffle
-    least = (rows.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(f"r <= {k + 1}")
+    # the smallest distinct ids of each vector; the limit on the rank acts in every task before the shuffle
+    least = (rows.withColumn("r", F.dense_rank().over(Window.partitionBy("h").orderBy("id"))).where(f"r <= {k + 1}")
              .groupBy("h").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("vec").alias("vec")))
     nodes = scratch.keep(least, "nodes")
     shards = max(1, -(-nodes.count() // SHARD))

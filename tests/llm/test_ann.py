@@ -50,3 +50,10 @@ def test_copies_ties_and_bad_vectors(rows):
     assert nearest(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 100 == 0).count() == 0
     few = nearest(df.where("vec_id in (100, 1)"), "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect()
     assert [(r["rank"], r.vec_id) for r in few] == [(1, 1)]
+
+
+def test_repeated_rows_do_not_use_up_the_ids_of_a_vector(rows):
+    data = [(5, [1.0, 2.0])] * 11 + [(i, [1.0, 2.0]) for i in range(6, 21)] * 2 + [(100, [1.0, 3.0])]
+    df = rows("vec_id long, embedding array<double>", *data)
+    got = nearest(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(i + 1, 5 + i, 1.0) for i in range(10)]
