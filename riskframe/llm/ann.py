@@ -8,8 +8,9 @@ edges are pruned the same way when a node overflows.  The graphs are written to
 shared folder, one row per shard of bounded size.
 
 *Search.*  Queries form blocks of ``BLOCK``.  Every shard is searched for every block by
-beam search; distances of the nearest found are recomputed in double precision on the
+beam search in double precision; distances of the nearest found are recomputed on the
 original vectors, and the best of all shards are ranked, ties to the smaller id.
+A query ``FAR`` times larger than a shard's vectors is compared with all of them.
 
 Equal vectors are one node that carries its k + 1 smallest ids: more can never be among
 the k nearest of a query, so no row is lost to a vector that many rows share.
@@ -40,6 +41,8 @@ SLACK = 48
 ALPHA = 1.2
 BUILD_BEAM = 64
 SEARCH_BEAM = 160
+#: a query so many times larger than a shard's vectors hardly tells them apart: it is compared with all of them
+FAR = 1 << 20
 #: nodes expanded at once
 EXPAND = 4
 BATCH = 256
@@ -167,6 +170,11 @@ def _add_back(points: np.ndarray, graph: np.ndarray, source: np.ndarray, target:
         graph[part, :DEGREE] = kept
 
 
+def _excess(*arrays: np.ndarray) -> int:
+    """Binary exponent by which the arrays must shrink so that squares stay finite; 0 for usual sizes."""
+    return max(0, int(np.frexp(max(np.abs(a).max() for a in arrays))[1]) - 500)
+
+
 def _stack(vectors: list) -> np.ndarray:
     return np.array(vectors, np.float64)
 
@@ -176,7 +184,7 @@ def _build_rows(key, part):
     import pandas as pd
     part = part.sort_values("h")
     points = _stack(part["vec"].tolist())
-    graph, start = build_graph((points / np.abs(points).max()).astype(np.float32))
+    graph, start = build_graph(np.ldexp(points, -_excess(points)))
     return pd.DataFrame({"dims": [int(key[0])], "shard": [int(key[1])], "start": [start],
                          "ids": [[list(map(int, x)) for x in part["ids"]]],
                          "points": [points.tobytes()], "graph": [graph.astype(np.int32).tobytes()]})
@@ -191,12 +199,16 @@ def _search_rows(k: int):
                 points = np.frombuffer(r["points"], np.float64).reshape(-1, r["dims"])
                 graph = np.frombuffer(r["graph"], np.int32).reshape(len(points), -1).astype(np.int64)
                 queries = _stack(r["vectors"])
-                scale = max(np.abs(points).max(), np.abs(queries).max())  # single precision must not overflow
-                near, _ = beam_search((points / scale).astype(np.float32), graph, r["start"],
-                                      (queries / scale).astype(np.float32), SEARCH_BEAM)
+                shrink = -_excess(points, queries)
+                near, _ = beam_search(np.ldexp(points, shrink), graph, r["start"], np.ldexp(queries, shrink), SEARCH_BEAM)
+                least = np.array([x[0] for x in r["ids"]])
+                far = np.abs(queries).max(1) > FAR * np.median(np.abs(points).max(1))
                 q, v, s = [], [], []
                 for j, own in enumerate(r["queries"]):
                     nodes = near[j][near[j] >= 0]
+                    if far[j]:
+                        every = ((points - queries[j]) ** 2).sum(1)
+                        nodes = np.lexsort((least, every))[:k + 1]
                     exact = np.sqrt(((points[nodes] - queries[j]) ** 2).sum(1))
                     rows = sorted((float(d), x) for d, node in zip(exact, nodes, strict=True)
                                   for x in r["ids"][node] if x != own)[:k]

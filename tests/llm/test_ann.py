@@ -57,3 +57,19 @@ def test_repeated_rows_do_not_use_up_the_ids_of_a_vector(rows):
     df = rows("vec_id long, embedding array<double>", *data)
     got = nearest(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect()
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(i + 1, 5 + i, 1.0) for i in range(10)]
+
+
+def test_a_huge_vector_as_row_and_as_query_spoils_no_other(rows):
+    rng = np.random.default_rng(4)
+    x = {i: rng.standard_normal(4).tolist() for i in range(1, 900)} | {950: [1e30, 0.0, 0.0, 0.0], 1000: [1e30, 1e30, 0.0, 0.0]}
+    df = rows("vec_id long, embedding array<double>", *x.items())
+    got = nearest(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect()
+    hits = total = 0
+    for q in (i for i in x if i % 100 == 0):
+        d = {i: float(np.sqrt(((np.array(v) - np.array(x[q])) ** 2).sum())) for i, v in x.items() if i != q}
+        want = sorted((s, i) for i, s in d.items())[:10]
+        mine = sorted((r.score, r.vec_id) for r in got if r.query_id == q)
+        if q == 1000:
+            assert [i for _, i in mine] == [i for _, i in want]
+        hits, total = hits + len({i for _, i in mine} & {i for _, i in want}), total + 10
+    assert hits / total >= 0.95
