@@ -302,12 +302,11 @@ def feature_unit(groups: Sequence[FeatureGroup], categorical: Sequence[str] = ()
     return Pipeline(stages=stages)
 
 
-def fit_feature_unit(unit: Pipeline, train: DataFrame, cluster_rows: DataFrame | None = None,
-                     ks: Sequence[int] = range(2, 15)) -> PipelineModel:
-    """FE10 with its clusters: the fitted unit followed by k-means with the k of the elbow (fitted on
-    ``cluster_rows``, a bounded sample of ``train``), as one saveable model that appends ``cluster``."""
+def fit_feature_unit(unit: Pipeline, train: DataFrame, ks: Sequence[int] = range(2, 15)) -> PipelineModel:
+    """FE10 with its clusters: the fitted unit followed by k-means with the k of the elbow, all
+    fitted on the whole of ``train``, as one saveable model that appends ``cluster``."""
     model = unit.fit(train)
-    rows = keep(model.transform(train if cluster_rows is None else cluster_rows).select("features"), "cluster-rows")
+    rows = keep(model.transform(train).select("features"), "cluster-rows")
     clusters, _, _ = fit_segments(rows, "features", ks=ks)
     return PipelineModel([*model.stages, clusters])
 

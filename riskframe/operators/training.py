@@ -211,8 +211,13 @@ def load_unit(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def fit_unit(stages: Sequence, train: DataFrame) -> PipelineModel:
-    return Pipeline(stages=list(stages)).fit(train)
+def fit_unit(stages: Sequence, train: DataFrame, classifier_rows: DataFrame | None = None) -> PipelineModel:
+    """The stages fitted as one unit: all but the last on the whole of ``train``, the classifier at the
+    end on ``classifier_rows`` (a bounded sample of it; the default is all)."""
+    *prepare, classifier = stages
+    prepared = Pipeline(stages=prepare).fit(train)
+    rows = prepared.transform(train if classifier_rows is None else classifier_rows)
+    return PipelineModel([*prepared.stages, classifier.fit(rows)])
 
 
 # ----------------------------------------------------------------- per-segment models

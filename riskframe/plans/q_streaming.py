@@ -103,7 +103,8 @@ def str1_stream_model_scoring(spark, sf):
     from .q_training import FIT_ROWS, request_rules, split_labelled, unit
     d = split_labelled(spark, sf)
     stages = [*unit().getStages(), ML.make_estimator("GBT")]
-    model = ML.fit_unit(stages, ML.fit_sample(d.where(F.col("split") == "train"), "k", 5 * FIT_ROWS))
+    train = d.where(F.col("split") == "train")
+    model = ML.fit_unit(stages, train, ML.fit_sample(train, "k", 5 * FIT_ROWS))
     schema = table(spark, sf, "lineitem").schema
     raw = ST.file_stream(spark, f"{sf}/lineitem*.parquet", schema)
     # the same derived request columns as the batch table (native expressions on the stream)

@@ -10,7 +10,10 @@ boosting families, and take the number of trials as an argument.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TRAINER_GATE
@@ -78,7 +81,7 @@ def fe10_feature_unit(spark, sf):
     as one unit (SNK6) that appends features and cluster to raw rows."""
     d = split_labelled(spark, sf)
     train = d.where(F.col("split") == "train")
-    model = fit_feature_unit(unit(), train, ML.fit_sample(train, "k", 5 * FIT_ROWS))
+    model = fit_feature_unit(unit(), train)
     path = scratch_path(spark, "feature-unit")
     ML.save_unit(model, path)
     return ML.load_unit(path).transform(d).select("k", "split", "features", "cluster")
@@ -89,7 +92,8 @@ def snk6_model_unit(spark, sf):
     """Feature unit + classifier saved as one PipelineModel, loaded back and scored."""
     d = split_labelled(spark, sf)
     stages = [*unit().getStages(), ML.make_estimator("GBT")]
-    model = ML.fit_unit(stages, ML.fit_sample(d.where(F.col("split") == "train"), "k", 5 * FIT_ROWS))
+    train = d.where(F.col("split") == "train")
+    model = ML.fit_unit(stages, train, ML.fit_sample(train, "k", 5 * FIT_ROWS))
     path = scratch_path(spark, "model-unit")
     ML.save_unit(model, path)
     return SCO.score(ML.load_unit(path), d, ["k", "split", "label"])
@@ -236,12 +240,15 @@ def ml12_segment_least_squares(spark, sf):
 
 @register("ml12_segment_models")
 def ml12_segment_models(spark, sf):
-    """Segments by k-means on the assembled features, a classifier per segment fitted on its rows,
+    """Segments by k-means on the assembled features, a classifier per segment fitted on a bounded
+    sample of its rows,
     every row scored by the model of its segment."""
     data, _ = prepared(spark, sf)
-    rows = keep(ML.fit_sample(data.where(F.col("split") == "train"), "k", 5 * FIT_ROWS), "fit-rows")
-    clusters, k, _ = fit_segments(rows, "features", k=3)
-    models = ML.fit_per_segment(keep(clusters.transform(rows), "clustered"), "cluster", list(range(k)),
+    train = keep(data.where(F.col("split") == "train"), "train-rows")
+    clusters, k, _ = fit_segments(train, "features", k=3)
+    clustered = keep(clusters.transform(train), "clustered")
+    samples = [ML.fit_sample(clustered.where(F.col("cluster") == s), "k", 5 * FIT_ROWS) for s in range(k)]
+    models = ML.fit_per_segment(keep(reduce(DataFrame.unionAll, samples), "fit-rows"), "cluster", list(range(k)),
                                 lambda: ML.make_estimator("GBT", validation_col="is_val"))
     return SCO.route_models(clusters.transform(data), "cluster", models, ["k", "label"])
 
@@ -283,7 +290,8 @@ def sco1_score_batch(spark, sf):
     """Score raw rows with a fitted unit: predicted class and P(class 1)."""
     d = split_labelled(spark, sf)
     stages = [*unit().getStages(), ML.make_estimator("GBT")]
-    model = ML.fit_unit(stages, ML.fit_sample(d.where(F.col("split") == "train"), "k", 5 * FIT_ROWS))
+    train = d.where(F.col("split") == "train")
+    model = ML.fit_unit(stages, train, ML.fit_sample(train, "k", 5 * FIT_ROWS))
     return SCO.score(model, d, ["k"])
 
 
@@ -292,7 +300,8 @@ def sco2_probability_metrics(spark, sf):
     """P(class 1) of a fitted unit measured with EV1 per split."""
     d = split_labelled(spark, sf)
     stages = [*unit().getStages(), ML.make_estimator("GBT")]
-    model = ML.fit_unit(stages, ML.fit_sample(d.where(F.col("split") == "train"), "k", 5 * FIT_ROWS))
+    train = d.where(F.col("split") == "train")
+    model = ML.fit_unit(stages, train, ML.fit_sample(train, "k", 5 * FIT_ROWS))
     s = SCO.score(model, d, ["split", "label"]).withColumn("target", F.col("label").cast("int"))
     return EV.quality(s, ["split"])
 
@@ -307,7 +316,8 @@ def sco3_request_scoring(spark, sf):
     """Requests = lineitem rows: rule check, valid rows scored, invalid rows quarantined with reasons."""
     d = split_labelled(spark, sf)
     stages = [*unit().getStages(), ML.make_estimator("GBT")]
-    model = ML.fit_unit(stages, ML.fit_sample(d.where(F.col("split") == "train"), "k", 5 * FIT_ROWS))
+    train = d.where(F.col("split") == "train")
+    model = ML.fit_unit(stages, train, ML.fit_sample(train, "k", 5 * FIT_ROWS))
     scored, quarantine = SCO.score_requests(model, d, request_rules(), ["k"])
     return scored.select("k", "predicted", "prediction", F.lit(None).cast("string").alias("violations")).unionByName(
         quarantine.select("k", F.lit(None).cast("int").alias("predicted"), F.lit(None).cast("double").alias("prediction"),

@@ -116,3 +116,22 @@ def test_scratch_is_cleared(spark):
     assert clear_scratch(spark) >= 1
     from riskframe.sources.files import path_exists
     assert not path_exists(spark, path)
+
+
+def test_encoder_and_clusters_are_fitted_on_the_whole_train_part(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FIT_ROWS", 1)
+    fitted, units, fit = [], [], FE.fit_segments
+    segments = lambda df, features, k=None, **a: fitted.append(df.count()) or fit(df, features, k=k or 2)
+    for module in (FE, Q):
+        monkeypatch.setattr(module, "fit_segments", segments)
+    save = ML.save_unit
+    monkeypatch.setattr(ML, "save_unit", lambda m, path: units.append(m) or save(m, path))
+    train = Q.split_labelled(spark, SF).where("split = 'train'").count()
+    Q.fe10_feature_unit(spark, SF)
+    Q.snk6_model_unit(spark, SF)
+    assert fitted == [train]
+    size = [u.transform(Q.split_labelled(spark, SF)).select("features").first()[0].size for u in units]
+    assert size[0] == size[1]  # no category is missing from the unit whose classifier saw five rows
+    monkeypatch.setattr(Q, "FIT_ROWS", 400)
+    Q.ml12_segment_models(spark, SF)
+    assert fitted[1] == train
