@@ -5,8 +5,9 @@ Terms of a text are its lower-cased words and their first four and five letters
 The model is fitted on at most ``fit_rows`` labelled rows (chosen by a hash of the
 id; the documented bound of this operator):
 
-1. Spark counts in how many toxic and other sample texts each slot occurs and
-   keeps the ``FEATURES`` most telling slots (two-proportion z at least ``LEAST_Z``).
+1. Spark counts in how many sample texts each slot occurs and keeps the slots of at
+   least ``LEAST_TEXTS``, however telling they are on their own: terms may matter
+   only together.  Terms that tell little alone learn slower, none is left out.
 2. A factorization machine, logit = b + sum w_i + sum_{i<j} <v_i, v_j>, is trained
    with Adam on the presence of those slots; the factors learn which terms matter
    together, such as an insult beside the mention of a group, where a sum of
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, share, slices
 
 SLOTS = 1 << 20
-FEATURES = 2048
-LEAST_Z = 4.5
+#: sample texts that a term must occur in
+LEAST_TEXTS = 3
+#: two-proportion z from which a term learns at full pace
+TELLING_Z = 4.5
 FACTORS = 8
 EPOCHS = 24
 RATE = 0.1
@@ -126,8 +129,11 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["id", "toxic", "slots"])
 
 
-def fit_machine(rows: list[list[int]], label: np.ndarray, n_features: int, seed: int = 11) -> tuple:
-    """Adam on the logistic loss of a factorization machine over present features."""
+def fit_machine(rows: list[list[int]], label: np.ndarray, n_features: int, seed: int = 11,
+                pace: np.ndarray | None = None) -> tuple:
+    """Adam on the logistic loss of a factorization machine over present features; a step
+    changes the features of its rows.  ``pace``: learning rate of each feature (1 by default)."""
+    pace = np.ones(n_features) if pace is None else pace
     rng = np.random.default_rng(seed)
     base = label.mean()
     bias = float(np.log(base / (1 - base)))
@@ -135,6 +141,7 @@ def fit_machine(rows: list[list[int]], label: np.ndarray, n_features: int, seed:
     flat, owner = _flat(rows)
     starts = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(rows)))]
     size, step = 256, 0
+    place = np.zeros(n_features, np.int64)
     moments = [np.zeros(1), np.zeros(1), np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     steps_least = 400  # small samples make more passes
     epochs = max(EPOCHS, -(-steps_least * size // max(len(rows), 1)))
@@ -146,26 +153,42 @@ def fit_machine(rows: list[list[int]], label: np.ndarray, n_features: int, seed:
             sizes = starts[pick + 1] - starts[pick]
             own = np.repeat(np.arange(len(pick)), sizes)
             idx = flat[np.repeat(starts[pick] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-            vi = v[idx]
+            here = np.flatnonzero(np.bincount(idx, minlength=n_features))
+            place[here] = np.arange(len(here))
+            idx = place[idx]
+            wh, vh = w[here], v[here]
+            vi = vh[idx]
             total = np.stack([np.bincount(own, vi[:, k], len(pick)) for k in range(FACTORS)], 1)
             square = np.bincount(own, (vi ** 2).sum(1), len(pick))
-            logit = bias + np.bincount(own, w[idx], len(pick)) + 0.5 * ((total ** 2).sum(1) - square)
+            logit = bias + np.bincount(own, wh[idx], len(pick)) + 0.5 * ((total ** 2).sum(1) - square)
             error = (_sigmoid(logit) - label[pick]) * np.where(label[pick] == 1, TOXIC_WEIGHT, 1.0) / len(pick)
-            gw = np.bincount(idx, error[own], n_features) + WEIGHT_DECAY * w
+            gw = np.bincount(idx, error[own], len(here)) + WEIGHT_DECAY * wh
             gi = error[own][:, None] * (total[own] - vi)
-            gv = np.stack([np.bincount(idx, gi[:, k], n_features) for k in range(FACTORS)], 1) + FACTOR_DECAY * v
+            gv = np.stack([np.bincount(idx, gi[:, k], len(here)) for k in range(FACTORS)], 1) + FACTOR_DECAY * vh
             step += 1
             new = []
-            for p, g, (m, s), pace in zip((np.array([bias]), w, v), (np.array([error.sum()]), gw, gv),
-                                          ((0, 1), (2, 3), (4, 5)), (1, 1, FACTOR_RATE), strict=True):
-                moments[m] = 0.9 * moments[m] + 0.1 * g
-                moments[s] = 0.999 * moments[s] + 0.001 * g * g
-                mean, square_mean = moments[m] / (1 - 0.9 ** step), moments[s] / (1 - 0.999 ** step)
-                new.append(p - pace * rate * mean / (np.sqrt(square_mean) + 1e-8))
-            bias, w, v = float(new[0][0]), new[1], new[2]
+            for p, g, (m, s), at_, pace_ in zip((np.array([bias]), wh, vh), (np.array([error.sum()]), gw, gv),
+                                                ((0, 1), (2, 3), (4, 5)), (slice(None), here, here),
+                                                (1, pace[here], FACTOR_RATE * pace[here][:, None]), strict=True):
+                moments[m][at_] = 0.9 * moments[m][at_] + 0.1 * g
+                moments[s][at_] = 0.999 * moments[s][at_] + 0.001 * g * g
+                mean, square_mean = moments[m][at_] / (1 - 0.9 ** step), moments[s][at_] / (1 - 0.999 ** step)
+                new.append(p - pace_ * rate * mean / (np.sqrt(square_mean) + 1e-8))
+            bias = float(new[0][0])
+            w[here], v[here] = new[1], new[2]
     return bias, w, v
 
 
+def _paces(rows: list, label: np.ndarray, n_features: int) -> np.ndarray:
+    """Terms that tell nothing alone are many in each text: they learn slower by their number in a text."""
+    flat, owner = _flat(rows)
+    a, both = np.bincount(flat, label[owner], n_features), np.bincount(flat, minlength=n_features)
+    n1, n = label.sum(), len(label)
+    p = both / n
+    z = np.abs((a / n1 - (both - a) / (n - n1)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1))))
+    return np.where(z >= TELLING_Z, 1.0, 1 / max(1.0, len(flat) / n))
+
+
 def train(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str,
           fit_rows: int = 30_000) -> ToxicityModel:
     """Fit on at most ``fit_rows`` labelled rows, joined to their texts by id."""
@@ -181,22 +204,19 @@ def train(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_
     if not n0 or not n1:
         scratch.drop(rows)
         return ToxicityModel(bias=500.0 if n1 else -500.0)
-    p = (F.col("a") + F.col("b")) / (n0 + n1)
-    z = F.abs((F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
-    telling = (rows.select("toxic", F.explode("slots").alias("slot")).groupBy("slot")
-               .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-               .where(f"a + b >= 3 and a + b < {n0 + n1}").withColumn("z", z).where(F.col("z") >= LEAST_Z)
-               .orderBy(F.desc("z"), "slot").limit(FEATURES))
-    slots = sorted(r.slot for r in telling.select("slot").collect())
-    kept = F.array(*[F.lit(s) for s in slots]) if slots else F.array().cast("array<int>")
-    sample = (rows.select("id", "toxic", F.array_sort(F.array_intersect("slots", kept)).alias("slots"))
-              .orderBy("id", "toxic").toArrow().combine_chunks())
+    common = (rows.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("texts"))
+              .where(F.col("texts").between(LEAST_TEXTS, n0 + n1 - 1)))
+    slots = np.sort(common.select("slot").toArrow()["slot"].to_numpy())
+    sample = rows.orderBy("id", "toxic").toArrow().combine_chunks()
     scratch.drop(rows)
     lists = sample["slots"].combine_chunks()
-    numbers = np.searchsorted(slots, lists.flatten().to_numpy())
-    texts = np.split(numbers, np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
-    bias, w, v = fit_machine(texts, sample["toxic"].to_numpy().astype(float), len(slots))
-    return ToxicityModel(bias, slots, w, v)
+    sizes, flat = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
+    keep = np.isin(flat, slots)
+    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+    texts = np.split(np.searchsorted(slots, flat[keep]).astype(np.int32), np.cumsum(sizes)[:-1])
+    label = sample["toxic"].to_numpy().astype(float)
+    bias, w, v = fit_machine(texts, label, len(slots), pace=_paces(texts, label, len(slots)))
+    return ToxicityModel(bias, slots.tolist(), w, v)
 
 
 def score(df: DataFrame, id_col: str, text_col: str, model: ToxicityModel) -> DataFrame:

@@ -67,3 +67,16 @@ def test_fit_bound_is_kept(rows, monkeypatch):
     monkeypatch.setattr(toxicity.Scratch, "drop", lambda self, *frames: None)
     toxicity.train(docs, "doc_id", "text", labels, "doc_id", "toxic", fit_rows=30)
     assert seen[0].count() == 30
+
+
+def test_train_learns_an_interaction_of_terms_that_tell_nothing_alone(rows):
+    rng = np.random.default_rng(0)
+    docs, labels = [], []
+    for i in range(4000):  # toxic if and only if both or none of two terms are there
+        a, b = i % 2, i // 2 % 2
+        docs.append((i, " ".join(["group"] * a + ["harm"] * b + [f"w{x}" for x in rng.integers(0, 60, 6)])))
+        labels.append((i, int(a == b)))
+    df = rows("doc_id long, text string", *docs)
+    model = toxicity.train(df, "doc_id", "text", rows("doc_id long, toxic int", *labels), "doc_id", "toxic")
+    score = {r.id: r.score for r in toxicity.score(df, "doc_id", "text", model).collect()}
+    assert np.mean([(score[i] >= 0.5) == (t == 1) for i, t in labels]) > 0.97
