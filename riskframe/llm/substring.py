@@ -1,23 +1,23 @@
-"""Exact substring de-duplication by relative Lempel-Ziv parsing against an
-indexed, distributed reference.
+"""Exact substring de-duplication by window minimizers and window hashes, in
+place of a relative Lempel-Ziv parse: there are no greedy factors.
 
 Every word that lies in a window of ``window`` consecutive words which also
 starts anywhere else (in the same document too) is removed.  The corpus is its
 own reference:
 
-1. *Reference index.*  Of each window the smallest of its hashed word grams is
+1. *Index.*  Of each window the smallest of its hashed word grams is
    its anchor (leftmost on ties), so equal windows have equal anchors at equal
    offsets.  The phrase of an anchor is the text that all windows round it span.
-   Reference blocks are the hash partitions of the anchors; an anchor that
-   occurs once cannot start a factor of sufficient length and leaves the index.
-2. *Greedy factors.*  A document is parsed against the blocks its anchors name,
-   all others provably give no factor of ``window`` words.  While the whole phrase
-   round an anchor occurs again, the factor goes on to the next anchor.
-3. *Factor boundaries.*  Where only part of a phrase matches (a factor starts or
-   ends there), each window of the phrase is looked up by its own hash among the
-   block's other phrases with that anchor, so a duplicate that straddles a
-   boundary is found as well.
-4. Factors of at least ``window`` words become spans, their words are dropped.
+   An anchor that occurs once marks no duplicate and leaves the index.
+2. *Whole phrases.*  Each anchor is judged on its own: where its phrase occurs
+   again, all windows round it are duplicates.
+3. *Parts of phrases.*  Elsewhere each window of the phrase is looked up by its
+   own hash among the other phrases with that anchor, so a duplicate that starts
+   or ends inside a phrase is found as well.
+4. Words of duplicate windows become spans and are dropped.
+
+A mask of 64 bits names the windows round an anchor, so ``window`` is at most
+``GRAM`` + 63 words; larger ones raise ValueError.
 
 Equality is decided on the pair (anchor hash, window hash), 128 bits.  Only
 anchors (2 words in 25) are shuffled, not windows.  Copies of a passage are
@@ -308,6 +308,8 @@ def remove_repeats(df: DataFrame, id_col: str | Column, text_col: str, window: i
     removed spans (start word, length)."""
     if window <= GRAM:
         raise ValueError(f"window must exceed {GRAM} words")
+    if window > GRAM + 63:
+        raise ValueError(f"window must not exceed {GRAM + 63} words: masks have 64 bits")
     scratch = Scratch(df.sparkSession, "substring")
     docs = (df.select(F.col(id_col).alias("id") if isinstance(id_col, str) else id_col.alias("id"), F.col(text_col).alias("text"))
             .withColumn("key", F.xxhash64("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))))

@@ -79,3 +79,12 @@ def test_every_window_has_its_anchor():
             assert ((pos >= s) & (pos <= s + 35 - 12)).any()
         if len(d) < 35:
             assert not len(pos)
+
+
+def test_windows_that_no_mask_can_hold_are_refused(rows):
+    text = " ".join(f"w{i}" for i in range(90))
+    df = rows("doc_id long, text string", (1, text), (2, text))
+    most = substring.GRAM + 63
+    assert {r.n_removed for r in remove_repeats(df, "doc_id", "text", window=most).collect()} == {90}
+    with pytest.raises(ValueError):
+        remove_repeats(df, "doc_id", "text", window=most + 1)
