@@ -150,3 +150,11 @@ def op10_neighbours(spark, sf_dir):
     from .ann import nearest
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 10).select(
         "query_id", "rank", "vec_id", "score")
+
+
+@register("op11_conversations")
+def op11_conversations(spark, sf_dir):
+    """All conversations, damaged as planted and repaired to alternating turns."""
+    from .conversations import repair_report
+    return repair_report(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").withColumnRenamed(
+        "conv", "conv_id")
