@@ -158,3 +158,30 @@ def op11_conversations(spark, sf_dir):
     from .conversations import repair_report
     return repair_report(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").withColumnRenamed(
         "conv", "conv_id")
+
+
+_OP12_SQL = r"""
+WITH p AS (SELECT lang, row_number() OVER () AS piece, w FROM (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'),
+    lambda x: x <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+f AS (SELECT lang, g, count(*) AS a FROM (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2),
+    lambda i: w[i:i + k - 1])) AS g FROM p, range(1, 6) AS t(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, g, a, array_to_string(g, ' ') AS phrase FROM f WHERE len(g) > 1),
+u AS (SELECT lang, unnest([g[:-2], g[2:]]) AS g, a FROM c),
+kept AS (SELECT c.* FROM c LEFT JOIN (SELECT lang, g, max(a) AS most FROM u GROUP BY ALL) m ON m.lang = c.lang AND m.g = c.g
+  WHERE most IS NULL OR most < c.a),
+cut AS (SELECT kept.*, unnest(range(1, len(g))) AS k FROM kept),
+s AS (SELECT cut.lang, phrase, cut.a, x.a AS l, y.a AS r, n.n, k, (1000::HUGEINT * cut.a * n.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[:k] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[k + 1:]
+  JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+  score::BIGINT AS score FROM b QUALIFY rank <= 2000"""
+
+
+@register("op12_collocations", _OP12_SQL)
+def op12_collocations(spark, sf_dir):
+    """The best phrases of two to five words of each language, over all documents."""
+    from .collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"), "text", "lang", least=100, longest=5, share=100, top=2000)
