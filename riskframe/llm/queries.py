@@ -185,3 +185,14 @@ def op12_collocations(spark, sf_dir):
     """The best phrases of two to five words of each language, over all documents."""
     from .collocations import collocations
     return collocations(table(spark, sf_dir, "documents"), "text", "lang", least=100, longest=5, share=100, top=2000)
+
+
+@register("op13_quality")
+def op13_quality(spark, sf_dir):
+    """Quality of all documents; learns from labels outside the held-out fifth."""
+    from .quality_ranking import rank_documents
+    out = rank_documents(table(spark, sf_dir, "documents"), "doc_id", "text",
+                         table(spark, sf_dir, "labels").where(~held_out(0, 5)), "doc_id", "quality", cut=0.3)
+    return out.withColumnRenamed("id", "doc_id").select(
+        "doc_id", F.coalesce(held_out(0, 5), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
