@@ -10,12 +10,12 @@ k words, sorted by piece and position, and is persisted before it is extended:
 3. The occurrences are semi-joined with the groups of at least ``least`` occurrences, which
    gives R_{k+1}.
 
-Occurrences are stored in blocks of about ``BLOCK_WORDS`` words, one row a block, as sorted
-arrays of positions (a piece's end takes a position of its own, so neighbours are always
-of one piece) and of dense phrase numbers; a phrase is the pair of the numbers of its two
-sub-phrases, so that counts are exact, without hashing.  The merge join runs inside a
-block; what is shuffled is one row per distinct phrase of a block, so that a phrase that
-holds a third of all words is as many rows as there are blocks.  Nothing is broadcast.
+Occurrences are stored in blocks of about ``BLOCK_WORDS`` words, one row a block: sorted
+positions (a piece's end takes a position of its own, so neighbours are always of one
+piece), the block's own number of the phrase at each, and the words of those phrases as
+31-bit word numbers, so that counts are exact, without hashing.  The merge join runs inside
+a block; what is shuffled is one row per distinct phrase of a block, so that a phrase that
+holds a third of all words is as many rows as there are blocks.
 
 *Score* of a phrase cut after its first j words: floor(1000 a n / (l r)) with a, l, r the
 occurrences of the phrase and its two parts and n the words of the language, in
@@ -41,13 +41,27 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, slices
 
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 22
 #: bytes of a text encoded at once
 SLICE = 1 << 20
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(_UPPER + b"\t" + _ENDS, _LOWER + b" " + b"\n" * len(_ENDS))
-_RELATION = "block long, steps binary, ids binary"
+_RELATION = "block long, steps binary, ids binary, groups binary"
+#: columns of a phrase: two word numbers each
+_KEYS = ["k1", "k2", "k3"]
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as compressed bytes, all lowest bytes first."""
+    raw = np.ascontiguousarray(numbers, np.int32).ravel().view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], size, "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel()
 
 
 class _Encoder:
@@ -90,7 +104,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
             if words:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(part << 32) + seq]), pa.array([lang]), pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                     pa.array([counts], pa.list_(pa.int64())), pa.array([code.astype(np.int32).tobytes()])],
+                     pa.array([counts], pa.list_(pa.int64())), pa.array([_pack(code)])],
                     ["block", "lang", "words", "counts", "codes"])
                 seq += 1
         coders.clear()
@@ -103,108 +117,118 @@ def _block_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
     yield from flush()
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[bytes, bytes], np.ndarray, np.ndarray]]:
-    """Rows sorted by block, the block's own row first, to (block, its two arrays, keys, ids)."""
-    now, own, keys, ids = None, None, [], []
+def _by_block(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """Rows sorted by block, the block's own row first, to (block, its arrays, keys of its rows)."""
+    now, own, rows = None, None, []
     for b in batches:
         block = b.column("block").to_numpy()
-        key, number = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
+        key = np.stack([b.column(c).fill_null(0).to_numpy() for c in keys], 1)
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         for at, end in zip(starts, np.r_[starts[1:], len(block)], strict=True):
             if block[at] != now:
-                if own is not None and keys:
-                    yield now, own, np.concatenate(keys), np.concatenate(ids)
-                now, own, keys, ids = block[at], None, [], []
+                if own is not None and rows:
+                    yield now, [_unpack(x) for x in own], np.concatenate(rows)
+                now, own, rows = block[at], None, []
             if b.column("left")[int(at)].is_valid:
-                own = tuple(b.column(c)[int(at)].as_py() for c in ("left", "right"))
+                own = [x for x in (b.column(c)[int(at)].as_py() for c in ("left", "right", "groups")) if x is not None]
                 at += 1
             if at < end:
-                keys.append(key[at:end].astype(np.int64))
-                ids.append(number[at:end].astype(np.int64))
-    if own is not None and keys:
-        yield now, own, np.concatenate(keys), np.concatenate(ids)
+                rows.append(key[at:end].astype(np.int64))
+    if own is not None and rows:
+        yield now, [_unpack(x) for x in own], np.concatenate(rows)
 
 
-def _relation_batch(block: int, pos: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    steps = np.diff(pos, prepend=0).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([steps.tobytes()]),
-                                       pa.array([ids.astype(np.int32).tobytes()])], ["block", "steps", "ids"])
+def _relation_batch(block: int, pos: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> pa.RecordBatch:
+    packed = [pa.array([_pack(x)]) for x in (np.diff(pos, prepend=0), ids, groups)]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *packed], ["block", "steps", "ids", "groups"])
 
 
 def _first_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """R_1: positions of frequent words."""
-    for block, (codes, _), word, number in _by_block(batches):
-        code = np.frombuffer(codes, np.int32)
-        ids = np.full(code.max() + 2, -1, np.int64)  # the last entry is that of code -1
-        ids[word] = number
+    """R_1: positions of frequent words; rows (word of the block, its number)."""
+    for block, (code,), words in _by_block(batches, ["k1", "k2"]):
+        ids = np.full(int(code.max()) + 2, -1, np.int64)  # the last entry is that of code -1
+        ids[words[:, 0]] = np.arange(len(words))
         at = ids[code]
         pos = np.flatnonzero(at >= 0)
-        yield _relation_batch(block, pos, at[pos])
+        yield _relation_batch(block, pos, at[pos], words[:, 1])
 
 
-def _adjacent(steps: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Merge join on piece and adjacent position: positions and keys of phrases one word longer."""
-    pos, number = np.cumsum(np.frombuffer(steps, np.int32)), np.frombuffer(ids, np.int32).astype(np.int64)
+def _adjacent(k: int, steps: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple:
+    """Merge join of phrases of k words on piece and adjacent position: positions, the number
+    of the joined phrase at each, and the words and occurrences of those phrases."""
+    groups = groups.reshape(-1, k)
+    pos, number = np.cumsum(steps), ids.astype(np.int64)
     at = np.flatnonzero(pos[1:] == pos[:-1] + 1)
-    return pos[at], number[at] << 32 | number[at + 1]
+    pair, which, n = np.unique(number[at] << 32 | number[at + 1], return_inverse=True, return_counts=True)
+    words = np.concatenate([groups[pair >> 32], groups[pair & 0xFFFFFFFF][:, -1:]], 1).astype(np.int64)
+    return pos[at], which, words, n
+
+
+def _keys(words: np.ndarray) -> np.ndarray:
+    """Phrases of k words as rows of (k + 1) // 2 numbers."""
+    if words.shape[1] % 2:
+        words = np.concatenate([words, np.zeros((len(words), 1), np.int64)], 1)
+    return words[:, ::2] << 32 | words[:, 1::2]
+
+
+def _candidate_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, *own in zip(*[b.column(c).to_pylist() for c in ("block", "steps", "ids", "groups")], strict=True):
+                _, _, words, n = _adjacent(k, *[_unpack(x) for x in own])
+                keys = _keys(words)
+                names = ["block", *_KEYS[:keys.shape[1]], "n"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), *map(pa.array, keys.T), pa.array(n)], names)
+    return run
+
+
+def _next_relation(k: int):
+    """R_{k+1}: adjacent phrases of k words, semi-joined with the frequent ones of the block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own, frequent in _by_block(batches, _KEYS[:(k + 2) // 2]):
+            pos, which, words, _ = _adjacent(k, *own)
+            both = np.concatenate([frequent, _keys(words)])
+            order = np.lexsort(both.T)
+            new = np.r_[True, (np.diff(both[order], axis=0) != 0).any(1)]
+            same = np.empty(len(both), np.int64)
+            same[order] = np.cumsum(new)
+            hit = np.isin(same[len(frequent):], same[:len(frequent)])
+            number = np.cumsum(hit) - 1
+            stay = hit[which]
+            yield _relation_batch(block, pos[stay], number[which[stay]], words[hit])
+    return run
+
+
+def _stream(own: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks (block, left, right, groups) and their rows (block, keys), together by block."""
+    parts = own.select("block", "left", "right", "groups", *[F.lit(None).cast("long").alias(c) for c in keys])
+    none = [F.lit(None).cast("binary").alias(c) for c in ("left", "right", "groups")]
+    return (parts.unionAll(rows.select("block", *none, *keys))
+            .repartition("block").sortWithinPartitions("block", F.col("left").isNull()))
 
 
-def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for block, steps, ids in zip(*[b.column(c).to_pylist() for c in ("block", "steps", "ids")], strict=True):
-            key, n = np.unique(_adjacent(steps, ids)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(key), pa.array(n)], ["block", "key", "n"])
-
-
-def _next_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """R_{k+1}: adjacent phrases, semi-joined with the frequent ones of the block."""
-    for block, own, key, number in _by_block(batches):
-        pos, wanted = _adjacent(*own)
-        order = np.argsort(key)
-        key, number = key[order], number[order]
-        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-        found = key[at] == wanted
-        yield _relation_batch(block, pos[found], number[at[found]])
-
-
-def _numbered(df: DataFrame, keys: list[str], scratch: Scratch, what: str) -> DataFrame:
-    """Dense numbers from 0 in ``id``: a bucket's offset and the row number inside it."""
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = scratch.keep(df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), what + "-plain")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))  # a row a bucket
-    sizes = scratch.keep(sizes.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("before"),
-                                      F.sum("size").over(Window.partitionBy()).alias("all")), what + "-sizes")
-    top = sizes.agg(F.max("all")).first()[0] or 0
+def _words(blocks: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """(block, k1, k2, lang, word, a): frequent words of each block, k1 their number in the block, k2
+    in all: the rank inside a hash bucket times the number of buckets plus the bucket."""
+    buckets = 8 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k1", "w")).select(
+        F.pmod(F.xxhash64("lang", "w.words"), F.lit(buckets)).cast("int").alias("bucket"), "lang",
+        F.col("w.words").alias("word"), "block", F.col("k1").cast("long").alias("k1"), F.col("w.counts").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("bucket", "lang", "word"))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("lang", "word"))
+    kept = scratch.keep(rows.repartition("bucket").withColumn("a", total).where(F.col("a") >= least)
+                        .select("block", "k1", ((rank.cast("long") - 1) * buckets + F.col("bucket")).alias("k2"), "lang", "word", "a"),
+                        "f1-rows")
+    top = kept.agg(F.max("k2")).first()[0] or 0
     if top >= 1 << 31:
-        raise ValueError(f"{top} frequent phrases of one length; phrase numbers have 31 bits")
-    out = scratch.keep(rows.withColumn("row", F.row_number().over(Window.partitionBy("bucket").orderBy(*keys)))
-                       .join(sizes, "bucket").select(*df.columns, (F.col("before") + F.col("row") - 1).cast("int").alias("id")), what)
-    scratch.drop(rows, sizes)
-    out.n_rows = top
-    return out
-
-
-def _frequent(rows: DataFrame, keys: list[str], least: int, scratch: Scratch, what: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (keys, block, n, ..) of groups with at least ``least`` occurrences, and the
-    numbered groups (keys, a, id)."""
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    kept = scratch.keep(rows.withColumn("a", total).where(F.col("a") >= least).drop("n"), what + "-rows", "zstd")
-    groups = _numbered(kept.groupBy(*keys).agg(F.min("a").alias("a")), keys, scratch, what)
-    return kept, groups
-
-
-def _stream(own: DataFrame, rows: DataFrame) -> DataFrame:
-    """Blocks (block, left, right) and their rows (block, key, id), together by block."""
-    parts = own.select("block", "left", "right", F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("id"))
-    none = F.lit(None).cast("binary")
-    return (parts.unionAll(rows.select("block", none.alias("left"), none.alias("right"), "key", "id"))
-            .repartition("block").sortWithinPartitions("block", F.col("left").isNull()))
+        raise ValueError(f"word number {top}; word numbers have 31 bits")
+    return kept
 
 
 def frequent_phrases(df: DataFrame, text: str, lang: str, least: int, longest: int, scratch: Scratch,
-                     block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[DataFrame]]:
-    """(words per language, [frequent phrases of 1 word, of 2 words, ...]).  Phrase tables have
-    (id, a, lang, words) and, from two words on, the numbers left and right of their sub-phrases."""
+                     block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(words per language (lang, n), frequent words (id, lang, word), [frequent phrases of 1 word, of 2
+    words, ...] as (words: array of word numbers, a))."""
     rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                      F.coalesce(F.col(text), F.lit("")).alias("text"))
     blocks = scratch.keep(rows.mapInArrow(lambda b: _block_rows(b, block_words),
@@ -212,35 +236,30 @@ def frequent_phrases(df: DataFrame, text: str, lang: str, least: int, longest: i
                           "blocks", "zstd")
     sizes = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     sizes = scratch.keep(sizes, "sizes")
-    words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("key", "w")).select(
-        "block", "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("key").cast("long").alias("key"))
-    kept, found = _frequent(words, ["lang", "word"], least, scratch, "f1")
-    own = blocks.select("block", F.col("codes").alias("left"), F.lit(b"").alias("right"))
-    relation = scratch.keep(_stream(own, kept.join(found.select("lang", "word", "id"), ["lang", "word"]))
-                            .mapInArrow(_first_relation, _RELATION), "r1", "zstd")
+    kept = _words(blocks, least, scratch)
+    words = scratch.keep(kept.groupBy(F.col("k2").cast("int").alias("id")).agg(
+        F.min("lang").alias("lang"), F.min("word").alias("word"), F.min("a").alias("a")), "words")
+    none = F.lit(None).cast("binary")
+    own = blocks.select("block", F.col("codes").alias("left"), none.alias("right"), none.alias("groups"))
+    relation = scratch.keep(_stream(own, kept, ["k1", "k2"]).mapInArrow(_first_relation, _RELATION), "r1")
     scratch.drop(blocks, kept)
-    phrases = [scratch.keep(found.select("id", "a", "lang", F.array("word").alias("words")), "p1")]
-    for k in range(2, longest + 1):
-        if not found.n_rows:
-            break
-        candidates = relation.mapInArrow(_candidate_rows, "block long, key long, n long")
-        kept, found = _frequent(candidates, ["key"], least, scratch, f"f{k}")
-        if k < longest:
-            own = relation.select("block", F.col("steps").alias("left"), F.col("ids").alias("right"))
-            new = scratch.keep(_stream(own, kept.join(found.select("key", "id"), "key"))
-                               .mapInArrow(_next_relation, _RELATION), f"r{k}", "zstd")
+    phrases = [words.select(F.array("id").alias("words"), "a")]
+    for k in range(1, longest):
+        keys = _KEYS[:(k + 2) // 2]
+        total = F.sum("n").over(Window.partitionBy(*keys))
+        kept = scratch.keep(relation.mapInArrow(_candidate_rows(k), f"block long, {' long, '.join(keys)} long, n long")
+                            .withColumn("a", total).where(F.col("a") >= least).drop("n"), f"f{k + 1}-rows", "zstd")
+        found = kept.groupBy(*keys).agg(F.min("a").alias("a"))
+        halves = [h.cast("int") for c in keys for h in (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))]
+        phrases.append(scratch.keep(found.select(F.array(*halves[:k + 1]).alias("words"), "a"), f"p{k + 1}"))
+        if k + 1 < longest:
+            own = relation.select("block", F.col("steps").alias("left"), F.col("ids").alias("right"), "groups")
+            new = scratch.keep(_stream(own, kept, keys).mapInArrow(_next_relation(k), _RELATION), f"r{k + 1}")
             scratch.drop(relation)
             relation = new
         scratch.drop(kept)
-        left, right = F.shiftright("key", 32).cast("int"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-        shorter = phrases[-1]
-        phrases.append(scratch.keep(
-            found.select("id", "a", left.alias("left"), right.alias("right"))
-            .join(shorter.select(F.col("id").alias("left"), "lang", "words"), "left")
-            .join(shorter.select(F.col("id").alias("right"), F.element_at("words", -1).alias("last")), "right")
-            .select("id", "a", "lang", F.concat("words", F.array("last")).alias("words"), "left", "right"), f"p{k}"))
     scratch.drop(relation)
-    return sizes, phrases
+    return sizes, words, phrases
 
 
 def collocations(df: DataFrame, text: str, lang: str, least: int = 100, longest: int = 5, share: int = 100,
@@ -253,8 +272,7 @@ def collocations(df: DataFrame, text: str, lang: str, least: int = 100, longest:
     spark.conf.set(name, "true")
     try:
         scratch = Scratch(spark, "collocations")
-        sizes, phrases = frequent_phrases(df, text, lang, least, longest, scratch, block_words)
-        scored = _scored(sizes, phrases, share, scratch)
+        scored = _scored(*frequent_phrases(df, text, lang, least, longest, scratch, block_words), share, scratch)
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
@@ -264,30 +282,34 @@ def collocations(df: DataFrame, text: str, lang: str, least: int = 100, longest:
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def _scored(sizes: DataFrame, phrases: list[DataFrame], share: int, scratch: Scratch) -> DataFrame:
-    joined = F.array_join("words", " ")
-    counts = phrases[0].select("lang", joined.alias("part"), "a")
-    for p in phrases[1:-1]:
-        counts = counts.unionAll(p.select("lang", joined.alias("part"), "a"))
-    counts = scratch.keep(counts, "counts")
-    cuts = None
-    for k, p in enumerate(phrases[1:], 2):
-        if k <= len(phrases) - 1:  # what the phrases one word longer leave
-            longer = phrases[k]
-            around = (longer.select(F.col("left").alias("id"), F.col("a").alias("most"))
-                      .unionAll(longer.select("right", "a")).groupBy("id").agg(F.max("most").alias("most")))
-            p = p.join(around, "id", "left").where("most is null or 100 * most < {} * a".format(share))
-        mine = p.select("lang", joined.alias("phrase"), "a", F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("j"),
-                        "words")
-        mine = mine.select("lang", "phrase", "a", "j", F.array_join(F.slice("words", F.lit(1), F.col("j")), " ").alias("first"),
-                           F.array_join(F.slice("words", F.col("j") + 1, F.lit(k)), " ").alias("rest"))
-        cuts = mine if cuts is None else cuts.unionAll(mine)
-    if cuts is None:
-        cuts = counts.select("lang", F.col("part").alias("phrase"), "a", F.lit(1).alias("j"), F.col("part").alias("first"),
-                             F.col("part").alias("rest")).where(F.lit(False))
+def _scored(sizes: DataFrame, words: DataFrame, phrases: list[DataFrame], share: int, scratch: Scratch) -> DataFrame:
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionAll(f)
+        return out
+
+    counts = scratch.keep(union(phrases[:-1]), "counts")
+    found = union(phrases[1:])
+    # what phrases one word longer leave; array positions from the end: all but the last, all but the first
+    around = union([p.select(part.alias("words"), F.col("a").alias("most")) for p in phrases[2:]
+                    for part in (F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")))] or
+                   [found.select("words", F.col("a").alias("most")).where(F.lit(False))])
+    around = scratch.keep(around.groupBy("words").agg(F.max("most").alias("most")), "around")
+    kept = found.join(around, "words", "left").where(f"most is null or 100 * most < {int(share)} * a").select("words", "a")
+    cuts = kept.select("words", "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("j")).select(
+        "words", "a", "j", F.slice("words", F.lit(1), F.col("j")).alias("first"),
+        F.slice("words", F.col("j") + 1, F.size("words")).alias("rest"))
+    part = [counts.select(F.col("words").alias(c), F.col("a").alias(f)) for c, f in (("first", "l"), ("rest", "r"))]
+    texts = scratch.keep(kept.select(F.col("words").alias("phrase_words"), F.posexplode("words").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
+                         .groupBy(F.col("phrase_words").alias("words"))
+                         .agg(F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+                         .select("words", "lang", F.array_join("w.word", " ").alias("phrase")), "texts")
+    lowest = (cuts.join(part[0], "first").join(part[1], "rest").join(texts, "words").join(sizes, "lang")
+              .groupBy("lang", "phrase").agg(F.min(F.struct(_score().alias("score"), "j", "l", "r", "a", "n")).alias("c")))
+    return scratch.keep(lowest.select("lang", "phrase", "c.a", "c.l", "c.r", "c.n", "c.score"), "scored")
+
+
+def _score():
     big = "decimal(18,0)"
-    score = F.expr(f"(1000 * (cast(a as {big}) * cast(n as {big}))) div (cast(l as {big}) * cast(r as {big}))")
-    part = [counts.select("lang", F.col("part").alias(c), F.col("a").alias(f)) for c, f in (("first", "l"), ("rest", "r"))]
-    whole = (cuts.join(part[0], ["lang", "first"]).join(part[1], ["lang", "rest"]).join(sizes, "lang")
-             .groupBy("lang", "phrase").agg(F.min(F.struct(score.alias("score"), "j", "l", "r", "a", "n")).alias("c")))
-    return scratch.keep(whole.select("lang", "phrase", "c.a", "c.l", "c.r", "c.n", "c.score"), "scored")
+    return F.expr(f"(1000 * (cast(a as {big}) * cast(n as {big}))) div (cast(l as {big}) * cast(r as {big}))")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from riskframe.llm import collocations as C
@@ -81,7 +82,11 @@ def test_scores_pass_64_bits(rows):
     """1000 * a * n beyond 2^63 stays exact."""
     spark = rows("a int", (1,)).sparkSession
     a, n, l, r = 4 * 10 ** 11, 9 * 10 ** 12, 5 * 10 ** 11, 7 * 10 ** 11
-    big = "decimal(18,0)"
-    score = spark.sql(f"select (1000 * (cast({a} as {big}) * cast({n} as {big}))) div (cast({l} as {big}) * cast({r} as {big})) s").first().s
-    assert score == 1000 * a * n // (l * r)
-    assert spark.sql("select (1000 * (cast(1 as decimal(18,0)) * cast(9 as decimal(18,0)))) div (cast(7 as decimal(18,0)) * cast(1 as decimal(18,0))) s").first().s == 1285
+    for a, n, l, r in ((a, n, l, r), (1, 9, 7, 1)):
+        df = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long")
+        assert df.select(C._score()).first()[0] == 1000 * a * n // (l * r)
+
+
+def test_packed_numbers_come_back():
+    for x in ([], [0], [-1, 2 ** 31 - 1, 5], list(range(1000))):
+        assert C._unpack(C._pack(np.array(x, np.int32))).tolist() == x
