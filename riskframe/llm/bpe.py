@@ -10,11 +10,11 @@ lie in one flat numpy array.  In each round all adjacent pairs get their rank by
 binary search over the sorted pair keys, each word's lowest rank is found with a
 segmented minimum, and all its occurrences are merged, left to right; words without
 a known pair leave the array.  (A pair made by a merge always ranks below it, so
-merging all occurrences at once equals merging one at a time.)  Words already
-encoded are remembered, up to ``REMEMBERED`` words a task.
+merging all occurrences at once equals merging one at a time.)  Words already encoded
+are remembered, up to about ``REMEMBERED`` a task; beyond, the half that was met least is forgotten.
 
-*Decoding* joins the tokens of the ids by one space, special tokens included, as
-the library does for a file without a decoder.
+*Decoding* joins the tokens of the ids by one space (Arrow ``take`` and ``binary_join``), special
+tokens included, as the library does for a file without a decoder.
 
 Null text: no tokens, and the empty text when decoded.  Null ids: the empty text.
 An id outside the vocabulary is skipped when decoding.
@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,19 +52,32 @@ def byte_symbols() -> list[str]:
 
 
 class Memory:
-    """Words that have been encoded: their ids end to end."""
+    """Words that have been encoded: their ids end to end, and how often each was met."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids = self.starts = self.sizes = np.zeros(0, np.int64)
+        self.ids = self.starts = self.sizes = self.met = np.zeros(0, np.int64)
 
     def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        """Ids of the given words end to end."""
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def shrink(self, most: int) -> None:
+        """Forget all but the ``most`` words met most often."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[:most])
+        words = list(self.number)
+        ids, sizes, met = self.take(keep), self.sizes[keep], self.met[keep]
+        self.__init__()
+        self.add([words[i] for i in keep.tolist()], ids, sizes)
+        self.met = met // 2
 
 
 class WordBpe:
@@ -90,7 +104,7 @@ class WordBpe:
         self.pair_key, self.pair_rank = key[order], order
         self.pair_id = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in special.items()}
-        self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.large_string())
 
     @staticmethod
     def _check(spec: dict) -> None:
@@ -169,26 +183,32 @@ class WordBpe:
     def encode(self, texts: list[str | None], memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): token ids of all texts end to end, and how many each text has."""
         memory = memory if memory is not None else Memory()
-        if not memory.number or len(memory.number) > REMEMBERED:
-            memory.clear()
-            memory.add(list(self.special_id), np.array(list(self.special_id.values()), np.int64),
-                       np.ones(len(self.special_id), np.int64))
+        if len(memory.number) > REMEMBERED:
+            memory.shrink(REMEMBERED // 2)
         parts = [self.split(t) if t else [] for t in texts]
         words = list(chain.from_iterable(parts))
-        new = sorted(set(words) - memory.number.keys())
+        new = set(words) - memory.number.keys()
+        special = sorted(new & self.special_id.keys())
+        if special:
+            memory.add(special, np.array([self.special_id[s] for s in special], np.int64), np.ones(len(special), np.int64))
+        new = sorted(new - self.special_id.keys())
         if new:
             memory.add(new, *self.merge(new))
         which = np.fromiter(map(memory.number.__getitem__, words), np.int64, len(words))
-        sizes = memory.sizes[which]
-        ends = np.cumsum(sizes)
-        ids = memory.ids[np.repeat(memory.starts[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        total = np.concatenate([[0], ends])
-        edges = np.cumsum([0, *map(len, parts)])
-        return ids, np.diff(total[edges])
-
-    def decode(self, ids: list[list[int] | None]) -> list[str]:
-        n, names = len(self.names), self.names
-        return [" ".join([names[i] for i in one if 0 <= i < n]) if one is not None else "" for one in ids]
+        memory.met += np.bincount(which, minlength=len(memory.met))
+        total = np.r_[0, np.cumsum(memory.sizes[which])]
+        return memory.take(which), np.diff(total[np.cumsum([0, *map(len, parts)])])
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """Texts of lists of ids: the token names are taken and joined by Arrow."""
+        ids = ids.fill_null([]) if ids.null_count else ids
+        flat, sizes = ids.flatten(), pc.list_value_length(ids).to_numpy()
+        known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(self.names))), False)
+        if not pc.all(known, min_count=0).as_py():
+            owner = np.repeat(np.arange(len(sizes)), sizes)[known.to_numpy(zero_copy_only=False)]
+            flat, sizes = flat.filter(known), np.bincount(owner, minlength=len(sizes))
+        lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int64()), self.names.take(flat))
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 def _col(c) -> Column:
@@ -219,8 +239,7 @@ def decode(df: DataFrame, id_col, ids_col, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared()
         for b in slices(batches, "ids"):
-            texts = bpe.decode(b.column("ids").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), bpe.decode(b.column("ids"))], ["id", "text"])
 
     return rows.mapInArrow(run, _schema(rows, "text string"))
 
