@@ -18,6 +18,7 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,8 +81,45 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             at += n
 
 
+def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow file system and path of a folder (file:, hdfs:, s3:, gs: or a plain path)."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = uri.removeprefix("file:")
+    return pa.fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else "file://" + uri)
+
+
 def share(spark: SparkSession, value):
     """Broadcast a small fitted object; call the result in a task to get it.  (Pickled
     with its class, which the executors need not have installed.)"""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(sent.value)
+
+
+def bounded_draw(rows: DataFrame, most: int, n: int, seed: int = 7) -> DataFrame:
+    """At most ``most`` of ``n`` rows, about as many: a random share of them before a limit, so that
+    the task of the limit sees few more than that."""
+    drawn = rows.withColumn("draw", F.rand(seed))
+    if n > most:
+        drawn = drawn.where(F.col("draw") < 1.2 * most / n)
+    return lowest(drawn, most)
+
+
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str,
+                    most: int) -> DataFrame:
+    """(id as string, label, text, draw): about 1.2 times ``most`` rows of the join of documents and their
+    labels 0 or 1, however often an id stands on either side; only drawn texts are shuffled.
+    ``lowest`` makes it ``most`` rows, once texts are turned into something smaller."""
+    marked = (labels.select(F.col(label_id).cast("string").alias("id"), F.col(label_col).cast("int").alias("label"))
+              .where("id is not null and label in (0, 1)"))
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    one = F.count(F.lit(1))
+    n = (texts.groupBy("id").agg(one.alias("d")).join(marked.groupBy("id").agg(one.alias("l")), "id")
+         .agg(F.sum(F.col("d") * F.col("l"))).first()[0] or 0)
+    if n > most:
+        texts = texts.where(F.rand(5) < 1.2 * most / n)
+    return texts.join(marked, "id").select("id", "label", "text", F.rand(6).alias("draw"))
+
+
+def lowest(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, those of the lowest ``draw``."""
+    return rows.orderBy("draw").limit(most).drop("draw")

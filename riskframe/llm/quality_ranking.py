@@ -34,7 +34,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, bounded_draw, slices
 
 WINDOW_WORDS = 64
 PAIRS = 6
@@ -182,15 +182,6 @@ class RankingModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
-def fit_sample(rows: DataFrame, fit_rows: int, seed: int, n: int) -> DataFrame:
-    """At most ``fit_rows`` of ``n`` rows, about as many: a random share of them, then a limit, so
-    that no task sees many more than that."""
-    drawn = rows.withColumn("draw", F.rand(seed))
-    if n > fit_rows:
-        drawn = drawn.where(F.col("draw") < 1.2 * fit_rows / n)
-    return drawn.orderBy("draw").limit(fit_rows).drop("draw")
-
-
 def preference_pairs(sample: DataFrame, n0: int, n1: int, pairs: int = PAIRS) -> DataFrame:
     """(d, first): differences of the features of documents of label 1 and label 0 in random order; every
     document meets ``pairs`` others.  ``sample``: (label, nr, x), numbered from 0 within each label."""
@@ -218,7 +209,7 @@ def train(found: DataFrame, labels: DataFrame, label_id: str, label_col: str, cu
     if len(count) < 2:
         scratch.drop(rows)
         return RankingModel(cut=cut, constant=count.get(1, 0) / max(n, 1))
-    sample = scratch.keep(fit_sample(rows, fit_rows, 7, n), "sample")
+    sample = scratch.keep(bounded_draw(rows, fit_rows, n), "sample")
     by_label = Window.partitionBy("label").orderBy(F.xxhash64("x"))  # a bounded number of rows
     sample = scratch.keep(sample.withColumn("nr", F.row_number().over(by_label) - 1), "numbered")
     part = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -2,8 +2,9 @@
 
 Terms of a text are its lower-cased words and their first four and five letters
 (so that inflected forms of a stem share a term), hashed into ``SLOTS`` slots.
-The model is fitted on at most ``fit_rows`` labelled rows (chosen by a hash of the
-id; the documented bound of this operator):
+The model is fitted on at most ``fit_rows`` labelled documents (a random draw among the rows of
+the join of labels and documents, so that repeated ids count as often as they stand; the
+documented bound of this operator):
 
 1. Spark counts in how many sample texts each slot occurs and keeps the slots of at
    least ``LEAST_TEXTS``, however telling they are on their own: terms may matter
@@ -11,7 +12,8 @@ id; the documented bound of this operator):
 2. A factorization machine, logit = b + sum w_i + sum_{i<j} <v_i, v_j>, is trained
    with Adam on the presence of those slots; the factors learn which terms matter
    together, such as an insult beside the mention of a group, where a sum of
-   weights could not.
+   weights could not.  The bounded sample is trained on in one Spark task, as flat 32-bit
+   arrays; the driver only gets the fitted parameters.
 
 Scoring reads whole texts, row by row, and only needs the small fitted model.
 
@@ -26,6 +28,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, share, slices
+from .common import Scratch, labelled_sample, lowest, share, slices
 
 SLOTS = 1 << 20
 #: sample texts that a term must occur in
@@ -116,38 +119,38 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *[np.asarray(r, np.int64) for r in rows]])
-    return flat, np.repeat(np.arange(len(rows)), sizes)
+    """All entries end to end, and the row of each."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))
+    return flat, np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms()
     for b in slices(batches, "text"):
         slots = [terms.of(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.array(slots, pa.list_(pa.int32()))],
-                                         ["id", "toxic", "slots"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.array(slots, pa.list_(pa.int32())), b.column("draw")],
+                                         ["id", "toxic", "slots", "draw"])
 
 
-def fit_machine(rows: list[list[int]], label: np.ndarray, n_features: int, seed: int = 11,
+def fit_machine(flat: np.ndarray, owner: np.ndarray, label: np.ndarray, n_features: int, seed: int = 11,
                 pace: np.ndarray | None = None) -> tuple:
-    """Adam on the logistic loss of a factorization machine over present features; a step
+    """Rows as flat entries and their owners (see ``_flat``).  Adam on the logistic loss of a factorization machine over present features; a step
     changes the features of its rows.  ``pace``: learning rate of each feature (1 by default)."""
     pace = np.ones(n_features) if pace is None else pace
     rng = np.random.default_rng(seed)
     base = label.mean()
     bias = float(np.log(base / (1 - base)))
     w, v = np.zeros(n_features), rng.normal(0, 0.01, (n_features, FACTORS))
-    flat, owner = _flat(rows)
-    starts = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(rows)))]
+    starts = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(label)))]
     size, step = 256, 0
     place = np.zeros(n_features, np.int64)
     moments = [np.zeros(1), np.zeros(1), np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     steps_least = 400  # small samples make more passes
-    epochs = max(EPOCHS, -(-steps_least * size // max(len(rows), 1)))
+    epochs = max(EPOCHS, -(-steps_least * size // max(len(label), 1)))
     for epoch in range(epochs):
         rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(label))
         for at in range(0, len(order), size):
             pick = order[at:at + size]
             sizes = starts[pick + 1] - starts[pick]
@@ -179,9 +182,8 @@ def fit_machine(rows: list[list[int]], label: np.ndarray, n_features: int, seed:
     return bias, w, v
 
 
-def _paces(rows: list, label: np.ndarray, n_features: int) -> np.ndarray:
+def _paces(flat: np.ndarray, owner: np.ndarray, label: np.ndarray, n_features: int) -> np.ndarray:
     """Terms that tell nothing alone are many in each text: they learn slower by their number in a text."""
-    flat, owner = _flat(rows)
     a, both = np.bincount(flat, label[owner], n_features), np.bincount(flat, minlength=n_features)
     n1, n = label.sum(), len(label)
     p = both / n
@@ -189,34 +191,45 @@ def _paces(rows: list, label: np.ndarray, n_features: int) -> np.ndarray:
     return np.where(z >= TELLING_Z, 1.0, 1 / max(1.0, len(flat) / n))
 
 
+def _machine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of the sample to the parameters: slot -1 is the bias, then (slot, weight, factors)."""
+    parts, sizes, labels = [], [], []
+    for b in batches:
+        lists = b.column("slots")
+        parts.append(lists.flatten().to_numpy())
+        sizes.append(pc.list_value_length(lists).to_numpy())
+        labels.append(b.column("toxic").to_numpy().astype(float))
+    label, flat = np.concatenate(labels), np.concatenate(parts).astype(np.int32)
+    owner = np.repeat(np.arange(len(label), dtype=np.int32), np.concatenate(sizes))
+    del parts
+    texts = np.bincount(flat, minlength=SLOTS)
+    slots = np.flatnonzero((texts >= LEAST_TEXTS) & (texts < len(label)))
+    place = np.full(SLOTS, -1, np.int32)
+    place[slots] = np.arange(len(slots))
+    flat = place[flat]
+    flat, owner = flat[flat >= 0], owner[flat >= 0]
+    bias, w, v = fit_machine(flat, owner, label, len(slots), pace=_paces(flat, owner, label, len(slots)))
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, slots], pa.int32()), pa.array(np.r_[bias, w]),
+                                      pa.array([[], *v.tolist()], pa.list_(pa.float64()))], ["slot", "weight", "factor"])
+
+
 def train(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str,
           fit_rows: int = 30_000) -> ToxicityModel:
     """Fit on at most ``fit_rows`` labelled rows, joined to their texts by id."""
     scratch = Scratch(docs.sparkSession, "toxicity")
-    marked = (labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("toxic"))
-              .where("id is not null and toxic in (0, 1)"))
-    chosen = marked.orderBy(F.xxhash64("id", F.lit(5)), "id", "toxic").limit(fit_rows)  # bounded: may be broadcast
-    rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-                        .join(F.broadcast(chosen), "id").select("id", "toxic", "text")
-                        .mapInArrow(_term_rows, "id long, toxic int, slots array<int>"), "terms")
-    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    if not n0 or not n1:
+    sample = labelled_sample(docs, id_col, text_col, labels, label_id, label_col, fit_rows)
+    rows = scratch.keep(lowest(sample.select("id", F.col("label").alias("toxic"), "text", "draw")
+                               .mapInArrow(_term_rows, "id string, toxic int, slots array<int>, draw double"), fit_rows), "terms")
+    seen = {r.toxic for r in rows.select("toxic").distinct().collect()}
+    if len(seen) < 2:
         scratch.drop(rows)
-        return ToxicityModel(bias=500.0 if n1 else -500.0)
-    common = (rows.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("texts"))
-              .where(F.col("texts").between(LEAST_TEXTS, n0 + n1 - 1)))
-    slots = np.sort(common.select("slot").toArrow()["slot"].to_numpy())
-    sample = rows.orderBy("id", "toxic").toArrow().combine_chunks()
+        return ToxicityModel(bias=500.0 if seen == {1} else -500.0)
+    fitted = (rows.coalesce(1).sortWithinPartitions("id", "toxic", "slots")
+              .mapInArrow(_machine_rows, "slot int, weight double, factor array<double>").toArrow().combine_chunks())
     scratch.drop(rows)
-    lists = sample["slots"].combine_chunks()
-    sizes, flat = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
-    keep = np.isin(flat, slots)
-    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
-    texts = np.split(np.searchsorted(slots, flat[keep]).astype(np.int32), np.cumsum(sizes)[:-1])
-    label = sample["toxic"].to_numpy().astype(float)
-    bias, w, v = fit_machine(texts, label, len(slots), pace=_paces(texts, label, len(slots)))
-    return ToxicityModel(bias, slots.tolist(), w, v)
+    slot, weight = fitted["slot"].to_numpy(), fitted["weight"].to_numpy()
+    factor = fitted["factor"].combine_chunks().flatten().to_numpy().reshape(-1, FACTORS)
+    return ToxicityModel(float(weight[0]), slot[1:].tolist(), weight[1:], factor)
 
 
 def score(df: DataFrame, id_col: str, text_col: str, model: ToxicityModel) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prefix import count_below
-from .common import Scratch
+from .common import Scratch, file_system
 
 SAMPLE = 20_000
 RECORDS_PER_RANGE = 2_000
@@ -86,13 +86,6 @@ def gzip_member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """Arrow file system and path of a folder (file:, hdfs:, s3:, gs: or a plain path)."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = uri.removeprefix("file:")
-    return pa.fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else "file://" + uri)
-
-
 class _Roller:
     """Writes records to temporary files and rolls them by compressed size."""
 

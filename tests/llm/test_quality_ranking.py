@@ -108,5 +108,5 @@ def test_edge_rows(rows):
 
 def test_fit_bound_holds_with_repeated_ids(rows):
     found = rows("id long, x array<double>", *[(i % 4, [float(i % 2), float(i)]) for i in range(4000)])
-    assert Q.fit_sample(found, 50, 7, 4000).count() <= 50
-    assert Q.fit_sample(found.limit(30), 50, 7, 30).count() == 30
+    assert Q.bounded_draw(found, 50, 4000).count() <= 50
+    assert Q.bounded_draw(found.limit(30), 50, 30).count() == 30

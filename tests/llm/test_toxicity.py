@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pandas as pd
 
-from riskframe.llm import queries, toxicity
+from riskframe.llm import common, queries, toxicity
 
 
 def test_machine_learns_an_interaction_that_weights_cannot():
@@ -16,7 +16,7 @@ def test_machine_learns_an_interaction_that_weights_cannot():
         rows.append([i for i, x in ((0, a), (1, b)) if x] + [2 + int(rng.integers(20))])
         label.append(float(a == b))
     label = np.array(label)
-    bias, w, v = toxicity.fit_machine(rows, label, 22)
+    bias, w, v = toxicity.fit_machine(*toxicity._flat(rows), label, 22)
     score = toxicity.ToxicityModel(bias, list(range(22)), w, v).logits(rows)
     assert ((score > 0) == (label == 1)).mean() > 0.97
 
@@ -58,15 +58,16 @@ def test_edge_rows(rows):
         assert {r.score >= 0.5 for r in toxicity.score(df, "doc_id", "text", one).collect()} == {share}
 
 
-def test_fit_bound_is_kept(rows, monkeypatch):
-    docs = rows("doc_id long, text string", *[(i, f"w{i % 2}") for i in range(100)])
-    labels = rows("doc_id long, toxic int", *[(i, i % 2) for i in range(100)])
-    seen = []
-    keep = toxicity.Scratch.keep
-    monkeypatch.setattr(toxicity.Scratch, "keep", lambda self, df, what, *a: seen.append(keep(self, df, what, *a)) or seen[-1])
-    monkeypatch.setattr(toxicity.Scratch, "drop", lambda self, *frames: None)
-    toxicity.train(docs, "doc_id", "text", labels, "doc_id", "toxic", fit_rows=30)
-    assert seen[0].count() == 30
+def test_fit_bound_is_kept_with_repeated_ids(rows):
+    """Also where one id stands on half of all documents, or twice among the labels."""
+    docs = rows("doc_id long, text string", *[(i if i < 200 else 7, f"w{i % 2}") for i in range(400)])
+    labels = rows("doc_id long, toxic int", *[(i, i % 2) for i in range(200)], (7, 0))
+    for most in (1, 30, 150):
+        sample = common.lowest(common.labelled_sample(docs, "doc_id", "text", labels, "doc_id", "toxic", most), most)
+        assert most // 2 <= sample.count() <= most
+    assert common.labelled_sample(docs, "doc_id", "text", labels, "doc_id", "toxic", 10_000).count() == 199 + 2 * 201
+    few = rows("doc_id long, toxic int", (7, 1), (8, 0), (9, 0), (10, 0))
+    assert common.lowest(common.labelled_sample(docs, "doc_id", "text", few, "doc_id", "toxic", 4), 4).count() <= 4
 
 
 def test_train_learns_an_interaction_of_terms_that_tell_nothing_alone(rows):
