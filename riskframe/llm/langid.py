@@ -9,8 +9,10 @@ counts (in how many contexts an n-gram ends), each derived from the order above.
 *Model.*  Per language and order a sorted array of n-gram keys with their
 interpolated probabilities, and one of contexts with their back-off weights.
 Symbols have 12 bits (code points below 4096 as they are, others hashed).  All
-n-grams are kept, so the model grows with the distinct n-grams of the input; the
-driver and every task hold it (about 16 bytes an n-gram and as many a context).
+n-grams are kept, so the model grows with the distinct n-grams of the input.  A task
+per language builds its arrays and writes them to the shared folder; scoring tasks
+load them there (about 16 bytes an n-gram and as many a context in each Python worker), the
+driver only sees one row per language.
 A caller may ask for at most ``max_grams`` per language and order (the most
 frequent); contexts then give the mass of dropped n-grams to the back-off, so that
 they still sum to one.
@@ -20,7 +22,8 @@ batch; the language with the lowest cross-entropy per symbol wins (ties: the
 first in alphabetical order).  ``score`` is the softmax of the negative
 cross-entropies at ``SHARPNESS``.
 
-*Rejection* is calibrated per language on all training rows that are recognised as
+*Rejection* (``identify`` with a model that ``train`` calibrated, or ``learn_and_identify``, which
+scores every text once) is calibrated per language on all training rows that are recognised as
 it: a text is rejected if its cross-entropy exceeds the median by
 ``REJECT_FACTOR`` times the distance from the median to the 95th percentile, and is
 also worse than a uniform guess over the language's own symbols (the only bound of
@@ -32,8 +35,11 @@ at all: every text is ``und``.  Rows with null language train nothing.
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, share, slices
+from .common import Scratch, file_system, scratch_path, share, slices
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -105,23 +111,40 @@ class Order:
     weight: np.ndarray
 
 
+@lru_cache(maxsize=64)
+def _load(path: str) -> list[Order]:
+    fs, name = file_system(path)
+    with fs.open_input_stream(name) as f:
+        arrays = np.load(io.BytesIO(f.read()))
+    return [Order(*[arrays[f"{part}{n}"] for part in ("keys", "prob", "contexts", "weight")]) for n in range(1, ORDER + 1)]
+
+
+def _store(orders: list[Order], folder: str, spot: str) -> str:
+    """Write a language's arrays under a name of this attempt alone."""
+    data = io.BytesIO()
+    np.savez(data, **{f"{part}{n}": getattr(o, part) for n, o in enumerate(orders, 1) for part in ("keys", "prob", "contexts", "weight")})
+    path = f"{folder}/{spot}-{uuid.uuid4().hex}.npz"
+    fs, name = file_system(path)
+    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(name) as out:
+        out.write(data.getvalue())
+    return path
+
+
 @dataclass
 class LanguageModel:
+    """``paths``: the file of each language's arrays in the shared folder."""
     langs: list[str] = field(default_factory=list)
-    orders: dict[str, list[Order]] = field(default_factory=dict)
+    paths: dict[str, str] = field(default_factory=dict)
+    uniform: dict[str, float] = field(default_factory=dict)
     limits: dict[str, float] = field(default_factory=dict)
 
+    @property
+    def orders(self) -> dict[str, list[Order]]:
+        return {x: _load(p) for x, p in self.paths.items()}
+
     def log_probs(self, lang: str, key: np.ndarray) -> np.ndarray:
-        p = np.full(len(key), 1.0 / (1 << SYMBOL_BITS))
-        for n, o in enumerate(self.orders[lang], 1):
-            gram = key & ((1 << SYMBOL_BITS * n) - 1)
-            if len(o.contexts):
-                at, found = _find(o.contexts, gram >> SYMBOL_BITS)
-                p[found] *= o.weight[at[found]]
-            if len(o.keys):
-                at, found = _find(o.keys, gram)
-                p[found] = o.prob[at[found]]
-        return np.log(p)
+        return _log_probs(_load(self.paths[lang]), key)
 
     def predict(self, texts: list[str | None]) -> tuple[list, list, list, list]:
         """Per text: language, score, cross-entropy of that language, rejected."""
@@ -164,6 +187,20 @@ class LanguageModel:
         return identify(text)
 
 
+def _log_probs(orders: list[Order], key: np.ndarray) -> np.ndarray:
+    """Back-off from the given orders, the shortest first."""
+    p = np.full(len(key), 1.0 / (1 << SYMBOL_BITS))
+    for n, o in enumerate(orders, 1):
+        gram = key & ((1 << SYMBOL_BITS * n) - 1)
+        if len(o.contexts):
+            at, found = _find(o.contexts, gram >> SYMBOL_BITS)
+            p[found] *= o.weight[at[found]]
+        if len(o.keys):
+            at, found = _find(o.keys, gram)
+            p[found] = o.prob[at[found]]
+    return np.log(p)
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return at, keys[at] == wanted
@@ -185,52 +222,81 @@ def _order_rows(counts: DataFrame, max_grams: int | None) -> tuple[DataFrame, di
     return counts.withColumn("context", context).join(totals, ["lang", "context"]), discount
 
 
-def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int | None = None) -> LanguageModel:
+def _build_language(folder: str, discounts: dict):
+    """One language's n-grams of all orders (with the totals of their contexts) to its arrays."""
+    def build(rows: pa.Table) -> pa.Table:
+        lang = rows["lang"][0].as_py()
+        orders: list[Order] = []
+        for n in range(1, ORDER + 1):
+            t = rows.filter(pc.equal(rows["level"], n)).sort_by("gram")
+            key, c, total = (t[x].to_numpy() for x in ("gram", "n", "total"))
+            d = discounts[n].get(lang, 0.5)
+            lower = np.exp(_log_probs(orders, key & ((1 << SYMBOL_BITS * (n - 1)) - 1)))
+            contexts, first, back, types = np.unique(key >> SYMBOL_BITS, True, True, True)
+            kept = np.bincount(back, c, len(contexts))  # less than the total where n-grams were dropped
+            weight = (total[first] - kept + d * types) / total[first]
+            orders.append(Order(key, np.maximum(c - d, 0) / total + weight[back] * lower, contexts, weight))
+        uniform = float(np.log(max(len(orders[0].keys), 2)))
+        return pa.table({"lang": [lang], "path": [_store(orders, folder, "language")], "uniform": [uniform]})
+    return build
+
+
+def train(df: DataFrame, text_col: str, lang_col: str, max_grams: int | None = None, calibrate: bool = True) -> LanguageModel:
     """Fit on every row of ``df`` with a non-null language."""
-    scratch = Scratch(df.sparkSession, "langid")
+    spark = df.sparkSession
+    scratch = Scratch(spark, "langid")
     rows = (df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
             .where("lang is not null and text is not null"))
     counts = scratch.keep(rows.mapInArrow(_count_rows, "lang string, gram long, n long")
                           .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    model = LanguageModel()
-    found = []
+    levels, all_rows, discounts = [counts], None, {}
     for n in range(ORDER, 0, -1):
-        top, discount = _order_rows(counts, max_grams)
-        found.append((n, top.select("lang", "gram", "n", "total").toArrow(), discount))
+        top, discounts[n] = _order_rows(counts, max_grams)
+        top = top.select("lang", F.lit(n).alias("level"), "gram", "n", "total")
+        all_rows = top if all_rows is None else all_rows.unionAll(top)
         if n > 1:  # continuation counts of the next lower order
             lower = F.col("gram").bitwiseAND(F.lit((1 << SYMBOL_BITS * (n - 1)) - 1))
-            new = scratch.keep(counts.groupBy("lang", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lower")
-            scratch.drop(counts)
-            counts = new
-    scratch.drop(counts)
-    model.langs = sorted(found[-1][2])
-    for lang in model.langs:
-        model.orders[lang] = []
-        for n, all_rows, discount in reversed(found):
-            t = all_rows.filter(pc.equal(all_rows["lang"], lang)).sort_by("gram")
-            key, c, total = (t[x].to_numpy() for x in ("gram", "n", "total"))
-            d = discount.get(lang, 0.5)
-            lower = np.exp(model.log_probs(lang, key & ((1 << SYMBOL_BITS * (n - 1)) - 1)))
-            contexts, first, back, types = np.unique(key >> SYMBOL_BITS, True, True, True)
-            kept = np.bincount(back, c, len(contexts))  # less than the total where n-grams were dropped
-            weight = (total[first] - kept + d * types) / total[first]
-            model.orders[lang].append(Order(key, np.maximum(c - d, 0) / total + weight[back] * lower, contexts, weight))
-    _calibrate(model, rows)
+            counts = scratch.keep(counts.groupBy("lang", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lower")
+            levels.append(counts)
+    folder = scratch_path(spark, "langid-model")
+    built = all_rows.groupBy("lang").applyInArrow(_build_language(folder, discounts), "lang string, path string, uniform double")
+    found = {r.lang: r for r in built.collect()}  # a row a language
+    scratch.drop(*levels)
+    model = LanguageModel(sorted(found), {x: r.path for x, r in found.items()}, {x: r.uniform for x, r in found.items()})
+    model.limits = dict(model.uniform)
+    if calibrate and model.langs:
+        scored = rows.select("lang", model.column(F.col("text")).alias("p"))
+        for r in _limits(scored, model).collect():
+            model.limits[r.lang] = r.limit
     return model
 
 
-def _calibrate(model: LanguageModel, rows: DataFrame) -> None:
-    if not model.langs:
-        return
-    uniform = {x: float(np.log(max(len(model.orders[x][0].keys), 2))) for x in model.langs}
-    model.limits = dict(uniform)
-    seen = (rows.withColumn("p", model.column(F.col("text"))).where("p.lang = lang")
-            .groupBy("lang").agg(F.percentile_approx("p.entropy", F.array(F.lit(0.5), F.lit(0.95)), 1000).alias("q")))
-    for r in seen.collect():
-        model.limits[r.lang] = max(uniform[r.lang], r.q[0] + REJECT_FACTOR * (r.q[1] - r.q[0]))
+def _limits(scored: DataFrame, model: LanguageModel) -> DataFrame:
+    """(lang, limit) from the texts, (lang, p), that are recognised as their language."""
+    uniform = F.create_map(*[F.lit(v) for x in model.langs for v in (x, model.uniform[x])])
+    q = F.percentile_approx("p.entropy", F.array(F.lit(0.5), F.lit(0.95)), 1000)
+    return (scored.where("p.lang = lang").groupBy("lang").agg(q.alias("q"))
+            .select("lang", F.greatest(uniform[F.col("lang")], F.col("q")[0] + REJECT_FACTOR * (F.col("q")[1] - F.col("q")[0])).alias("limit")))
 
 
 def identify(df: DataFrame, id_col: str, text_col: str, model: LanguageModel) -> DataFrame:
     """(id, lang, score, entropy, rejected) per input row."""
     return (df.select(F.col(id_col).alias("id"), model.column(F.col(text_col)).alias("p"))
             .select("id", "p.lang", "p.score", "p.entropy", "p.rejected"))
+
+
+def learn_and_identify(df: DataFrame, text_col: str, lang_col: str, learn: Column, keep: Column) -> DataFrame:
+    """(kept, lang, score, entropy, rejected) per input row, learned from the rows of ``df`` with
+    ``learn``; ``kept`` is what ``keep`` selects of a row.  Every text is scored once: the written
+    verdicts give the rejection limits and are then held against them."""
+    scratch = Scratch(df.sparkSession, "langid")
+    model = train(df.where(learn), text_col, lang_col, calibrate=False)
+    truth = F.when(learn & F.col(text_col).isNotNull(), F.col(lang_col).cast("string"))
+    scored = scratch.keep(df.select(keep.alias("kept"), truth.alias("lang"), model.column(F.col(text_col)).alias("p")), "scored")
+    if not model.langs:
+        return scored.select("kept", "p.lang", "p.score", "p.entropy", "p.rejected")
+    limits = scratch.keep(_limits(scored, model).select(F.col("lang").alias("l"), "limit"), "limits")  # a row a language
+    uniform = F.create_map(*[F.lit(v) for x in model.langs for v in (x, model.uniform[x])])
+    limit = F.coalesce("limit", uniform[F.col("p.lang")])
+    return scored.join(limits, F.col("p.lang") == F.col("l"), "left").select(
+        "kept", "p.lang", "p.score", "p.entropy", F.coalesce(F.col("p.entropy") > limit, F.lit(True)).alias("rejected"))

@@ -107,7 +107,12 @@ def op6_substring(spark, sf_dir):
 
 
 def held_out(remainder: int, modulus: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
+    """Rows that nothing is learned from; a row without an id is none of them."""
+    return F.coalesce(_remainder(modulus) == remainder, F.lit(False))
+
+
+def _remainder(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
 @register("op7_language")
@@ -115,9 +120,8 @@ def op7_language(spark, sf_dir):
     """Language of all documents; learns from rows outside the held-out quarter."""
     from . import langid
     docs = table(spark, sf_dir, "documents")
-    model = langid.train(docs.where(~held_out(2, 4)), "text", "lang")
-    out = langid.identify(docs, "doc_id", "text", model)
-    return out.withColumnRenamed("id", "doc_id").select(
+    out = langid.learn_and_identify(docs, "text", "lang", ~held_out(2, 4), F.col("doc_id"))
+    return out.withColumnRenamed("kept", "doc_id").select(
         "doc_id", held_out(2, 4).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")
 
 
@@ -194,5 +198,5 @@ def op13_quality(spark, sf_dir):
     out = rank_documents(table(spark, sf_dir, "documents"), "doc_id", "text",
                          table(spark, sf_dir, "labels").where(~held_out(0, 5)), "doc_id", "quality", cut=0.3)
     return out.withColumnRenamed("id", "doc_id").select(
-        "doc_id", F.coalesce(held_out(0, 5), F.lit(False)).alias("held_out"), "score",
+        "doc_id", held_out(0, 5).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
