@@ -32,8 +32,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models recognise."""
-    model = langid.train(docs, "text", "lang")
-    return docs.where(~model.column(F.col("text"))["rejected"])
+    out = langid.learn_and_identify(docs, "text", "lang", F.lit(True), F.struct(*docs.columns))
+    return out.where(~F.col("rejected")).select("kept.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
