@@ -6,7 +6,6 @@ tables are Parquet so filters and projections reach the scan.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .versions import VersionedStore
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True,
              corrupt_col: str | None = None) -> DataFrame:
@@ -36,14 +37,22 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: b
     return lines.select(*[c.alias(n) for n, c in cells.items()], line.alias(corrupt_col))
 
 
+#: part of a single versioned table
+TABLE = "table"
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2: validated-table scan (Parquet)."""
-    return spark.read.parquet(path)
+    """SRC2: validated-table scan: the newest whole version of a table that ``replace_table``
+    keeps, pinned when it is read; any other path is plain Parquet."""
+    snapshot = VersionedStore(spark, path).snapshot()
+    return snapshot.read(spark, TABLE) if snapshot else spark.read.parquet(path)
 
 
 def read_reference(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """SRC3: the stored reference table, or an empty frame with ``schema`` on the first run."""
-    recover_table(spark, path)
+    snapshot = VersionedStore(spark, path).snapshot()
+    if snapshot:
+        return snapshot.read(spark, TABLE, schema)
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
@@ -57,58 +66,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _rename(fs, source, target) -> None:
-    if not fs.rename(source, target):
-        raise OSError(f"cannot rename {source} to {target}")
-
-
-def _old_version(spark: SparkSession, path: str):
-    """The set-aside version of a table whose swap was cut short, if any."""
-    fs, p = _fs(spark, path)
-    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-*"))
-    return fs, p, ([f.getPath() for f in found] if found is not None else [])
-
-
-def recover_table(spark: SparkSession, path: str) -> bool:
-    """Whether the table exists; one that a dying job had set aside is put back first."""
-    fs, p, old = _old_version(spark, path)
-    if not fs.exists(p) and old:
-        _rename(fs, old[0], p)
-    return bool(fs.exists(p))
-
-
 def replace_table(df: DataFrame, path: str) -> None:
     """SNK2: overwrite a table that ``df`` may itself read from.
 
-    Spark cannot overwrite a path it is reading, so the new version is written next to it and
-    swapped in by renames.  Every rename is checked: if the new version cannot take the
-    place, the old one is put back and the call fails; the old version is deleted last.  A job
-    that dies between the renames leaves the old version aside, where ``recover_table`` (and
-    ``path_exists``, ``read_reference``) finds it.
+    The new version is written next to the old one and made the current one by a single
+    rename (``versions``): a table is never absent, readers keep the version they have pinned, and a
+    job that dies before the rename changes nothing.  The version before last is removed, so that a
+    reader of the last one is not disturbed.
     """
-    spark = df.sparkSession
-    tmp = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(tmp)
-    recover_table(spark, path)
-    fs, p = _fs(spark, path)
-    _, t = _fs(spark, tmp)
-    if not fs.exists(p):
-        _rename(fs, t, p)
-        return
-    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
-    _rename(fs, p, old)
-    try:
-        _rename(fs, t, p)
-    except Exception:
-        _rename(fs, old, p)
-        raise
-    fs.delete(old, True)
+    store = VersionedStore(df.sparkSession, path)
+    store.commit({TABLE: df}, base=store.snapshot())
+    store.vacuum(keep=2)
 
 
 def append_table(df: DataFrame, path: str) -> None:
@@ -117,7 +85,8 @@ def append_table(df: DataFrame, path: str) -> None:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    return recover_table(spark, path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
 #: most records of a metric report; more would not fit one JSON object in one task

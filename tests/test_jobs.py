@@ -7,7 +7,7 @@ from riskframe.operators.merge import insert_if_new, known_key_count, rows_to_in
 from riskframe.plans.validation import DataDriftError, validate_and_merge
 from riskframe.session import scratch_path, table
 from riskframe.sources import files
-from riskframe.sources.files import path_exists, read_table, replace_table
+from riskframe.sources.versions import VersionedStore
 
 SF = "/root/testdata/sf0.001"
 DECLARED = {"o_orderkey": "bigint", "o_totalprice": "double", "o_orderpriority": "string"}
@@ -32,7 +32,7 @@ def test_first_run_then_merge_then_drift(spark):
     shifted = o.withColumn("o_totalprice", F.col("o_totalprice") * 10 + 1e6)
     with pytest.raises(DataDriftError):
         validate_and_merge(_parts(shifted), store, DECLARED, "o_orderkey", ["o_totalprice"], ["o_orderpriority"])
-    assert spark.read.parquet(f"{store}/train").count() == o.count()
+    assert VersionedStore(spark, store).snapshot().rows("train") == o.count()
 
 
 def test_schema_of_every_part_counts(spark):
@@ -40,34 +40,7 @@ def test_schema_of_every_part_counts(spark):
     o = table(spark, SF, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     bad = {"train": o, "test": o.limit(5).withColumn("o_totalprice", F.lit("n/a"))}
     res = validate_and_merge(bad, store, DECLARED, "o_orderkey", ["o_totalprice"], ["o_orderpriority"])
-    assert not res.schema_ok and not path_exists(spark, f"{store}/train")
-
-
-def test_failed_swap_keeps_the_old_table(spark, monkeypatch):
-    path = scratch_path(spark, "swap")
-    replace_table(spark.range(3), path)
-    real, calls = files._rename, []
-
-    def second_fails(fs, source, target):
-        calls.append(str(source))
-        if len(calls) == 2:
-            raise OSError("no")
-        real(fs, source, target)
-
-    monkeypatch.setattr(files, "_rename", second_fails)
-    with pytest.raises(OSError):
-        replace_table(spark.range(99), path)
-    assert read_table(spark, path).count() == 3
-
-
-def test_interrupted_swap_is_recovered(spark):
-    path = scratch_path(spark, "swap")
-    replace_table(spark.range(3), path)
-    fs, p = files._fs(spark, path)
-    assert fs.rename(p, files._fs(spark, path + ".old-1")[1])  # a job died between the renames
-    assert path_exists(spark, path) and read_table(spark, path).count() == 3
-    replace_table(spark.range(7), path)
-    assert read_table(spark, path).count() == 7
+    assert not res.schema_ok and VersionedStore(spark, store).snapshot() is None
 
 
 def test_null_keys_are_known_keys(spark):
