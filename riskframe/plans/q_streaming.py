@@ -79,6 +79,29 @@ def str2_stream_insert_watermark(spark, sf):
         spark.read.parquet(f"{out}/late").select(*cols, F.lit(True).alias("late")))
 
 
+_HOURS = "CASE WHEN event_id % 97 = 0 THEN 2 WHEN event_id % 53 = 0 THEN 1 ELSE 0 END"
+
+
+@register("str2_stream_insert_state", f"""
+WITH e AS (SELECT *, {_HOURS} AS held FROM events),
+m AS (SELECT max(ts) FILTER (WHERE held = 0) - INTERVAL 2 HOUR AS m1, max(ts) FILTER (WHERE held < 2) - INTERVAL 2 HOUR AS m2 FROM e)
+SELECT event_id, user_id, value, (held = 1 AND ts <= m1) OR (held = 2 AND ts <= m2) AS late, 1::BIGINT AS times FROM e, m""")
+def str2_stream_insert_state(spark, sf):
+    """Four arrivals, the query stopped and restarted from its checkpoint between them: most events, then
+    those held back once with all earlier ones again, then those held back twice, then everything
+    once more.  Every event is accepted or set aside as late, exactly once."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "value", F.expr(_HOURS).alias("held"))
+    path, out, ckpt = (scratch_path(spark, n) for n in ("events-landing", "str2s-out", "str2s-ckpt"))
+    nothing = ev.limit(0).drop("held")
+    for part in (ev.where("held = 0"), ev.where("held < 2"), ev, ev):
+        part.drop("held").write.mode("append").parquet(path)
+        q = ST.insert_new_within_watermark(ST.file_stream(spark, path, nothing.schema), nothing, "event_id", "ts", "2 hours", out, ckpt)
+        q.awaitTermination()
+    rows = [spark.read.parquet(f"{out}/{name}").withColumn("late", F.lit(name == "late")) for name in ("accepted", "late")]
+    return rows[0].unionByName(rows[1]).groupBy("event_id").agg(
+        F.min("user_id").alias("user_id"), F.min("value").alias("value"), F.max("late").alias("late"), F.count(F.lit(1)).alias("times"))
+
+
 @register("str2_stream_insert_table", """
 SELECT event_id, user_id, event_type, value FROM events""")
 def str2_stream_insert_table(spark, sf):

@@ -5,14 +5,15 @@ quarantine table - two sinks written per micro-batch with ``foreachBatch``;
 each batch writes its own ``batch=<id>`` folder in overwrite mode, so a
 replayed batch after a failure replaces its earlier output (idempotent).
 
-STR2: insert-if-new by key on a stream, either with a look-back bounded by a
-watermark (late rows with unseen keys are set aside, not lost), or against the
-growing target table itself, bucketed by key.
+STR2: insert-if-new by key on a stream, either with a look-back bounded by a watermark, kept
+by Spark's own state on RocksDB (late rows with unseen keys are set aside, not lost), or
+against the growing target table itself, bucketed by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,45 +52,81 @@ def validate_and_score(stream: DataFrame, rules: Mapping[str, Column], scorer: C
     return w.start()
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if path_exists(spark, path) else None
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB (outside the heap, spilled to disk), with
+    changelog checkpoints, so that a commit writes what has changed."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+              "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Rows that micro-batches before this one have written below ``path``."""
+    return spark.read.parquet(path).where(F.col("batch") < batch_id) if path_exists(spark, path) else None
 
 
 def insert_new_within_watermark(stream: DataFrame, reference: DataFrame, key: str, event_time: str,
                                 delay: str, out_dir: str, checkpoint: str,
                                 available_now: bool = True) -> StreamingQuery:
-    """STR2 (bounded look-back): rows with keys not seen within the ``delay`` before the latest
-    event of earlier micro-batches and not in the static ``reference`` go to ``out_dir/accepted``.
-    Rows older than that (late) with a key never seen go to ``out_dir/late`` instead of being
-    lost.  Each micro-batch writes its own ``batch=<id>`` folders in overwrite mode, so a
-    replayed batch replaces its earlier output; the look-back reads only accepted rows from
-    the watermark on (the filter reaches the scan)."""
-    if dict(stream.dtypes)[event_time] == "timestamp_ntz":  # compared with session-zone timestamps
+    """STR2 (bounded look-back): the first row of each key goes to ``out_dir/accepted``.
+
+    A key is known if it is in the static ``reference`` or in the state of
+    ``dropDuplicatesWithinWatermark``, which forgets it once the watermark (latest event of earlier
+    micro-batches minus ``delay``) has passed its event time by ``delay``: the state holds the keys of
+    that span only, and no micro-batch reads what was accepted before.
+
+    Spark's state drops rows that are not after the watermark.  Those with a key never seen are kept
+    in ``out_dir/late``, each key once: only they, and only where there are any, are
+    compared with all accepted and late rows.  Each micro-batch writes its own ``batch=<id>`` folders
+    in overwrite mode, so a replayed batch replaces its earlier output.
+    """
+    spark = stream.sparkSession
+    if dict(stream.dtypes)[event_time] == "timestamp_ntz":  # a watermark needs an instant
         stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    first = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    known = reference.select(key).distinct()
+    # the same micro-batch twice: what the state lets pass, and all rows, to find the late ones
+    both = (rows_to_insert(first, known, key).withColumn("_first", F.lit(True))
+            .unionByName(stream.withColumn("_first", F.lit(False))))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = _read_or_none(spark, f"{out_dir}/progress")
-        top = seen.where(F.col("batch") < batch_id).agg(F.max("latest")).first()[0] if seen is not None else None
-        mark = F.lit(top) - F.expr(f"INTERVAL {delay}") if top is not None else F.lit(None).cast("timestamp")
-        late = F.coalesce(F.col(event_time) < mark, F.lit(False))
-        accepted = _read_or_none(spark, f"{out_dir}/accepted")
-        before = accepted.where(F.col("batch") < batch_id) if accepted is not None else None
-        new = rows_to_insert(batch.dropDuplicates([key]), reference, key).persist()
+        batch = batch.persist()
         try:
-            fresh, old = new.where(~late), new.where(late)
-            if before is not None:
-                recent = before.where(F.col(event_time) >= mark) if top is not None else before
-                fresh, old = rows_to_insert(fresh, recent, key), rows_to_insert(old, before, key)
-            fresh.write.mode("overwrite").parquet(f"{out_dir}/accepted/batch={batch_id}")
-            old.write.mode("overwrite").parquet(f"{out_dir}/late/batch={batch_id}")
-            batch.agg(F.max(event_time).alias("latest")).write.mode("overwrite").parquet(f"{out_dir}/progress/batch={batch_id}")
+            accepted, rows = batch.where("_first").drop("_first"), batch.where("NOT _first").drop("_first")
+            accepted.write.mode("overwrite").parquet(f"{out_dir}/accepted/batch={batch_id}")
+            top = None
+            progress = _earlier(spark, f"{out_dir}/progress", batch_id)
+            if progress is not None:
+                top = progress.agg(F.max("latest")).first()[0]
+            mark = F.date_trunc("MILLISECOND", F.lit(top).cast("timestamp")) - F.expr(f"INTERVAL {delay}")
+            late = rows.where(F.col(event_time) <= mark).dropDuplicates([key]) if top is not None else rows.limit(0)
+            if top is not None and not late.isEmpty():
+                late = rows_to_insert(late, known, key)
+                for name in ("accepted", "late"):
+                    earlier = _earlier(spark, f"{out_dir}/{name}", batch_id + (name == "accepted"))
+                    if earlier is not None:
+                        late = rows_to_insert(late, earlier, key)
+            late.write.mode("overwrite").parquet(f"{out_dir}/late/batch={batch_id}")
+            rows.agg(F.max(event_time).alias("latest")).write.mode("overwrite").parquet(f"{out_dir}/progress/batch={batch_id}")
         finally:
-            new.unpersist()
+            batch.unpersist()
 
-    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = both.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    with rocksdb_state(spark):
+        return w.start()
 
 
 def insert_new_into_table(stream: DataFrame, table_path: str, key: str, checkpoint: str,
