@@ -59,14 +59,37 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=4)
-def _power_table(base: int, size: int) -> np.ndarray:
-    return np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)], dtype=np.uint64)
+#: bytes hashed at once
+_SEGMENT = 1 << 20
 
 
-def _powers(base: int, size: int) -> np.ndarray:
-    """base ** i modulo 2^64 for i below ``size``."""
-    return _power_table(base, 1 << max(size, 1).bit_length())[:size]
+@lru_cache(maxsize=2)
+def _powers(base: int) -> np.ndarray:
+    """base ** i modulo 2^64 for i below _SEGMENT."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(_SEGMENT - 1, base, np.uint64)], dtype=np.uint64)
+
+
+def _power_at(base: int, places: np.ndarray) -> np.ndarray:
+    """base ** place modulo 2^64."""
+    rounds = places // _SEGMENT
+    far = np.array([pow(base, _SEGMENT * int(i), 1 << 64) for i in range(int(rounds.max(initial=0)) + 1)], np.uint64)
+    return _powers(base)[places % _SEGMENT] * far[rounds]
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each range of bytes (ascending, disjoint), however long: differences of prefix sums,
+    of which only those at the ends of ranges are kept."""
+    at_start, at_end, carry = np.zeros(len(start), np.uint64), np.zeros(len(end), np.uint64), np.uint64(0)
+    for low in range(0, len(data), _SEGMENT):
+        part = data[low:low + _SEGMENT].astype(np.uint64) + np.uint64(1)
+        weight = _powers(_BASE)[:len(part)] * np.uint64(pow(_BASE, low, 1 << 64))
+        prefix = np.cumsum(np.r_[carry, part * weight], dtype=np.uint64)
+        carry = prefix[-1]
+        for places, out in ((start, at_start), (end, at_end)):
+            i, j = np.searchsorted(places, [low, low + len(part)], "left")
+            j = len(places) if low + len(part) == len(data) else j
+            out[i:j] = prefix[places[i:j] - low]
+    return (at_end - at_start) * _power_at(_INVERSE, start)
 
 
 def _runs(inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,29 +119,19 @@ def text_features(texts: pa.Array) -> np.ndarray:
     first[offsets] = True
     first = first[:-1]
     kind = _CLASS[data]
-    sums = {k: np.r_[0, np.cumsum(kind == k, dtype=np.int64)] for k in (_UPPER, _LETTER, _DIGIT, _MARK, _SHOUT, _SYMBOL)}
-
-    def within(k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return sums[k][end] - sums[k][start]
-
-    prefix = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size), dtype=np.uint64)]
-    back = _powers(_INVERSE, size)
-
-    def hashes(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (prefix[end] - prefix[start]) * back[start]
 
     def share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a / np.maximum(b, 1)
 
-    at, to = offsets[:-1], offsets[1:]
     start, end = _runs(kind != _SPACE, first)
     doc = np.searchsorted(offsets, start, "right") - 1
     words = np.bincount(doc, minlength=n)
-    letters = within(_UPPER, start, end) + within(_LETTER, start, end)
-    flags = {"symbol_words": within(_SYMBOL, start, end) > 0, "bare_words": letters == 0, "shout_words": within(_SHOUT, start, end) > 0,
-             "capital_words": (within(_UPPER, start, end) > 1) & (within(_LETTER, start, end) <= within(_UPPER, start, end)),
-             "short_words": end - start <= 3}
-    h = hashes(start, end)
+    # white space has no class of its own: what lies up to the next word counts for the word
+    count = {k: np.add.reduceat(kind == k, start, dtype=np.int64) if len(start) else start
+             for k in (_UPPER, _LETTER, _DIGIT, _MARK, _SHOUT, _SYMBOL)}
+    flags = {"symbol_words": count[_SYMBOL] > 0, "bare_words": count[_UPPER] + count[_LETTER] == 0, "shout_words": count[_SHOUT] > 0,
+             "capital_words": (count[_UPPER] > 1) & (count[_LETTER] <= count[_UPPER]), "short_words": end - start <= 3}
+    h = _hashes(data, start, end)
     index = np.arange(len(start)) - np.repeat(np.cumsum(words) - words, words)
     windows = np.maximum(words // WINDOW_WORDS, 1)
     base = np.cumsum(windows) - windows
@@ -136,19 +149,20 @@ def text_features(texts: pa.Array) -> np.ndarray:
     l_start, l_end = _runs(data != 10, first)
     l_doc = np.searchsorted(offsets, l_start, "right") - 1
     lines = np.bincount(l_doc, minlength=n)
-    out["distinct_lines"] = share(_distinct(l_doc, hashes(l_start, l_end), n), lines)
+    out["distinct_lines"] = share(_distinct(l_doc, _hashes(data, l_start, l_end), n), lines)
     out["line_words"] = np.log1p(share(words, lines))
-    upper, letter = within(_UPPER, at, to), within(_LETTER, at, to)
-    out |= {"capitals": share(upper, upper + letter), "digits": np.sqrt(share(within(_DIGIT, at, to), to - at)),
-            "symbols": np.sqrt(share(within(_SYMBOL, at, to), to - at)), "marks": share(within(_MARK, at, to), words),
-            "shouts": share(within(_SHOUT, at, to), words), "word_bytes": np.log1p(share(np.bincount(doc, end - start, n), words)),
-            "words": np.log1p(words)}
+    total_of = {k: np.bincount(doc, c, n) for k, c in count.items()}
+    size_of = np.diff(offsets)
+    out |= {"capitals": share(total_of[_UPPER], total_of[_UPPER] + total_of[_LETTER]),
+            "digits": np.sqrt(share(total_of[_DIGIT], size_of)), "symbols": np.sqrt(share(total_of[_SYMBOL], size_of)),
+            "marks": share(total_of[_MARK], words), "shouts": share(total_of[_SHOUT], words),
+            "word_bytes": np.log1p(share(np.bincount(doc, end - start, n), words)), "words": np.log1p(words)}
     empty = np.zeros(n)
     return np.stack([out.get(name, empty) for name in FEATURES], 1) if n else np.zeros((0, len(FEATURES)))
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", 1 << 20):
         x = text_features(b.column("text"))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays([b.column("id"), flat], ["id", "x"])

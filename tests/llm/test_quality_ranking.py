@@ -52,6 +52,17 @@ def test_features_of_whole_texts():
     assert Q.text_features(pa.array([], pa.string())).shape == (0, len(Q.FEATURES))
 
 
+def test_hashes_do_not_depend_on_the_place(monkeypatch):
+    monkeypatch.setattr(Q, "_SEGMENT", 8)
+    Q._powers.cache_clear()
+    data = np.frombuffer(b"ab cde ab a long word of abcdefghij and abcdefghij ab", np.uint8)
+    start, end = Q._runs(data != 32, np.r_[True, np.zeros(len(data) - 1, bool)])
+    words = bytes(data).split()
+    h = Q._hashes(data, start, end)
+    Q._powers.cache_clear()
+    assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
+
+
 def test_every_document_meets_others(rows):
     sample = rows("label int, nr long, x array<double>", *[(1, i, [1.0, float(i)]) for i in range(7)], *[(0, i, [0.0, 0.0]) for i in range(3)])
     pairs = Q.preference_pairs(sample, 3, 7, 4).collect()
