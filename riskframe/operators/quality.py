@@ -13,6 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
+from .gram import correlation_pairs
+from .prefix import running_sums
+
 
 def schema_conformance(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
     """DQ1: per declared column: present?, actual type, rows whose value does not cast."""
@@ -174,12 +178,51 @@ def _exact_profile(df: DataFrame, numeric: list, cols: list, A) -> DataFrame:
 
 
 def correlations(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """DQ10: Pearson correlation of every numeric pair, one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1:]]
-    w = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"_r{i}").alias("pearson"))
-                    for i, (a, b) in enumerate(pairs)])
-    return w.select(F.explode(arr).alias("p")).select("p.*")
+    """DQ10: Pearson correlation of every numeric pair, from one matrix (``gram``)."""
+    return correlation_pairs(df, numeric)
+
+
+def mid_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df``'s rows in which all ``columns`` are known, with the mid-rank of each column's value in place of it
+    (ties share the mean of their places).  A column's ranks come from the counts of its
+    distinct values by two-phase running sums; NaN is the largest value."""
+    out = df.select(*columns)
+    for c in columns:
+        out = out.where(F.col(c).isNotNull())
+    out = keep(out, "ranked-rows")
+    for c in columns:
+        counts = out.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        ranks = running_sums(counts, [], c, ["n"]).select(
+            F.col(c).alias("_value"), (F.col("cum_n") - (F.col("n") - 1) / 2).cast("double").alias("_rank"))
+        ranks = keep(ranks, "ranks")  # written, so that Spark may split the rows of a common value
+        out = out.join(ranks, F.col(c).eqNullSafe(F.col("_value"))).withColumn(c, F.col("_rank")).drop("_value", "_rank")
+    return out
+
+
+def rank_correlations(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """DQ10: Spearman correlation of every numeric pair, over the rows in which all are known."""
+    return correlation_pairs(mid_ranks(df, numeric), numeric, "spearman")
+
+
+def associations(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    """DQ10: Cramer's V of every pair of categorical columns, over the rows in which both are known:
+    sqrt(chi2 / (n (min(values) - 1))), null where a column has one value.  All contingency
+    tables are counted in one pass; their margins come from the written counts."""
+    pairs = [(a, b) for i, a in enumerate(categorical) for b in categorical[i + 1:]]
+    cells = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(a).cast("string").alias("a"),
+                      F.col(b).cast("string").alias("b")) for a, b in pairs]
+    key = ["column_a", "column_b"]
+    counts = keep(df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where("a is not null and b is not null")
+                  .groupBy(*key, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n")), "contingency")
+    rows, cols = (keep(counts.groupBy(*key, c).agg(F.sum("n").alias(f"n_{c}")), f"margin-{c}") for c in "ab")
+    sizes = rows.groupBy(*key).agg(F.sum("n_a").alias("total"), F.count(F.lit(1)).alias("values_a")).join(
+        cols.groupBy(*key).agg(F.count(F.lit(1)).alias("values_b")), key)
+    parts = counts.join(rows, [*key, "a"]).join(cols, [*key, "b"]).groupBy(*key).agg(
+        F.sum(F.col("n") * F.col("n") / (F.col("n_a") * F.col("n_b"))).alias("share"))
+    least = F.least("values_a", "values_b") - 1
+    v = F.when(least > 0, F.sqrt(F.greatest(F.col("share") - 1, F.lit(0.0)) / least))
+    listed = df.sparkSession.createDataFrame(pairs, "column_a string, column_b string")
+    return listed.join(parts.join(sizes, key).select(*key, v.alias("cramers_v")), key, "left")
 
 
 def conflicts(df: DataFrame, features: Sequence[str], outcome: str) -> DataFrame:

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -23,6 +24,8 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .gram import cross_moments
+
 
 @dataclass(frozen=True)
 class Param:
@@ -230,50 +233,28 @@ def segment_least_squares(df: DataFrame, segment: str, x: str, y: str) -> DataFr
 def segment_linear_models(df: DataFrame, segment: str, features: Sequence[str], label: str,
                           ridge: float = 0.0) -> DataFrame:
     """ML12 (many segments, several features): least squares per segment from sufficient
-    statistics.  One aggregation of the centred cross products X'X and X'y per segment (partial
-    aggregation, so a segment holding a third of the rows is summed map-side), then the
-    (p+1) x (p+1) systems of a batch of segments are solved together over those statistic rows
-    only - no group of raw rows is ever gathered into one task.  Output: segment, intercept, w_<f>, rows.
+    statistics: one matrix of centred cross products per segment (``gram``, folded map-side, so a
+    segment holding a third of the rows is a matrix per task), then the systems of a
+    batch of segments are solved together - no group of raw rows is ever gathered into one
+    task.  Output: segment, intercept, w_<f>, rows.
     """
-    cols = ["_one", *features]
-    xs = {"_one": F.lit(1.0), **{f: F.col(f).cast("double") for f in features}}
-    ok = F.col(label).isNotNull()
-    for f in features:
-        ok = ok & F.col(f).isNotNull()
-    d = df.where(ok)
-    # centred products (covar_pop updates means as it goes): raw sums of squares would cancel
-    y, n = F.col(label).cast("double"), F.count(F.lit(1))
-    aggs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols[i:], i):
-            aggs.append((n.cast("double") if j == 0 else F.lit(0.0) if i == 0 else n * F.covar_pop(xs[a], xs[b])).alias(f"xx_{i}_{j}"))
-        aggs.append((F.lit(0.0) if i == 0 else n * F.covar_pop(xs[a], y)).alias(f"xy_{i}"))
-        aggs.append(F.avg(xs[a]).alias(f"m_{i}"))
-    stats = d.groupBy(segment).agg(*aggs, F.avg(y).alias("my"), n.alias("rows"))
-    p = len(cols)
+    columns = [*features, label]
+    p = len(features)
     seg_type = dict(df.dtypes)[segment]
-    out_schema = f"`{segment}` {seg_type}, intercept double, " + ", ".join(f"`w_{f}` double" for f in features) + \
-        ", rows bigint"
+    out_schema = f"`{segment}` {seg_type}, intercept double, " + ", ".join([*[f"`w_{f}` double" for f in features], "rows bigint"])
 
-    def solve(batches):
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All segments of a batch in one stacked solve."""
-        import numpy as np
-        import pandas as pd
-        for pdf in batches:
-            A = np.zeros((len(pdf), p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    A[:, i, j] = A[:, j, i] = pdf[f"xx_{i}_{j}"]
-            b = np.stack([pdf[f"xy_{i}"] for i in range(p)], 1).astype(float)
-            A[:, 1:, 1:] += ridge * np.eye(p - 1)
-            w = (np.linalg.pinv(A, hermitian=True) @ b[:, :, None])[:, :, 0]
-            # the statistics are centred: shift the intercept back
-            means = np.stack([pdf[f"m_{i}"] for i in range(1, p)], 1) if p > 1 else np.zeros((len(pdf), 0))
-            first = w[:, 0] + pdf["my"].to_numpy() - (w[:, 1:] * means).sum(1)
-            yield pd.DataFrame({segment: pdf[segment], "intercept": first,
-                                **{f"w_{f}": w[:, i + 1] for i, f in enumerate(features)}, "rows": pdf["rows"]})
-
-    return stats.mapInPandas(solve, out_schema)
+        for b in batches:
+            square = lambda c: b.column(c).flatten().to_numpy().reshape(-1, p + 1, p + 1)  # noqa: B023, E731
+            cov, mean, n = square("cov"), square("mean")[:, :, 0], square("n")[:, 0, 0]
+            left = cov[:, :p, :p] + ridge * np.eye(p)
+            w = (np.linalg.pinv(left, hermitian=True) @ cov[:, :p, p:])[:, :, 0]
+            first = mean[:, p] - (w * mean[:, :p]).sum(1)  # the products are centred
+            yield pa.RecordBatch.from_arrays([b.column("by"), pa.array(first), *[pa.array(c) for c in w.T], pa.array(n.astype(np.int64))],
+                                             [segment, "intercept", *[f"w_{f}" for f in features], "rows"])
+
+    return cross_moments(df, columns, segment, complete=True).mapInArrow(solve, out_schema)
 
 
 def fit_per_segment(df: DataFrame, segment: str, segments: Sequence, make) -> dict:
@@ -283,44 +264,45 @@ def fit_per_segment(df: DataFrame, segment: str, segments: Sequence, make) -> di
 
 # ----------------------------------------------------------------- linear discriminant
 def lda_statistics(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
-    """ML3 statistics: per-class count and means, and the within-class scatter entries (centred
-    products, one aggregation)."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.avg(F.col(f).cast("double")).alias(f"mean_{f}") for f in features]
-    aggs += [(F.count(F.lit(1)) * F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"sxx_{i}_{j}")
-             for i, a in enumerate(features) for j, b in enumerate(features) if j >= i]
-    return df.groupBy(label).agg(*aggs)
+    """ML3 statistics: per class the count ``n``, the ``means`` (array) and the within-class ``scatter`` (d x d
+    centred products, row after row) of the rows in which all features are known; one matrix per
+    class whatever the number of features."""
+    d = len(features)
+    first = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.get("mean", i * d))
+    return cross_moments(df, features, label, complete=True).select(
+        F.col("by").alias(label), F.col("n")[0].cast("long").alias("n"), first.alias("means"), F.col("cov").alias("scatter"))
 
 
 def lda_fourth_moments(df: DataFrame, features: Sequence[str], stats_rows, label: str = "label") -> dict:
-    """Per class the mean of |z|^4 over its standardised rows z (a second aggregation, with the
-    class means and deviations as literals): what the Ledoit-Wolf intensity needs besides
+    """Per class the mean of |z|^4 over its standardised rows z (a second pass, with the class
+    means and deviations as literals): what the Ledoit-Wolf intensity needs besides
     the covariance."""
-    terms = None
+    d, known = len(features), df
+    for f in features:
+        known = known.where(F.col(f).isNotNull())
+    array = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    x, terms = F.array(*[F.col(f).cast("double") for f in features]), F.lit(None).cast("double")
     for r in stats_rows:
-        z2 = sum((F.pow((F.col(f).cast("double") - F.lit(r[f"mean_{f}"])), 2) / F.lit(_variance(r, i)) for i, f in enumerate(features)),
-                 F.lit(0.0))
-        case = F.pow(z2, 2)
-        terms = F.when(F.col(label) == r[label], case) if terms is None else terms.when(F.col(label) == r[label], case)
-    return {int(r[label]): r["m4"] for r in df.groupBy(label).agg(F.avg(terms).alias("m4")).collect()}
+        off = F.zip_with(x, array(r["means"]), lambda a, m: a - m)
+        z2 = F.zip_with(off, array(_deviations(r, d)), lambda a, s: (a / s) * (a / s))
+        size = F.aggregate(z2, F.lit(0.0), lambda total, v: total + v)
+        terms = F.when(F.col(label) == r[label], size * size).otherwise(terms)
+    return {int(r[label]): r["m4"] for r in known.groupBy(label).agg(F.avg(terms).alias("m4")).collect()}
 
 
-def _variance(r, i: int) -> float:
-    v = r[f"sxx_{i}_{i}"] / r["n"]
-    return v if v > 0 else 1.0
+def _scatter(r, p: int) -> np.ndarray:
+    return np.array(r["scatter"]).reshape(p, p)
 
 
-def _scatter(r, p: int) -> np.ndarray:
-    S = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            S[i, j] = S[j, i] = r[f"sxx_{i}_{j}"]
-    return S
+def _deviations(r, p: int) -> np.ndarray:
+    """Standard deviations of a class; 1 for a constant feature."""
+    v = np.diag(_scatter(r, p)) / r["n"]
+    return np.sqrt(np.where(v > 0, v, 1.0))
 
 
 def _shrunk(r, p: int, m4: float) -> np.ndarray:
     """Ledoit-Wolf covariance of one class: shrunk on the standardised scale, then scaled back."""
-    sd = np.sqrt([_variance(r, i) for i in range(p)])
+    sd = _deviations(r, p)
     C = _scatter(r, p) / r["n"] / np.outer(sd, sd)
     mu = np.trace(C) / p
     spread = ((C - mu * np.eye(p)) ** 2).sum()
@@ -337,7 +319,7 @@ def lda_fit(stats_rows, features: Sequence[str], label: str = "label", fourth: M
     p = len(features)
     rows = {int(r[label]): r for r in stats_rows}
     n = sum(r["n"] for r in rows.values())
-    means = {k: np.array([r[f"mean_{f}"] for f in features]) for k, r in rows.items()}
+    means = {k: np.array(r["means"]) for k, r in rows.items()}
     if fourth is None:
         S = sum(_scatter(r, p) for r in rows.values()) / max(n - len(rows), 1)
     else:
@@ -372,5 +354,6 @@ def lda_search(df: DataFrame, features: Sequence[str], label: str = "label", fol
 
 def lda_score(df: DataFrame, features: Sequence[str], fit: Mapping) -> DataFrame:
     """ML3 scoring: P(1) = sigmoid(w.x - c), a native dot product."""
-    z = sum((F.col(f).cast("double") * F.lit(w) for f, w in zip(features, fit["weights"])), F.lit(0.0)) - F.lit(fit["offset"])
+    x, w = F.array(*[F.col(f).cast("double") for f in features]), F.array(*[F.lit(v) for v in fit["weights"]])
+    z = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v) - F.lit(fit["offset"])
     return df.withColumn("prediction", 1 / (1 + F.exp(-z)))

@@ -145,6 +145,49 @@ def dq10_correlations(spark, sf):
     return c.withColumn("pearson", F.round("pearson", 6))
 
 
+_EMBEDDED = 64
+
+
+@register("dq10_embedding_correlations", f"""
+SELECT 'e' || lpad(i::VARCHAR, 2, '0') AS column_a, 'e' || lpad(j::VARCHAR, 2, '0') AS column_b,
+  round(corr(embedding[i + 1], embedding[j + 1]), 6) AS pearson
+FROM embeddings, range(0, {_EMBEDDED}) AS a(i), range(0, {_EMBEDDED}) AS b(j) WHERE i < j GROUP BY ALL""")
+def dq10_embedding_correlations(spark, sf):
+    """All pairs of 64 columns (the components of an embedding) from one matrix."""
+    e = table(spark, sf, "embeddings")
+    names = [f"e{i:02d}" for i in range(_EMBEDDED)]
+    wide = e.select(*[F.get("embedding", i).cast("double").alias(c) for i, c in enumerate(names)])
+    return Q.correlations(wide, names).withColumn("pearson", F.round("pearson", 6))
+
+
+_RANKED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@register("dq10_rank_correlations", "WITH r AS (SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _RANKED) + " FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS spearman FROM r"
+                         for i, a in enumerate(_RANKED) for b in _RANKED[i + 1:]))
+def dq10_rank_correlations(spark, sf):
+    """Spearman correlation of every pair: mid-ranks by two-phase sums, then one matrix."""
+    out = Q.rank_correlations(table(spark, sf, "lineitem"), _RANKED)
+    return out.withColumn("spearman", F.round("spearman", 6))
+
+
+_CROSSED = ("l_returnflag", "l_linestatus", "l_linenumber", "l_tax")
+
+
+@register("dq10_associations", " UNION ALL ".join(f"""
+SELECT '{a}' AS column_a, '{b}' AS column_b, round(sqrt(greatest(sum(n * n / (na * nb)) - 1, 0)
+  / (least(count(DISTINCT a), count(DISTINCT b)) - 1)), 6) AS cramers_v
+FROM (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM
+  (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2))"""
+    for i, a in enumerate(_CROSSED) for b in _CROSSED[i + 1:]))
+def dq10_associations(spark, sf):
+    """Cramer's V of every pair of categorical columns, from contingency tables counted in one pass."""
+    out = Q.associations(table(spark, sf, "lineitem"), _CROSSED)
+    return out.withColumn("cramers_v", F.round("cramers_v", 6))
+
+
 @register("dq11_target_conflict", """
 SELECT l_linestatus, l_quantity, min(t) AS min_value, max(t) AS max_value, count(*) AS rows FROM
   (SELECT l_linestatus, l_quantity, (l_returnflag = 'R')::INT AS t FROM lineitem) GROUP BY 1, 2 HAVING min(t) <> max(t)""")

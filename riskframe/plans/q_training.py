@@ -266,8 +266,9 @@ def ml3_lda_statistics(spark, sf):
     """Linear discriminant statistics: class means and cross-product sums (one aggregation)."""
     li = table(spark, sf, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
     s = ML.lda_statistics(li, _LDA_FEATURES, "label")
-    return s.select("label", "n", *[F.round(f"mean_{f}", 6).alias(f"mean_{f}") for f in _LDA_FEATURES],
-                    *[F.round(c, 2).alias(c) for c in s.columns if c.startswith("sxx_")])
+    d = len(_LDA_FEATURES)
+    return s.select("label", "n", *[F.round(F.col("means")[i], 6).alias(f"mean_{f}") for i, f in enumerate(_LDA_FEATURES)],
+                    *[F.round(F.col("scatter")[i * d + j], 2).alias(f"sxx_{i}_{j}") for i in range(d) for j in range(i, d)])
 
 
 @register("ml3_lda_search")
