@@ -141,11 +141,14 @@ def fit_machine(flat: np.ndarray, owner: np.ndarray, label: np.ndarray, n_featur
     rng = np.random.default_rng(seed)
     base = label.mean()
     bias = float(np.log(base / (1 - base)))
-    w, v = np.zeros(n_features), rng.normal(0, 0.01, (n_features, FACTORS))
-    starts = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(label)))]
-    size, step = 256, 0
-    place = np.zeros(n_features, np.int64)
-    moments = [np.zeros(1), np.zeros(1), np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
+    # a row a feature: its weight and its factors; 32 bits halve what a step moves
+    wv = np.concatenate([np.zeros((n_features, 1)), rng.normal(0, 0.01, (n_features, FACTORS))], 1).astype(np.float32)
+    first, second = np.zeros_like(wv), np.zeros_like(wv)
+    rates = (pace[:, None] * np.r_[1.0, np.full(FACTORS, FACTOR_RATE)]).astype(np.float32)
+    decay = np.r_[WEIGHT_DECAY, np.full(FACTORS, FACTOR_DECAY)].astype(np.float32)
+    sizes = np.bincount(owner, minlength=len(label))
+    starts = np.cumsum(sizes) - sizes
+    size, step, bias_moments = 256, 0, np.zeros(2)
     steps_least = 400  # small samples make more passes
     epochs = max(EPOCHS, -(-steps_least * size // max(len(label), 1)))
     for epoch in range(epochs):
@@ -153,33 +156,38 @@ def fit_machine(flat: np.ndarray, owner: np.ndarray, label: np.ndarray, n_featur
         order = rng.permutation(len(label))
         for at in range(0, len(order), size):
             pick = order[at:at + size]
-            sizes = starts[pick + 1] - starts[pick]
-            own = np.repeat(np.arange(len(pick)), sizes)
-            idx = flat[np.repeat(starts[pick] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-            here = np.flatnonzero(np.bincount(idx, minlength=n_features))
-            place[here] = np.arange(len(here))
-            idx = place[idx]
-            wh, vh = w[here], v[here]
-            vi = vh[idx]
-            total = np.stack([np.bincount(own, vi[:, k], len(pick)) for k in range(FACTORS)], 1)
-            square = np.bincount(own, (vi ** 2).sum(1), len(pick))
-            logit = bias + np.bincount(own, wh[idx], len(pick)) + 0.5 * ((total ** 2).sum(1) - square)
-            error = (_sigmoid(logit) - label[pick]) * np.where(label[pick] == 1, TOXIC_WEIGHT, 1.0) / len(pick)
-            gw = np.bincount(idx, error[own], len(here)) + WEIGHT_DECAY * wh
-            gi = error[own][:, None] * (total[own] - vi)
-            gv = np.stack([np.bincount(idx, gi[:, k], len(here)) for k in range(FACTORS)], 1) + FACTOR_DECAY * vh
+            long, some = sizes[pick], np.flatnonzero(sizes[pick])
+            ends = np.cumsum(long)
+            idx = flat[np.repeat(starts[pick] - (ends - long), long) + np.arange(ends[-1])]
+            own = np.repeat(np.arange(len(pick)), long)
+            sums, square = np.zeros((len(pick), FACTORS + 1), np.float32), np.zeros(len(pick), np.float32)
+            if len(some):
+                rows = wv[idx]
+                cut = (ends - long)[some]
+                sums[some] = np.add.reduceat(rows, cut, axis=0)
+                square[some] = np.add.reduceat(np.einsum("ij,ij->i", rows[:, 1:], rows[:, 1:]), cut)
+            logit = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - square)
+            error = ((_sigmoid(logit) - label[pick]) * np.where(label[pick] == 1, TOXIC_WEIGHT, 1.0) / len(pick)).astype(np.float32)
             step += 1
-            new = []
-            for p, g, (m, s), at_, pace_ in zip((np.array([bias]), wh, vh), (np.array([error.sum()]), gw, gv),
-                                                ((0, 1), (2, 3), (4, 5)), (slice(None), here, here),
-                                                (1, pace[here], FACTOR_RATE * pace[here][:, None]), strict=True):
-                moments[m][at_] = 0.9 * moments[m][at_] + 0.1 * g
-                moments[s][at_] = 0.999 * moments[s][at_] + 0.001 * g * g
-                mean, square_mean = moments[m][at_] / (1 - 0.9 ** step), moments[s][at_] / (1 - 0.999 ** step)
-                new.append(p - pace_ * rate * mean / (np.sqrt(square_mean) + 1e-8))
-            bias = float(new[0][0])
-            w[here], v[here] = new[1], new[2]
-    return bias, w, v
+            fix1, fix2 = 1 - 0.9 ** step, 1 - 0.999 ** step
+            bias_moments = np.array([0.9, 0.999]) * bias_moments + np.array([0.1, 0.001]) * np.array([error.sum(), error.sum() ** 2])
+            bias -= rate * bias_moments[0] / fix1 / (np.sqrt(bias_moments[1] / fix2) + 1e-8)
+            if not len(some):
+                continue
+            # gradients: entries of one feature end to end
+            by_feature = np.argsort(idx, kind="stable")
+            sorted_idx = idx[by_feature]
+            cut = np.flatnonzero(np.r_[True, sorted_idx[1:] != sorted_idx[:-1]])
+            here = sorted_idx[cut]
+            pull = error[:, None] * np.concatenate([np.ones((len(pick), 1), np.float32), sums[:, 1:]], 1)
+            grad = np.add.reduceat(pull[own[by_feature]], cut, axis=0)
+            now = wv[here]
+            grad[:, 1:] -= grad[:, :1] * now[:, 1:]
+            grad += decay * now
+            m = first[here] = 0.9 * first[here] + np.float32(0.1) * grad
+            q = second[here] = np.float32(0.999) * second[here] + np.float32(0.001) * grad * grad
+            wv[here] = now - rates[here] * np.float32(rate / fix1) * m / (np.sqrt(q / np.float32(fix2)) + np.float32(1e-8))
+    return bias, wv[:, 0].astype(float), wv[:, 1:].astype(float)
 
 
 def _paces(flat: np.ndarray, owner: np.ndarray, label: np.ndarray, n_features: int) -> np.ndarray:
