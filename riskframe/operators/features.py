@@ -8,18 +8,18 @@ ML transformers.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FeatureGroup
 from ..functions.scalars import cap, clip, cut_index, label_of_index
 from ..session import keep
+from .clusters import kmeans_all, model_of, weighted_rows
 from .keys import join_on
 from .prefix import bucket_by_value, lay_out, position
 
@@ -186,21 +186,6 @@ def long_to_wide(df: DataFrame, ids: Sequence[str], var: str, value: str, values
 
 
 # ---------------------------------------------------------------- clustering
-def kmeans_costs(df: DataFrame, features: str, ks: Sequence[int], seed: int = 42,
-                 max_iter: int = 300, parallelism: int = 4) -> list[tuple[int, float]]:
-    """FE7: training cost for each k.  The fits are independent Spark jobs, submitted from
-    ``parallelism`` driver threads so small fits share the cluster instead of queueing
-    (the input should be persisted or checkpointed by the caller)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def cost(k: int) -> tuple[int, float]:
-        m = KMeans(k=k, seed=seed, featuresCol=features, maxIter=max_iter, initMode="k-means||").fit(df)
-        return k, float(m.summary.trainingCost)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(cost, list(ks)))
-
-
 def knee(points: Sequence[tuple[int, float]]) -> int:
     """FE7: knee of a decreasing convex curve (largest gap below the chord after normalising)."""
     if len(points) < 3:
@@ -222,14 +207,16 @@ def knee(points: Sequence[tuple[int, float]]) -> int:
 
 def fit_segments(df: DataFrame, features: str, k: int | None = None, ks: Sequence[int] = range(2, 15),
                  seed: int = 42, max_iter: int = 300):
-    """FE6/FE7: choose k by the elbow (when not given) and fit k-means."""
-    costs = None
-    if k is None:
-        costs = kmeans_costs(df, features, ks, seed, max_iter)
-        k = knee(costs)
-    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster",
-                   maxIter=max_iter, initMode="k-means||").fit(df)
-    return model, k, costs
+    """FE6/FE7: k-means with the given k, or with the k of the elbow: all of ``ks`` in the same scans
+    (``clusters``), and Spark's model of the chosen one's centres.  Returns (model, k, costs)."""
+    if k is not None:
+        model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster",
+                       maxIter=max_iter, initMode="k-means||").fit(df)
+        return model, k, None
+    found = kmeans_all(weighted_rows(df, features), list(ks), seed, max_iter)
+    costs = [(k, found[k][1]) for k in ks]
+    k = knee(costs)
+    return model_of(df.sparkSession, found[k][0], features, "cluster"), k, costs
 
 
 def nearest_center(vec, centers: Sequence[Sequence[float]]) -> Column:
@@ -246,7 +233,11 @@ def _num(v) -> str:
     return str(int(fv)) if fv.is_integer() else repr(fv)
 
 
-def prepare_sql(groups: Sequence[FeatureGroup], suffix: str = "_p") -> str:
+#: added to the names of prepared columns
+PREPARED = "_p"
+
+
+def prepare_sql(groups: Sequence[FeatureGroup], suffix: str = PREPARED) -> str:
     """FE1 as SQL text for an ``SQLTransformer`` stage: clip, then right-closed cut (bin index)."""
     exprs = []
     for g in groups:
@@ -265,41 +256,23 @@ def prepare_sql(groups: Sequence[FeatureGroup], suffix: str = "_p") -> str:
     return "SELECT *, " + ", ".join(exprs) + " FROM __THIS__"
 
 
-#: added to negative numbers, so that their texts sort like the numbers
-_SHIFT = 10 ** 9
-
-
-def _ordered_text(c: str) -> str:
-    """SQL text form of a whole number that sorts like the number ('-' sorts before digits)."""
-    return (f"CASE WHEN `{c}` < 0 THEN concat('-', lpad(CAST({_SHIFT} + `{c}` AS BIGINT), 10, '0')) "
-            f"ELSE lpad(CAST(`{c}` AS BIGINT), 11, '0') END")
-
-
-def plain_name(name: str) -> str:
-    """FE5 name (COL_value) of an assembled feature: the unit's own suffixes and padding removed."""
-    m = re.fullmatch(r"(.*)_p_s_v_(-?)(\d{10,11})", name)
-    if m:
-        return f"{m[1]}_{int(m[3]) - _SHIFT if m[2] else int(m[3])}"
-    return re.sub(r"_s_v_", "_", name)
-
-
 def feature_unit(groups: Sequence[FeatureGroup], categorical: Sequence[str] = (), extra: Sequence[str] = (),
                  output: str = "features") -> Pipeline:
-    """FE10: prepare (SQL) + one-hot of every prepared and categorical column (unseen / missing
-    -> all zeros) + assembly, as one saveable ``Pipeline``."""
-    prepared = [f"{c}_p" for g in groups for c in g.columns]
-    as_text = [f"{c}_s" for c in prepared] + [f"{c}_s" for c in categorical]
-    cast = ", ".join([f"{_ordered_text(c)} AS `{c}_s`" for c in prepared]
-                     + [f"CAST(`{c}` AS STRING) AS `{c}_s`" for c in categorical])
-    stages = [SQLTransformer(statement=prepare_sql(groups)),
-              SQLTransformer(statement=f"SELECT *, {cast} FROM __THIS__"),
-              StringIndexer(inputCols=as_text, outputCols=[f"{c}_i" for c in as_text],
-                            handleInvalid="keep", stringOrderType="alphabetAsc"),
-              OneHotEncoder(inputCols=[f"{c}_i" for c in as_text], outputCols=[f"{c}_v" for c in as_text],
-                            dropLast=True),
-              VectorAssembler(inputCols=[f"{c}_v" for c in as_text] + list(extra), outputCol=output,
-                              handleInvalid="keep")]
-    return Pipeline(stages=stages)
+    """FE10: prepare (SQL) + one-hot of every prepared and categorical column (``CategoryEncoder``:
+    unseen / missing -> all zeros) + assembly, as one saveable ``Pipeline``."""
+    from .encoder import CategoryEncoder
+    columns = [*[f"{c}{PREPARED}" for g in groups for c in g.columns], *categorical]
+    return Pipeline(stages=[SQLTransformer(statement=prepare_sql(groups)), CategoryEncoder(columns, "encoded"),
+                            VectorAssembler(inputCols=["encoded", *extra], outputCol=output, handleInvalid="keep")])
+
+
+def unit_names(model: PipelineModel) -> list[str]:
+    """FE5 names (COL_value) of the features a fitted unit assembles, in order."""
+    from .encoder import CategoryEncoderModel
+    encoder = next(s for s in model.stages if isinstance(s, CategoryEncoderModel))
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    plain = {c: c.removesuffix(PREPARED) for c in encoder.getInputCols()}
+    return [*encoder.names(plain), *assembler.getInputCols()[1:]]
 
 
 def fit_feature_unit(unit: Pipeline, train: DataFrame, ks: Sequence[int] = range(2, 15)) -> PipelineModel:

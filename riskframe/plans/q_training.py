@@ -21,7 +21,7 @@ from ..operators import metrics as EV
 from ..operators import scoring as SCO
 from ..operators import selection as SEL
 from ..operators import training as ML
-from ..operators.features import feature_unit, fit_feature_unit, fit_segments, plain_name
+from ..operators.features import feature_unit, fit_feature_unit, fit_segments, unit_names
 from ..operators.split import stratified_folds, stratified_split
 from ..session import keep, scratch_path, table
 from ..sources.files import read_csv, write_csv
@@ -68,13 +68,6 @@ def prepared(spark, sf, target=RETURNED):
     return model.transform(d), model
 
 
-def assembled_names(unit_model, data):
-    """Feature names (COL_value) in the order of the assembled vector, from the column's metadata."""
-    attrs = data.schema["features"].metadata["ml_attr"]["attrs"]
-    found = sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)
-    return [plain_name(n) for _, n in found]
-
-
 @register("fe10_feature_unit")
 def fe10_feature_unit(spark, sf):
     """Prepare + one-hot + assemble + clusters (elbow over k = 2..14) fitted once, saved and re-loaded
@@ -203,7 +196,7 @@ def ml13_feature_importance(spark, sf):
     """Importances of a fitted classifier on the assembled features, by feature name."""
     data, model = prepared(spark, sf)
     gbt = ML.make_estimator("GBT", validation_col="is_val").fit(_fit_rows(data))
-    return ML.feature_importance(gbt, assembled_names(model, data))
+    return ML.feature_importance(gbt, unit_names(model))
 
 
 @register("ml14_train_job")

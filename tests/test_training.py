@@ -30,8 +30,8 @@ def test_trials_find_a_planted_signal(spark, planted):
 
 
 def test_importances_carry_plain_names(spark, planted):
-    data, _ = planted
-    names = Q.assembled_names(None, data)
+    data, unit = planted
+    names = FE.unit_names(unit)
     assert names[:4] == [f"l_linenumber_{i}" for i in (1, 2, 3, 4)] and "l_linestatus_F" in names and names[-1] == "l_tax"
     m = ML.make_estimator("GBT").setMaxIter(5).fit(Q._fit_rows(data))
     top = ML.feature_importance(m, names).first()
@@ -42,8 +42,7 @@ def test_negative_numbers_sort_before_others(spark):
     from riskframe.config import FeatureGroup
     df = spark.createDataFrame([(v,) for v in (10, -2, 0, 2, -1, -10)], "x int")
     unit = FE.feature_unit((FeatureGroup("g", ("x",), -50, 50, None),)).fit(df)
-    out = unit.transform(df)
-    assert Q.assembled_names(unit, out) == ["x_-10", "x_-2", "x_-1", "x_0", "x_2", "x_10"]
+    assert FE.unit_names(unit) == ["x_-10", "x_-2", "x_-1", "x_0", "x_2", "x_10"]
 
 
 def test_unit_with_clusters_is_saved_and_loaded(spark, tmp_path):
