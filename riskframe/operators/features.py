@@ -21,7 +21,7 @@ from ..functions.scalars import cap, clip, cut_index, label_of_index
 from ..session import keep
 from .clusters import kmeans_all, model_of, weighted_rows
 from .keys import join_on
-from .prefix import bucket_by_value, lay_out, position
+from .prefix import bucket_by_value, lay_out
 
 
 def prepare_columns(groups: Sequence[FeatureGroup], labels: bool = False,
@@ -78,7 +78,7 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for i, c in enumerate(columns)])).alias("s")).select("s.*")
     d = stacked.where(F.col("value").isNotNull()).distinct()
     # numbered in two phases: value-range buckets per column, then inside each bucket
-    place = F.coalesce("value_num", position(d, "value"))
+    place = F.struct("value_num", "value")  # null numbers, those of text columns, are equal
     groups = ["_pos", "column"]
     d = keep(d.withColumn("_o", place), "categories")
     d, _ = bucket_by_value(d, groups)
@@ -159,7 +159,7 @@ def label_encode(df: DataFrame, c: str, name: str | None = None, buckets: int |
     """FE9: sorted distinct categories -> 0..n-1, joined back.
 
     The numbering is two-phase like the running sums: distinct values are cut into ordered
-    value-range buckets (quantiles of the values, for text of their first bytes), bucket sizes
+    value-range buckets (quantiles, for text of sampled values), bucket sizes
     give each bucket its offset through a window over the buckets only, and values are numbered
     inside their bucket - no global window over all values.
     """

@@ -2,8 +2,9 @@
 
 A window ordered over the whole table runs in a single task.  Instead the
 (already aggregated, one row per distinct value) input is written once to the
-shared folder, cut into value-range buckets per group using approximate
-quantiles, bucket totals are summed, a tiny window over the bucket totals gives
+shared folder, cut into value-range buckets per group using approximate quantiles
+(numbers and times) or sampled values (any other type, text included: what is sampled are
+the values themselves, whatever they start with), bucket totals are summed, a tiny window over the bucket totals gives
 each bucket its starting offset, and the real running sum runs inside (group,
 bucket) in parallel.  Every branch reads the written table, so the source is
 scanned once.  Results are exact: rows are ordered by the original column, the
@@ -25,17 +26,32 @@ from .keys import join_on
 ROWS_PER_BUCKET = 200_000
 #: most split points a group gets (the accuracy of the quantile sketch bounds them)
 MAX_BUCKETS = 4096
+#: sampled values per bucket where there is no sketch
+SAMPLED = 64
 
 
 def position(df: DataFrame, column: str):
-    """A double that never falls while ``column`` rises: it picks a row's bucket, nothing else."""
+    """What picks a row's bucket, nothing else: a number that never falls while ``column`` rises, or
+    the value itself."""
     kind = df.schema[column].dataType
     c = F.col(column)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(kind, T.StringType):  # the first seven bytes as one number
-        return F.conv(F.hex(F.substring(F.rpad(c.cast("binary"), 7, F.lit(b"\x00")), 1, 7)), 16, 10).cast("double")
-    return c.cast("double")
+    return c.cast("double") if isinstance(kind, (T.NumericType, T.BooleanType)) else c
+
+
+def _splits(rows: DataFrame, groups: list, buckets: int, accuracy: int, most: int) -> DataFrame:
+    """(groups, _splits): ascending split points of each group into about ``buckets`` ranges of equally many
+    values; ``most``: rows of the largest group."""
+    if dict(rows.dtypes)["_o"] == "double":
+        probs = [i / buckets for i in range(1, buckets)]
+        return rows.groupBy(*groups).agg(F.percentile_approx("_o", probs, max(accuracy, 4 * buckets)).alias("_splits"))
+    share = min(1.0, SAMPLED * buckets / max(most, 1))
+    picked = rows.where(F.col("_o").isNotNull() & (F.pmod(F.xxhash64("_o", F.lit(3)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))))
+    found = picked.groupBy(*groups).agg(F.sort_array(F.collect_list("_o")).alias("_s"))  # about SAMPLED values a bucket
+    n = F.least(F.lit(buckets), F.greatest(F.ceil(F.size("_s") / SAMPLED), F.lit(1))).cast("int")
+    places = F.transform(F.sequence(F.lit(1), n), lambda i: F.get("_s", F.floor(i * F.size("_s") / n).cast("int")))
+    return found.select(*groups, F.array_distinct(F.slice(places, F.lit(1), n - 1)).alias("_splits"))
 
 
 def count_below(limits, n: int, x, equal: bool = False):
@@ -61,7 +77,7 @@ def bucket_by_value(d: DataFrame, groups: list, buckets: int | None = None, accu
     broadcasts them only if it is small."""
     # (not a literal: a join on a constant would be planned as a cross join)
     whole = F.when(F.col("_o").isNull(), F.lit(-1)).otherwise(F.lit(0))
-    rows = d
+    rows, most = d, None
     if buckets is None:
         big = keep(d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows")).where(f"_rows > {ROWS_PER_BUCKET}"), "large-groups")
         most = big.agg(F.max("_rows")).first()[0]
@@ -71,9 +87,7 @@ def bucket_by_value(d: DataFrame, groups: list, buckets: int | None = None, accu
         rows = join_on(d, big.drop("_rows"), groups, "left_semi")
     if buckets <= 1:
         return d.withColumn("_bk", whole), groups
-    probs = [i / buckets for i in range(1, buckets)]
-    splits = keep(rows.groupBy(*groups).agg(F.percentile_approx("_o", probs, max(accuracy, 4 * buckets)).alias("_splits")),
-                  "splits")
+    splits = keep(_splits(rows, groups, buckets, accuracy, most or d.count()), "splits")
     d = join_on(d, splits, groups, "left")
     inside = count_below(F.col("_splits"), buckets - 1, F.col("_o"))
     return d.withColumn("_bk", F.when(F.col("_splits").isNull(), whole).otherwise(inside)).drop("_splits"), groups
