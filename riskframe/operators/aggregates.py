@@ -304,9 +304,9 @@ def _box_stats(df: DataFrame, keys: Sequence[str], value: str, exact: bool) -> D
     m = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.count(x).alias("n"))
     q = join_on(m, qs, keys, "left")
     iqr = F.col("q3") - F.col("q1")
-    fences = q.select(*keys, "q1", "median", "q3", "mean", "n",
-                      (F.col("q1") - 1.5 * iqr).alias("_lo"), (F.col("q3") + 1.5 * iqr).alias("_hi"))
-    # one fence row per group; AQE broadcasts it when the group count is small
+    fences = keep(q.select(*keys, "q1", "median", "q3", "mean", "n",
+                           (F.col("q1") - 1.5 * iqr).alias("_lo"), (F.col("q3") + 1.5 * iqr).alias("_hi")), "fences")
+    # one written fence row per group: AQE broadcasts them when they are few and else may split a hot group
     joined = join_on(df.select(*keys, x.alias("_x")), fences, list(keys))
     inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
     return joined.groupBy(*keys, "q1", "median", "q3", "mean", "n").agg(

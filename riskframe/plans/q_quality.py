@@ -8,6 +8,7 @@ from ..functions.scalars import stable_round
 from ..operators import quality as Q
 from ..operators.split import stratified_split
 from ..session import scratch_path, table
+from ..sources.versions import VersionedStore
 from ..operators.drift import dataset_drift, drift_table
 from .q_drift import _DR5_SQL, CAT, NUM, _sides
 from .q_metrics import P as PRED_SQL
@@ -277,4 +278,5 @@ def dq13_validate_merge(spark, sf):
         s = stratified_split(batch.select(*cols), "o_orderstatus", "o_orderkey", 0.2, seed=1961, split_col="part")
         parts = {p: s.where(F.col("part") == p) for p in ("train", "test")}
         validate_and_merge(parts, store, _DQ13_DECLARED, "o_orderkey", ["o_totalprice"], ["o_orderpriority"])
-    return spark.read.parquet(f"{store}/train").unionByName(spark.read.parquet(f"{store}/test"))
+    stored = VersionedStore(spark, store).snapshot()
+    return stored.read(spark, "train").unionByName(stored.read(spark, "test"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from ..operators import selection as SEL
 from ..operators import training as ML
 from ..operators.features import feature_unit, fit_feature_unit, fit_segments, unit_names
 from ..operators.split import stratified_folds, stratified_split
+from ..operators.target_stats import ordered_target_means
 from ..session import keep, scratch_path, table
 from ..sources.files import read_csv, write_csv
 from .q_features import LINE_GROUPS
@@ -128,10 +130,33 @@ def ml5_xgb_style_search(spark, sf):
     return _cv_family(spark, sf, "XGB")
 
 
+_CATEGORIES = ["l_linenumber", "l_linestatus", "l_quantity"]
+
+
+@register("ml6_ordered_target_statistics", "WITH d AS (SELECT l_orderkey * 8 + l_linenumber AS k, l_linenumber, l_linestatus, l_quantity, "
+          "(l_returnflag = 'R')::INT::DOUBLE AS y, avg((l_returnflag = 'R')::INT) OVER () AS p FROM lineitem) SELECT k, " + ", ".join(
+              f"round((coalesce(sum(y) OVER w{i}, 0) + p) / (count(*) OVER w{i} + 1), 9) AS {c}_ts" for i, c in enumerate(_CATEGORIES))
+          + " FROM d WINDOW " + ", ".join(f"w{i} AS (PARTITION BY {c} ORDER BY md5('1961:' || k), k ROWS BETWEEN UNBOUNDED PRECEDING "
+                                          "AND CURRENT ROW EXCLUDE GROUP)" for i, c in enumerate(_CATEGORIES)))
+def ml6_ordered_target_statistics(spark, sf):
+    """Line number, status and quantity of every line as the mean label of earlier lines alike."""
+    d = labelled(spark, sf).select("k", F.col("label"), *_CATEGORIES)
+    out = ordered_target_means(keep(d, "lines"), "k", "label", _CATEGORIES, seed=1961)
+    return out.select("k", *[F.round(f"{c}_ts", 9).alias(f"{c}_ts") for c in _CATEGORIES])
+
+
 @register("ml6_catboost_style_search")
 def ml6_catboost_style_search(spark, sf):
-    """CatBoost-style boosting with early stopping on a validation indicator column."""
-    return _cv_family(spark, sf, "CATBOOST")
+    """CatBoost-style boosting: categories as ordered target statistics of the train part, beside the raw
+    numbers, with early stopping on a validation indicator column."""
+    d = stratified_folds(stratified_split(labelled(spark, sf), "label", "k", 0.2, seed=1961), "label", "k", k=5, seed=1)
+    d = d.withColumn("is_val", F.substring(F.md5(F.col("k").cast("string")), 1, 1) == "0")
+    train = keep(d.where(F.col("split") == "train"), "train-lines")
+    encoded = ordered_target_means(train, "k", "label", _CATEGORIES)
+    assembler = VectorAssembler(inputCols=[*[f"{c}_ts" for c in _CATEGORIES], "l_extendedprice", "l_discount", "l_tax"], outputCol="features")
+    params = ML.sample_params(ML.SPACES["CATBOOST"], TRIALS, 1961)
+    est = ML.make_estimator("CATBOOST", validation_col="is_val")
+    return ML.trial_log("CATBOOST", params, ML.cross_validate(est, params, _fit_rows(assembler.transform(encoded))))
 
 
 @register("ml7_cross_validation")
@@ -233,12 +258,11 @@ def ml12_segment_least_squares(spark, sf):
 
 @register("ml12_segment_models")
 def ml12_segment_models(spark, sf):
-    """Segments by k-means on the assembled features, a classifier per segment fitted on a bounded
-    sample of its rows,
-    every row scored by the model of its segment."""
+    """Segments by k-means on the assembled features with the k of the elbow (2..14), a classifier per
+    segment fitted on a bounded sample of its rows, every row scored by the model of its segment."""
     data, _ = prepared(spark, sf)
     train = keep(data.where(F.col("split") == "train"), "train-rows")
-    clusters, k, _ = fit_segments(train, "features", k=3)
+    clusters, k, _ = fit_segments(train, "features")
     clustered = keep(clusters.transform(train), "clustered")
     samples = [ML.fit_sample(clustered.where(F.col("cluster") == s), "k", 5 * FIT_ROWS) for s in range(k)]
     models = ML.fit_per_segment(keep(reduce(DataFrame.unionAll, samples), "fit-rows"), "cluster", list(range(k)),
