@@ -156,7 +156,51 @@ def op10_neighbours(spark, sf_dir):
         "query_id", "rank", "vec_id", "score")
 
 
-@register("op11_conversations")
+_OP11_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda x: unicode(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy,
+  CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM c WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn FROM d),
+r AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'd'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE ' ' END AS fault,
+  left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS pair FROM o),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+ins(f, k, t) AS (VALUES ('F', 0, 'F'), ('S', 0, 'S'), ('U', 0, 'U'), ('A', 0, 'A'), ('F', 1, 'A'), ('F', 2, 'U'), ('S', 1, 'A'), ('S', 2, 'U'),
+  ('U', 1, 'A'), ('A', 1, 'U')),
+op(f, op, i, price, t) AS (VALUES ('F', 'D', NULL, 2, 'F'), ('S', 'D', NULL, 2, 'S'), ('U', 'D', NULL, 2, 'U'), ('A', 'D', NULL, 2, 'A'),
+  ('F', 'K', 's', 0, 'S'), ('F', 'K', 'u', 0, 'A'), ('S', 'K', 'u', 0, 'A'), ('U', 'K', 'u', 0, 'A'), ('A', 'K', 'a', 0, 'U'),
+  ('F', 'R', NULL, 1, 'A'), ('S', 'R', NULL, 1, 'A'), ('U', 'R', NULL, 1, 'A'), ('A', 'R', NULL, 1, 'U')),
+dp(conv_id, rn, state, best) AS (
+  SELECT conv_id, 0::BIGINT, 'F', {'cost': 0::BIGINT, 'audit': ''} FROM g
+  UNION ALL
+  SELECT dp.conv_id, dp.rn + 1, op.t, min({'cost': (best.cost + 5 * ins.k + op.price + CASE WHEN op.op <> 'D' AND fault = 't' THEN 5 ELSE 0 END)::BIGINT,
+    'audit': best.audit || repeat('I', ins.k) || op.op})
+  FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.rn = dp.rn + 1 JOIN ins ON ins.f = dp.state
+  JOIN op ON op.f = ins.t AND (op.op = 'D' OR fault NOT IN ('b', 'd')) AND (op.i IS NULL OR op.i = r.i) GROUP BY ALL),
+e AS (SELECT g.conv_id, min({'cost': best.cost + CASE state WHEN 'A' THEN 5 WHEN 'S' THEN 10 ELSE 0 END,
+    'audit': best.audit || CASE state WHEN 'A' THEN 'I' WHEN 'S' THEN 'II' ELSE '' END}) AS best
+  FROM g JOIN dp ON dp.conv_id IS NOT DISTINCT FROM g.conv_id AND dp.rn = g.n GROUP BY 1),
+p AS (SELECT conv_id, unnest(string_split(best.audit, '')) AS edit, generate_subscripts(string_split(best.audit, ''), 1) AS pos FROM e),
+q AS (SELECT *, sum((edit <> 'I')::INT) OVER w AS rn, sum((edit <> 'D')::INT) OVER w AS j,
+  sum((edit <> 'D')::INT) OVER (PARTITION BY conv_id) AS m FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+f AS (SELECT q.conv_id, string_agg(CASE WHEN edit = 'K' THEN r.role WHEN (m - j) % 2 = 0 THEN 'assistant' ELSE 'user' END || ':' ||
+    CASE WHEN edit = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY pos) AS lines
+  FROM q LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM q.conv_id AND r.rn = q.rn WHERE edit <> 'D' GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+@register("op11_conversations", _OP11_SQL)
 def op11_conversations(spark, sf_dir):
     """All conversations, damaged as planted and repaired to alternating turns."""
     from .conversations import repair_report
