@@ -13,9 +13,11 @@ k words, sorted by piece and position, and is persisted before it is extended:
 Occurrences are stored in blocks of about ``BLOCK_WORDS`` words, one row a block: sorted
 positions (a piece's end takes a position of its own, so neighbours are always of one
 piece), the block's own number of the phrase at each, and the words of those phrases as
-31-bit word numbers, so that counts are exact, without hashing.  The merge join runs inside
-a block; what is shuffled is one row per distinct phrase of a block, so that a phrase that
-holds a third of all words is as many rows as there are blocks.
+31-bit word numbers, so that counts are exact; a hash only deals them out.  The merge join runs
+inside a block; what is shuffled is one entry per distinct phrase of a block, so that a phrase
+that holds a third of all words is as many entries as there are blocks.  Entries travel
+packed, one row per block and hash bucket; there are as many buckets as keep one at about
+``BUCKET_WORDS`` entries, and a task counts the phrases of one bucket at a time.
 
 *Score* of a phrase cut after its first j words: floor(1000 a n / (l r)) with a, l, r the
 occurrences of the phrase and its two parts and n the words of the language, in
@@ -48,8 +50,8 @@ _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(_UPPER + b"\t" + _ENDS, _LOWER + b" " + b"\n" * len(_ENDS))
 _RELATION = "block long, steps binary, ids binary, groups binary"
-#: columns of a phrase: two word numbers each
-_KEYS = ["k1", "k2", "k3"]
+#: entries of a hash bucket, at most about
+BUCKET_WORDS = 1 << 22
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -117,25 +119,31 @@ def _block_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
     yield from flush()
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
-    """Rows sorted by block, the block's own row first, to (block, its arrays, keys of its rows)."""
-    now, own, rows = None, None, []
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows sorted by ``column`` to (its value, the rows)."""
+    now, parts = None, []
     for b in batches:
-        block = b.column("block").to_numpy()
-        key = np.stack([b.column(c).fill_null(0).to_numpy() for c in keys], 1)
-        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        for at, end in zip(starts, np.r_[starts[1:], len(block)], strict=True):
-            if block[at] != now:
-                if own is not None and rows:
-                    yield now, [_unpack(x) for x in own], np.concatenate(rows)
-                now, own, rows = block[at], None, []
-            if b.column("left")[int(at)].is_valid:
-                own = [x for x in (b.column(c)[int(at)].as_py() for c in ("left", "right", "groups")) if x is not None]
-                at += 1
-            if at < end:
-                rows.append(key[at:end].astype(np.int64))
-    if own is not None and rows:
-        yield now, [_unpack(x) for x in own], np.concatenate(rows)
+        if not b.num_rows:
+            continue
+        key = b.column(column).to_numpy()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        for at, end in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+            if key[at] != now:
+                if parts:
+                    yield now, parts
+                now, parts = key[at], []
+            parts.append(b.slice(int(at), int(end - at)))
+    if parts:
+        yield now, parts
+
+
+def _with_own(parts: list[pa.RecordBatch]) -> tuple[list[np.ndarray] | None, list[pa.RecordBatch]]:
+    """The block's own arrays, if its row is there (it comes first), and the other rows."""
+    first = parts[0]
+    if not first.column("left")[0].is_valid:
+        return None, parts
+    own = [_unpack(x) for x in (first.column(c)[0].as_py() for c in ("left", "right", "groups")) if x is not None]
+    return own, [p for p in (first.slice(1), *parts[1:]) if p.num_rows]
 
 
 def _relation_batch(block: int, pos: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> pa.RecordBatch:
@@ -145,12 +153,17 @@ def _relation_batch(block: int, pos: np.ndarray, ids: np.ndarray, groups: np.nda
 
 def _first_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """R_1: positions of frequent words; rows (word of the block, its number)."""
-    for block, (code,), words in _by_block(batches, ["k1", "k2"]):
+    for block, parts in _runs(batches, "block"):
+        own, rows = _with_own(parts)
+        if own is None or not rows:
+            continue
+        place, number = (np.concatenate([p.column(c).to_numpy() for p in rows]) for c in ("place", "number"))
+        code, = own
         ids = np.full(int(code.max()) + 2, -1, np.int64)  # the last entry is that of code -1
-        ids[words[:, 0]] = np.arange(len(words))
+        ids[place] = np.arange(len(place))
         at = ids[code]
         pos = np.flatnonzero(at >= 0)
-        yield _relation_batch(block, pos, at[pos], words[:, 1])
+        yield _relation_batch(block, pos, at[pos], number)
 
 
 def _adjacent(k: int, steps: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple:
@@ -164,62 +177,117 @@ def _adjacent(k: int, steps: np.ndarray, ids: np.ndarray, groups: np.ndarray) ->
     return pos[at], which, words, n
 
 
-def _keys(words: np.ndarray) -> np.ndarray:
-    """Phrases of k words as rows of (k + 1) // 2 numbers."""
-    if words.shape[1] % 2:
-        words = np.concatenate([words, np.zeros((len(words), 1), np.int64)], 1)
-    return words[:, ::2] << 32 | words[:, 1::2]
+def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Hash bucket of each phrase."""
+    h = np.zeros(len(words), np.uint64)
+    for column in words.T:
+        h = (h ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(buckets)).astype(np.int64)
 
 
-def _candidate_rows(k: int):
+def _candidate_rows(k: int, buckets: int):
+    """Distinct joined phrases of each block with their occurrences, packed by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, *own in zip(*[b.column(c).to_pylist() for c in ("block", "steps", "ids", "groups")], strict=True):
                 _, _, words, n = _adjacent(k, *[_unpack(x) for x in own])
-                keys = _keys(words)
-                names = ["block", *_KEYS[:keys.shape[1]], "n"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), *map(pa.array, keys.T), pa.array(n)], names)
+                if not len(n):
+                    continue
+                bucket = _bucket(words, buckets)
+                order = np.argsort(bucket, kind="stable")
+                words, n, bucket = words[order], n[order], bucket[order]
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                spans = list(zip(cuts, np.r_[cuts[1:], len(n)], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[cuts], pa.int32()), pa.array(np.full(len(cuts), block)),
+                     pa.array([_pack(words[i:j].T) for i, j in spans]), pa.array([_pack(n[i:j]) for i, j in spans])],
+                    ["bucket", "block", "words", "n"])
+    return run
+
+
+def _same(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each phrase, one row of each group)."""
+    order = np.lexsort(words.T[::-1])
+    new = np.r_[True, (words[order[1:]] != words[order[:-1]]).any(1)]
+    group = np.empty(len(words), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
+
+
+def _count_rows(k: int, least: int):
+    """Group-count of the phrases (k words) of each bucket: the frequent ones of every block that has
+    some, and all of the bucket with their occurrences as block -1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _runs(batches, "bucket"):
+            blocks = np.concatenate([p.column("block").to_numpy() for p in parts])
+            n = [_unpack(x) for p in parts for x in p.column("n").to_pylist()]
+            words = np.concatenate([_unpack(x).reshape(k, -1).T for p in parts for x in p.column("words").to_pylist()])
+            sizes = [len(x) for x in n]
+            group, one = _same(words)
+            total = np.bincount(group, np.concatenate(n).astype(float)).astype(np.int64)  # exact below 2^53
+            frequent = total >= least
+            if not frequent.any():
+                continue
+            stay = frequent[group]
+            out = [(-1, _pack(words[one[frequent]].T), total[frequent].tolist())]
+            for block, i, j in zip(blocks.tolist(), np.cumsum([0, *sizes[:-1]]), np.cumsum(sizes), strict=True):
+                if stay[i:j].any():
+                    out.append((block, _pack(words[i:j][stay[i:j]].T), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (
+                pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["block", "words", "a"])
+    return run
+
+
+def _phrase_rows(k: int):
+    """The frequent phrases of a bucket as rows (words, a)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, a in zip(b.column("words").to_pylist(), b.column("a"), strict=True):
+                rows = np.ascontiguousarray(_unpack(words).reshape(k, -1).T, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * k, pa.int32()), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([lists, a.values], ["words", "a"])
     return run
 
 
 def _next_relation(k: int):
     """R_{k+1}: adjacent phrases of k words, semi-joined with the frequent ones of the block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, own, frequent in _by_block(batches, _KEYS[:(k + 2) // 2]):
+        for block, parts in _runs(batches, "block"):
+            own, rows = _with_own(parts)
+            if own is None or not rows:
+                continue
+            frequent = np.concatenate([_unpack(x).reshape(k + 1, -1).T for p in rows for x in p.column("words").to_pylist()])
             pos, which, words, _ = _adjacent(k, *own)
-            both = np.concatenate([frequent, _keys(words)])
-            order = np.lexsort(both.T)
-            new = np.r_[True, (np.diff(both[order], axis=0) != 0).any(1)]
-            same = np.empty(len(both), np.int64)
-            same[order] = np.cumsum(new)
-            hit = np.isin(same[len(frequent):], same[:len(frequent)])
+            group, _ = _same(np.concatenate([frequent.astype(np.int64), words]))
+            hit = np.isin(group[len(frequent):], group[:len(frequent)])
             number = np.cumsum(hit) - 1
             stay = hit[which]
             yield _relation_batch(block, pos[stay], number[which[stay]], words[hit])
     return run
 
 
-def _stream(own: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks (block, left, right, groups) and their rows (block, keys), together by block."""
-    parts = own.select("block", "left", "right", "groups", *[F.lit(None).cast("long").alias(c) for c in keys])
+def _stream(own: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
+    """Blocks (block, left, right, groups) and their rows (block, ``names``), together by block."""
+    parts = own.select("block", "left", "right", "groups", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names])
     none = [F.lit(None).cast("binary").alias(c) for c in ("left", "right", "groups")]
-    return (parts.unionAll(rows.select("block", *none, *keys))
+    return (parts.unionAll(rows.select("block", *none, *names))
             .repartition("block").sortWithinPartitions("block", F.col("left").isNull()))
 
 
 def _words(blocks: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """(block, k1, k2, lang, word, a): frequent words of each block, k1 their number in the block, k2
-    in all: the rank inside a hash bucket times the number of buckets plus the bucket."""
+    """(block, place, number, lang, word, a): frequent words of each block, ``place`` their number in the
+    block, ``number`` that in all: the rank inside a hash bucket times the number of buckets plus the bucket."""
     buckets = 8 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k1", "w")).select(
+    rows = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(
         F.pmod(F.xxhash64("lang", "w.words"), F.lit(buckets)).cast("int").alias("bucket"), "lang",
-        F.col("w.words").alias("word"), "block", F.col("k1").cast("long").alias("k1"), F.col("w.counts").alias("n"))
+        F.col("w.words").alias("word"), "block", F.col("place").cast("long").alias("place"), F.col("w.counts").alias("n"))
     total = F.sum("n").over(Window.partitionBy("bucket", "lang", "word"))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("lang", "word"))
     kept = scratch.keep(rows.repartition("bucket").withColumn("a", total).where(F.col("a") >= least)
-                        .select("block", "k1", ((rank.cast("long") - 1) * buckets + F.col("bucket")).alias("k2"), "lang", "word", "a"),
+                        .select("block", "place", ((rank.cast("long") - 1) * buckets + F.col("bucket")).alias("number"), "lang", "word", "a"),
                         "f1-rows")
-    top = kept.agg(F.max("k2")).first()[0] or 0
+    top = kept.agg(F.max("number")).first()[0] or 0
     if top >= 1 << 31:
         raise ValueError(f"word number {top}; word numbers have 31 bits")
     return kept
@@ -237,27 +305,27 @@ def frequent_phrases(df: DataFrame, text: str, lang: str, least: int, longest: i
     sizes = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     sizes = scratch.keep(sizes, "sizes")
     kept = _words(blocks, least, scratch)
-    words = scratch.keep(kept.groupBy(F.col("k2").cast("int").alias("id")).agg(
+    words = scratch.keep(kept.groupBy(F.col("number").cast("int").alias("id")).agg(
         F.min("lang").alias("lang"), F.min("word").alias("word"), F.min("a").alias("a")), "words")
     none = F.lit(None).cast("binary")
     own = blocks.select("block", F.col("codes").alias("left"), none.alias("right"), none.alias("groups"))
-    relation = scratch.keep(_stream(own, kept, ["k1", "k2"]).mapInArrow(_first_relation, _RELATION), "r1")
+    relation = scratch.keep(_stream(own, kept, ["place", "number"]).mapInArrow(_first_relation, _RELATION), "r1")
     scratch.drop(blocks, kept)
     phrases = [words.select(F.array("id").alias("words"), "a")]
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    buckets = min(-(-n // BUCKET_WORDS) or 1, (1 << 31) - 1)
     for k in range(1, longest):
-        keys = _KEYS[:(k + 2) // 2]
-        total = F.sum("n").over(Window.partitionBy(*keys))
-        kept = scratch.keep(relation.mapInArrow(_candidate_rows(k), f"block long, {' long, '.join(keys)} long, n long")
-                            .withColumn("a", total).where(F.col("a") >= least).drop("n"), f"f{k + 1}-rows", "zstd")
-        found = kept.groupBy(*keys).agg(F.min("a").alias("a"))
-        halves = [h.cast("int") for c in keys for h in (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))]
-        phrases.append(scratch.keep(found.select(F.array(*halves[:k + 1]).alias("words"), "a"), f"p{k + 1}"))
+        dealt = (relation.mapInArrow(_candidate_rows(k, buckets), "bucket int, block long, words binary, n binary")
+                 .repartition("bucket").sortWithinPartitions("bucket"))
+        counted = scratch.keep(dealt.mapInArrow(_count_rows(k + 1, least), "block long, words binary, a array<long>"), f"f{k + 1}")
+        found = counted.where("block = -1").select("words", "a").mapInArrow(_phrase_rows(k + 1), "words array<int>, a long")
+        phrases.append(scratch.keep(found, f"p{k + 1}"))
         if k + 1 < longest:
             own = relation.select("block", F.col("steps").alias("left"), F.col("ids").alias("right"), "groups")
-            new = scratch.keep(_stream(own, kept, keys).mapInArrow(_next_relation(k), _RELATION), f"r{k + 1}")
+            new = scratch.keep(_stream(own, counted.where("block >= 0"), ["words"]).mapInArrow(_next_relation(k), _RELATION), f"r{k + 1}")
             scratch.drop(relation)
             relation = new
-        scratch.drop(kept)
+        scratch.drop(counted)
     scratch.drop(relation)
     return sizes, words, phrases
 

@@ -52,8 +52,9 @@ def corpus(seed, docs=120, alphabet=6):
     return out
 
 
-@pytest.mark.parametrize("least,share,words", [(3, 100, 1 << 20), (12, 100, 50), (3, 60, 7), (10 ** 6, 100, 50)])
-def test_against_brute_force(rows, least, share, words):
+@pytest.mark.parametrize("least,share,words,bucket", [(3, 100, 1 << 20, 1 << 22), (12, 100, 50, 100), (3, 60, 7, 9), (10 ** 6, 100, 50, 9)])
+def test_against_brute_force(rows, monkeypatch, least, share, words, bucket):
+    monkeypatch.setattr(C, "BUCKET_WORDS", bucket)
     data = corpus(least)
     df = rows("lang string, text string", *data).repartition(5)
     assert got(df, least=least, share=share, block_words=words) == brute(data, least, share=share)
