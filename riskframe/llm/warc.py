@@ -3,7 +3,7 @@
 Writing, as Spark jobs:
 
 1. *Range sort.*  Records are ordered by key.  Range limits come from a sample that a
-   hash of the records picks (the same rows on every run, ``SAMPLE`` in expectation),
+   hash of the records picks (the same rows on every run, ``SAMPLE`` a range in expectation),
    so the shards of a table never depend on timing.  A key held by more rows than a
    range takes is spread over several shards by a hash of the content.
 2. *Duplicates.*  Of records with equal payloads of at least ``least_bytes`` bytes the
@@ -47,12 +47,16 @@ from pyspark.sql import functions as F
 from ..operators.prefix import count_below
 from .common import Scratch, file_system
 
-SAMPLE = 20_000
+#: sampled keys per range
+SAMPLE = 32
 RECORDS_PER_RANGE = 2_000
+#: most ranges, beyond which they hold more records; as many limits stand in the plan
+MAX_RANGES = 8_192
 EPOCH = "2020-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
 MANIFEST = "_MANIFEST"
+FILES, TEMPORARY = "files", "_temporary"
 
 
 def digest(data: bytes) -> str:
@@ -97,7 +101,7 @@ class _Roller:
     def open(self, shard: int, number: int) -> None:
         self.shard, self.number, self.size, self.records = shard, number, 0, 0
         self.name = f"part-{shard:06d}-{number:05d}.warc.gz"
-        self.temporary = f"_temporary-{self.attempt}-{self.name}"
+        self.temporary = f"{TEMPORARY}-{self.attempt}-{self.name}"
         self.sum = hashlib.sha256()
         self.out = self.fs.open_output_stream(f"{self.folder}/{self.temporary}", compression=None)
 
@@ -158,31 +162,32 @@ def _publish(folder: str):
 
 
 def _ranges(records: DataFrame) -> tuple[int, list]:
-    """Number of shards for null keys, and the ascending limits of the key ranges from
-    a hash-picked sample (a key that fills several ranges is there several times)."""
+    """Number of shards for null keys, and the ascending limits of the key ranges from a hash-picked
+    sample of SAMPLE keys a range (a key that fills several ranges is there several times)."""
     n = records.agg(F.count(F.lit(1)).alias("all"), F.count("key").alias("keys")).first()
-    share = min(1.0, SAMPLE / max(n["keys"], 1))
+    ranges = min(MAX_RANGES, max(1, n["keys"] // RECORDS_PER_RANGE))
+    share = min(1.0, SAMPLE * ranges / max(n["keys"], 1))
     picked = (records.where("key is not null")
-              .where(F.pmod(F.xxhash64("key", "url", "sha"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-              .select("key").orderBy("key").collect())  # about SAMPLE longs
-    ranges = max(1, n["keys"] // RECORDS_PER_RANGE)
-    limits = [picked[len(picked) * i // ranges].key for i in range(1, ranges)] if picked else []
-    return -(-(n["all"] - n["keys"]) // RECORDS_PER_RANGE), limits
+              .where(F.pmod(F.xxhash64("key", "url", "sha"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+              .select("key").orderBy("key").toArrow()["key"].to_numpy())  # about SAMPLE x ranges longs
+    limits = [int(picked[len(picked) * i // ranges]) for i in range(1, ranges)] if len(picked) else []
+    return min(MAX_RANGES, -(-(n["all"] - n["keys"]) // RECORDS_PER_RANGE)), limits
 
 
-def with_shards(records: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``records`` (key, url, sha, ...) with the number of the shard each falls in.  Shards
+def with_shards(records: DataFrame, keyed: DataFrame) -> tuple[DataFrame, int]:
+    """``records`` (key, url, sha, ...) with the number of the shard each falls in, and how many there are.  Shards
     follow key order; rows of one key (or of none) beyond a range are spread by content.
     ``keyed``: the key, url and sha of all records."""
     for_null, limits = _ranges(keyed)
     spread = F.xxhash64("sha", "url")
     shard = F.lit(0)
     if limits:
-        table = F.array(*[F.lit(x) for x in limits])  # at most as many as the sample has rows
+        table = F.array(*[F.lit(x) for x in limits])  # fewer than MAX_RANGES
         low, high = (count_below(table, len(limits), F.col("key"), equal) for equal in (False, True))
         shard = F.when(high - low > 1, low + 1 + F.pmod(spread, high - low).cast("int")).otherwise(high)
-    return records.withColumn("shard", F.when(F.col("key").isNull(), F.pmod(spread, F.lit(max(for_null, 1))).cast("int"))
+    out = records.withColumn("shard", F.when(F.col("key").isNull(), F.pmod(spread, F.lit(max(for_null, 1))).cast("int"))
                               .otherwise(shard + for_null).cast("int"))
+    return out, for_null + len(limits) + 1
 
 
 def write_warc(df: DataFrame, key_col: str, url_col: str, payload_col: str, folder: str,
@@ -199,28 +204,36 @@ def write_warc(df: DataFrame, key_col: str, url_col: str, payload_col: str, fold
                         .where(f"n > 1 and size >= {int(least_bytes)}").drop("n"), "copies")
     marked = (records.select("*", *same).join(last, ["sha", "size"], "left")
               .withColumn("refers_to", F.when(F.col("last") > F.coalesce("key", F.col("last") - 1), F.col("last"))))
-    shards = with_shards(marked.select("key", "url", "payload", "refers_to", "sha"),
+    shards, n_shards = with_shards(marked.select("key", "url", "payload", "refers_to", "sha"),
                          records.select("key", "url", same[0]))
-    return _commit(spark, shards, folder, roll_bytes, date, scratch)
+    return _commit(spark, shards, n_shards, folder, roll_bytes, date, scratch)
 
 
-def _commit(spark: SparkSession, records: DataFrame, folder: str, roll_bytes: int, date: str,
+def _commit(spark: SparkSession, records: DataFrame, n_shards: int, folder: str, roll_bytes: int, date: str,
             scratch: Scratch) -> DataFrame:
+    """Write, publish and list the files; the list lies in the archive's own folder, and the manifest
+    names it in one last rename.  What failed attempts left behind goes."""
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
-    laid = (records.repartition("shard")
+    laid = (records.repartition(n_shards, "shard")
             .sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "url", "sha")
             .select("shard", "key", "url", "payload", "refers_to"))
     written = scratch.keep(laid.mapInArrow(_write_rows(folder, roll_bytes, date),
                                            "temporary string, name string, bytes long, records long, sha256 string"),
                            "written")
-    manifest = scratch.keep(written.mapInArrow(_publish(folder), "name string, bytes long, records long, sha256 string"),
-                            "manifest")
+    schema = "name string, bytes long, records long, sha256 string"
+    files = f"{FILES}-{uuid.uuid4().hex}"
+    written.mapInArrow(_publish(folder), schema).write.parquet(f"{folder}/{files}")
+    manifest = spark.read.schema(schema).parquet(f"{folder}/{files}")
     totals = manifest.agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"),
                           F.sum("bytes").alias("bytes")).first().asDict()
     with fs.open_output_stream(f"{path}/{MANIFEST}-new") as out:
-        out.write(json.dumps({"table": manifest._scratch, "date": date, **totals}, sort_keys=True).encode())
+        out.write(json.dumps({"table": files, "date": date, **totals}, sort_keys=True).encode())
     fs.move(f"{path}/{MANIFEST}-new", f"{path}/{MANIFEST}")
+    for f in fs.get_file_info(pa.fs.FileSelector(path)):
+        if f.base_name.startswith(TEMPORARY):
+            fs.delete_file(f.path)
+    scratch.drop(written)
     return manifest
 
 
@@ -290,7 +303,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     fs, path = file_system(folder)
     with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
         manifest = spark.read.schema("name string, bytes long, records long, sha256 string").parquet(
-            json.loads(f.read())["table"])
+            f"{folder}/{json.loads(f.read())['table']}")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return manifest.select("name", "records").repartition(parts).mapInArrow(
         _read_rows(folder), "key long, record_type string, payload_bytes long, payload_digest string, "

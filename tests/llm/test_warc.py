@@ -9,9 +9,11 @@ import zlib
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.llm import queries, warc
 from riskframe.llm.warc import read_warc, write_warc
+from riskframe.session import clear_scratch
 
 
 def brute(pages, least=0):
@@ -48,7 +50,7 @@ def test_rolls_files_and_round_trips(spark, pages, tmp_path, monkeypatch):
         manifest = write_warc(df.repartition(parts), "page_id", "url", "html", folder, least_bytes=10, roll_bytes=4000).collect()
         assert len(manifest) > 4 and sum(r.records for r in manifest) == 502
         names = {r.name for r in manifest}
-        assert set(os.listdir(folder)) - {".crc"} == names | {"_MANIFEST"}
+        assert {n for n in os.listdir(folder) if not n.startswith("files-")} == names | {"_MANIFEST"}
         for r in manifest:
             with open(f"{folder}/{r.name}", "rb") as f:
                 assert hashlib.sha256(f.read()).hexdigest() == r.sha256
@@ -58,7 +60,7 @@ def test_rolls_files_and_round_trips(spark, pages, tmp_path, monkeypatch):
         assert sorted((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back) == \
             brute([(d[0], d[2] or "") for d in data], 10)
         assert {r.key: r.payload for r in back if r.record_type == "response"}.items() <= {d[0]: d[2] or "" for d in data}.items()
-    read = lambda folder: {n: open(f"{folder}/{n}", "rb").read() for n in os.listdir(folder) if n != "_MANIFEST"}
+    read = lambda folder: {n: open(f"{folder}/{n}", "rb").read() for n in os.listdir(folder) if n.endswith(".gz")}
     assert read(folders[0]) == read(folders[1])  # the layout of the input does not change a byte
     keys = []
     for n in sorted(read(folders[0])):  # files in name order are in key order, each record is a member
@@ -85,3 +87,26 @@ def test_truncated_archive_is_refused():
     assert [f["X-Record-Key"] for f, _ in warc.parse_records(iter([data, data[:9], data[9:]]))] == ["1", "1"]
     with pytest.raises((ValueError, zlib.error)):
         list(warc.parse_records(iter([data + data[:40]])))
+
+
+def test_archive_outlives_its_scratch_tables_and_failed_attempts(spark, rows, tmp_path):
+    """Also with a payload of several MB."""
+    folder = str(tmp_path / "x")
+    os.makedirs(folder)
+    open(f"{folder}/_temporary-dead-0001.warc.gz", "wb").close()  # what a lost executor had begun
+    long = "".join(chr(97 + i * i % 26) for i in range(3_000_000))
+    write_warc(rows("k long, u string, h string", (1, "a", long), (2, "b", "x"), (3, "c", long)), "k", "u", "h", folder)
+    assert not any(n.startswith("_temporary") for n in os.listdir(folder))
+    clear_scratch(spark)
+    back = {r.key: (r.record_type, r.payload) for r in read_warc(spark, folder).collect()}
+    assert back == {1: ("revisit", None), 2: ("response", "x"), 3: ("response", long)}
+
+
+def test_limits_are_few_and_distinct_for_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_RANGE", 10)
+    monkeypatch.setattr(warc, "MAX_RANGES", 300)
+    keys = spark.range(1_000_000).select(F.col("id").alias("key"), F.lit("u").alias("url"), F.lit("s").alias("sha"))
+    for_null, limits = warc._ranges(keys)
+    assert for_null == 0 and len(limits) == len(set(limits)) == 299
+    sizes = [r["count"] for r in warc.with_shards(keys, keys)[0].groupBy("shard").count().collect()]
+    assert len(sizes) == 300 and max(sizes) < 4 * 1_000_000 / 300
