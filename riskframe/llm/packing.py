@@ -24,12 +24,15 @@ repeated rows are packed as often as they occur; an empty table gives no bins.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 GROUP_TOKENS = 2_000_000
 OVERHEAD = 256.0
@@ -89,12 +92,13 @@ def pack(df: DataFrame, id_col: str, text_col: str, lengths: tuple[int, ...] = L
          group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """(id, piece, start, length, bin_id, capacity, offset): every token of every
     row in exactly one bin; a bin's pieces lie end to end from offset 0."""
-    cut = pieces(df, id_col, text_col, max(lengths))
+    # written: what is spread at random must not change between the two reads or in a task that runs again
+    cut = Scratch(df.sparkSession, "packing").keep(pieces(df, id_col, text_col, max(lengths)), "pieces")
     total = cut.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-int(total) // group_tokens))
     id_type = cut.schema["id"].dataType.simpleString()
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "spread", "start"], ascending=[False, True, True], kind="stable")
         bins, offsets, capacity = best_fit(part["length"], lengths)
         return part.assign(bin_id=(int(key[0]) << 32) + bins, capacity=capacity, offset=offsets)[
