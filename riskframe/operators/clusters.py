@@ -7,6 +7,10 @@ Starts come from one k-means|| run for the largest k: candidates drawn in two ro
 proportion to their distance, weighted by the rows nearest to them, from which each k
 takes its start with k-means++.  A k rests once none of its centres moves by more than ``tol``; the
 others go on.
+
+Where the distinct rows are few (``LOCAL_CELLS`` numbers, counted first) a job per iteration would only
+wait for Spark: then each k is one task that holds them all and runs its iterations, with the
+same arithmetic and the same end.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 
 from ..session import keep
 
+#: numbers (distinct rows x dimensions) up to which a task may hold all rows: 32 MB
+LOCAL_CELLS = 1 << 22
 #: rows whose distances to all centres are held at once
 ROWS_AT_ONCE = 2048
 
@@ -135,12 +141,54 @@ def _plus_plus(points: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.
     return centres
 
 
+def _moved(weight: np.ndarray, sums: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """New centres; one without rows stays where it is."""
+    return np.where(weight[:, None] > 0, sums / np.maximum(weight, 1e-300)[:, None], centres)
+
+
+def _lloyd_rows(x: np.ndarray, w: np.ndarray, centres: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, float]:
+    """Iterations over rows in memory."""
+    def nearest(c: np.ndarray) -> np.ndarray:
+        return np.concatenate([_distances(x[i:i + ROWS_AT_ONCE], c).argmin(1) for i in range(0, len(x), ROWS_AT_ONCE)])
+
+    for _ in range(max_iter):
+        near = nearest(centres)
+        hit = np.zeros((len(centres), len(x)))
+        hit[near, np.arange(len(x))] = w
+        new = _moved(hit.sum(1), hit @ x, centres)
+        shift, centres = ((new - centres) ** 2).sum(1).max(), new
+        if shift <= tol * tol:
+            break
+    gap = x - centres[nearest(centres)]
+    return centres, float((w * (gap * gap).sum(1)).sum())
+
+
+def _lloyd_local(rows: DataFrame, starts: dict[int, np.ndarray], max_iter: int, tol: float) -> dict[int, tuple[np.ndarray, float]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            k = b.column("k").to_numpy()
+            x = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
+            for one in np.unique(k).tolist():
+                held.setdefault(one, []).append((x[k == one], b.column("w").to_numpy()[k == one]))
+        for one, parts in held.items():
+            centres, cost = _lloyd_rows(*[np.concatenate(p) for p in zip(*parts, strict=True)], starts[one], max_iter, tol)
+            yield pa.RecordBatch.from_arrays([pa.array([one], pa.int32()), pa.array([centres.ravel().tolist()], pa.list_(pa.float64())),
+                                              pa.array([cost])], ["k", "centres", "cost"])
+
+    spread = rows.select(F.explode(F.array(*[F.lit(k) for k in starts])).alias("k"), "x", "w").repartition(len(starts), "k")
+    found = spread.mapInArrow(run, "k int, centres array<double>, cost double").collect()  # a row a k
+    return {r.k: (np.array(r.centres).reshape(len(starts[r.k]), -1), r.cost) for r in found}
+
+
 def lloyd(rows: DataFrame, starts: dict[int, np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
     """Centres and cost for every k, from the given starts.  A centre without rows stays where it is."""
+    if rows.count() * next(iter(starts.values())).shape[1] <= LOCAL_CELLS:
+        return _lloyd_local(rows, starts, max_iter, tol)
     centres, moving = dict(starts), set(starts)
     for _ in range(max_iter):
         for k, (weight, sums, _) in _step(rows, {k: centres[k] for k in moving}).items():
-            new = np.where(weight[:, None] > 0, sums / np.maximum(weight, 1e-300)[:, None], centres[k])
+            new = _moved(weight, sums, centres[k])
             if ((new - centres[k]) ** 2).sum(1).max() <= tol * tol:
                 moving.discard(k)
             centres[k] = new

@@ -54,7 +54,9 @@ def plain_lloyd(x, w, centres, tol=1e-4):
     return centres, (w * ((x[:, None] - centres) ** 2).sum(2).min(1)).sum()
 
 
-def test_all_k_in_one_scan_equal_single_runs(spark):
+@pytest.mark.parametrize("cells", [0, C.LOCAL_CELLS])
+def test_all_k_in_one_scan_equal_single_runs(spark, monkeypatch, cells):
+    monkeypatch.setattr(C, "LOCAL_CELLS", cells)
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.5, (150, 3)) for c in ([0, 0, 0], [4, 0, 0], [0, 5, 0], [1e3, 1e3, 1e3])])
     x = np.concatenate([x, x[:100], x[:100]])  # equal rows
