@@ -39,3 +39,20 @@ def test_rows_to_score(spark):
     assert out.count() == 4 and out.where("k = 1 and c = 'x'").select("c_ts").distinct().count() == 1
     assert T.apply_target_means(new.limit(0), "k", ["c"], fitted).count() == 0
     assert T.ordered_target_means(train.limit(0), "k", "y", ["c"]).count() == 0
+
+
+def test_rows_move_once_for_all_columns(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 50)
+    df = spark.createDataFrame([(k, k % 2, f"c{k % 4}", k % 3, k % 5) for k in range(200)], "k long, y int, a string, b int, c int")
+    out = T.ordered_target_means(df, "k", "y", ["a", "b", "c"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rows_without_key_or_label(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 2)
+    rows = [(None, 1, "x"), (None, 0, "x"), (1, None, "x"), (2, 1, "x"), (3, 0, "y")]
+    df = spark.createDataFrame(rows, "k long, y int, c string").repartition(3)
+    got = {(r.k, r.y): r.c_ts for r in T.ordered_target_means(df, "k", "y", ["c"], seed=1).collect()}
+    assert len(got) == 5 and got[None, 1] is None and got[None, 0] is None and got[1, None] is None
+    earlier = [1, 0, *([None] if hashlib.md5(b"1:1").hexdigest() < hashlib.md5(b"1:2").hexdigest() else [])]  # rows without a key come first
+    assert got[2, 1] == pytest.approx((1 + 0.5) / (len(earlier) + 1)) and got[3, 0] == pytest.approx(0.5)
