@@ -163,3 +163,14 @@ def test_exact_quantiles_match_percentile(spark):
     for r in want:
         for p, v in zip(probs, r["q"]):
             assert got[(r["g"], p)] == pytest.approx(v, abs=1e-12)
+
+
+def test_hold_out_and_folds_move_rows_at_most_once(spark, preds):
+    d = preds.withColumn("s", F.lit(1))
+    for df in (SP.stratified_split(d, "s", "k"), SP.stratified_folds(d, "s", "k")):
+        assert _plan(df).count("Exchange hashpartitioning") == 1
+    split = SP.stratified_split(d, "s", "k", 0.3, prefix=1)  # the limit lies inside a bucket
+    assert split.where("split = 'test'").count() == round(0.3 * d.count()) and split.count() == d.count()
+    last = split.select("split", SP.seeded_hash("k", 1961).alias("h")).groupBy("split").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    part = {r.split: r for r in last.collect()}
+    assert part["test"].high < part["train"].low
