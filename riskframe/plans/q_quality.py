@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import stable_round
 from ..operators import quality as Q
 from ..operators.split import stratified_split
-from ..session import scratch_path, table
+from ..session import keep, scratch_path, table
 from ..sources.versions import VersionedStore
 from ..operators.drift import dataset_drift, drift_table
 from .q_drift import _DR5_SQL, CAT, NUM, _sides
@@ -275,7 +275,8 @@ def dq13_validate_merge(spark, sf):
     cols = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
     for batch in (o.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")),
                   o.where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))):
-        s = stratified_split(batch.select(*cols), "o_orderstatus", "o_orderkey", 0.2, seed=1961, split_col="part")
+        # written: the job reads each part several times
+        s = keep(stratified_split(batch.select(*cols), "o_orderstatus", "o_orderkey", 0.2, seed=1961, split_col="part"), "batch")
         parts = {p: s.where(F.col("part") == p) for p in ("train", "test")}
         validate_and_merge(parts, store, _DQ13_DECLARED, "o_orderkey", ["o_totalprice"], ["o_orderpriority"])
     stored = VersionedStore(spark, store).snapshot()
