@@ -32,14 +32,30 @@ LOCAL_CELLS = 1 << 22
 ROWS_AT_ONCE = 2048
 
 
-def weighted_rows(df: DataFrame, features: str) -> DataFrame:
-    """(x, w): the distinct vectors as arrays and how often each stands, written once."""
-    return keep(df.select(vector_to_array(features).alias("x")).groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w")),
-                "weighted-vectors")
+def weighted_rows(df: DataFrame, features: str, weight: str | None = None) -> DataFrame:
+    """(x, w): the distinct vectors as arrays and how often each stands (the sum of ``weight``, if given), written once."""
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    return keep(df.select(vector_to_array(features).alias("x"), *([weight] if weight else [])).groupBy("x")
+                .agg(times.cast("double").alias("w")), "weighted-vectors")
+
+
+def packed_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` written as blocks of up to ROWS_AT_ONCE rows, their numbers as bytes: an iteration
+    need not turn every number from Parquet to Arrow again."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, w in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes()]), pa.array([w.astype("<f8").tobytes()])], ["x", "w"])
+
+    return keep(rows.mapInArrow(pack, "x binary, w binary"), "packed-vectors")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
+        if b.num_rows and pa.types.is_binary(b.schema.field("x").type):
+            for x, w in zip(b.column("x").to_pylist(), b.column("w").to_pylist(), strict=True):
+                weight = np.frombuffer(w, "<f8")
+                yield np.frombuffer(x, "<f8").reshape(len(weight), -1), weight
+            continue
         for at in range(0, b.num_rows, ROWS_AT_ONCE):
             part = b.slice(at, ROWS_AT_ONCE)
             yield part.column("x").flatten().to_numpy().reshape(part.num_rows, -1), part.column("w").to_numpy()
@@ -50,8 +66,8 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0.0)
 
 
-def _step(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """One scan: per k the weights and sums of each centre's rows, and the cost."""
+def _step(rows: DataFrame, centres: dict[int, np.ndarray], costs: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """One scan: per k the weights and sums of each centre's rows, and the cost (0 without ``costs``)."""
     ks = sorted(centres)
     stacked = np.concatenate([centres[k] for k in ks])
     edges = np.cumsum([0, *[len(centres[k]) for k in ks]])
@@ -63,8 +79,9 @@ def _step(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 near = d[:, low:high].argmin(1)
                 # the cost from the differences: the expanded form loses digits where a row lies on its centre
-                gap = x - stacked[low + near]
-                cost[low:high] += np.bincount(near, w * (gap * gap).sum(1), high - low)
+                if costs:
+                    gap = x - stacked[low + near]
+                    cost[low:high] += np.bincount(near, w * (gap * gap).sum(1), high - low)
                 weight[low:high] += np.bincount(near, w, high - low)
                 hit = np.zeros((high - low, len(x)))
                 hit[near, np.arange(len(x))] = w
@@ -185,9 +202,9 @@ def lloyd(rows: DataFrame, starts: dict[int, np.ndarray], max_iter: int = 300, t
     """Centres and cost for every k, from the given starts.  A centre without rows stays where it is."""
     if rows.count() * next(iter(starts.values())).shape[1] <= LOCAL_CELLS:
         return _lloyd_local(rows, starts, max_iter, tol)
-    centres, moving = dict(starts), set(starts)
+    centres, moving, rows = dict(starts), set(starts), packed_rows(rows)
     for _ in range(max_iter):
-        for k, (weight, sums, _) in _step(rows, {k: centres[k] for k in moving}).items():
+        for k, (weight, sums, _) in _step(rows, {k: centres[k] for k in moving}, costs=False).items():
             new = _moved(weight, sums, centres[k])
             if ((new - centres[k]) ** 2).sum(1).max() <= tol * tol:
                 moving.discard(k)
