@@ -166,11 +166,13 @@ def test_exact_quantiles_match_percentile(spark):
 
 
 def test_hold_out_and_folds_move_rows_at_most_once(spark, preds):
-    d = preds.withColumn("s", F.lit(1))
-    for df in (SP.stratified_split(d, "s", "k"), SP.stratified_folds(d, "s", "k")):
+    for df in (SP.stratified_split(preds, "target", "k"), SP.stratified_folds(preds, "target", "k")):
         assert _plan(df).count("Exchange hashpartitioning") == 1
-    split = SP.stratified_split(d, "s", "k", 0.3, prefix=1)  # the limit lies inside a bucket
-    assert split.where("split = 'test'").count() == round(0.3 * d.count()) and split.count() == d.count()
-    last = split.select("split", SP.seeded_hash("k", 1961).alias("h")).groupBy("split").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    part = {r.split: r for r in last.collect()}
-    assert part["test"].high < part["train"].low
+    split = SP.stratified_split(preds, "target", "k", 0.3, prefix=1)  # the limits lie inside a bucket
+    hashes = split.groupBy("target", "split").agg(F.count("k").alias("n"), F.min(SP.seeded_hash("k", 1961)).alias("low"),
+                                                  F.max(SP.seeded_hash("k", 1961)).alias("high"))
+    part = {(r.target, r.split): r for r in hashes.collect()}
+    for t in (0, 1):
+        n = preds.where(F.col("target") == t).count()
+        assert part[t, "test"].n == round(0.3 * n) and part[t, "train"].n == n - round(0.3 * n)
+        assert part[t, "test"].high <= part[t, "train"].low  # keys repeat

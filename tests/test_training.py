@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from riskframe.operators import clusters as C
 from riskframe.operators import features as FE
 from riskframe.operators import training as ML
 from riskframe.plans import q_training as Q
@@ -134,3 +135,56 @@ def test_encoder_and_clusters_are_fitted_on_the_whole_train_part(spark, monkeypa
     monkeypatch.setattr(Q, "FIT_ROWS", 400)
     Q.ml12_segment_models(spark, SF)
     assert fitted[1] == train
+
+
+def test_unit_scores_without_reading_the_train_part_again(spark, monkeypatch):
+    from pyspark.ml import Estimator
+    seen = []
+
+    class Spy(Estimator):
+        def _fit(self, df):
+            seen.append(df)
+            return ML.make_estimator("GBT").setMaxIter(1).fit(df)
+
+    train = Q.split_labelled(spark, SF).where("split = 'train'")
+    ML.fit_unit([*Q.unit().getStages(), Spy()], train, ML.fit_sample(train, "k", 1000))
+    assert [len(d.inputFiles()) for d in seen] == [1] and "Join" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(Q._fit_rows(Q.prepared(spark, SF)[0]).inputFiles()) == 1
+
+
+def test_equal_rows_are_counted_before_vectors_are_made(spark):
+    data, model = Q.prepared(spark, SF)
+    counted = FE.counted_rows(model, data)
+    whole, few = C.weighted_rows(data, "features").collect(), C.weighted_rows(counted, "features", "weight").collect()
+    assert counted.count() < data.count() and sorted((r.x, r.w) for r in whole) == sorted((r.x, r.w) for r in few)
+
+
+def test_packed_rows_iterate_as_single_ones(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    points = [(p.tolist(), float(w)) for p, w in zip(rng.normal(0, 1, (3000, 3)) + rng.integers(0, 3, (3000, 1)) * 9, rng.integers(1, 4, 3000))]
+    rows = spark.createDataFrame(points, "x array<double>, w double").repartition(3)
+    packed, starts = C.packed_rows(rows), {k: np.array([p for p, _ in points[:k]]) for k in (2, 3)}
+    assert packed.count() < 10
+    for k, (weight, sums, cost) in C._step(rows, starts).items():
+        again, plain = C._step(packed, starts)[k], C._step(packed, starts, costs=False)[k]
+        assert np.allclose(weight, again[0]) and np.allclose(sums, again[1]) and cost == pytest.approx(again[2])
+        assert np.allclose(sums, plain[1]) and plain[2] == 0
+    local = C.lloyd(rows, starts)
+    monkeypatch.setattr(C, "LOCAL_CELLS", 0)
+    for k, (centres, cost) in C.lloyd(rows, starts).items():
+        assert np.allclose(centres, local[k][0]) and cost == pytest.approx(local[k][1])
+
+
+def test_statistics_of_the_other_folds_are_merged(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    data = [(int(y), int(f), *(None if v < -3 else float(v) for v in x)) for y, f, x in
+            zip(rng.random(600) < 0.4, rng.integers(0, 3, 600), rng.normal(0, 1, (600, 2)))]
+    df = spark.createDataFrame([(y, f, a and a + y, b) for y, f, a, b in data] + [(None, 0, 1.0, 1.0)], "label int, fold int, a double, b double")
+    stats = ML._other_folds(df, ["a", "b"], "label", "fold", 3)
+    for i in range(3):
+        alone = {r.label: r for r in ML.lda_statistics(df.where(f"fold <> {i} and label is not null"), ["a", "b"]).collect()}
+        for r in stats[i]:
+            want = alone[r["label"]]
+            assert r["n"] == want.n and r["means"] == pytest.approx(want.means) and r["scatter"] == pytest.approx(want.scatter)
