@@ -23,6 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.merge import maybe_known
 from ..session import scratch_path, table  # noqa: F401  (re-exported)
 
 
@@ -117,6 +118,9 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFra
          .agg(F.sum(F.col("d") * F.col("l"))).first()[0] or 0)
     if n > most:
         texts = texts.where(F.rand(5) < 1.2 * most / n)
+        # texts that a bounded filter of the labelled ids rules out are not shuffled
+        ids = marked.select("id").distinct()
+        texts = maybe_known(texts, ids, "id", ids.count()).where("_maybe").drop("_maybe")
     return texts.join(marked, "id").select("id", "label", "text", F.rand(6).alias("draw"))
 
 

@@ -81,3 +81,12 @@ def test_train_learns_an_interaction_of_terms_that_tell_nothing_alone(rows):
     model = toxicity.train(df, "doc_id", "text", rows("doc_id long, toxic int", *labels), "doc_id", "toxic")
     score = {r.id: r.score for r in toxicity.score(df, "doc_id", "text", model).collect()}
     assert np.mean([(score[i] >= 0.5) == (t == 1) for i, t in labels]) > 0.97
+
+
+def test_texts_without_a_label_are_not_shuffled(spark):
+    from riskframe.llm.common import labelled_sample
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 4000, 4)], "doc_id long, toxic int")
+    out = labelled_sample(docs, "doc_id", "text", labels, "doc_id", "toxic", 100)
+    assert 60 < out.count() < 190 and out.where("cast(id as int) % 4 <> 0").isEmpty()
+    assert "_maybe" in out._jdf.queryExecution().toString()  # ruled out by a filter before the join
