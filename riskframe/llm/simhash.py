@@ -33,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Scratch, as_bytes, slices
 from .components import connected_components
@@ -63,14 +62,16 @@ def text_fingerprint(text: bytes | None, shingle: int) -> int:
 
 def fingerprints(df: DataFrame, text_col: str, shingle: int = 3, **keep) -> DataFrame:
     """The columns ``keep`` of each row and ``fp``, the fingerprint of its whole text as a signed long."""
-    rows = df.select(F.struct(*[c.alias(n) for n, c in keep.items()]).alias("row"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            fp = np.array([text_fingerprint(t, shingle) for t in as_bytes(b.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(fp.view(np.int64))], ["row", "fp"])
+    @F.arrow_udf("long")
+    def fingerprint(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            fp = [text_fingerprint(t, shingle) for b in slices([pa.RecordBatch.from_arrays([column], ["text"])], "text")
+                  for t in as_bytes(b.column("text"))]
+            yield pa.array(np.array(fp, np.uint64).view(np.int64))
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())])).select("row.*", "fp")
+    # Python only gets the texts; the other columns stay with Spark
+    return df.select(*[c.alias(n) for n, c in keep.items()], fingerprint(F.col(text_col)).alias("fp"))
 
 
 def blocks_for(n: int, max_bits: int) -> int:

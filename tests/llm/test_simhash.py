@@ -76,3 +76,14 @@ def test_every_block_count_and_chunking_gives_the_same_components(spark):
                 break
         assert [label[f] for f in fps] == want
     assert [blocks_for(n, 3) for n in (10, 1 << 20, 1 << 30, 1 << 34)] == [4, 5, 6, 7]
+
+
+def test_python_gets_only_the_texts(spark):
+    from pyspark.sql import functions as F
+
+    from riskframe.llm.simhash import fingerprints
+    df = spark.createDataFrame([(1, "a b c d", "x"), (2, None, "y")], "doc_id long, text string, lang string")
+    out = fingerprints(df, "text", 3, doc=F.struct("*"), id=F.col("doc_id"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert {(r.id, r.doc.lang, r.fp == 0) for r in out.collect()} == {(1, "x", False), (2, "y", True)}
