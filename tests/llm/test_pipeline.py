@@ -94,3 +94,24 @@ def test_edge_rows_and_extra_columns(spark, tmp_path):
     third = spark.read.parquet(str(tmp_path / "t7" / "2"))
     assert sorted((r.doc_id or 0) for r in third.select("doc_id").collect()) in ([0, 3], [0, 0, 3])
     assert third.where(F.col("doc_id") == 3).count() == 1
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark):
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", 400
+    docs = spark.range(0, rows, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 10_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"n": [b.column("text").nbytes]})
+
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(1 << 30))
+        corpus_pipeline.packing_stage(spark, docs, SF)
+        got = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+        assert max(got) < 2 * corpus_pipeline.BATCH_BYTES < sum(got)
+        spark.conf.set(key, "1000")  # a lower bound of the session stays
+        corpus_pipeline.packing_stage(spark, docs, SF)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
