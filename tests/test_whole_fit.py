@@ -1,6 +1,8 @@
 """Searches, units and segment models are fitted on every row of the train part."""
 
 import pytest
+from pyspark.ml import Estimator
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from riskframe.operators import training as ML
@@ -37,6 +39,25 @@ def test_search_sees_the_whole_train_part(spark, lines, monkeypatch, query):
     assert seen.value.args == (0.8 * ROWS, 0.8 * ROWS)
 
 
+@pytest.fixture
+def counts(monkeypatch):
+    """Rows that each classifier was fitted on."""
+    found, make = [], ML.make_estimator
+
+    class Spy(Estimator):
+        def _fit(self, df):
+            found.append(df.count())
+            return make("GBT").setMaxIter(1).fit(df)
+
+    monkeypatch.setattr(ML, "make_estimator", lambda *a, **b: Spy())
+    return found
+
+
+def test_classifier_of_a_segment_sees_all_its_train_rows(spark, lines, counts, monkeypatch):
+    monkeypatch.setattr(Q, "fit_segments", lambda *a, **b: (SQLTransformer(statement="SELECT *, 0 AS cluster FROM __THIS__"), 1, []))
+    assert Q.ml12_segment_models(spark, lines).count() == ROWS and counts == [0.8 * ROWS]
+
+
 def test_files_of_the_rows_follow_their_number(spark):
     few, some = ML.written_rows(spark.range(1000), 1000), ML.written_rows(spark.range(1000), 1000, ("id",), 300)
     assert len(few.inputFiles()) == 1 and len(some.inputFiles()) == 3 and few.count() == some.count() == 1000
