@@ -123,11 +123,11 @@ def str1_stream_model_scoring(spark, sf):
     train split), invalid rows are quarantined with their reasons."""
     from ..operators import scoring as SCO
     from ..operators import training as ML
-    from .q_training import FIT_ROWS, request_rules, split_labelled, unit
+    from .q_training import request_rules, split_labelled, unit
     d = split_labelled(spark, sf)
     stages = [*unit().getStages(), ML.make_estimator("GBT")]
     train = d.where(F.col("split") == "train")
-    model = ML.fit_unit(stages, train, ML.fit_sample(train, "k", 5 * FIT_ROWS))
+    model = ML.fit_unit(stages, train)
     schema = table(spark, sf, "lineitem").schema
     raw = ST.file_stream(spark, f"{sf}/lineitem*.parquet", schema)
     # the same derived request columns as the batch table (native expressions on the stream)

@@ -53,6 +53,12 @@ def counts(monkeypatch):
     return found
 
 
+@pytest.mark.parametrize("query", ["snk6_model_unit", "sco2_probability_metrics"])
+def test_classifier_of_a_unit_sees_the_whole_train_part(spark, lines, counts, query):
+    out = getattr(Q, query)(spark, lines)
+    assert counts == [0.8 * ROWS] and (out.count() if "k" in out.columns else out.agg(F.sum("n")).first()[0]) == ROWS
+
+
 def test_classifier_of_a_segment_sees_all_its_train_rows(spark, lines, counts, monkeypatch):
     monkeypatch.setattr(Q, "fit_segments", lambda *a, **b: (SQLTransformer(statement="SELECT *, 0 AS cluster FROM __THIS__"), 1, []))
     assert Q.ml12_segment_models(spark, lines).count() == ROWS and counts == [0.8 * ROWS]
