@@ -1,13 +1,16 @@
 """Approximate nearest neighbours over robust-pruned directed graphs, one per shard.
 
-*Index.*  Distinct vectors are dealt to shards of about ``SHARD`` vectors by a hash.  A
-task builds the graph of a shard: points enter in batches, a greedy beam search from
+*Index.*  Distinct vectors are dealt to shards by a hash: about ``SHARD`` vectors in each, more
+with the square root of all vectors of their length, up to ``SHARD_BYTES``, as every query looks into
+every shard.  A task builds the graph of a shard: points enter in batches, a greedy beam search from
 the medoid proposes neighbours, and relaxed distance pruning keeps the diverse ones (a
 candidate goes if a chosen neighbour p* has ``ALPHA`` * d(p*, p') <= d(p, p')); back
 edges are pruned the same way when a node overflows.  The graphs are written to the
-shared folder, one row per shard of bounded size.
+shared folder, one row per vector, so that no row or batch grows with the shard.
 
-*Search.*  Queries form blocks of ``BLOCK``.  Every shard is searched for every block by
+*Search.*  The queries are written to the shared folder once.  A task gets the rows of a shard and reads
+the queries there in blocks, so that neither index nor queries are copied for each other; it holds
+one shard and one block.  Every shard is searched for every query by
 beam search in double precision; distances of the nearest found are recomputed on the
 original vectors, and the best of all shards are ranked, ties to the smaller id.
 A query ``FAR`` times larger than a shard's vectors is compared with all of them.
@@ -23,17 +26,21 @@ vector) count once.  Recall is measured against brute force in the tests.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, file_system
 from .embed_dedup import valid
 
-SHARD = 4096
+#: vectors of a shard: so many, or so many times the square root of their number, while they have at most so many bytes
+SHARD, GROWTH, SHARD_BYTES = 4096, 16, 32 << 20
+#: queries searched at once, fewer in a shard of more than 16,384 vectors
 BLOCK = 1024
 DEGREE = 32
 #: neighbours a node may gather before it is pruned again
@@ -179,77 +186,136 @@ def _stack(vectors: list) -> np.ndarray:
     return np.array(vectors, np.float64)
 
 
-def _build_rows(key, part):
-    """One index row of a shard from its (h, ids, vec) rows."""
-    import pandas as pd
-    part = part.sort_values("h")
-    points = _stack(part["vec"].tolist())
-    graph, start = build_graph(np.ldexp(points, -_excess(points)))
-    return pd.DataFrame({"dims": [int(key[0])], "shard": [int(key[1])], "start": [start],
-                         "ids": [[list(map(int, x)) for x in part["ids"]]],
-                         "points": [points.tobytes()], "graph": [graph.astype(np.int32).tobytes()]})
+def _packed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def _unpacked(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(np.float64, copy=False).reshape(-1, width)
 
 
-def _search_rows(k: int):
-    """mapInArrow body: (index row, query block) -> the k nearest found in the shard."""
+INDEX = "dims int, shard int, pos int, start int, ids array<long>, point binary, edges binary"
+
+
+def _build_rows(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+    """The index rows of a shard from its (h, ids, vec) rows."""
+    part, dims = part.sort_by("h"), key[0].as_py()
+    points = _matrix(part["vec"], dims)
+    graph, start = build_graph(np.ldexp(points, -_excess(points)))
+    n = len(points)
+    same = lambda v: pa.array(np.full(n, v, np.int32))
+    out = pa.table({"dims": same(dims), "shard": same(key[1].as_py()), "pos": pa.array(np.arange(n, dtype=np.int32)), "start": same(start),
+                    "ids": part["ids"], "point": _packed(points), "edges": _packed(graph.astype(np.int32))})
+    return pa.Table.from_batches(out.to_batches(max_chunksize=SHARD))
+
+
+def _asked(paths: Sequence[str], dims: int, most: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, vectors) of the written queries of a length, about ``most`` at a time."""
+    held: list = []
+
+    def block():
+        t = pa.Table.from_batches(held)
+        held.clear()
+        return t["q"].to_pylist(), _matrix(t["vec"], dims)
+
+    for path in paths:
+        fs, name = file_system(path)
+        with fs.open_input_file(name) as f:
+            for b in pq.ParquetFile(f).iter_batches(most, columns=["q", "dims", "vec"]):
+                b = b.filter(pc.equal(b.column("dims"), dims))
+                if held and sum(x.num_rows for x in held) + b.num_rows > most:
+                    yield block()
+                if b.num_rows:
+                    held.append(b)
+    if held:
+        yield block()
+
+
+def _search_shard(parts: list[pa.RecordBatch], paths: Sequence[str], k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of each query in a shard, given by its index rows in order."""
+    t = pa.Table.from_batches(parts)
+    parts.clear()
+    dims, start, ids = t["dims"][0].as_py(), t["start"][0].as_py(), t["ids"].to_pylist()
+    points, graph = _unpacked(t["point"], np.float64, dims), _unpacked(t["edges"], np.int32, SLACK)
+    del t
+    least = np.array([x[0] for x in ids])
+    usual = np.median(np.abs(points).max(1))
+    for own_ids, queries in _asked(paths, dims, max(1, min(BLOCK, (BLOCK << 14) // len(points)))):
+        shrink = -_excess(points, queries)
+        near, _ = beam_search(np.ldexp(points, shrink) if shrink else points, graph, start, np.ldexp(queries, shrink), SEARCH_BEAM)
+        far = np.abs(queries).max(1) > FAR * usual
+        q, v, s = [], [], []
+        for j, own in enumerate(own_ids):
+            nodes = near[j][near[j] >= 0]
+            if far[j]:
+                every = ((points - queries[j]) ** 2).sum(1)
+                nodes = np.lexsort((least, every))[:k + 1]
+            exact = np.sqrt(((points[nodes] - queries[j]) ** 2).sum(1))
+            rows = sorted((float(d), x) for d, node in zip(exact, nodes, strict=True)
+                          for x in ids[node] if x != own)[:k]
+            q += [own] * len(rows)
+            v += [x for _, x in rows]
+            s += [d for d, _ in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()),
+                                          pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def _search_rows(k: int, paths: Sequence[str]):
+    """mapInArrow body: index rows, those of a shard one after the other -> the k nearest of each query found in each shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
         for b in batches:
-            for i in range(b.num_rows):
-                r = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                points = np.frombuffer(r["points"], np.float64).reshape(-1, r["dims"])
-                graph = np.frombuffer(r["graph"], np.int32).reshape(len(points), -1).astype(np.int64)
-                queries = _stack(r["vectors"])
-                shrink = -_excess(points, queries)
-                near, _ = beam_search(np.ldexp(points, shrink), graph, r["start"], np.ldexp(queries, shrink), SEARCH_BEAM)
-                least = np.array([x[0] for x in r["ids"]])
-                far = np.abs(queries).max(1) > FAR * np.median(np.abs(points).max(1))
-                q, v, s = [], [], []
-                for j, own in enumerate(r["queries"]):
-                    nodes = near[j][near[j] >= 0]
-                    if far[j]:
-                        every = ((points - queries[j]) ** 2).sum(1)
-                        nodes = np.lexsort((least, every))[:k + 1]
-                    exact = np.sqrt(((points[nodes] - queries[j]) ** 2).sum(1))
-                    rows = sorted((float(d), x) for d, node in zip(exact, nodes, strict=True)
-                                  for x in r["ids"][node] if x != own)[:k]
-                    q += [own] * len(rows)
-                    v += [x for _, x in rows]
-                    s += [d for d, _ in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()),
-                                                  pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+            key = b.column("dims").to_numpy().astype(np.int64) << 32 | b.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), b.num_rows]
+            for begin, end in zip(cuts, cuts[1:]):
+                part = b.slice(begin, end - begin)
+                if held and (held[0].column("dims")[0], held[0].column("shard")[0]) != (part.column("dims")[0], part.column("shard")[0]):
+                    yield from _search_shard(held, paths, k)
+                held.append(part)
+        if held:
+            yield from _search_shard(held, paths, k)
     return run
 
 
 def build_index(df: DataFrame, id_col: str, vec_col: str, k: int, scratch: Scratch) -> DataFrame:
-    """(dims, shard, start, ids, points, graph): one row per shard, written to the shared folder."""
+    """(dims, shard, pos, start, ids, point, edges): one row per distinct vector, written to the shared folder."""
     rows = (df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
             .where(F.col("id").isNotNull() & valid(F.col("vec"))).withColumn("h", F.xxhash64("vec")))
     # the smallest distinct ids of each vector; the limit on the rank acts in every task before the shuffle
     least = (rows.withColumn("r", F.dense_rank().over(Window.partitionBy("h").orderBy("id"))).where(f"r <= {k + 1}")
              .groupBy("h").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("vec").alias("vec")))
-    nodes = scratch.keep(least, "nodes")
-    shards = max(1, -(-nodes.count() // SHARD))
-    return scratch.keep(
-        nodes.withColumn("dims", F.size("vec")).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+    nodes = scratch.keep(least.withColumn("dims", F.size("vec")), "nodes")
+    # a row for each length of vectors
+    most = F.greatest(F.lit(SHARD), F.least(F.floor(GROWTH * F.sqrt("n")), F.floor(F.lit(SHARD_BYTES) / (F.col("dims") * 8))))
+    sizes = scratch.keep(nodes.groupBy("dims").agg(F.count(F.lit(1)).alias("n"))
+                         .select("dims", F.ceil(F.col("n") / most).cast("int").alias("shards")), "sizes")
+    shards = sizes.agg(F.sum("shards")).first()[0] or 1
+    index = scratch.keep(
+        nodes.join(F.broadcast(sizes), "dims").withColumn("shard", F.pmod(F.xxhash64("h"), F.col("shards")).cast("int"))
+        .select("dims", "shard", "h", "ids", "vec")
         .repartition(2 * shards, "dims", "shard")  # small in bytes, long to build: a task each, as far as hashes allow
-        .groupBy("dims", "shard").applyInPandas(
-            _build_rows, "dims int, shard int, start int, ids array<array<long>>, points binary, graph binary"), "index")
+        .groupBy("dims", "shard").applyInArrow(_build_rows, INDEX), "index")
+    scratch.drop(nodes)
+    return index
 
 
 def search(index: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, scratch: Scratch) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of each query."""
-    asked = (queries.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).cast("array<double>").alias("vec"))
-             .where(F.col("q").isNotNull() & valid(F.col("vec"))).dropDuplicates(["q", "vec"])
-             .withColumn("dims", F.size("vec")))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    block = (asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
-             .groupBy("dims", "block").agg(F.collect_list(F.struct("q", "vec")).alias("x"))
-             .select("dims", "block", F.col("x.q").alias("queries"), F.col("x.vec").alias("vectors")))
-    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    tasks = (index.withColumn("block", each(blocks))
-             .join(block.withColumn("shard", each(shards)), ["dims", "shard", "block"]))
-    found = scratch.keep(tasks.mapInArrow(_search_rows(k), "query_id long, vec_id long, score double"), "found")
+    asked = scratch.keep(queries.select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).cast("array<double>").alias("vec"))
+                         .where(F.col("q").isNotNull() & valid(F.col("vec"))).dropDuplicates(["q", "vec"])
+                         .withColumn("dims", F.size("vec")), "queries")
+    shards = max(1, index.select("dims", "shard").distinct().count())
+    held = index.repartition(2 * shards, "dims", "shard").sortWithinPartitions("dims", "shard", "pos")
+    found = scratch.keep(held.mapInArrow(_search_rows(k, asked.inputFiles()), "query_id long, vec_id long, score double"), "found")
+    scratch.drop(asked)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return (found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
             .withColumn("rank", rank).where(f"rank <= {k}")
@@ -260,4 +326,6 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int =
     """The k nearest rows of every row for which ``is_query`` holds."""
     scratch = Scratch(df.sparkSession, "neighbours")
     index = build_index(df, id_col, vec_col, k, scratch)
-    return search(index, df.where(is_query), id_col, vec_col, k, scratch)
+    found = search(index, df.where(is_query), id_col, vec_col, k, scratch)
+    scratch.drop(index)
+    return found

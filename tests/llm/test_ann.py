@@ -73,3 +73,24 @@ def test_a_huge_vector_as_row_and_as_query_spoils_no_other(rows):
             assert [i for _, i in mine] == [i for _, i in want]
         hits, total = hits + len({i for _, i in mine} & {i for _, i in want}), total + 10
     assert hits / total >= 0.95
+
+
+def test_shards_grow_and_neither_index_nor_queries_are_copied(spark, tmp_path, monkeypatch):
+    from riskframe.llm import ann
+    monkeypatch.setattr(ann, "SHARD", 16)  # many shards, several files and blocks of queries, two lengths
+    rng = np.random.default_rng(6)
+    data = [(i, rng.standard_normal(8 if i % 3 else 5).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    scratch, plans, keep = ann.Scratch(spark, "neighbours"), [], ann.Scratch.keep
+    monkeypatch.setattr(ann.Scratch, "keep", lambda self, d, what, *a: plans.append(d) or keep(self, d, what, *a))
+    index = ann.build_index(df, "vec_id", "embedding", 3, scratch)
+    per = index.groupBy("dims", "shard").count().groupBy("dims").agg(F.count("*").alias("shards"), F.sum("count").alias("n")).collect()
+    assert {(r.dims, r.shards, r.n) for r in per} == {(8, 2, 1000), (5, 2, 500)}  # 506 and 358 vectors, not 16, in a shard
+    got = ann.search(index, df, "vec_id", "embedding", 3, scratch).collect()
+    assert all("Join" not in d._jdf.queryExecution().executedPlan().toString() for d in plans[-2:])
+    assert len(got) == 3 * len(data) and len({(r.query_id, r["rank"]) for r in got}) == len(got)
+    x, hits = dict(data), 0
+    for q in range(0, 1500, 50):
+        want = sorted((float(np.sqrt(((np.array(v) - np.array(x[q])) ** 2).sum())), i) for i, v in x.items() if i != q and len(v) == len(x[q]))[:3]
+        hits += len({i for _, i in want} & {r.vec_id for r in got if r.query_id == q})
+    assert hits / 90 >= 0.95
